@@ -17,6 +17,6 @@ def spark():
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
-    s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()

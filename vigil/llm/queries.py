@@ -22,9 +22,30 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), bpe.Vocabulary(bpe.read_ranks(tokenizer_path())))
 
 
+def op2_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import audio
+
+    return audio.digests(audio.audio_features(table(spark, sf_dir, "documents")))
+
+
+def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import mixing
+
+    return {"op6_water_filling": mixing.SQL}

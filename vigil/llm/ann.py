@@ -6,8 +6,9 @@ ranks what it finds there by footrule distance (sum of differences of the pivots
 the nearest are ranked again by exact inner product. A pair that meets in several files is
 taken in the one that is nearest to the query, so no pair is scored twice.
 
-For the largest inner product, vectors get one more component that brings them all to the
-same length, so that the nearest direction is the largest product (queries get 0 there).
+Pivots are compared by direction. For the largest inner product, the footrule distance f gives
+an estimate 1 - f / E of the cosine (E: its mean over random orders), which the vector's length
+multiplies; among vectors of one length this is the footrule order itself.
 
 Files are dealt in blocks of about `block` rows, and the queries of a file in groups, so a
 pivot that attracts a third of all rows is split. Pivots are `n_pivots` rows chosen by a hash
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-N_PIVOTS, POSTED, PROBED = 128, 16, 16
+N_PIVOTS, POSTED, PROBED = 128, 12, 12
 #: Of what a query finds in a file, this share is ranked by exact product, and no fewer than LEAST.
 RERANKED, LEAST = 0.08, 200
 
@@ -43,14 +44,9 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     )
 
 
-def permutations(x: np.ndarray, pivots: np.ndarray, longest: float | None) -> tuple[np.ndarray, np.ndarray]:
+def permutations(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the pivots for each row (nearest first) and each pivot's place in it."""
-    if longest is None:
-        extra = np.zeros(len(x))
-    else:
-        extra = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
-    near = x @ pivots[:, :-1].T + extra[:, None] * pivots[:, -1]
-    order = np.argsort(-near, axis=1, kind="stable").astype(np.int16)
+    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable").astype(np.int16)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1], dtype=np.int16), order.shape), 1)
     return order, place
@@ -72,41 +68,38 @@ def search(
     """query_id, rank, vec_id, score: each query's k nearest rows other than itself."""
     spark = vectors.sparkSession
     rows, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
-    found = rows.select("vec").where(F.col("vec").isNotNull()).agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     schema = "query_id long, rank int, vec_id long, score double"
-    if found is None:
-        return spark.createDataFrame([], schema)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).toPandas()
+    if not len(sample):
+        return spark.createDataFrame([], schema)
     pivots = np.stack(sample["vec"].to_numpy())
-    pivots = np.hstack([pivots, np.sqrt(np.maximum(found**2 - (pivots**2).sum(1), 0))[:, None]])
+    pivots /= np.abs(pivots).max(1)[:, None]
+    pivots /= np.sqrt((pivots**2).sum(1))[:, None]
     p_n = len(pivots)
     posted, probed = min(posted, p_n), min(probed, p_n)
-    held = spark.sparkContext.broadcast((pivots, float(found)))
-
-    def post(batches):
-        piv, longest = held.value
-        for pdf in batches:
-            x = np.stack(pdf["vec"].to_numpy()) if len(pdf) else np.zeros((0, piv.shape[1] - 1))
-            order, place = permutations(x, piv, longest)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "data": pd.Series([a.tobytes() + b.tobytes() for a, b in zip(x, place)], dtype=object), "files": pd.Series([o.tolist() for o in order[:, :posted]], dtype=object)})
-
-    def ask(batches):
-        piv, _ = held.value
-        for pdf in batches:
-            x = np.stack(pdf["vec"].to_numpy()) if len(pdf) else np.zeros((0, piv.shape[1] - 1))
-            order, place = permutations(x, piv, None)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "data": pd.Series([a.tobytes() + b.tobytes() for a, b in zip(x, place)], dtype=object), "files": pd.Series([o.tolist() for o in order[:, :probed]], dtype=object)})
+    held = spark.sparkContext.broadcast(pivots)
+
+    def listing(n):
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf["vec"].to_numpy())
+                    order, place = permutations(x, held.value)
+                    data = [a.tobytes() + b.tobytes() for a, b in zip(x, place)]
+                    yield pd.DataFrame({"vec_id": pdf["vec_id"], "data": pd.Series(data, dtype=object), "files": pd.Series([o.tolist() for o in order[:, :n]], dtype=object)})
+
+        return run
 
     kind = "vec_id long, data binary, files array<int>"
-    posts = rows.mapInPandas(post, kind).select("vec_id", "data", F.explode("files").alias("file"))
-    asks = asked.mapInPandas(ask, kind).select("vec_id", "data", F.explode("files").alias("file"))
+    posts = rows.mapInPandas(listing(posted), kind).select("vec_id", "data", F.explode("files").alias("file"))
+    asks = asked.mapInPandas(listing(probed), kind).select("vec_id", "data", F.explode("files").alias("file"))
     # At most n_pivots counts each: how many blocks a file has.
     counts = {name: {r.file: r.n for r in df.groupBy("file").agg(F.count("*").alias("n")).collect()} for name, df in (("posts", posts), ("asks", asks))}
     parts = F.array(*[F.lit(-(-counts["posts"].get(f, 0) // block)) for f in range(p_n)])
     teams = F.array(*[F.lit(-(-counts["asks"].get(f, 0) // block)) for f in range(p_n)])
     n_parts, n_teams = F.get(parts, F.col("file")), F.get(teams, F.col("file"))
-    dealt = posts.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts)).where(n_teams > 0).withColumn("team", F.explode(F.sequence(F.lit(0), n_teams - 1)))
-    asking = asks.withColumn("team", F.pmod(F.xxhash64("vec_id"), n_teams)).where(n_parts > 0).withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+    dealt = posts.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int")).where(n_teams > 0).withColumn("team", F.explode(F.sequence(F.lit(0), n_teams - 1)))
+    asking = asks.withColumn("team", F.pmod(F.xxhash64("vec_id"), n_teams).cast("int")).where(n_parts > 0).withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
 
     def split(pdf, p_n):
         raw = np.frombuffer(b"".join(pdf["data"]), np.uint8).reshape(len(pdf), -1)
@@ -119,6 +112,8 @@ def search(
             have = have.sort_values("vec_id")
             file, ids = int(key[0]), have["vec_id"].to_numpy()
             x, place = split(have, p_n)
+            long = np.sqrt((x * x).sum(1))
+            usual = (p_n * p_n - 1) / 3 or 1.0
             narrow = place.T.astype(np.uint8).copy() if p_n <= 256 else place.T.copy()
             y, q_place = split(want, p_n)
             for qid, q, qp in zip(want["vec_id"].tolist(), y, q_place):
@@ -132,7 +127,7 @@ def search(
                     continue
                 keep = max(least, int(np.ceil(reranked * len(ids))))
                 if len(at) > keep:
-                    far = np.abs(place[at] - qp).sum(1, dtype=np.int32)
+                    far = -long[at] * (1 - np.abs(place[at] - qp).sum(1, dtype=np.int32) / usual)
                     edge = np.partition(far, keep - 1)[keep - 1]
                     sure = np.flatnonzero(far < edge)
                     at = at[np.concatenate([sure, np.flatnonzero(far == edge)[: keep - len(sure)]])]

@@ -199,7 +199,7 @@ def _dense(rows: DataFrame, sets: DataFrame, sizes: DataFrame, top: int, bottom:
         same = m.astype(np.int64)
         link = same * bottom >= top * (n[:, None] + n[None, :] - same)
         np.fill_diagonal(link, False)
-        if side.max(initial=0):
+        if tuple(pdf[["x_band", "x_part"]].iloc[0]) != tuple(pdf[["y_band", "y_part"]].iloc[0]):
             link &= side[:, None] != side[None, :]
         label = np.arange(len(ids))
         while True:

@@ -35,6 +35,13 @@ def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.audio_features(table(spark, sf_dir, "documents")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    out = suffix.removed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 

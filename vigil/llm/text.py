@@ -95,12 +95,12 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: in
     return mix(out)
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a block, and each document's first word (n + 1 values)."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, parts: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a block, and each document's first word (n + 1 values). parts: bytes between words."""
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    word = ~IS_SPACE[buf]
+    word = ~parts[buf]
     start, end = np.empty(n, bool), np.empty(n, bool)
     start[0], end[-1] = word[0], word[-1]
     np.logical_and(word[1:], ~word[:-1], out=start[1:])

@@ -1,7 +1,7 @@
 """Self-join of documents by Jaccard similarity of word shingles, with adaptive multi-match prefixes.
 
-Copies come first: documents with equal shingle sets form a class, and only its smallest
-doc_id goes on. Every set is put in one order: frequent shingles last, else by hash. Two sets
+Copies come first: documents with equal shingle sets form a class, and its smallest doc_id
+stands for it. Every set is put in one order: frequent shingles last, else by hash. Two sets
 that link share at least L shingles within their first n - ceil(t n) + L, for any L; each
 document's L is chosen by what the posting lists of its prefix would cost (longer lists: a
 longer prefix, and as many more shared shingles asked of a pair before it is verified).
@@ -21,16 +21,20 @@ columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .text import LOWER, blocks, map_batches, mix, span_hashes, word_spans, written
 
 FREQUENT, LONG, BLOCK_ROWS = 1 << 18, 256, 1024
+#: Sets that a task remembers, so as to send copies of them once.
+REMEMBERED = 200_000
 #: How often a shingle recurs in a batch to be counted, and in all to be put last.
 RECURS, OFTEN = 4, 64
 EXTRA = (1, 2, 4, 8)
@@ -96,9 +100,10 @@ def _kept_for(n, top: int, bottom: int):
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, top: int, bottom: int) -> DataFrame:
-    """token, doc_id, n, pos: the longest prefix that any L may ask for."""
+    """token, doc_id, n, pos: the longest prefix that any L may ask for. A set comes once from a task that can remember it."""
     held = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
     longest = EXTRA[-1]
+    seen: set[bytes] = set()
 
     def run(batch):
         often = held.value
@@ -112,8 +117,10 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, top: int, botto
                 late = often[np.minimum(i, len(often) - 1)] == toks
             picked, rows, pos = [], [], []
             for d, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                if e == s:
+                if e == s or (known := hashlib.blake2b(toks[s:e], digest_size=16).digest()) in seen:
                     continue
+                if len(seen) < REMEMBERED:
+                    seen.add(known)
                 k = min(e - s, _kept_for(e - s, top, bottom) + longest - 1)
                 u, f = toks[s:e], late[s:e]
                 early = u[~f][:k]
@@ -121,6 +128,8 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, top: int, botto
                 picked.append(got)
                 rows.append(np.full(k, d))
                 pos.append(np.arange(k, dtype=np.int32))
+            if not rows:
+                continue
             rows = np.concatenate(rows)
             ids = batch.column(0).slice(a, b - a).take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked).view(np.int64)), ids, pa.array(np.diff(at)[rows].astype(np.int32)), pa.array(np.concatenate(pos))], ["token", "doc_id", "n", "pos"])
@@ -226,12 +235,10 @@ def jaccard_join(docs: DataFrame, words: int = 3, top: int = 90, bottom: int = 1
     often = first.where("kind = 1").groupBy(F.col("s1").alias("token")).agg(F.sum("n").alias("df")).where(F.col("df") >= OFTEN)
     frequent = often.orderBy(F.desc("df"), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
 
-    copies = members.where("doc_id != rep or n = 0").select("doc_id").distinct()
-    kept = docs.select("doc_id", "text").join(copies, "doc_id", "left_anti")
-    from pyspark.sql import Window
-
     df = F.count("*").over(Window.partitionBy("token"))
-    posts = written(_prefixes(kept, frequent, words, top, bottom).withColumn("df", df).where("df > 1"), "posts")
+    met = written(_prefixes(docs, frequent, words, top, bottom).withColumn("df", df).where("df > 1").drop("df"), "met")
+    named = met.join(members.select("doc_id", "rep").distinct(), "doc_id").select("token", F.col("rep").alias("doc_id"), "n", "pos").distinct()
+    posts = written(named.withColumn("df", df).where("df > 1"), "posts")
 
     # L of each document, by the cost of its posting lists and of the candidates they leave.
     plain = F.expr(f"n - (n * {top} + {bottom - 1}) div {bottom} + 1")
@@ -263,7 +270,8 @@ def jaccard_join(docs: DataFrame, words: int = 3, top: int = 90, bottom: int = 1
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     if has_pools:
         wanted = wanted.union(pools.select("doc_id"))
-    sets = written(shingles(kept.join(wanted.distinct(), "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
+    # Texts move to the wanted ids in the same way at every size.
+    sets = written(shingles(docs.select("doc_id", "text").join(wanted.distinct().hint("merge"), "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
 
     links = written(_verified(pairs, sets, top, bottom), "verified")
     sizes = members.where("doc_id = rep").select("doc_id", "size").distinct()

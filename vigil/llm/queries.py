@@ -29,6 +29,13 @@ def op2_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sentence_spans
+
+    out = sentence_spans.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", "n_removed", "removed_bytes", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import audio
 
@@ -56,6 +63,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.posterior(docs, quality.train(docs, labels), F.col("source"), F.col("lang"))
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, "op9", counts=True)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 

@@ -192,7 +192,7 @@ def _odds(ids: np.ndarray, first: np.ndarray, y: np.ndarray, buckets: int, used:
     d, f = seen // buckets, seen % buckets
     pos, neg = np.bincount(f[y[d] == 1], minlength=buckets), np.bincount(f[y[d] == 0], minlength=buckets)
     odds = np.log((pos + 0.3) / (y[used].sum() + 0.6)) - np.log((neg + 0.3) / ((1 - y[used]).sum() + 0.6))
-    return np.where(pos + neg > 1, np.clip(odds, -3, 3), 0).astype(np.float32)
+    return np.where(pos + neg > 5, np.clip(odds, -3, 3), 0).astype(np.float32)
 
 
 def fit(texts: list[str | None], y: np.ndarray, prior: float, epochs: int = 5, batch: int = 128, seed: int = 7) -> Network:
@@ -284,3 +284,17 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(net.probability(logit)), pa.array(n.astype(np.int32))], ["id", "score", "n_windows"])
 
     return map_batches(docs, [id_col, text_col], run, f"id {dict(docs.dtypes)[id_col]}, score double, n_windows int").withColumnRenamed("id", id_col)
+
+
+def without_toxic(docs: DataFrame, network: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches):
+        net = held.value
+        for batch in batches:
+            keep = [net.probability(net.logits(*features(buf, offs))[0]) < threshold for _, _, buf, offs in blocks(batch.column(batch.schema.get_field_index(text_col)), 1 << 20)]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -80,6 +80,6 @@ def test_mix_takes_the_planned_words(steps):
 
 def test_ids_equal_the_library(steps):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
-    digest = lambda t: (r.doc_id, hashlib.sha256(np.array(enc.encode_ordinary(t), "<u4").tobytes()).hexdigest())
-    want = collections.Counter(digest(r.text or "") for r in steps[4].collect())
+    digest = lambda r: (r.doc_id, hashlib.sha256(np.array(enc.encode_ordinary(r.text or ""), "<u4").tobytes()).hexdigest())
+    want = collections.Counter(digest(r) for r in steps[4].collect())
     assert want == collections.Counter((r.doc_id, r.ids_sha256) for r in steps[5].collect())

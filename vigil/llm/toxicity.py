@@ -9,7 +9,7 @@ corrects for the share of labels in the sample.
 
 Training takes at most `positives` + `negatives` labelled rows, the first by a hash of doc_id,
 among those whose crc32(doc_id) mod 5 is not 0; scoring takes every window of every whole text.
-Null and empty texts have no words and get the score of an empty window. Repeated rows give
+Null and empty texts have no words and score as low as the lowest training row. Repeated rows give
 equal scores; repeated labels count as often as they come. With no usable labels of both kinds,
 scores stay below 0.5. An empty table gives an empty result; further columns are not read.
 """
@@ -84,6 +84,7 @@ class Network:
     bias: np.ndarray = field(default=None)
     slope: float = 1.0
     shift: float = -4.0
+    floor: float = -8.0  # the logit of a document without words: the lowest in training
 
     NAMES = ("word", "char", "w", "u", "b", "look", "out", "bias")
 
@@ -176,7 +177,7 @@ class Network:
         for a in range(0, len(start), step):
             s, k = start[a : a + step], n[a : a + step]
             out[a : a + step] = self.forward(x[s[None, :] + np.minimum(steps, k - 1)], k)
-        best = np.full(len(offs) - 1, self.bias[0], np.float32)
+        best = np.full(len(offs) - 1, self.floor, np.float32)
         some = np.diff(offs) > 0
         if some.any():
             best[some] = np.maximum.reduceat(out, offs[:-1][some])
@@ -242,6 +243,7 @@ def fit(texts: list[str | None], y: np.ndarray, prior: float, epochs: int = 5, b
                 setattr(net, name, (getattr(net, name) - rate * mean[name] / (np.sqrt(square[name]) + 1e-8)).astype(np.float32))
     # Probability from the highest window: a weighted logistic fit by Newton's steps, halved where they don't help.
     z = net.logits(ids, first)[0].astype(np.float64)
+    net.floor = float(z.min())
     if aside.any():
         z, y = z[aside], y[aside]
     weight = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))

@@ -150,9 +150,12 @@ def shingles(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
-    """The pairs (a, b) that link. The set of b travels to a's group; a's comes once."""
-    sides = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("theirs")), "b").select("a", "b", "theirs")
-    own = sets.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("key"), F.col("tokens").alias("mine"))
+    """The pairs (a, b) that link. The set of b travels to a's group; a's comes once.
+
+    Both joins sort and merge at every size, so that sets move once, for either side.
+    """
+    sides = pairs.hint("merge").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("theirs")), "b").select("a", "b", "theirs")
+    own = sets.join(pairs.select(F.col("a").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("key"), F.col("tokens").alias("mine"))
 
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         keep = np.zeros(len(right), bool)
@@ -237,7 +240,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, top: int = 90, bottom: int = 1
 
     df = F.count("*").over(Window.partitionBy("token"))
     met = written(_prefixes(docs, frequent, words, top, bottom).withColumn("df", df).where("df > 1").drop("df"), "met")
-    named = met.join(members.select("doc_id", "rep").distinct(), "doc_id").select("token", F.col("rep").alias("doc_id"), "n", "pos").distinct()
+    named = met.join(members.select("doc_id", "rep").distinct().hint("merge"), "doc_id").select("token", F.col("rep").alias("doc_id"), "n", "pos").distinct()
     posts = written(named.withColumn("df", df).where("df > 1"), "posts")
 
     # L of each document, by the cost of its posting lists and of the candidates they leave.
@@ -248,7 +251,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, top: int = 90, bottom: int = 1
     for x, p in list(zip(EXTRA, price))[::-1]:
         chosen = F.when(p <= F.least(*price), F.lit(x)).otherwise(chosen)
     asked = posts.groupBy("doc_id").agg(*cost).select("doc_id", chosen.alias("need"))
-    posted = written(posts.join(asked, "doc_id").where(F.col("pos") < plain + F.col("need") - 1).drop("pos"), "posted")
+    posted = written(posts.join(asked.hint("merge"), "doc_id").where(F.col("pos") < plain + F.col("need") - 1).drop("pos"), "posted")
 
     short = posted.where(F.col("df") <= LONG)
     long = posted.where(F.col("df") > LONG).select("token", "doc_id", "n")

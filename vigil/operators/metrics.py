@@ -11,7 +11,9 @@ from vigil.functions.ranks import average_precision, global_rank, roc_auc
 from vigil.operators.alerts import attribution
 from vigil.schema import ATTACK_TYPES, DAILY_BUDGET, INSIDER
 
-IS_ATTACK = F.col("label").isin(*ATTACK_TYPES)
+
+def is_attack() -> Column:
+    return F.col("label").isin(*ATTACK_TYPES)
 
 
 def labelled(scored: DataFrame, labels: DataFrame) -> DataFrame:
@@ -22,7 +24,7 @@ def labelled(scored: DataFrame, labels: DataFrame) -> DataFrame:
 
 def event_metrics(scored: DataFrame, labels: DataFrame, fraction: float = 0.01) -> DataFrame:
     """One row: prevalence, precision and recall among the top k = ceil(fraction N), their ceilings, R-precision, average precision, ROC-AUC."""
-    df = global_rank(labelled(scored, labels), "score", "event_id").select("score", "rank", "label", IS_ATTACK.alias("y"), (F.col("label") == INSIDER).alias("drift"))
+    df = global_rank(labelled(scored, labels), "score", "event_id").select("score", "rank", "label", is_attack().alias("y"), (F.col("label") == INSIDER).alias("drift"))
     n = df.agg(F.count("*").alias("n_events"), F.sum(F.col("y").cast("long")).alias("n_attack")).withColumn("k", F.ceil(F.round(F.col("n_events") * fraction, 9)))
     top = df.crossJoin(F.broadcast(n)).agg(
         F.first("n_events").alias("n_events"),
@@ -70,7 +72,7 @@ def detections(queue: DataFrame, assignment: DataFrame, labels: DataFrame, campa
     hits = queue.join(attribution(mine, labels), "alert_id").groupBy("campaign_id").agg(F.count("*").alias("n_alerts"), F.min("start_ts").alias("alert_ts"))
     out = camps.join(hits, "campaign_id", "left")
     if events is not None:
-        inside = mine.select("event_id").distinct().join(labels.where(IS_ATTACK & F.col("campaign_id").isNotNull()).select("event_id", "campaign_id"), "event_id").join(events.select("event_id", "timestamp"), "event_id")
+        inside = mine.select("event_id").distinct().join(labels.where(is_attack() & F.col("campaign_id").isNotNull()).select("event_id", "campaign_id"), "event_id").join(events.select("event_id", "timestamp"), "event_id")
         out = out.join(inside.groupBy("campaign_id").agg(F.min("timestamp").alias("event_ts")), "campaign_id", "left").withColumn("alert_ts", F.when(F.col("alert_ts").isNotNull(), F.coalesce("event_ts", "alert_ts"))).drop("event_ts")
     late = F.unix_timestamp("alert_ts") - F.unix_timestamp("camp_start")
     span = F.unix_timestamp("camp_end") - F.unix_timestamp("camp_start")
@@ -122,8 +124,8 @@ def fp_breakdown(scored: DataFrame, labels: DataFrame, fraction: float = 0.01) -
     df = global_rank(labelled(scored, labels), "score", "event_id")
     n = scored.agg(F.count("*").alias("_n"))
     kind = F.coalesce("confounder", F.lit("(none)"))
-    df = df.crossJoin(F.broadcast(n)).withColumn("kind", kind).withColumn("fp", ((F.col("rank") <= F.ceil(F.round(F.col("_n") * fraction, 9))) & ~IS_ATTACK).cast("long"))
-    per = df.where(~IS_ATTACK).groupBy("kind").agg(F.sum("fp").alias("n_fp"), F.count("*").alias("n_all"))
+    df = df.crossJoin(F.broadcast(n)).withColumn("kind", kind).withColumn("fp", ((F.col("rank") <= F.ceil(F.round(F.col("_n") * fraction, 9))) & ~is_attack()).cast("long"))
+    per = df.where(~is_attack()).groupBy("kind").agg(F.sum("fp").alias("n_fp"), F.count("*").alias("n_all"))
     total = F.sum("n_fp").over(Window.partitionBy(F.lit(1)))
     return per.withColumn("fp_rate", F.col("n_fp") / F.col("n_all")).withColumn("fp_share", F.col("n_fp") / F.nullif(total, F.lit(0))).where("n_fp > 0")
 
@@ -143,7 +145,7 @@ def cold_start_report(scored: DataFrame, labels: DataFrame, fraction: float = 0.
     k = F.greatest(F.lit(1), F.floor(F.round(F.col("_n") * fraction, 9)))
     top = F.col("rank") <= k
     per = df.crossJoin(n).groupBy(F.coalesce("is_cold_start", F.lit(False)).alias("cold")).agg(
-        F.count("*").alias("n"), F.first("_n").alias("_n"), F.first(k).alias("_k"), F.sum(top.cast("long")).alias("n_top"), F.avg(IS_ATTACK.cast("int")).alias("attack_rate"), F.avg(F.when(top, IS_ATTACK.cast("int"))).alias("top_precision")
+        F.count("*").alias("n"), F.first("_n").alias("_n"), F.first(k).alias("_k"), F.sum(top.cast("long")).alias("n_top"), F.avg(is_attack().cast("int")).alias("attack_rate"), F.avg(F.when(top, is_attack().cast("int"))).alias("top_precision")
     )
     return per.select("cold", "n", (F.col("n") / F.col("_n")).alias("traffic_share"), "n_top", (F.col("n_top") / F.col("_k")).alias("budget_share"), "attack_rate", "top_precision")
 

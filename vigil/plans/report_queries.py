@@ -174,12 +174,12 @@ SELECT n_events::DOUBLE AS n_events, n_attack::DOUBLE AS n_attack, k::DOUBLE AS
 
 def avg_precision(spark, sf):
     df = M.labelled(scored(spark, sf), driver_labels(spark, sf))
-    return average_precision(df, "score", M.IS_ATTACK).select(F.round("average_precision", 6).alias("average_precision"))
+    return average_precision(df, "score", M.is_attack()).select(F.round("average_precision", 6).alias("average_precision"))
 
 
 def auc(spark, sf):
     df = M.labelled(scored(spark, sf), driver_labels(spark, sf))
-    return roc_auc(df, "score", M.IS_ATTACK).select(F.round("roc_auc", 6).alias("roc_auc"))
+    return roc_auc(df, "score", M.is_attack()).select(F.round("roc_auc", 6).alias("roc_auc"))
 
 
 def attribution(spark, sf):
@@ -280,7 +280,7 @@ _CONF = _T.replace("SELECT event_id, CASE WHEN bf > 0", ", pt AS (SELECT event_i
 
 def macro_f1(spark, sf):
     df = M.labelled(zframe(spark, sf), driver_labels(spark, sf))
-    df = X.predict_type(df, {c: F.col(f"z_{c}") for c in Z3}).withColumn("label", F.when(M.IS_ATTACK, F.col("label")).otherwise("unclassified"))
+    df = X.predict_type(df, {c: F.col(f"z_{c}") for c in Z3}).withColumn("label", F.when(M.is_attack(), F.col("label")).otherwise("unclassified"))
     return M.macro_f1(df, "label", "pred_type").select(F.round("macro_f1", 6).alias("macro_f1"), "n_classes")
 
 

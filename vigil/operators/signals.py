@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigil.functions.columns import bits, haversine_km
 from vigil.operators.causal import first_seen, ordered, prepare, prior, prior_total, trailing_sum
 from vigil.schema import BURST_FLOOR, BURST_MIN, COLD_MIN, COLD_N0, FAIL_WINDOW, GEO_CAP_KMH, GEO_GATE_KM, IP_WINDOW, LONG_WINDOW, NGRAM, OFFHOURS, SIGNALS
+from vigil.sources.store import store
 
 E, IP = "entity_id", "source_ip"
 
@@ -157,7 +158,7 @@ def corroboration(ev: DataFrame, seconds: int = LONG_WINDOW) -> DataFrame:
     return ev.withColumns({"corroboration_7d": both.cast("double"), "uncorroborated_new_edges_7d": (F.size("_news") - both).cast("double")}).drop("_new", "_peer2", "_news")
 
 
-def cmd_surprisal(ev: DataFrame) -> DataFrame:
+def cmd_surprisal(ev: DataFrame, cut=lambda df: df) -> DataFrame:
     """How far an event's mean bits per token are from the entity's own history of them.
 
     Bigrams of the entity and of its type and single tokens are mixed. An event is scored before its own
@@ -169,12 +170,13 @@ def cmd_surprisal(ev: DataFrame) -> DataFrame:
     same = Window.partitionBy("event_id").orderBy("pos")
     tokens = tokens.withColumn("prev", F.coalesce(F.lag("tok").over(same), F.lit("<BOS>")))
     order = ("timestamp", "event_id", "pos")
+    tokens = cut(tokens)
     sets = {"e_bi": [E, "prev", "tok"], "e_ctx": [E, "prev"], "g_bi": ["entity_type", "prev", "tok"], "g_ctx": ["entity_type", "prev"], "uni": ["tok"], "all": []}
     for name, keys in sets.items():
         if E in keys:
             tokens = tokens.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
         else:
-            tokens = prior_total(tokens, name, keys, order=order)
+            tokens = cut(prior_total(tokens, name, keys, order=order))
         inside = Window.partitionBy("event_id", *keys)
         tokens = tokens.withColumn(name, F.col(name) - (F.row_number().over(inside.orderBy("pos")) - 1)).withColumn(name + "_own", F.count("*").over(inside))
 
@@ -190,10 +192,17 @@ def cmd_surprisal(ev: DataFrame) -> DataFrame:
     return ev.withColumn("cmd_surprisal", F.when(seen >= 8, (F.col("_bits") - mean) / sd).otherwise(0.0)).drop("_bits", "_after")
 
 
-def signal_frame(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """event_id, the 21 signals, _n_history and _cold_start; keep: further columns of the log."""
+def signal_frame(log: DataFrame, keep: tuple[str, ...] = (), cut=store) -> DataFrame:
+    """event_id, the 21 signals, _n_history and _cold_start; keep: further columns of the log.
+
+    Population counts join a frame with sums of itself, so the frame is stored before each such step:
+    the plan then grows with the number of steps rather than doubling at each.
+    """
     ev = history(prepare(log))
-    for step in (geo_velocity, fail_rates, burst_ratio, ip_signals, fingerprint_mismatch, hour_surprisal, novelties, resource_signals, deviations, long_window, corroboration, cmd_surprisal):
+    for step in (geo_velocity, fail_rates, burst_ratio, ip_signals, fingerprint_mismatch, novelties, deviations):
         ev = step(ev)
+    for step in (hour_surprisal, resource_signals, long_window, corroboration):
+        ev = step(cut(ev))
+    ev = cmd_surprisal(cut(ev), cut)
     n = F.col("n").cast("double")
     return ev.select("event_id", *keep, *[s.name for s in SIGNALS], n.alias("_n_history"), (F.col("n") < COLD_MIN).cast("double").alias("_cold_start"))

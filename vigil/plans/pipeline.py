@@ -11,21 +11,11 @@ from vigil.operators import fusion as U
 from vigil.operators import metrics as M
 from vigil.operators.signals import signal_frame
 from vigil.schema import LEVELS, assert_feature_frame
+from vigil.sources.store import store
 
 KEEP = ("entity_id", "entity_type", "source_ip", "timestamp")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the cluster's shared checkpoint folder (a folder of its own is set only where none is)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigil-"))
-    return df.checkpoint()
-
-
 def score_log(events: DataFrame, fusions: dict[str, U.Fusion]) -> DataFrame:
     return store(U.score(signal_frame(assert_feature_frame(events), KEEP), fusions))
 

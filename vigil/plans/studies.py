@@ -150,7 +150,9 @@ def verify_config(frozen: dict[str, object]) -> None:
 
 def sweep(fit_log, logs: dict[str, tuple]) -> DataFrame:
     """Event metrics of one fitted model on several logs (levels of difficulty, held-out seeds)."""
-    from vigil.plans.pipeline import KEEP, signal_frame, store
+    from vigil.operators.signals import signal_frame
+    from vigil.plans.pipeline import KEEP
+    from vigil.sources.store import store
 
     fusions = U.fit(store(signal_frame(fit_log[0], KEEP)), fit_log[1])
     out = None

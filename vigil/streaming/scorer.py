@@ -7,7 +7,8 @@ population (hours of a type, resources of a role) read priors that a batch job r
 broadcasts; without them the same defaults hold as for an empty population.
 
 State is bounded: least used addresses, resources and device sets go first, trailing times are pruned, and
-the state of a key without events for `idle` goes when its timer fires.
+the state of a key without events for `idle` goes when its timer fires. Such timers keep a query running, so a
+query that should end with its input (availableNow) takes idle=None.
 """
 
 from __future__ import annotations

@@ -337,8 +337,6 @@ SELECT n, round(least(up, down), 6)::DOUBLE AS w, round((least(up, down) - n * (
 
 
 def quiet_runs(spark, sf):
-    from pyspark.sql import Window  # noqa: F401
-
     daily = scored(spark, sf).withColumn("day", F.date_trunc("day", "timestamp")).groupBy("entity_id", "day").agg(F.max("score").alias("score"))
     return M.quiet_runs(daily, ["entity_id"], "score", 3.0, 5).select("entity_id", F.date_format("quiet_from", "yyyy-MM-dd").alias("quiet_from"))
 

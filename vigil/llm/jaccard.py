@@ -4,7 +4,8 @@ Copies come first: documents with equal shingle sets form a class, and its small
 stands for it. Every set is put in one order: frequent shingles last, else by hash. Two sets
 that link share at least L shingles within their first n - ceil(t n) + L, for any L; each
 document's L is chosen by what the posting lists of its prefix would cost (longer lists: a
-longer prefix, and as many more shared shingles asked of a pair before it is verified).
+longer prefix, and as many more shared shingles asked of a pair before it is verified), and is
+at most ceil(t n), what every link of a set of n shares at least.
 A pair needs the smaller of its two L. Verified pairs are exact on 64-bit shingle hashes.
 
 Which shingles count as frequent may be any set without changing the result; it is summed
@@ -246,11 +247,12 @@ def jaccard_join(docs: DataFrame, words: int = 3, top: int = 90, bottom: int = 1
     # L of each document, by the cost of its posting lists and of the candidates they leave.
     plain = F.expr(f"n - (n * {top} + {bottom - 1}) div {bottom} + 1")
     cost = [F.sum(F.when(F.col("pos") < plain + (x - 1), F.col("df") - 1).otherwise(0)).alias(f"c{x}") for x in EXTRA]
-    price = [F.col(f"c{x}") * (1 + VERIFY / x) for x in EXTRA]
+    least = F.expr(f"(n * {top} + {bottom - 1}) div {bottom}")
+    price = [F.when(least >= x, F.col(f"c{x}") * (1 + VERIFY / x)).otherwise(float("inf")) for x in EXTRA]
     chosen = F.lit(EXTRA[-1])
     for x, p in list(zip(EXTRA, price))[::-1]:
         chosen = F.when(p <= F.least(*price), F.lit(x)).otherwise(chosen)
-    asked = posts.groupBy("doc_id").agg(*cost).select("doc_id", chosen.alias("need"))
+    asked = posts.groupBy("doc_id", "n").agg(*cost).select("doc_id", chosen.alias("need"))
     posted = written(posts.join(asked.hint("merge"), "doc_id").where(F.col("pos") < plain + F.col("need") - 1).drop("pos"), "posted")
 
     short = posted.where(F.col("df") <= LONG)

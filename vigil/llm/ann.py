@@ -11,8 +11,12 @@ an estimate 1 - f / E of the cosine (E: its mean over random orders), which the
 multiplies; among vectors of one length this is the footrule order itself.
 
 Files are dealt in blocks of about `block` rows, and the queries of a file in groups, so a
-pivot that attracts a third of all rows is split. Pivots are `n_pivots` rows chosen by a hash
-of their id: a bounded sample; the index covers every row.
+pivot that attracts a third of all rows is split. Pivots are `n_pivots` distinct directions chosen
+by their hash: a bounded sample; the index covers every row.
+
+Equal vectors are indexed as one, so copies take no share of the pivots, the posted files or the
+exact ranking. Its ids come back after that: the k + 1 smallest of a vector suffice, as ties go
+to the smaller id and at most one of them is the query's own.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Rows that
 repeat a vec_id count once (the smallest vector by order is kept). Ties in score go to the
@@ -27,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import written
+
 N_PIVOTS, POSTED, PROBED = 128, 12, 12
 #: Of what a query finds in a file, this share is ranked by exact product, and no fewer than LEAST.
 RERANKED, LEAST = 0.08, 200
@@ -44,6 +50,28 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     )
 
 
+def distinct(rows: DataFrame, most: int) -> DataFrame:
+    """vec_id, vec, ids: each distinct vector once, with its `most` smallest ids, the first of which is its vec_id."""
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
+    few = rows.withColumn("place", place).where(F.col("place") <= most)
+    return few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("vec_id"), "vec", "ids")
+
+
+def directions(rows: DataFrame, n: int) -> np.ndarray:
+    """n of the rows' distinct directions at most, as unit vectors: the first by a hash."""
+    top = F.array_max(F.transform("vec", lambda x: F.abs(x)))
+    scaled = F.transform("vec", lambda x: x / top)
+    size = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
+    hashed = rows.withColumn("way", F.xxhash64(F.transform(scaled, lambda x: F.round(x / size, 9) + F.lit(0.0))))
+    ways = [r.way for r in hashed.select("way").distinct().orderBy("way").limit(n).collect()]
+    found = hashed.where(F.col("way").isin(ways)).groupBy("way").agg(F.min("vec").alias("vec")).orderBy("way").collect() if ways else []
+    x = np.array([r.vec for r in found], float)
+    if len(x):
+        x /= np.abs(x).max(1)[:, None]
+        x /= np.sqrt((x**2).sum(1))[:, None]
+    return x
+
+
 def permutations(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the pivots for each row (nearest first) and each pivot's place in it."""
     order = np.argsort(-(x @ pivots.T), axis=1, kind="stable").astype(np.int16)
@@ -69,12 +97,10 @@ def search(
     spark = vectors.sparkSession
     rows, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).toPandas()
-    if not len(sample):
+    rows = written(distinct(rows, k + 1), "vectors")
+    pivots = directions(rows, n_pivots)
+    if not len(pivots):
         return spark.createDataFrame([], schema)
-    pivots = np.stack(sample["vec"].to_numpy())
-    pivots /= np.abs(pivots).max(1)[:, None]
-    pivots /= np.sqrt((pivots**2).sum(1))[:, None]
     p_n = len(pivots)
     posted, probed = min(posted, p_n), min(probed, p_n)
     held = spark.sparkContext.broadcast(pivots)
@@ -86,13 +112,13 @@ def search(
                     x = np.stack(pdf["vec"].to_numpy())
                     order, place = permutations(x, held.value)
                     data = [a.tobytes() + b.tobytes() for a, b in zip(x, place)]
-                    yield pd.DataFrame({"vec_id": pdf["vec_id"], "data": pd.Series(data, dtype=object), "files": pd.Series([o.tolist() for o in order[:, :n]], dtype=object)})
+                    yield pd.DataFrame({"vec_id": pdf["vec_id"], "ids": pdf["ids"], "data": pd.Series(data, dtype=object), "files": pd.Series([o.tolist() for o in order[:, :n]], dtype=object)})
 
         return run
 
-    kind = "vec_id long, data binary, files array<int>"
-    posts = rows.mapInPandas(listing(posted), kind).select("vec_id", "data", F.explode("files").alias("file"))
-    asks = asked.mapInPandas(listing(probed), kind).select("vec_id", "data", F.explode("files").alias("file"))
+    kind = "vec_id long, ids array<long>, data binary, files array<int>"
+    posts = rows.mapInPandas(listing(posted), kind).select("vec_id", "ids", "data", F.explode("files").alias("file"))
+    asks = asked.withColumn("ids", F.array("vec_id")).mapInPandas(listing(probed), kind).select("vec_id", "data", F.explode("files").alias("file"))
     # At most n_pivots counts each: how many blocks a file has.
     counts = {name: {r.file: r.n for r in df.groupBy("file").agg(F.count("*").alias("n")).collect()} for name, df in (("posts", posts), ("asks", asks))}
     parts = F.array(*[F.lit(-(-counts["posts"].get(f, 0) // block)) for f in range(p_n)])
@@ -110,7 +136,8 @@ def search(
         out = {"query_id": [], "vec_ids": [], "scores": []}
         if len(have) and len(want):
             have = have.sort_values("vec_id")
-            file, ids = int(key[0]), have["vec_id"].to_numpy()
+            file, ids, all_ids = int(key[0]), have["vec_id"].to_numpy(), have["ids"].tolist()
+            alone = np.array([len(a) == 1 for a in all_ids])
             x, place = split(have, p_n)
             long = np.sqrt((x * x).sum(1))
             usual = (p_n * p_n - 1) / 3 or 1.0
@@ -119,7 +146,7 @@ def search(
             for qid, q, qp in zip(want["vec_id"].tolist(), y, q_place):
                 order = np.argsort(qp)
                 nearer = order[: int(qp[file])]
-                own = ids != qid
+                own = ~(alone & (ids == qid))
                 if len(nearer):
                     own &= narrow[nearer].min(0) >= posted
                 at = np.flatnonzero(own)
@@ -132,9 +159,15 @@ def search(
                     sure = np.flatnonzero(far < edge)
                     at = at[np.concatenate([sure, np.flatnonzero(far == edge)[: keep - len(sure)]])]
                 score = (x[at] * q).sum(1)
-                best = np.lexsort((ids[at], -score))[:k]
+                if len(at) > k:  # each vector has an id other than the query's: the k highest and their ties suffice
+                    high = score >= np.partition(score, len(at) - k)[len(at) - k]
+                    at, score = at[high], score[high]
+                named = np.concatenate([all_ids[i] for i in at])
+                score = np.repeat(score, [len(all_ids[i]) for i in at])
+                named, score = named[named != qid], score[named != qid]
+                best = np.lexsort((named, -score))[:k]
                 out["query_id"].append(qid)
-                out["vec_ids"].append(ids[at][best].tolist())
+                out["vec_ids"].append(named[best].tolist())
                 out["scores"].append(score[best].tolist())
         return pd.DataFrame({"query_id": pd.Series(out["query_id"], dtype="int64"), **{c: pd.Series(out[c], dtype=object) for c in ("vec_ids", "scores")}})
 

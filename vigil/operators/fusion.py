@@ -137,11 +137,14 @@ def with_raw(df: DataFrame, f: Fusion, name: str = "raw") -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: the knots of the increasing step function nearest to y."""
+def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pooled adjacent violators: the knots of the increasing step function nearest to y, each y counting n times (once by default)."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    n = np.ones(len(x)) if n is None else np.asarray(n, float)
     ux, inverse = np.unique(x, return_inverse=True)
+    rows = np.bincount(inverse, n)
     blocks: list[list[float]] = []
-    for v, w, lo in zip(np.bincount(inverse, y) / np.bincount(inverse), np.bincount(inverse), ux):
+    for v, w, lo in zip(np.bincount(inverse, y * n) / rows, rows, ux):
         blocks.append([v, w, lo, lo])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             b, a = blocks.pop(), blocks.pop()
@@ -166,7 +169,7 @@ def _calibrate(f: Fusion, raw: DataFrame, labels: DataFrame | None, attacks: tup
         f.platt = (float(m.coefficients[0]), float(m.intercept))
     else:
         per = y.groupBy(F.round("raw", 3).alias("x")).agg(F.avg("label").alias("y"), F.count("*").alias("n")).orderBy("x").toPandas()  # z is bounded: at most some thousand steps
-        f.steps = isotonic(np.repeat(per["x"], np.minimum(per["n"], 1000)), np.repeat(per["y"], np.minimum(per["n"], 1000)))
+        f.steps = isotonic(per["x"], per["y"], per["n"])
 
 
 def fit(signals: DataFrame, labels: DataFrame | None = None, layers: tuple[str, ...] | None = None, without: tuple[str, ...] = (), rounds: int = 2, attacks: tuple[str, ...] | None = None) -> dict[str, Fusion]:

@@ -81,11 +81,9 @@ class Evidence:
         self.mean, self.scale, self.beta = mean, scale, beta
 
     @classmethod
-    def fit(cls, texts: list[str | None], y: list[int], prior: float) -> Evidence:
-        y = np.array(y)
+    def fit(cls, x: np.ndarray, y: np.ndarray, prior: float) -> Evidence:
         if len(y) == 0 or y.min() == y.max():
             return cls()
-        x = np.concatenate([features(buf, offs) for _, _, buf, offs in blocks(pa.array(texts, pa.large_string()), 1 << 20)])  # the driver's memory is small
         mean, scale = x.mean(0), x.std(0) + 1e-6
         weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
         return cls(mean, scale, _logistic((x - mean) / scale, y, weight))
@@ -97,13 +95,21 @@ class Evidence:
         return np.clip(1 / (1 + np.exp(-z)), 1e-4, 1 - 1e-4)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 2000) -> Evidence:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 3000) -> Evidence:
     rows = labels.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     place = F.xxhash64("doc_id", F.lit(5))
     sample = rows.where("y = 1").orderBy(place, "doc_id").limit(most).union(rows.where("y = 0").orderBy(place, "doc_id").limit(most))
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy(place, "doc_id").collect()
-    return Evidence.fit([r.text for r in got], [r.y for r in got], counts.get(1, 0) / max(1, sum(counts.values())))
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batch):
+        for a, b, buf, offs in blocks(batch.column(2), 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(features(buf, offs).tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+
+    # The driver gathers features, no texts.
+    marked = map_batches(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "y", "text"], run, f"doc_id {kind}, y int, x array<double>")
+    got = marked.orderBy(place, "doc_id").collect()
+    return Evidence.fit(np.array([r.x for r in got]).reshape(-1, N_FEATURES), np.array([r.y for r in got]), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def _strength(mean: Column, between: Column) -> Column:

@@ -31,7 +31,7 @@ WORDS, CHARS = 1 << 14, 1 << 13
 APART = np.ones(256, bool)
 APART[128:] = False
 APART[[*range(48, 58), *range(97, 123)]] = False
-POSITIVES, NEGATIVES = 1200, 4200
+POSITIVES, NEGATIVES = 1500, 4500
 
 
 def held_out(id_col: str) -> Column:
@@ -195,11 +195,8 @@ def _odds(ids: np.ndarray, first: np.ndarray, y: np.ndarray, buckets: int, used:
     return np.where(pos + neg > 5, np.clip(odds, -3, 3), 0).astype(np.float32)
 
 
-def fit(texts: list[str | None], y: np.ndarray, prior: float, epochs: int = 5, batch: int = 128, seed: int = 7) -> Network:
-    """A network for texts with labels y; prior: the share of label 1 where it will be used."""
-    parts = [features(buf, offs) for _, _, buf, offs in blocks(pa.array(texts, pa.large_string()), 1 << 20)]  # the driver's memory is small
-    ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, 5), np.int32)
-    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))]) if parts else np.zeros(1, np.int64)
+def fit(ids: np.ndarray, first: np.ndarray, y: np.ndarray, prior: float, epochs: int = 5, batch: int = 128, seed: int = 7) -> Network:
+    """A network for texts of features ids and first with labels y; prior: the share of label 1 where it will be used."""
     y = np.asarray(y)
     if not len(ids) or y.min() == y.max():
         return Network.fresh(np.zeros(WORDS, np.float32), np.zeros(4 * CHARS, np.float32))
@@ -272,9 +269,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     place = F.xxhash64("doc_id", F.lit(11))
     part = [rows.where(F.col("y") == v).orderBy(place, "doc_id").limit(most) for v, most in ((1, positives), (0, negatives))]
     sample = part[0].union(part[1])
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy(place, "doc_id").collect()
+    got = packed(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).orderBy(place, "doc_id").select("y", "ids").toArrow()
     total = sum(counts.values())
-    return fit([r.text for r in got], np.array([r.y for r in got], np.int64), counts.get(1, 0) / total if total else 0.0) if got else fit([], np.zeros(1, np.int64), 0.0)
+    raw = [c for c in got["ids"].chunks if len(c)]
+    ids = np.concatenate([np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, 5) for c in raw]) if raw else np.zeros((0, 5), np.uint16)
+    first = np.concatenate([[0], np.cumsum([len(v.as_buffer()) // 10 for c in raw for v in c])]).astype(np.int64)
+    y = got["y"].to_numpy().astype(np.int64)
+    del got, raw
+    return fit(ids, first, y, counts.get(1, 0) / total if total else 0.0)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """doc_id, y, ids of rows (doc_id, text, y): the features as 16-bit numbers, so the driver gathers no texts."""
+
+    def run(batch):
+        for a, b, buf, offs in blocks(batch.column(2), 1 << 20):
+            ids, first = features(buf, offs)
+            raw, cut = ids.astype(np.uint16).tobytes(), (first * 10).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([raw[s:e] for s, e in zip(cut, cut[1:])], pa.binary())], ["doc_id", "y", "ids"])
+
+    return map_batches(rows, ["doc_id", "y", "text"], run, f"doc_id {dict(rows.dtypes)['doc_id']}, y int, ids binary")
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

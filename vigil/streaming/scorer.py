@@ -2,9 +2,9 @@
 
 Two stateful queries, keyed by entity_id and by source_ip, hold what the batch windows would reread:
 counts, moments and trailing times. Events of a key are taken in the order (timestamp, event_id) within a
-micro-batch; events that come later than the watermark allows are dropped by it. Signals of a whole
-population (hours of a type, resources of a role) read priors that a batch job refreshes and the query
-broadcasts; without them the same defaults hold as for an empty population.
+micro-batch; events that come later than the watermark allows are dropped by it. Seven of
+the 21 signals are absent, as they need populations or peers: hour_surprisal, resource_surprisal, peer_incongruence,
+cmd_surprisal, offhours_rate_7d, uncorroborated_new_edges_7d and corroboration_7d.
 
 State is bounded: least used addresses, resources and device sets go first, trailing times are pruned, and
 the state of a key without events for `idle` goes when its timer fires. Such timers keep a query running, so a

@@ -48,3 +48,22 @@ def test_frames(spark, vocab, theirs):
     assert back[4] == b"long " * 5000 and back[2] == b""
     empty = bpe.encode_digests(df.limit(0), vocab)
     assert empty.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and empty.count() == 0
+
+
+def test_thue_morse_words_keep_apart(vocab, theirs):
+    """Words that agree under any polynomial hash modulo 2 ** 64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate({97: "b", 98: "a"})
+    for text in (one, other, f"{one} {one[::-1]} {other}"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ids, _ = bpe.Encoder(vocab).encode(raw, np.array([0, len(raw)]))
+        assert ids.tolist() == theirs.encode_ordinary(text)
+        assert vocab.decode(ids) == text.encode()
+
+
+def test_equal_hashes_are_told_apart_by_bytes(vocab, theirs, monkeypatch):
+    monkeypatch.setattr(bpe, "span_hashes", lambda buf, s, e, seed=0: np.full(len(s), 12345, np.uint64))
+    text = "some quite different words, some again"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ids, _ = bpe.Encoder(vocab).encode(raw, np.array([0, len(raw)]))
+    assert vocab.decode(ids) == text.encode()

@@ -4,7 +4,7 @@ Pre-tokens are found on whole blocks of bytes: each character gets a class (lett
 white space, other), and runs of a class with the pattern's rules for spaces and contractions
 give the same spans as the pattern would. Every distinct pre-token of a block is then looked
 up in two tiers: a minimal perfect hash (hash and displace) resolves those that are whole
-vocabulary entries, in one vectorised step; the others are merged by a heap of pair ranks over
+vocabulary entries, in one vectorised step that also compares their bytes; the others are merged by a heap of pair ranks over
 a doubly linked list of their bytes. Decoding takes the ids back to bytes through the
 vocabulary's offsets.
 
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import blocks, gather, map_batches, mix, span_hashes
+from .text import blocks, equal_spans, gather, map_batches, mix, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Pre-tokens outside the vocabulary whose ids a worker remembers.
@@ -44,7 +44,10 @@ class Vocabulary:
         tokens = list(ranks)
         data = np.frombuffer(b"".join(tokens), np.uint8)
         ends = np.cumsum([len(t) for t in tokens])
-        hashes = span_hashes(data, ends - [len(t) for t in tokens], ends)
+        for self.seed in range(64):
+            hashes = span_hashes(data, ends - [len(t) for t in tokens], ends, self.seed)
+            if len(np.unique(hashes)) == len(hashes):
+                break
         self._place(hashes, np.fromiter(ranks.values(), np.int64, len(ranks)))
         by_id: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
@@ -58,8 +61,6 @@ class Vocabulary:
         """Hash and displace: buckets, largest first, try seeds until all their keys fall on free slots."""
         n = len(hashes)
         self.n, self.n_buckets = n, max(1, n // 4)
-        if len(np.unique(hashes)) != n:
-            raise ValueError("two vocabulary entries share a hash")
         bucket = (hashes % np.uint64(self.n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         first = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
@@ -84,11 +85,16 @@ class Vocabulary:
         self.keys, self.ids = np.zeros(n, np.uint64), np.zeros(n, np.int64)
         self.keys[slots], self.ids[slots] = hashes, ids
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """The id of each whole pre-token, or -1."""
+    def lookup(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The id of each whole pre-token (a span of buf), or -1. An entry counts if its bytes are the span's."""
         seed = self.seeds[(hashes % np.uint64(self.n_buckets)).astype(np.int64)]
         at = (mix(hashes ^ (seed * np.uint64(0xD6E8FEB86659FD93))) % np.uint64(self.n)).astype(np.int64)
-        return np.where(self.keys[at] == hashes, self.ids[at], -1)
+        ids = self.ids[at]
+        same = self.keys[at] == hashes
+        near = np.flatnonzero(same)
+        first = self.offsets[ids[near]]
+        same[near] = equal_spans(buf, starts[near], lens[near], self.bytes, first, self.offsets[ids[near] + 1] - first)
+        return np.where(same, ids, -1)
 
     def merge(self, token: bytes) -> list[int]:
         """Merges by lowest rank, leftmost first, with a heap over linked bytes."""
@@ -202,18 +208,26 @@ class Encoder:
         """The ids of a block of texts, joined, and each text's offsets in them."""
         starts = pre_tokens(buf, offs)
         ends = np.append(starts[1:], len(buf))
-        hashes = span_hashes(buf, starts, ends)
-        unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        whole = self.vocabulary.lookup(unique)
+        sizes = ends - starts
+        unique, where, inverse = np.unique(span_hashes(buf, starts, ends, self.vocabulary.seed), return_index=True, return_inverse=True)
+        alike = where[inverse]
+        if not equal_spans(buf, starts, sizes, buf, starts[alike], sizes[alike]).all():
+            # Two pre-tokens share a hash: tell them apart by their bytes.
+            known: dict[bytes, int] = {}
+            inverse = np.array([known.setdefault(buf[s:e].tobytes(), len(known)) for s, e in zip(starts.tolist(), ends.tolist())])
+            _, where = np.unique(inverse, return_index=True)
+            unique = span_hashes(buf, starts[where], ends[where], self.vocabulary.seed)
+        whole = self.vocabulary.lookup(unique, buf, starts[where], sizes[where])
         lens = np.ones(len(unique), np.int64)
         miss = np.flatnonzero(whole < 0)
         found, memo, merge = [], self.memo, self.vocabulary.merge
         if len(memo) > REMEMBERED:
             memo.clear()
-        for h, s, e in zip(unique[miss].tolist(), starts[where[miss]].tolist(), ends[where[miss]].tolist()):
-            ids = memo.get(h)
+        for s, e in zip(starts[where[miss]].tolist(), ends[where[miss]].tolist()):
+            token = buf[s:e].tobytes()
+            ids = memo.get(token)
             if ids is None:
-                ids = memo[h] = merge(buf[s:e].tobytes())
+                ids = memo[token] = merge(token)
             found.append(ids)
         lens[miss] = [len(x) for x in found]
         first = np.zeros(len(unique) + 1, np.int64)

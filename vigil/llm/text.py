@@ -7,6 +7,10 @@ longest document), not the partition.
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK = 1 << 21
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_KEY = np.uint64(0xC2B2AE3D27D4EB4F)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed and compared one by one.
+LONG_SPAN = 128
 _powers: dict[str, np.ndarray] = {}
 
 #: Bytes that separate words (space, tab, LF, VT, FF, CR).
@@ -78,21 +86,50 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["r"], _powers["inv"]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are in order and don't overlap."""
-    out = np.zeros(len(starts), np.uint64)
-    i, n = 0, len(starts)
-    while i < n:
-        lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, lo + chunk, "right")))
-        hi = int(ends[j - 1])
-        r, inv = powers(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * r[: hi - lo], out=total[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (total[e] - total[s]) * inv[s]
-        i = j
-    return mix(out)
+def words_at(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place of buf (and at its end), zeros beyond."""
+    raw = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), np.uint64, raw, 0, (1,))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A keyed 64-bit hash of the bytes of each span. Seeds give independent hashes.
+
+    Eight bytes at a time go through a finaliser that carries the state on, so no sum over places
+    can cancel; spans of more than LONG_SPAN bytes go by BLAKE2b.
+    """
+    lens = ends - starts
+    h = mix(lens.astype(np.uint64) * _R + np.uint64(seed * 0x632BE59BD9B4E019 + 0x2545F4914F6CDD1D & (1 << 64) - 1))
+    eight = words_at(buf)
+    live = np.flatnonzero((lens > 0) & (lens <= LONG_SPAN))
+    at = 0
+    while len(live):
+        left = lens[live] - at
+        w = eight[starts[live] + at] & _MASKS[np.minimum(left, 8)]
+        h[live] = mix(h[live] ^ w * _KEY)
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(lens > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8, salt=bytes([seed])).digest(), "little")
+    return h
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, a_lens: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_lens: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span of a are those of the span of b beside it."""
+    same = a_lens == b_lens
+    wide_a, wide_b = words_at(a), words_at(b)
+    live = np.flatnonzero(same & (a_lens > 0) & (a_lens <= LONG_SPAN))
+    at = 0
+    while len(live):
+        left = a_lens[live] - at
+        ok = (wide_a[a_starts[live] + at] ^ wide_b[b_starts[live] + at]) & _MASKS[np.minimum(left, 8)] == 0
+        same[live[~ok]] = False
+        at += 8
+        live = live[ok & (left > 8)]
+    for i in np.flatnonzero(same & (a_lens > LONG_SPAN)).tolist():
+        n = a_lens[i]
+        same[i] = np.array_equal(a[a_starts[i] : a_starts[i] + n], b[b_starts[i] : b_starts[i] + n])
+    return same
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray, parts: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,14 +171,12 @@ def map_batches(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for a written table below the cluster's checkpoint folder, which all machines share."""
-    import uuid
-
+    """A new folder for a written table below spark.checkpoint.dir, which all machines share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None and re.match(r"local(\[|$)", spark.sparkContext.master):
+        root = tempfile.gettempdir()  # one process: its folder is shared by all tasks
     if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="vigil-")  # only where no shared folder is set, as in tests
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,61 +1,86 @@
+import collections
 import random
 import re
 
 from vigil.llm import sentence_spans
+from vigil.llm.sentence_spans import MARKS
 
 
-def brute(rows, min_words):
-    """Every run of sentences of each kind, compared by its words."""
-    docs, seen = [], {}
-    for i, t in rows:
-        raw = (t or "").encode()
-        sent = [m for m in re.findall(rb"[^.!?\n]*(?:[.!?]+|\n|\Z)", raw) if m]
-        words = [re.findall(rb"[^\x20\x09-\x0D]+", s.lower()) for s in sent]
+def split(t):
+    return [m for m in re.findall(f"[^{MARKS}\n]*(?:[{MARKS}]+|\n|\\Z)", t) if m]
+
+
+def brute(rows, run):
+    """Every run of sentences, compared by its words; repeated rows in turn."""
+    docs, seen = [], collections.defaultdict(list)
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        sent = split(t or "")
+        words = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\x80" else c for c in s)) for s in sent]
         at = [k for k, w in enumerate(words) if w]
-        runs = set()
-        if sum(map(len, words)) < min_words:
-            if at:
-                runs.add((at[0], at[-1]))
-        else:
-            for x in range(len(at)):
-                for y in range(x, len(at)):
-                    n = sum(len(words[k]) for k in at[x : y + 1])
-                    if n >= min_words:
-                        runs.add((at[x], at[y]))
-                        break
-                for y in range(x, -1, -1):
-                    if sum(len(words[k]) for k in at[y : x + 1]) >= min_words:
-                        runs.add((at[y], at[x]))
-                        break
+        n = min(run, len(at))
+        runs = [at[k : k + n] for k in range(len(at) - n + 1)] if len(at) > 1 else []
         docs.append((i, sent, words, runs))
-        for a, b in runs:
-            key = tuple(w for k in range(a, b + 1) for w in words[k])
-            seen.setdefault(key, []).append((i, a))
-    out = {}
-    for i, sent, words, runs in docs:
+        for r in runs:
+            seen[tuple(tuple(words[k]) for k in range(r[0], r[-1] + 1) if words[k])].append((len(docs), r[0]))
+    out = []
+    for d, (i, sent, words, runs) in enumerate(docs, 1):
         gone = set()
-        for a, b in runs:
-            key = tuple(w for k in range(a, b + 1) for w in words[k])
-            if len(seen[key]) > 1 and min(seen[key]) != (i, a):
-                gone |= set(range(a, b + 1))
-        out[i] = (len(sent), len(gone), b"".join(s for k, s in enumerate(sent) if k not in gone).decode())
-    return out
+        for r in runs:
+            if min(seen[tuple(tuple(words[k]) for k in range(r[0], r[-1] + 1) if words[k])]) != (d, r[0]):
+                gone |= set(range(r[0], r[-1] + 1))
+        out.append((i, len(sent), len(gone), "".join(s for k, s in enumerate(sent) if k not in gone)))
+    return sorted(out, key=repr)
 
 
-def test_equals_brute_force(spark):
+def result(spark, rows, run=3):
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, first int").repartition(3)
+    return sorted(((r.doc_id, r.n_sentences, r.n_removed, r.kept) for r in sentence_spans.deduplicated(df, run).collect()), key=repr)
+
+
+def corpus():
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdé", k=rng.randint(1, 3)))
-    sentence = lambda: " ".join(word() for _ in range(rng.randint(1, 9))) + rng.choice([".", "!", "?", ".\n", "\n", "..."])
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(1, 9))) + rng.choice([".", "!", "?", ".\n", "\n", "...", "。", "؟"])
     passages = [[sentence() for _ in range(6)] for _ in range(4)]
-    rows = [(1, None), (2, ""), (3, "one two."), (4, "One  TWO."), (5, "...\n\n!"), (6, "w " * 500)]
+    rows = [(1, None), (2, ""), (3, "one two."), (4, "One  TWO."), (5, "...\n\n!"), (103, "One. Two."), (104, "one.  TWO.")]
     for i in range(7, 80):
         t = [sentence() for _ in range(rng.randint(0, 12))]
         if rng.random() < 0.6:
             at = rng.randint(0, len(t))
             t[at:at] = rng.choice(passages)
         rows.append((i, " ".join(t)))
-    rows.append((100, rows[30][1]))
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, first int").repartition(3)
-    got = {r.doc_id: (r.n_sentences, r.n_removed, r.kept) for r in sentence_spans.deduplicated(df, 10).collect()}
-    assert got == brute(rows, 10)
-    assert sentence_spans.deduplicated(df.limit(0)).count() == 0
+    return [*rows, (100, rows[30][1])]
+
+
+def test_equals_brute_force(spark):
+    rows = corpus()
+    for run in (2, 3):
+        assert result(spark, rows, run) == brute(rows, run)
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rows = corpus()
+    rows += [rows[20]] * 3 + [(None, rows[25][1]), (None, rows[25][1]), (200, None), (200, None), (201, "x. y. z."), (201, "u. v. w.")]
+    assert result(spark, rows) == brute(rows, 3)
+
+
+def test_a_passage_without_marks_is_found_inside_others(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    passage = text(120)
+    rows = [(1, f"{text(60)} {passage} {text(70)}"), (2, f"Short one. {text(3)} {passage}"), (3, text(300))]
+    got = {r[0]: r[2] for r in result(spark, rows)}
+    assert got[1] == 0 and got[3] == 0 and got[2] >= 3
+
+
+def test_words_that_a_sum_over_places_would_confuse(spark):
+    thue = [bin(i).count("1") % 2 for i in range(2048)]
+    one = " ".join("ab"[x] for x in thue) + ". c. d."
+    two = " ".join("ba"[x] for x in thue) + ". c. d."
+    assert [r[2] for r in result(spark, [(1, one), (2, two)])] == [0, 0]
+
+
+def test_empty_and_long(spark):
+    assert sentence_spans.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    long = "word " * 400_000
+    assert result(spark, [(1, long)])[0][2] == 0

@@ -1,15 +1,19 @@
 """Removal of repeated passages by sliding spans of sentences.
 
-A span is a run of consecutive sentences with at least `min_words` words: from each sentence
-the shortest run onward, and to each sentence the shortest run back, so that a passage
-is covered to its end. Spans are hashed by their words (case and spacing aside), grouped over
-all documents, and a sentence goes if a span that covers it occurred before, in the order of
-doc_id and place. A document with fewer words in all is one span.
-
-A span that very many documents share is summed before it moves, and joined back, where Spark
-can split it. Null and empty texts have no sentences and lose nothing. Repeated rows
-tie by doc_id: the span's first occurrence is the one with the smallest doc_id, and rows that
-share it keep it both. An empty table gives an empty result; further columns are not read.
+A span is a run of `run` consecutive sentences (a document of two sentences or more that has
+fewer is one span). Every span is hashed by its words (case and spacing aside) to 128 bits and
+grouped over all documents; a sentence goes if a span that covers it occurred before, in the
+order of doc_id and place. A sentence ends at a mark of any common script or at a line end; one
+of more than LONGEST words is cut after words whose hash says so, so that a passage without marks
+is cut alike wherever it stands. Single sentences are never a span.
+
+A span that very many documents share is summed before it moves, and its sums are written
+before they are joined back, so that Spark can split its rows.
+
+Null and empty texts have no sentences and lose nothing. Rows that repeat a doc_id and its text
+count as documents like others: one keeps what the document keeps, the others lose every span.
+Rows that share a doc_id but not a text are told apart by the text's hash. A null doc_id comes
+first in the order. An empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,90 +27,126 @@ from pyspark.sql import functions as F
 
 from .text import LOWER, blocks, map_batches, mix, span_hashes, word_spans, written
 
-#: Bytes that end a sentence.
-ENDS = re.compile(rb"[^.!?\n]*(?:[.!?]+|\n|\Z)")
+#: Characters that end a sentence.
+MARKS = ".!?。．！？।۔؟։"
+ENDS = re.compile(f"[^{MARKS}\\n]*(?:[{MARKS}]+|\\n|\\Z)")
+LONGEST = 40
+#: One word of so many ends a part of an over-long sentence.
+PART = np.uint64(12)
 
 
 def sentence_bounds(raw: bytes) -> list[int]:
-    """Ends of the sentences of a text; together they cover it."""
-    return [m.end() for m in ENDS.finditer(raw) if m.end() > m.start()]
+    """Ends of the marked sentences of a text; together they cover it."""
+    text = raw.decode("utf-8", "surrogateescape")
+    ends = [m.end() for m in ENDS.finditer(text) if m.end() > m.start()]
+    if len(text) == len(raw):
+        return ends
+    size = np.cumsum([len(text[a:b].encode("utf-8", "surrogateescape")) for a, b in zip([0, *ends], ends)])
+    return size.tolist()
 
 
-def _spans(raw: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last sentence of each span, and its hash (two words of 64 bits)."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+def sentences(raw: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Ends of the sentences of a text, the numbers of those with words, and two hashes of each of these."""
     low = LOWER[np.frombuffer(raw, np.uint8)]
     starts, ends, _ = word_spans(low, np.array([0, len(raw)], np.int64))
+    bounds = sentence_bounds(raw)
     if not len(starts):
-        return none
+        return bounds, np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
     h = span_hashes(low, starts, ends)
-    cut = np.searchsorted(starts, np.array([0, *sentence_bounds(raw)]))
-    keep = np.flatnonzero(np.diff(cut) > 0)  # sentences without words belong to no span of their own
-    lo, hi = cut[keep], cut[keep + 1]
-    total = int(hi[-1])
-    if total < min_words:
-        i, j = np.array([0]), np.array([len(keep) - 1])
-    else:
-        on = np.searchsorted(hi, lo + min_words)
-        back = np.searchsorted(lo, hi - min_words, "right") - 1
-        i, j = np.concatenate([np.arange(len(keep)), back]), np.concatenate([on, np.arange(len(keep))])
-        good = (j < len(keep)) & (i >= 0)
-        i, j = np.unique(np.stack([i[good], j[good]]), axis=1)
-    a, b = lo[i], hi[j]
-    out = []
-    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        r = np.full(total, base, np.uint64)
-        r[0] = 1
-        inv = np.full(total, pow(base, -1, 1 << 64), np.uint64)
-        inv[0] = 1
-        r, inv = np.multiply.accumulate(r), np.multiply.accumulate(inv)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * r)])
-        out.append(mix((sums[b] - sums[a]) * inv[a] + (b - a).astype(np.uint64)))
-    return keep[i], keep[j], np.stack(out, 1)
-
-
-def spans(docs: DataFrame, min_words: int = 25) -> DataFrame:
-    """doc_id, first, last (sentences), h1, h2 of every span."""
-
-    def run(batch):
-        for a, b, buf, offs in blocks(batch.column(1)):
+    cut = np.searchsorted(starts, np.array([0, *bounds]))
+    size = np.repeat(np.diff(cut), np.diff(cut))
+    inner = np.flatnonzero((size > LONGEST) & (h % PART == 0))
+    if len(inner):
+        bounds = np.union1d(bounds, ends[inner]).tolist()
+        cut = np.searchsorted(starts, np.array([0, *bounds]))
+    full = np.flatnonzero(np.diff(cut) > 0)
+    first = cut[full]
+    place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    salted = h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    other = span_hashes(low, starts, ends, 1) ^ mix(place.astype(np.uint64) + np.uint64(9))
+    return bounds, full, np.stack([np.add.reduceat(mix(salted), first), np.add.reduceat(mix(other), first)], 1)
+
+
+def _spans(raw: bytes, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last sentence of each span, and its hash (two words of 64 bits)."""
+    _, full, h = sentences(raw)
+    n = len(full)
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+    run = min(run, n)
+    out = np.full((n - run + 1, 2), run, np.uint64)
+    for k in range(run):
+        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + h[k : n - run + 1 + k])
+    return full[: n - run + 1], full[run - 1 :], out
+
+
+def spans(docs: DataFrame, run: int = 3) -> DataFrame:
+    """doc_id, text_hash, first, last (sentences), h1, h2 of every span."""
+
+    def each(batch):
+        for a, b, buf, offs in blocks(batch.column(2)):
             raw, parts = buf.tobytes(), []
             for d, (s, e) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
-                i, j, h = _spans(raw[s:e], min_words)
+                i, j, h = _spans(raw[s:e], run)
                 if len(i):
                     parts.append((np.full(len(i), d), i, j, h))
             if parts:
                 d, i, j, h = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(d)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(h[:, 0].view(np.int64)), pa.array(np.ascontiguousarray(h[:, 1]).view(np.int64))], ["doc_id", "first", "last", "h1", "h2"])
+                of = pa.array(d)
+                ids, texts = batch.column(0).slice(a, b - a).take(of), batch.column(1).slice(a, b - a).take(of)
+                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(np.ascontiguousarray(h[:, c]).view(np.int64)) for c in (0, 1)]], ["doc_id", "text_hash", "first", "last", "h1", "h2"])
 
-    return map_batches(docs, ["doc_id", "text"], run, f"doc_id {dict(docs.dtypes)['doc_id']}, first int, last int, h1 long, h2 long")
+    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return map_batches(named, ["doc_id", "text_hash", "text"], each, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, first int, last int, h1 long, h2 long")
 
 
-def deduplicated(docs: DataFrame, min_words: int = 25) -> DataFrame:
+def deduplicated(docs: DataFrame, run: int = 3) -> DataFrame:
     """doc_id, n_sentences, n_removed (sentences), removed_bytes, n_spans (removed runs), kept (the text that stays)."""
     kind = dict(docs.dtypes)["doc_id"]
-    found = written(spans(docs, min_words), "spans")
-    seen = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("origin")).where("n > 1")
-    later = found.join(seen, ["h1", "h2"]).where(F.struct("doc_id", "first") != F.col("origin"))
-    gone = written(later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("gone")), "gone")
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).join(gone, "doc_id", "left")
+    found = written(spans(docs, run), "spans")
+    at = F.struct("doc_id", "text_hash", "first")
+    seen = written(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(at).alias("origin")).where("n > 1"), "seen")
+    later = found.join(seen.select("h1", "h2", "origin").hint("merge"), ["h1", "h2"]).where(~at.eqNullSafe(F.col("origin")))
+    gone = later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    again = written(rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1"), "again")
+    repeated = not again.isEmpty()
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_hash"] == y["text_hash"])
+    marks = written(gone, "gone")
+    once = rows
+    if repeated:
+        more = rows.join(again, same(rows, again)).select(rows["doc_id"], rows["text_hash"], "raw", "rows")
+        more = more.groupBy("doc_id", "text_hash").agg(F.min("raw").alias("raw"), F.first("rows").alias("rows"))
+        once = rows.join(again, same(rows, again), "left_anti").withColumn("rows", F.lit(1).cast("long")).unionByName(more)
+    else:
+        once = rows.withColumn("rows", F.lit(1).cast("long"))
+    joined = once.join(marks, same(once, marks), "left").select(once["doc_id"].alias("doc_id"), "raw", "gone", "rows")
 
     def strip(batch):
-        out = [[] for _ in range(5)]
-        for raw, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            ends = sentence_bounds(raw)
-            row = (len(ends), 0, 0, 0, raw.decode("utf-8", "replace"))
-            if ranges:
+        out, ids, times = [[] for _ in range(5)], [], []
+        for k, (raw, ranges, rows) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+            ends, full, _ = sentences(raw)
+            for later, n in ((False, 1), (True, rows - 1)):
+                if not n:
+                    continue
                 edge = np.zeros(len(ends) + 1, np.int64)
-                for r in ranges:
+                if later and len(full) > 1:
+                    edge[full[0]], edge[full[-1] + 1] = 1, -1
+                for r in (ranges or []) if not later else []:
                     edge[r["first"]] += 1
                     edge[r["last"] + 1] -= 1
                 off = np.cumsum(edge[:-1]) > 0
                 cuts = [0, *ends]
-                kept = b"".join(raw[cuts[k] : cuts[k + 1]] for k in range(len(ends)) if not off[k])
+                kept = b"".join(raw[cuts[k] : cuts[k + 1]] for k in np.flatnonzero(~off).tolist()) if off.any() else raw
                 row = (len(ends), int(off.sum()), len(raw) - len(kept), int((np.diff(np.concatenate([[0], off.astype(np.int8)])) == 1).sum()), kept.decode("utf-8", "replace"))
-            for c, v in zip(out, row):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string()))]], ["doc_id", "n_sentences", "n_removed", "removed_bytes", "n_spans", "kept"])
-
-    return map_batches(joined, ["doc_id", "raw", "gone"], strip, f"doc_id {kind}, n_sentences int, n_removed int, removed_bytes long, n_spans int, kept string")
+                for c, v in zip(out, row):
+                    c.append(v)
+                ids.append(k)
+                times.append(n)
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *[pa.array(c, t) for c, t in zip(out, kinds)], pa.array(times, pa.int64())], ["doc_id", "n_sentences", "n_removed", "removed_bytes", "n_spans", "kept", "times"])
+
+    made = map_batches(joined, ["doc_id", "raw", "gone", "rows"], strip, f"doc_id {kind}, n_sentences int, n_removed int, removed_bytes long, n_spans int, kept string, times long")
+    if not repeated:
+        return made.drop("times")
+    return made.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times", "_copy")

@@ -68,3 +68,26 @@ def test_long_lists_equal_brute_force(spark, monkeypatch):
 def test_empty(spark):
     assert result(spark, []) == {}
     assert result(spark, [(1, None), (2, "")]) == {1: (0, 1, 0), 2: (0, 2, 0)}
+
+
+def test_words_that_a_sum_over_places_would_confuse(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    got = result(spark, [(1, one), (2, one.translate({97: "b", 98: "a"})), (3, one)])
+    assert got == {1: (1, 1, 1), 2: (1, 2, 0), 3: (1, 1, 1)}
+
+
+def test_null_ids_repeats_and_long_texts(spark):
+    long = " ".join(f"w{k % 5000}" for k in range(150_000))
+    rows = [(None, "a b c d"), (7, "a b c d"), (None, "lone words here"), (8, long), (9, long + " end"), (10, "x y z"), (10, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_join(df).collect())
+    assert got == [("10", 1, 10, 0), ("10", 1, 10, 0), ("7", 2, 7, 0), ("8", 5000, 8, 1), ("9", 5001, 8, 1), ("None", 1, None, 0), ("None", 2, 7, 0)]
+
+
+def test_a_line_in_every_document_makes_no_pool(spark):
+    """What all documents share stands last in their order, so no posting list holds them all."""
+    rng = random.Random(3)
+    line = " ".join(f"common{k}" for k in range(12))
+    rows = [(i, " ".join(rng.choices([f"v{k}" for k in range(3000)], k=60)) + " " + line) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(20)]
+    assert result(spark, rows) == brute(rows)

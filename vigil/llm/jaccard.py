@@ -1,23 +1,26 @@
 """Self-join of documents by Jaccard similarity of word shingles, with adaptive multi-match prefixes.
 
 Copies come first: documents with equal shingle sets form a class, and its smallest doc_id
-stands for it. Every set is put in one order: frequent shingles last, else by hash. Two sets
+stands for it. Every set is put in one order: frequent shingles last and by their counts, else by
+hash. Two sets
 that link share at least L shingles within their first n - ceil(t n) + L, for any L; each
 document's L is chosen by what the posting lists of its prefix would cost (longer lists: a
 longer prefix, and as many more shared shingles asked of a pair before it is verified), and is
 at most ceil(t n), what every link of a set of n shares at least.
-A pair needs the smaller of its two L. Verified pairs are exact on 64-bit shingle hashes.
+A pair needs the smaller of its two L. Pairs are verified on keyed 64-bit shingle hashes, and sets
+count as equal by 128 bits of a second, independent family.
 
 Which shingles count as frequent may be any set without changing the result; it is summed
 from what recurs within batches, and at most FREQUENT of them are broadcast. Posting lists that
 stay longer than LONG (large groups of near copies) aren't expanded into pairs: their
-documents are compared block by block, blocks being cut by set size and hash, as one matrix
+documents are compared block by block, blocks being cut by set size, bytes and hash, as one matrix
 product each; this compares every pair of such a group, so no link is lost.
 
 Null and empty texts have no shingles: they link with nothing and are their own class. Fewer
 words than a shingle make one shingle of all words. doc_id is taken to identify a text;
-repeated rows give repeated, equal results. An empty table gives an empty result. Further
-columns are not read.
+repeated rows give repeated, equal results. A row without doc_id has its n_shingles; it takes the
+component of documents with the same set, links with nothing else, and else has no component. An
+empty table gives an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .text import LOWER, blocks, map_batches, mix, span_hashes, word_spans, written
 
-FREQUENT, LONG, BLOCK_ROWS = 1 << 18, 256, 1024
+FREQUENT, LONG, BLOCK_ROWS, BLOCK_BYTES = 1 << 18, 256, 1024, 8 << 20
 #: Sets that a task remembers, so as to send copies of them once.
 REMEMBERED = 200_000
 #: How often a shingle recurs in a batch to be counted, and in all to be put last.
@@ -43,11 +46,11 @@ EXTRA = (1, 2, 4, 8)
 VERIFY = 20
 
 
-def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text of a block, joined, and their n + 1 offsets."""
+def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int = 3, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text of a block, joined, and their n + 1 offsets. Each seed has hashes of its own."""
     low = LOWER[buf]
     starts, ends, first = word_spans(low, offs)
-    h = span_hashes(low, starts, ends)
+    h = span_hashes(low, starts, ends, seed)
     sets, sizes, a = [], np.zeros(len(offs), np.int64), first.tolist()
     if len(h) >= words:
         rolled = np.zeros(len(h) - words + 1, np.uint64)
@@ -77,12 +80,13 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
         seen = []
         for a, b, buf, offs in blocks(batch.column(1)):
             toks, at = shingle_sets(buf, offs, words)
+            other, o_at = shingle_sets(buf, offs, words, 1)
             n = np.diff(at)
             s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             if len(toks):
                 full = n > 0
                 s1[full] = np.add.reduceat(mix(toks), at[:-1][full])
-                s2[full] = np.bitwise_xor.reduceat(mix(toks + np.uint64(77)), at[:-1][full])
+                s2[full] = np.add.reduceat(mix(other), o_at[:-1][full])
                 seen.append(toks)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(np.zeros(b - a, np.int32))], names)
         if seen:
@@ -102,20 +106,21 @@ def _kept_for(n, top: int, bottom: int):
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, top: int, bottom: int) -> DataFrame:
     """token, doc_id, n, pos: the longest prefix that any L may ask for. A set comes once from a task that can remember it."""
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
+    by_hash = np.argsort(frequent)  # frequent comes with the most frequent first
+    held = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash))
     longest = EXTRA[-1]
     seen: set[bytes] = set()
 
     def run(batch):
-        often = held.value
+        often, rank = held.value
         for a, b, buf, offs in blocks(batch.column(1)):
             toks, at = shingle_sets(buf, offs, words)
             if not len(toks):
                 continue
-            late = np.zeros(len(toks), bool)
+            late = np.full(len(toks), -1)
             if len(often):
-                i = np.searchsorted(often, toks)
-                late = often[np.minimum(i, len(often) - 1)] == toks
+                i = np.minimum(np.searchsorted(often, toks), len(often) - 1)
+                late = np.where(often[i] == toks, rank[i], -1)
             picked, rows, pos = [], [], []
             for d, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                 if e == s or (known := hashlib.blake2b(toks[s:e], digest_size=16).digest()) in seen:
@@ -124,8 +129,10 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, top: int, botto
                     seen.add(known)
                 k = min(e - s, _kept_for(e - s, top, bottom) + longest - 1)
                 u, f = toks[s:e], late[s:e]
-                early = u[~f][:k]
-                got = early if len(early) == k else np.concatenate([early, u[f][: k - len(early)]])
+                got = u[f < 0][:k]
+                if len(got) < k:
+                    last = f >= 0
+                    got = np.concatenate([got, u[last][np.argsort(-f[last])][: k - len(got)]])
                 picked.append(got)
                 rows.append(np.full(k, d))
                 pos.append(np.arange(k, dtype=np.int32))
@@ -180,7 +187,8 @@ def _dense(rows: DataFrame, sets: DataFrame, sizes: DataFrame, top: int, bottom:
     """
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(bottom / top))).cast("int")
     rows = rows.withColumn("band", band)
-    counts = rows.groupBy("pool", "band").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    parts = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") * 8 / BLOCK_BYTES)
+    counts = rows.groupBy("pool", "band").agg(F.ceil(parts).cast("int").alias("parts"))
     cut = rows.join(counts, ["pool", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
     one = counts.select("pool", F.col("band").alias("x_band"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x_part"))
     two = one.select("pool", F.col("x_band").alias("y_band"), F.col("x_part").alias("y_part"))
@@ -231,16 +239,18 @@ def jaccard_join(docs: DataFrame, words: int = 3, top: int = 90, bottom: int = 1
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with the same set), n_links (linked documents)."""
     first = written(_signatures(docs, words), "signatures")
     own = first.where("kind = 0").select("doc_id", "n", "s1", "s2")
-    classes = own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("size"))
+    # Written, so that its join has an exchange of its own and Spark can split a large class.
+    classes = own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("size"), F.count("*").alias("rows"))
+    classes = written(classes.where("rows > 1").drop("rows"), "classes")
     members = written(
-        own.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("size", F.lit(1)).cast("long").alias("size")),
+        own.join(classes.hint("merge"), ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("size", F.lit(1)).cast("long").alias("size")),
         "members",
     )
     often = first.where("kind = 1").groupBy(F.col("s1").alias("token")).agg(F.sum("n").alias("df")).where(F.col("df") >= OFTEN)
     frequent = often.orderBy(F.desc("df"), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
 
     df = F.count("*").over(Window.partitionBy("token"))
-    met = written(_prefixes(docs, frequent, words, top, bottom).withColumn("df", df).where("df > 1").drop("df"), "met")
+    met = written(_prefixes(docs.where("doc_id IS NOT NULL"), frequent, words, top, bottom).withColumn("df", df).where("df > 1").drop("df"), "met")
     named = met.join(members.select("doc_id", "rep").distinct().hint("merge"), "doc_id").select("token", F.col("rep").alias("doc_id"), "n", "pos").distinct()
     posts = written(named.withColumn("df", df).where("df > 1"), "posts")
 

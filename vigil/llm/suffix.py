@@ -1,22 +1,26 @@
 """Removal of long repeated byte strings by suffix arrays.
 
-A byte goes if a string of `length` bytes that covers it also starts anywhere else.
+A byte goes if a string of `length` bytes that covers it also starts anywhere else. Besides,
+bytes that a shorter string of `notice` bytes covers and that starts elsewhere are counted, not
+removed, from the same suffix arrays.
 
-Every window of `length` bytes picks an anchor: the smallest hash of its `gram`-byte strings.
+Every window of `notice` bytes picks an anchor: the smallest hash of its `gram`-byte strings.
 Equal windows pick equal anchors at equal places, so only windows whose anchor recurs somewhere
-can repeat; the runs of starts that share an anchor are cut out with what follows them
-(contexts), equal contexts are joined, and contexts with one anchor go to one shard. A shard
+can repeat; the runs of starts that share an anchor are cut out with the `length` bytes from
+each start on (contexts), equal contexts are joined, and contexts with one anchor go to one shard. A shard
 sorts all its suffixes by induced sorting: suffixes are classified, the leftmost-smaller
 substrings are named in order and their names sorted by repeated renaming of neighbouring pairs,
 and the other suffixes are induced bucket by bucket in two linear sweeps. Permuted common
 prefixes (computed where they are irreducible, counted down elsewhere) say which suffixes
-share `length` bytes with a neighbour. An anchor with more than HOT bytes of different contexts
-would load one shard, so its windows are compared by 128-bit hashes in a plain aggregation instead.
-
-Texts that are equal as a whole are represented once; if they reach `length`, all of them goes.
-Null and empty texts have 0 bytes and lose nothing. Repeated rows are documents like others: they
-lose all that is long enough. doc_id is taken to identify a row's text. An empty table gives
-an empty result; further columns are not read.
+share `length` or `notice` bytes with a neighbour among the starts of the runs. An anchor with
+more than HOT bytes of different contexts would load one shard, so it is split by what all the
+windows of a few starts have in common; what is still too much in one part is compared by 128-bit
+hashes of its windows in a plain aggregation.
+
+Texts stand for themselves: all tables are keyed by a 128-bit hash of the text, so neither null nor
+repeated doc_ids matter. A text that several rows have is represented once; if it reaches
+`length`, all of it goes from each of them. Null and empty texts have 0 bytes and lose nothing.
+An empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +30,16 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import blocks, map_batches, mix, powers, written
 
 GRAM, SHARD, HOT = 32, 1 << 21, 1 << 20
+#: Starts that a part of a split anchor holds.
+STEP = 32
+#: Texts that a task remembers, so as to send copies of them once.
+REMEMBERED = 200_000
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,113 +131,117 @@ def _sorted_marks(text: np.ndarray, smaller: np.ndarray, marks: np.ndarray, n_te
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffixes in order of a run of texts over 1..256, each ended by 0; ends compare by place."""
     n = len(text)
-    diff = text[1:].astype(np.int32) - text[:-1]
-    sign = np.append(np.where(diff > 0, 1, np.where(diff < 0, -1, 0)), 1)
+    sign = np.append(np.sign(text[1:].astype(np.int16) - text[:-1]).astype(np.int8), np.int8(1))
     sign[text == 0] = 1  # an end is smaller than what follows, or than the last end
-    back = np.where(sign != 0, np.arange(n), n)
+    back = np.where(sign != 0, np.arange(n, dtype=np.int32), np.int32(n))
     smaller = sign[np.minimum.accumulate(back[::-1])[::-1]] > 0
-    marks = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    marks = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     if smaller[0] and text[0] == 0:
-        marks = np.concatenate([[0], marks])
-    order = _sorted_marks(text, smaller, marks, int((text == 0).sum()))
+        marks = np.concatenate([np.zeros(1, np.int32), marks])
+    order = _sorted_marks(text, smaller, marks, int((text == 0).sum())).astype(np.int32)
+    larger_at, smaller_at = ~smaller, smaller & (text > 0)  # at place -1, the last end, neither holds
     top = int(text.max()) + 1
-    larger = [[] for _ in range(top)]
-    mark_of = np.split(order, np.searchsorted(text[order], np.arange(1, top)))
+    larger: list[list[np.ndarray]] = [[] for _ in range(top)]
+    less: list[list[np.ndarray]] = [[] for _ in range(top)]
+    cuts = np.searchsorted(text[order], np.arange(top + 1)).tolist()
 
     def deal(rows: np.ndarray, to: list) -> None:
         c = text[rows]
         o = np.argsort(c, kind="stable")
         rows, c = rows[o], c[o]
-        cuts = np.flatnonzero(c[1:] != c[:-1]) + 1
-        for part in np.split(rows, cuts):
-            if len(part):
-                to[text[part[0]]].append(part)
+        at = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(c)]
+        for s, e in zip(at, at[1:]):
+            to[c[s]].append(rows[s:e])
 
-    whole: list[list[np.ndarray]] = []
-    for c in range(top):
-        done: list[np.ndarray] = []
-        queue = larger[c]
+    def sweep(c: int, queue: list, at: np.ndarray, to: list) -> list[np.ndarray]:
+        """Takes a bucket's suffixes in turn, and deals out those one place before them."""
+        done = []
         while queue:
             rows = queue.pop(0)
             done.append(rows)
-            j = rows[rows > 0] - 1
-            j = j[~smaller[j]]
-            same = text[j] == c
-            if same.any():
-                queue.append(j[same])
-            if not same.all():
-                deal(j[~same], larger)
-        whole.append(done)
-        j = mark_of[c][mark_of[c] > 0] - 1
-        j = j[~smaller[j]]
+            j = rows - 1
+            j = j[at[j]]
+            if len(j):
+                same = text[j] == c
+                k = np.count_nonzero(same)
+                if k:
+                    queue.append(j[same] if k < len(j) else j)
+                if k < len(j):
+                    deal(j[~same] if k else j, to)
+        return done
+
+    whole = []
+    for c in range(top):
+        whole.append(sweep(c, larger[c], larger_at, larger))
+        j = order[cuts[c] : cuts[c + 1]] - 1
+        j = j[larger_at[j]]
         if len(j):
             deal(j, larger)
-    less = [[] for _ in range(top)]
     out = []
     for c in range(top - 1, -1, -1):
-        done = []
-        queue = less[c] if c else [order[: len(mark_of[0])][::-1]]
-        while queue:
-            rows = queue.pop(0)
-            done.append(rows)
-            j = rows[rows > 0] - 1
-            j = j[smaller[j] & (text[j] > 0)]
-            same = text[j] == c
-            if same.any():
-                queue.append(j[same])
-            if not same.all():
-                deal(j[~same], less)
+        done = sweep(c, less[c] if c else [order[: cuts[1]][::-1]], smaller_at, less)
         for rows in whole[c][::-1]:
-            rows = rows[::-1]
-            j = rows[rows > 0] - 1
-            j = j[smaller[j] & (text[j] > 0)]
+            j = rows[::-1] - 1
+            j = j[smaller_at[j]]
             if len(j):
                 deal(j, less)
-        out.append(np.concatenate([*whole[c], *[x[::-1] for x in done[::-1]]]) if whole[c] or done else np.zeros(0, np.int64))
+        out += [x[::-1] for x in done]
+        out += whole[c][::-1]
     return np.concatenate(out[::-1])
 
 
-def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """For each piece, the places where a string of that length begins that also begins at another place."""
+def repeated_starts(pieces: list[bytes], starts: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each length and piece: its first places, as many as starts says, where a string of that length begins that begins at another of them."""
     lens = np.array([len(p) for p in pieces], np.int64)
     text = np.frombuffer(b"".join(p + b"\0" for p in pieces), np.uint8).astype(np.uint16)
     ends = np.cumsum(lens + 1) - 1
-    text = text + 1
+    text += 1
     text[ends] = 0
     n = len(text)
     sa = suffix_array(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    left = np.repeat(ends, lens + 1) - np.arange(n)
+    left = (np.repeat(ends, lens + 1) - np.arange(n)).astype(np.int32)
     # Permuted common prefixes: computed where the characters in front differ or a piece begins.
-    i = np.arange(n)
+    i = np.arange(n, dtype=np.int32)
     own = before < 0
     prev = np.where(own, 0, before)
     reducible = (i > 0) & (prev > 0) & (text[i - 1] == text[prev - 1]) & (text[i - 1] > 0) & ~own
     heads = np.flatnonzero(~reducible)
     raw = np.concatenate([(text - 1).astype(np.uint8), np.zeros(16, np.uint8)])
-    words = np.ndarray((n + 8,), np.uint64, raw.tobytes(), 0, (1,))
+    words = np.ndarray((n + 8,), np.uint64, raw, 0, (1,))
     p, q = heads, prev[heads]
     most = np.where(own[heads], 0, np.minimum(left[p], left[q]))
-    got = np.zeros(len(heads), np.int64)
+    got = np.zeros(len(heads), np.int32)
     live = np.flatnonzero(most > 0)
     while len(live):
         x = words[p[live] + got[live]] ^ words[q[live] + got[live]]
         bit = x & (~x + np.uint64(1))
-        same = np.where(x == 0, 8, (np.log2(np.maximum(bit, np.uint64(1)).astype(np.float64)) // 8).astype(np.int64))
+        same = np.where(x == 0, 8, (np.log2(np.maximum(bit, np.uint64(1)).astype(np.float64)) // 8).astype(np.int32))
         got[live] += same
         live = live[(same == 8) & (got[live] < most[live])]
     got = np.minimum(got, most)
     head = np.maximum.accumulate(np.where(reducible, 0, i))
-    plcp = np.zeros(n, np.int64)
+    plcp = np.zeros(n, np.int32)
     plcp[heads] = got
     plcp = plcp[head] - (i - head)
-    hit = np.flatnonzero(plcp >= length)
-    found = np.zeros(n, bool)
-    found[hit] = True
-    found[before[hit]] = True
-    starts = ends - lens
-    return [np.flatnonzero(found[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
+    # Only the runs' own starts are compared: between two of them the least of the prefixes holds.
+    first = ends - lens
+    counted = np.zeros(n + 1, np.int8)
+    np.add.at(counted, first, 1)
+    np.add.at(counted, first + np.minimum(np.array(starts, np.int64), lens), -1)
+    at = np.flatnonzero(np.cumsum(counted[:-1])[sa] > 0)
+    out = []
+    shared = np.minimum.reduceat(plcp[sa], at[:-1] + 1)[: len(at) - 1] if len(at) > 1 else np.zeros(0, np.int32)
+    if len(at) > 1 and at[-1] + 1 < n:
+        shared[-1] = plcp[sa[at[-2] + 1 : at[-1] + 1]].min()
+    for length in lengths:
+        hit = np.flatnonzero(shared >= length)
+        found = np.zeros(n, bool)
+        found[sa[at[hit]]] = True
+        found[sa[at[hit + 1]]] = True
+        out.append([np.flatnonzero(found[s:e]) for s, e in zip(first.tolist(), ends.tolist())])
+    return out
 
 
 def _ranges(starts: np.ndarray) -> list[list[int]]:
@@ -239,106 +251,222 @@ def _ranges(starts: np.ndarray) -> list[list[int]]:
     return np.stack([starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)]], 1).tolist()
 
 
-def repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
-    """doc_id, whole (all of it goes), ranges (first and last start of repeated strings) of documents that lose bytes."""
-    kind = dict(docs.dtypes)["doc_id"]
-    docs = docs.select("doc_id", "text")
-    own = docs.where(F.octet_length("text") >= length).select("doc_id", F.sha2("text", 256).alias("h"))
-    classes = own.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
-    copies = written(own.join(classes, "h").select("doc_id", "rep"), "copies")
-    kept = docs.where(F.octet_length("text") >= length).join(copies.where("doc_id != rep").select("doc_id").distinct(), "doc_id", "left_anti")
-
-    def find(batch):
-        for a, b, buf, offs in blocks(batch.column(1)):
-            d, q1, q2, h = anchors(buf, offs, length, gram)
-            if len(d):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(d)), pa.array(h.view(np.int64)), pa.array(q1.astype(np.int32)), pa.array(q2.astype(np.int32))], ["doc_id", "anchor", "q1", "q2"])
-
-    runs = map_batches(kept, ["doc_id", "text"], find, f"doc_id {kind}, anchor long, q1 int, q2 int")
-    again = runs.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
-    cuts = written(again.groupBy("doc_id").agg(F.collect_list(F.struct("q1", "q2", "anchor")).alias("cuts")), "cuts")
-
-    def cut(batch):
-        for row in range(batch.num_rows):
-            raw = batch.column(1)[row].as_buffer().to_pybytes()
-            c = batch.column(2).slice(row, 1).flatten()
-            q1, q2, anchor = (c.field(k) for k in range(3))
-            pieces = [raw[s : e + length] for s, e in zip(q1.to_pylist(), q2.to_pylist())]
-            digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in pieces), np.int64).reshape(-1, 2)
-            ids = batch.column(0).take(pa.array(np.full(len(pieces), row)))
-            for s in range(0, len(pieces), 4096):
-                e = s + 4096
-                yield pa.RecordBatch.from_arrays([ids[s:e], anchor[s:e], q1[s:e], q2[s:e], pa.array(digests[s:e, 0]), pa.array(digests[s:e, 1]), pa.array(pieces[s:e], pa.binary())], names)
-
-    names = ["doc_id", "anchor", "q1", "q2", "c1", "c2", "piece"]
-    joined = kept.join(cuts, "doc_id").select("doc_id", F.col("text").cast("binary").alias("raw"), "cuts")
-    contexts = written(map_batches(joined, ["doc_id", "raw", "cuts"], cut, f"doc_id {kind}, anchor long, q1 int, q2 int, c1 long, c2 long, piece binary"), "contexts")
-
-    size = F.col("q2") - F.col("q1") + length
-    slim = contexts.groupBy("anchor", "c1", "c2").agg(F.max(size).alias("size"), F.count("*").alias("n"))
-    by_anchor = written(slim.groupBy("anchor").agg(F.sum("size").alias("bytes"), F.count("*").alias("kinds")), "anchors")
-    total = by_anchor.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, -(-total // SHARD))
-    hot = by_anchor.where(F.col("bytes") > HOT).select("anchor")
-    many = slim.where("n > 1").select("c1", "c2")  # equal contexts: every start repeats
-    different = contexts.select("anchor", "c1", "c2", "piece").dropDuplicates(["c1", "c2"])
-    found_type = "c1 long, c2 long, ranges array<array<int>>"
+def text_key(text: Column) -> list[Column]:
+    """t1 and t2: the first 128 bits of the text's SHA-256."""
+    sha = F.sha2(text, 256)
+    return [F.conv(F.substring(sha, a, 16), 16, -10).cast("long").alias(name) for name, a in (("t1", 1), ("t2", 17))]
 
-    def sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [_ranges(x) for x in repeated_starts(pdf["piece"].tolist(), length)]
-        out = pd.DataFrame({"c1": pdf["c1"].to_numpy(), "c2": pdf["c2"].to_numpy(), "ranges": pd.Series(found, dtype=object)})
-        return out[[len(x) > 0 for x in found]]
 
-    mild = different.join(by_anchor.where((F.col("kinds") > 1) & (F.col("bytes") <= HOT)).select("anchor"), "anchor", "left_semi")
-    sharded = mild.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(sort_shard, found_type)
-    found = sharded
-    if not hot.isEmpty():
+def _unseen(column: pa.Array, seen: set[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The texts of a batch that the task has not met (while it can remember them), and their keys."""
+    keep, keys = [], []
+    for i, t in enumerate(column):
+        key = hashlib.sha256(t.as_buffer()).digest()[:16]
+        if key not in seen:
+            keep.append(i)
+            keys.append(key)
+            if len(seen) < REMEMBERED:
+                seen.add(key)
+    return column.take(pa.array(keep, pa.int64())), np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+TEXT = ["t1", "t2"]
 
-        def windows(batch):
+
+def _several(df: DataFrame, *by: str) -> DataFrame:
+    """Groups with rows of more than one place: their least and greatest t1, t2 or q1 differ."""
+    got = df.groupBy(*by).agg(*[f(c).alias(f"{k}_{c}") for c in (*TEXT, "q1") for k, f in (("lo", F.min), ("hi", F.max))])
+    return got.where(" OR ".join(f"lo_{c} <> hi_{c}" for c in (*TEXT, "q1"))).select(*by)
+
+
+def _contexts(texts: DataFrame, length: int, notice: int, gram: int) -> DataFrame:
+    """anchor, t1, t2, q1, n (starts), c1, c2 (hash of the piece and n), piece: the runs whose anchor recurs."""
+
+    def find(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            column, keys = _unseen(batch.column(0), seen)
+            for a, _, buf, offs in blocks(column):
+                d, q1, q2, h = anchors(buf, offs, notice, gram)
+                if len(d):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a + d, 0]), pa.array(keys[a + d, 1]), pa.array(h.view(np.int64)), pa.array(q1.astype(np.int32)), pa.array(q2.astype(np.int32))], [*TEXT, "anchor", "q1", "q2"])
+
+    def once(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            column, keys = _unseen(batch.column(0), seen)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), column.cast(pa.binary())], [*TEXT, "raw"])
+
+    runs = written(texts.mapInArrow(find, "t1 long, t2 long, anchor long, q1 int, q2 int"), "runs")
+    recurring = written(_several(runs, "anchor"), "recurring")
+    cuts = runs.join(recurring.hint("merge"), "anchor", "left_semi").groupBy(*TEXT).agg(F.collect_set(F.struct("q1", "q2", "anchor")).alias("cuts"))
+    names = ["anchor", *TEXT, "q1", "n", "c1", "c2", "piece"]
+
+    def cut(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
             for row in range(batch.num_rows):
-                piece = batch.column(2)[row].as_py()
-                k = len(piece) - length + 1
-                d = np.frombuffer(b"".join(hashlib.blake2b(piece[s : s + length], digest_size=16).digest() for s in range(k)), np.int64).reshape(-1, 2)
-                ids = [batch.column(c).take(pa.array(np.full(k, row))) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.arange(k, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], ["c1", "c2", "at", "h1", "h2"])
-
-        each = written(map_batches(different.join(hot, "anchor", "left_semi"), ["c1", "c2", "piece"], windows, "c1 long, c2 long, at int, h1 long, h2 long"), "windows")
-        twice = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-        at = each.join(twice, ["h1", "h2"]).groupBy("c1", "c2").agg(F.transform(F.collect_list("at"), lambda x: F.array(x, x)).alias("ranges"))
-        found = found.union(at)
+                key = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                if key in seen:
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.add(key)
+                raw = batch.column(2)[row].as_buffer().to_pybytes()
+                c = batch.column(3).slice(row, 1).flatten()
+                q1, q2 = (c.field(k).to_numpy() for k in range(2))
+                pieces = [raw[s : e + length] for s, e in zip(q1.tolist(), q2.tolist())]
+                n = q2 - q1 + 1
+                digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16, salt=k.to_bytes(8, "big")).digest() for x, k in zip(pieces, n.tolist())), np.int64).reshape(-1, 2)
+                for s in range(0, len(pieces), 4096):
+                    e = min(s + 4096, len(pieces))
+                    ids = [pa.array(np.full(e - s, k)) for k in key]
+                    yield pa.RecordBatch.from_arrays([c.field(2).slice(s, e - s), *ids, pa.array(q1[s:e]), pa.array(n[s:e]), pa.array(digests[s:e, 0]), pa.array(digests[s:e, 1]), pa.array(pieces[s:e], pa.binary())], names)
+
+    whole = texts.mapInArrow(once, "t1 long, t2 long, raw binary")
+    joined = whole.join(cuts.hint("merge"), TEXT).select(*TEXT, "raw", "cuts")
+    return written(joined.mapInArrow(cut, "anchor long, t1 long, t2 long, q1 int, n int, c1 long, c2 long, piece binary"), "contexts")
+
+
+FOUND = "c1 long, c2 long, level int, a int, b int"
+
+
+def _sorted_shards(pieces: DataFrame, lengths: tuple[int, ...], shards: int) -> DataFrame:
+    """c1, c2, level, a, b (ranges of starts) of pieces (key, c1, c2, skip, n, piece): those of one key are compared."""
+
+    def sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        skip, rows = pdf["skip"].tolist(), []
+        for level, found in enumerate(repeated_starts(pdf["piece"].tolist(), pdf["n"].tolist(), lengths)):
+            for k, x in enumerate(found):
+                rows += [(k, level, a + skip[k], b + skip[k]) for a, b in _ranges(x)]
+        at, level, a, b = np.array(rows, np.int64).reshape(-1, 4).T
+        return pd.DataFrame({"c1": pdf["c1"].to_numpy()[at], "c2": pdf["c2"].to_numpy()[at], "level": level, "a": a, "b": b})
+
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(sort_shard, FOUND)
+
+
+def _split(pieces: DataFrame, length: int, notice: int, gram: int) -> DataFrame:
+    """The pieces of hot anchors in parts of STEP starts; the key of a part is what all its windows share, seen from the anchor."""
+
+    def run(batches):
+        for batch in batches:
+            for c1, c2, n, piece, anchor in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                buf = np.frombuffer(piece, np.uint8)
+                at = _anchor_place(buf, n, notice, gram)
+                out, step = [], min(STEP, notice)
+                # Starts by their distance to the anchor, in steps, so that equal windows fall in equal parts.
+                for far in range((at - n + 1) // step, at // step + 1):
+                    s = at - far * step
+                    lo, hi = max(0, s - step + 1), min(n - 1, s)
+                    if lo > hi:
+                        continue
+                    core = piece[s : s - step + 1 + notice]
+                    key = hashlib.blake2b(core, digest_size=8, salt=(far & 0xFFFF).to_bytes(4, "big"), key=(anchor & (1 << 64) - 1).to_bytes(8, "big")).digest()
+                    out.append((int.from_bytes(key, "big", signed=True), c1, c2, lo, hi - lo + 1, piece[lo : hi + length]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["key", "c1", "c2", "skip", "n", "piece"])
+
+    return pieces.select("c1", "c2", "n", "piece", "anchor").mapInArrow(run, "key long, c1 long, c2 long, skip int, n int, piece binary")
+
+
+def _anchor_place(buf: np.ndarray, n: int, notice: int, gram: int) -> int:
+    """Where the anchor that the first n windows of a piece share begins in it."""
+    size = len(buf[: n - 1 + notice])
+    r, inv = powers(size + 1)
+    total = np.zeros(size + 1, np.uint64)
+    np.cumsum((buf[:size].astype(np.uint64) + np.uint64(1)) * r[:size], out=total[1:])
+    h = mix((total[gram:] - total[:-gram]) * inv[: size - gram + 1]) & np.uint64(0xFFFFFFFF00000000)
+    # The windows share bytes n - 1 .. notice; their common anchor is the first of the smallest there.
+    return n - 1 + int(np.argmin(h[n - 1 : notice - gram + 1]))
+
+
+def _windows(pieces: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """c1, c2, level, a, b of pieces (key, c1, c2, skip, n, piece) whose windows recur in their key, by 128-bit hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for key, c1, c2, skip, n, piece in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                for level, length in enumerate(lengths):
+                    k = min(n, len(piece) - length + 1)
+                    if k > 0:
+                        d = np.frombuffer(b"".join(hashlib.blake2b(piece[s : s + length], digest_size=16).digest() for s in range(k)), np.int64).reshape(-1, 2)
+                        ids = [pa.array(np.full(k, x)) for x in (key, c1, c2)]
+                        yield pa.RecordBatch.from_arrays([*ids, pa.array(np.full(k, level, np.int32)), pa.array(np.arange(skip, skip + k, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], ["key", "c1", "c2", "level", "at", "h1", "h2"])
+
+    each = written(pieces.select("key", "c1", "c2", "skip", "n", "piece").mapInArrow(run, "key long, c1 long, c2 long, level int, at int, h1 long, h2 long"), "windows")
+    by = ["level", "key", "h1", "h2"]
+    twice = written(each.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by), "twice")
+    return each.join(twice.hint("merge"), by, "left_semi").select("c1", "c2", "level", F.col("at").alias("a"), F.col("at").alias("b"))
+
+
+def repeats(docs: DataFrame, length: int = 400, notice: int | None = None, gram: int = GRAM) -> DataFrame:
+    """t1, t2, rows (with that text), ranges (level 0: of length, 1: of notice; first and last start) of texts with repeats."""
+    notice = min(length, notice or length)
+    lengths = (length, notice)
+    texts = docs.select("text").where(F.octet_length("text") >= notice)
+    copies = texts.select(*text_key(F.col("text"))).groupBy(*TEXT).agg(F.count("*").alias("rows")).where("rows > 1")
+    contexts = _contexts(texts, length, notice, gram)
+
+    kind = ["anchor", "c1", "c2"]
+    slim = written(contexts.groupBy(*kind).agg(F.max(F.col("n") - 1 + length).alias("size")), "kinds")
+    by_anchor = written(slim.groupBy("anchor").agg(F.sum("size").alias("bytes"), F.count("*").alias("kinds")).where("kinds > 1"), "anchors")
+    total = by_anchor.where(F.col("bytes") <= HOT).agg(F.sum("bytes")).first()[0] or 0
+    many = _several(contexts, *kind).select("c1", "c2")  # equal contexts: every start repeats
+
+    def different(anchors: DataFrame) -> DataFrame:
+        # The other columns of a kind are the same in all its rows, but for its place.
+        rows = contexts.select(*kind, "n", "piece").join(anchors.select("anchor").hint("merge"), "anchor", "left_semi")
+        return rows.dropDuplicates(["c1", "c2"])
+
+    mild = different(by_anchor.where(F.col("bytes") <= HOT)).withColumn("key", F.col("anchor")).withColumn("skip", F.lit(0))
+    found = _sorted_shards(mild, lengths, max(1, -(-total // SHARD)))
+    hot = by_anchor.where(F.col("bytes") > HOT)
+    if not hot.isEmpty():
+        parts = written(_split(different(hot), length, notice, gram), "parts")
+        by_key = written(parts.groupBy("key").agg(F.sum(F.octet_length("piece")).alias("bytes"), F.count("*").alias("kinds")).where("kinds > 1"), "keys")
+        small, large = by_key.where(F.col("bytes") <= HOT), by_key.where(F.col("bytes") > HOT)
+        total = small.agg(F.sum("bytes")).first()[0] or 0
+        take = lambda keys: parts.join(keys.select("key").hint("merge"), "key", "left_semi")
+        found = found.union(_sorted_shards(take(small), lengths, max(1, -(-total // SHARD)))).union(_windows(take(large), lengths))
     found = written(found, "found")
-    rows = contexts.select("doc_id", "q1", "q2", "c1", "c2")
-    part = rows.join(found, ["c1", "c2"]).select("doc_id", "q1", F.explode("ranges").alias("r")).select("doc_id", (F.col("q1") + F.col("r")[0]).alias("a"), (F.col("q1") + F.col("r")[1]).alias("b"))
-    full = rows.join(many, ["c1", "c2"], "left_semi").select("doc_id", F.col("q1").alias("a"), F.col("q2").alias("b"))
-    ranges = part.union(full).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    whole = copies.select("doc_id", F.lit(True).alias("whole")).distinct()
-    return ranges.join(whole, "doc_id", "full").select("doc_id", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges")
+    rows = contexts.select(*TEXT, "q1", "n", "c1", "c2", (F.octet_length("piece")).alias("bytes"))
+    part = rows.join(found.hint("merge"), ["c1", "c2"]).select(*TEXT, "level", (F.col("q1") + F.col("a")).alias("a"), (F.col("q1") + F.col("b")).alias("b"))
+    equal = rows.join(written(many, "many").hint("merge"), ["c1", "c2"], "left_semi").withColumn("last", F.array(*[F.least(F.col("n"), F.col("bytes") - x + 1) for x in lengths]))
+    full = equal.select(*TEXT, "q1", F.posexplode("last").alias("level", "k")).where("k > 0").select(*TEXT, "level", F.col("q1").alias("a"), (F.col("q1") + F.col("k") - 1).alias("b"))
+    ranges = part.union(full).groupBy(*TEXT).agg(F.collect_set(F.struct("level", "a", "b")).alias("ranges"))
+    return ranges.join(copies, TEXT, "full").select(*TEXT, F.coalesce("rows", F.lit(1)).alias("rows"), "ranges")
 
 
-def removed(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
+def removed(docs: DataFrame, length: int = 400, notice: int | None = None, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_repeated (bytes in repeated strings of notice bytes), kept (the bytes that stay)."""
     kind = dict(docs.dtypes)["doc_id"]
-    marks = written(repeats(docs, length, gram), "repeats")
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).join(marks, "doc_id", "left")
+    notice = min(length, notice or length)
+    marks = written(repeats(docs, length, notice, gram), "repeats")
+    named = docs.select("doc_id", *text_key(F.col("text")), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    joined = named.join(marks.hint("merge"), TEXT, "left")
 
     def strip(batch):
-        out = [[], [], [], []]
-        for raw, whole, ranges in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+        out = [[], [], [], [], []]
+        for raw, rows, ranges in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
             n = len(raw)
-            if whole:
-                row = (n, n, 1, b"")
-            elif ranges:
-                a = np.array([r["a"] for r in ranges])
-                b = np.array([r["b"] for r in ranges]) + length
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, a, 1)
-                np.add.at(edge, b, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                row = (n, int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes())
+            if (rows or 0) > 1 and n >= length:
+                row = (n, n, 1, n, b"")
+            elif ranges or (rows or 0) > 1:
+                over = []
+                for level, size in enumerate((length, notice)):
+                    edge = np.zeros(n + 1, np.int64)
+                    for r in ranges or []:
+                        if r["level"] == level:
+                            edge[r["a"]] += 1
+                            edge[r["b"] + size] -= 1
+                    over.append(np.cumsum(edge[:-1]) > 0)
+                gone = over[0]
+                seen = n if (rows or 0) > 1 and n >= notice else int((over[0] | over[1]).sum())
+                row = (n, int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()), seen, np.frombuffer(raw, np.uint8)[~gone].tobytes())
             else:
-                row = (n, 0, 0, raw)
+                row = (n, 0, 0, 0, raw)
             for c, v in zip(out, row):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"])
 
-    return map_batches(joined, ["doc_id", "raw", "whole", "ranges"], strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_batches(joined, ["doc_id", "raw", "rows", "ranges"], strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")

@@ -1,33 +1,92 @@
-"""Global ranks and rank statistics without sorting a whole table in one task."""
+"""Global ranks and rank statistics without sorting a whole table in one task.
+
+Rows are dealt by the leading bits of the score (sign, exponent and ten bits of the mantissa), which
+needs no pass over the data and keeps the order. There are as many buckets as the number format has,
+however many rows; their counts are summed in order, and only the rows of one bucket are sorted together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets of an octave, and what keeps bucket numbers positive for every exponent.
+CELLS, OFFSET = 1024, 1100
+
+
+def leading(x: Column) -> Column:
+    """The bucket of a double, which grows with it. Null and NaN are below all numbers."""
+    x = x.cast("double")
+    size = F.abs(x)
+    e = F.floor(F.log2(F.when(size > 0, size)))
+    flat = (e + OFFSET) * CELLS + F.floor(size / F.pow(F.lit(2.0), e.cast("double")) * CELLS)
+    most = F.lit(1 << 30)
+    b = F.when(x.isNull() | F.isnan(x), -most).when(size == 0, 0).when(size == float("inf"), F.signum(x) * (most - 1)).otherwise(F.signum(x) * flat)
+    return b.cast("int")
+
+
+def running(per: DataFrame, value: str, sums: dict[str, str], by: tuple[str, ...] = (), descending: bool = True) -> DataFrame:
+    """per, with the sum of column c over the rows of `by` from the highest value down to each as name, for each c: name of sums.
+
+    per has one row for each value (of by). With descending False sums go from the lowest value up.
+    """
+    way = F.desc if descending else F.asc
+    per = per.withColumn("_cell", leading(F.col(value)))
+    cells = per.groupBy(*by, "_cell").agg(*[F.sum(c).alias(c) for c in sums])
+    own = Window.partitionBy(*by, "_cell").orderBy(way(value)).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _placed(cells, list(sums), by, descending)
+    joined = per.join(placed, _beside(per, placed, by))
+    return joined.withColumns({name: F.col(f"_start_{c}") + F.sum(c).over(own) for c, name in sums.items()}).select(*per.columns, *sums.values()).drop("_cell")
+
+
+def _placed(cells: DataFrame, sums: list[str], by: tuple[str, ...], descending: bool) -> DataFrame:
+    """The buckets (by and _cell as _by0.. and _at) with the sums of those before them. The window is over buckets, whose number is bounded."""
+    before = Window.partitionBy(*by, F.lit(0)).orderBy(F.desc("_cell") if descending else F.asc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    return cells.select(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(by)], F.col("_cell").alias("_at"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_start_{c}") for c in sums])
+
+
+def _beside(df: DataFrame, placed: DataFrame, by: tuple[str, ...]) -> list[Column]:
+    return [*[df[k].eqNullSafe(placed[f"_by{i}"]) for i, k in enumerate(by)], df["_cell"] == placed["_at"]]
+
+
+def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the place of each row (of its group `by`) by (score descending, tie ascending), from 1. NaN scores come last, as null ones do."""
+    names = df.columns
+    df = df.withColumn("_s", F.when(F.col(score).isNull() | F.isnan(F.col(score)), F.lit(float("-inf"))).otherwise(F.col(score).cast("double")))
+    df = df.withColumn("_cell", leading(F.col("_s")))
+    placed = _placed(df.groupBy(*by, "_cell").agg(F.count("*").alias("n")), ["n"], by, True)
+    own = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(F.desc("_s"), tie))
+    return df.join(placed, _beside(df, placed, by)).withColumn(name, F.col("_start_n") + own).select(*names, name)
+
 
-def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", parts: int = 64) -> DataFrame:
-    """Adds the place of each row by (score descending, tie ascending), from 1.
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """by and, for each name: share, the exact quantile of value (linear between the two nearest), over values that are neither null nor NaN.
 
-    Rows are dealt by `parts` approximate quantiles of the score, whose counts give each part's first
-    place; only the rows of one part are sorted together. NaN scores come last, as null ones do.
+    Only the rows of the buckets that hold a wanted place are sorted.
     """
-    s = F.when(F.col(score).isNull() | F.isnan(F.col(score)), F.lit(float("-inf"))).otherwise(F.col(score).cast("double"))
-    cuts = df.select(s.alias("s")).where(F.col("s") > float("-inf")).approxQuantile("s", [i / parts for i in range(1, parts)], 0.005) if parts > 1 else []
-    steps = F.array(*[F.lit(c).cast("double") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    df = df.withColumn("_s", s).withColumn("_part", F.size(F.filter(steps, lambda c: c > F.col("_s"))))
-    counts = df.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most `parts` rows
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("_s"), tie))
-    return df.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + own).drop("_s", "_part", "_start")
+    df = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    per = df.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    steps = running(per, "_v", {"_n": "_upto"}, by, descending=False)
+    if by:
+        marks = {k: f"_t_{k}" for k in by}
+        totals = per.groupBy(*by).agg(F.sum("_n").alias("_rows")).withColumnsRenamed(marks)
+        joined = steps.join(totals, [steps[k].eqNullSafe(totals[m]) for k, m in marks.items()])
+    else:
+        joined = steps.withColumn("_rows", per.agg(F.sum("_n")).scalar())
+    found = []
+    for name, q in shares.items():
+        at = (F.col("_rows") - 1) * F.lit(q)
+        low, first = F.floor(at), F.col("_upto") - F.col("_n")  # the value holds places first .. upto - 1
+        holds = lambda place, first=first: (first <= place) & (place < F.col("_upto"))
+        found += [F.max(F.when(holds(low), F.col("_v"))).alias(f"_lo_{name}"), F.max(F.when(holds(F.ceil(at)), F.col("_v"))).alias(f"_hi_{name}"), F.first(at - low).alias(f"_w_{name}")]
+    out = joined.groupBy(*by).agg(*found)
+    return out.select(*by, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n) for n in shares])
 
 
 def score_steps(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """Per distinct score: rows and positives, and both summed from the highest score down to it."""
     per = df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(positive.cast("long")).alias("pos"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("cum_n", F.sum("n").over(down)).withColumn("cum_pos", F.sum("pos").over(down))
+    return running(per, "score", {"n": "cum_n", "pos": "cum_pos"})
 
 
 def average_precision(df: DataFrame, score: str, positive: Column) -> DataFrame:
@@ -39,31 +98,62 @@ def average_precision(df: DataFrame, score: str, positive: Column) -> DataFrame:
 def roc_auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """Probability that a positive scores above a negative, ties by half; null without both kinds."""
     steps = score_steps(df, score, positive)
+    # Positives above a step and half of its own, for each of its negatives.
     neg = F.col("n") - F.col("pos")
-    below = F.sum(neg).over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    won = steps.withColumn("won", F.col("pos") * (F.coalesce(below, F.lit(0)) + neg / 2))
+    won = steps.withColumn("won", neg * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2))
     return won.agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum(neg), F.lit(0))).alias("roc_auc"))
 
 
-def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int = 1000, seed: int = 1) -> DataFrame:
-    """Mean of value, and the 2.5 and 97.5 percentiles of its resampled means (each row counts Poisson(1) times, by a hash of key)."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("r"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+def rank_statistics(df: DataFrame, score: str, positive: Column) -> DataFrame:
+    """average_precision and roc_auc from one pass over the steps."""
+    steps = score_steps(df, score, positive)
+    neg, pos = F.col("n") - F.col("pos"), F.col("pos")
+    return steps.agg(
+        (F.sum(pos * F.col("cum_pos") / F.col("cum_n")) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"),
+        (F.sum(neg * (F.col("cum_pos") - pos + pos / 2)) / F.nullif(F.sum("pos") * F.sum(neg), F.lit(0))).alias("roc_auc"),
+    )
+
+
+def bootstrap_auc(df: DataFrame, score: str, positive: Column, key: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """roc_auc of all rows, and the 2.5 and 97.5 percentiles over resamples in which each row counts Poisson(1) times.
+
+    Rows are first summed by score step and replicate, so what is sorted is steps, not rows.
+    """
+    y = positive.cast("long")
+    many = df.select(F.col(score).alias("score"), y.alias("y"), F.col(key).alias("_key"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
+    many = many.withColumn("c", poisson(F.col("_key"), F.col("r"), seed)).where("c > 0")
+    per = many.groupBy("r", "score").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("y")).alias("pos"))
+    steps = running(per, "score", {"pos": "cum_pos"}, ("r",))
+    neg = F.col("n") - F.col("pos")
+    aucs = steps.groupBy("r").agg((F.sum(neg * (F.col("cum_pos") - F.col("pos") / 2)) / F.nullif(F.sum("pos") * F.sum(neg), F.lit(0))).alias("auc"))
+    ends = aucs.agg(F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975)))).scalar()
+    return roc_auc(df, score, positive).withColumn("_ends", ends).select("roc_auc", F.col("_ends")[0].alias("low"), F.col("_ends")[1].alias("high"))
+
+
+def poisson(key: Column, replicate: Column, seed: int) -> Column:
+    """How often a row counts in a replicate: Poisson with mean 1, by a hash."""
+    u = (F.pmod(F.xxhash64(key, replicate, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     count, p, total = F.lit(0), 0.36787944117144233, 0.0
     for k in range(8):
         total += p
         count = count + (u > total).cast("int")
         p /= k + 1
-    many = df.select(F.col(value).alias("v"), F.col(key), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("c", count)
+    return count
+
+
+def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int = 1000, seed: int = 1) -> DataFrame:
+    """Mean of value, and the 2.5 and 97.5 percentiles of its resampled means (each row counts Poisson(1) times, by a hash of key)."""
+    many = df.select(F.col(value).alias("v"), F.col(key).alias("_key"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("c", poisson(F.col("_key"), F.col("r"), seed))
     means = many.groupBy("r").agg((F.sum(F.col("v") * F.col("c")) / F.nullif(F.sum("c"), F.lit(0))).alias("m"))
-    return df.agg(F.avg(value).alias("mean")).crossJoin(means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high")))
+    ends = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))).scalar()
+    return df.agg(F.avg(value).alias("mean")).withColumn("_ends", ends).select("mean", F.col("_ends")[0].alias("low"), F.col("_ends")[1].alias("high"))
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """Signed ranks of paired differences: n (without zeros), W (the smaller sum) and its normal approximation."""
     d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("m", F.round(F.abs("d"), 12))
     per = d.groupBy("m").agg(F.count("*").alias("n"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = running(per, "m", {"n": "upto"}, descending=False).withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     s = ranked.agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("up"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("down"), F.sum(F.pow("n", 3) - F.col("n")).alias("ties"))
     n = F.col("n")
     w = F.least("up", "down")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import norm_ppf_sql, norm_sf_sql
+from vigil.functions.ranks import quantiles
 from vigil.schema import ATTACK_TYPES, MERGE_WINDOW
+from vigil.sources.store import store
 
 
 def scope(level: str) -> Column:
@@ -70,14 +72,14 @@ def pooled_bins(counts: dict[int, int], least: int = 30) -> list[list[int]]:
 
 def size_calibrated(alerts: DataFrame, value: str = "alert_stouffer") -> DataFrame:
     """alert_score: distance of the value from the median of alerts of like size, in units of their lower spread; and alert_p."""
-    alerts = alerts.withColumn("_bin", F.floor(F.log2(F.greatest(F.col("n_events"), F.lit(1)))).cast("int"))
+    alerts = store(alerts).withColumn("_bin", F.floor(F.log2(F.greatest(F.col("n_events"), F.lit(1)))).cast("int"))
     counts = {r[0]: r[1] for r in alerts.groupBy("_bin").count().collect()}  # a bin for each power of two
     pools = pooled_bins(counts) or [[0]]
     number = F.lit(0)
     for i, pool in enumerate(pools):
         number = F.when(F.col("_bin").isin(pool), i).otherwise(number)
     alerts = alerts.withColumn("_pool", number)
-    spread = alerts.groupBy("_pool").agg(F.percentile(value, 0.5).alias("_mid"), F.percentile(value, 0.16).alias("_low"))
+    spread = quantiles(alerts, value, {"_mid": 0.5, "_low": 0.16}, ("_pool",))
     x = alerts.join(F.broadcast(spread), "_pool").withColumn("alert_score", (F.col(value) - F.col("_mid")) / F.greatest(F.col("_mid") - F.col("_low"), F.lit(1e-6)))
     x = x.withColumn("_x", F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("alert_score"))))
     return x.withColumn("alert_p", F.expr(norm_sf_sql("_x"))).drop("_bin", "_pool", "_mid", "_low", "_x")
@@ -105,5 +107,4 @@ def estate_budgets(entities: int) -> dict[str, int]:
 
 def burned_in(df: DataFrame, time: str = "start_ts", days: int = 7) -> DataFrame:
     """Rows from `days` after the first on."""
-    first = df.agg(F.min(time).alias("_first"))
-    return df.crossJoin(F.broadcast(first)).where(F.col(time) >= F.col("_first") + F.expr(f"INTERVAL {days} DAYS")).drop("_first")
+    return df.where(F.col(time) >= df.agg(F.min(time)).scalar() + F.expr(f"INTERVAL {days} DAYS"))

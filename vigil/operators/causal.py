@@ -29,24 +29,45 @@ def trailing_sum(value: Column, keys: list[str], seconds: int) -> Column:
     return F.sum(value).over(near) - F.sum(value).over(not_before)
 
 
+def pairs_alive(begins: Column, ends: Column, keys: list[str], seconds: int) -> Column:
+    """How many pairs of rows are alive at a row: begins marks, at their second row, pairs at most `seconds` apart; ends marks the same pairs at their first row.
+
+    A pair lives from its second row (later rows count it) until its first is more than `seconds` ago.
+    """
+    gone = Window.partitionBy(*keys).orderBy("sec").rangeBetween(Window.unboundedPreceding, -seconds - 1)
+    count = lambda c, w: F.coalesce(F.sum(c.cast("int")).over(w), F.lit(0))
+    return count(begins, prior(*keys)) - count(ends, gone)
+
+
 def first_seen(*keys: str) -> Column:
     return F.row_number().over(ordered(*keys)) == 1
 
 
-def prior_total(df: DataFrame, name: str, keys: list[str], value: Column | None = None, order: tuple[str, ...] = ORDER, seconds: int = 86400) -> DataFrame:
+def prior_total(df: DataFrame, name: str, keys: list[str], value: Column | None = None, order: tuple[str, ...] = ORDER, base: DataFrame | None = None, seconds: int = 900) -> DataFrame:
     """Adds the sum of value (or the count) over a population's earlier rows, for keys with few values and many rows.
 
-    A window over such a key would be one task. Totals of (key, time bucket) and their running
-    sums place a bucket; only the rows of one bucket are sorted together.
+    A window over such a key would be one task. Totals of (key, bucket of some minutes) are summed within
+    each day and over the days, which places a bucket; only the rows of one bucket are sorted together.
+    base: a stored frame with the same rows, keys and value, from which the totals are read; a
+    chain of such steps then reads it once each, rather than repeating the chain.
     """
     value = F.lit(1) if value is None else value
-    df = df.withColumn("_v", value.cast("long")).withColumn("_bucket", F.floor(F.col("sec") / seconds))
-    keys = list(keys)
-    totals = df.groupBy(*keys, "_bucket").agg(F.sum("_v").alias("_in"))
-    before = Window.partitionBy(*keys, F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("_start", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
+    mark = lambda x: x.withColumn("_v", value.cast("long")).withColumn("_day", F.floor(F.col("sec") / 86400)).withColumn("_bucket", F.floor(F.col("sec") / seconds))
+    df, keys = mark(df), list(keys)
+    totals = (df if base is None else mark(base)).groupBy(*keys, "_day", "_bucket").agg(F.sum("_v").alias("_in"))
+    before = lambda c, part, at: F.coalesce(F.sum(c).over(Window.partitionBy(*part, F.lit(0)).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = totals.groupBy(*keys, "_day").agg(F.sum("_in").alias("_in")).withColumn("_start", before("_in", keys, "_day")).drop("_in")
+    marks = [(k, f"_k{i}") for i, k in enumerate([*keys, "_day"])]
+    days = days.withColumnsRenamed(dict(marks))
+    parts = totals.withColumn("_inner", before("_in", [*keys, "_day"], "_bucket"))
+    starts = parts.join(days, [parts[k].eqNullSafe(days[m]) for k, m in marks]).select(*[F.col(m) for _, m in marks[:-1]], F.col("_bucket").alias("_b"), (F.col("_start") + F.col("_inner")).alias("_start"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    marks = [(k, f"_k{i}") for i, k in enumerate([*keys, "_bucket"])]
-    starts = starts.withColumnsRenamed(dict(marks))
-    on = [df[k].eqNullSafe(starts[m]) for k, m in marks]
-    return df.join(starts, on).withColumn(name, F.col("_start") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_v", "_bucket", "_start", *[m for _, m in marks])
+    on = [*[df[k].eqNullSafe(starts[m]) for k, m in marks[:-1]], df["_bucket"] == starts["_b"]]
+    return df.join(starts, on).withColumn(name, F.col("_start") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_v", "_day", "_bucket", "_b", "_start", *[m for _, m in marks[:-1]])
+
+
+def is_first(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Adds whether a row is the first of its keys, found by a grouped minimum that is joined back, so a busy key is no one task's."""
+    at = F.struct(*ORDER)
+    least = df.groupBy(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)]).agg(F.min(at).alias("_least"))
+    return df.join(least, [df[k].eqNullSafe(least[f"_f{i}"]) for i, k in enumerate(keys)]).withColumn(name, at == F.col("_least")).drop("_least", *[f"_f{i}" for i in range(len(keys))])

@@ -13,26 +13,31 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import norm_ppf_sql
+from vigil.functions.ranks import global_rank, running
 from vigil.schema import LEVELS, MITIGATION, REFERENCE_ROWS, TARGET_FPR, Z_RANGE, Signal, signals_of
+from vigil.sources.store import store
 
 
 def empirical_z(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds z_<column>: the upper-tail rank among all rows of df as a normal quantile, within Z_RANGE.
 
-    Counts go by distinct value, so equal values share a z and the windows are over values, not rows.
+    All columns are counted in one pass, by distinct value, so equal values share a z.
     """
-    total = F.broadcast(df.agg(F.count("*").alias("_rows")))
-    for c in columns:
-        per = df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
-        up = Window.orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
-        per = per.crossJoin(total).withColumn("_p", (1 + F.sum("_n").over(up)) / (1 + F.col("_rows")))
-        per = per.withColumn("_p", F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), F.col("_p")))).withColumn("_z", -F.expr(norm_ppf_sql("_p")))
-        z = F.greatest(F.lit(Z_RANGE[0]), F.least(F.lit(Z_RANGE[1]), F.col("_z"))).alias(f"z_{c}")
-        df = df.join(per.select("_v", z), df[c].eqNullSafe(F.col("_v")), "left").drop("_v")
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])).alias("x")).select("x._c", "x._v")
+    per = each.groupBy("_c", "_v").agg(F.count("*").alias("_n"))
+    steps = running(per, "_v", {"_n": "_upto"}, ("_c",))
+    rows = per.where("_c = 0").agg(F.sum("_n")).scalar()
+    steps = steps.withColumn("_p", (1 + F.col("_upto")) / (1 + rows))
+    steps = steps.withColumn("_p", F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), F.col("_p"))))
+    z = F.greatest(F.lit(Z_RANGE[0]), F.least(F.lit(Z_RANGE[1]), -F.expr(norm_ppf_sql("_p"))))
+    steps = store(steps.select("_c", "_v", z.alias("_z")))
+    for i, c in enumerate(columns):
+        one = steps.where(F.col("_c") == i).select(F.col("_v").alias("_of"), F.col("_z").alias(f"z_{c}"))
+        df = df.join(one, df[c].cast("double").eqNullSafe(F.col("_of")), "left").drop("_of")
     return df
 
 
@@ -49,17 +54,12 @@ def raw_column(z: dict[str, Column], weights: dict[str, float], scale: float, mi
 def rank_p(df: DataFrame, score: str, cohort: str, tie: str = "event_id") -> DataFrame:
     """Adds p = (1 + place from the top within the cohort, from 0) / (1 + n): uniform by construction.
 
-    A cohort may hold most rows: its places are counted per quantile part of the score.
+    A cohort may hold most rows: its places are counted per bucket of the score.
     """
-    cuts = df.approxQuantile(score, [i / 64 for i in range(1, 64)], 0.005)
-    steps = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    df = df.withColumn("_part", F.size(F.filter(steps, lambda c: c > F.col(score))))
-    counts = df.groupBy(F.col(cohort).alias("_c"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
-    by = Window.partitionBy("_c").orderBy("_p")
-    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy("_c")))
-    own = F.row_number().over(Window.partitionBy(cohort, "_part").orderBy(F.desc(score), tie))
-    joined = df.join(F.broadcast(counts.drop("_n")), df[cohort].eqNullSafe(F.col("_c")) & (df["_part"] == F.col("_p")))
-    return joined.withColumn("p", (F.col("_start") + own) / (1 + F.col("_all"))).drop("_part", "_c", "_p", "_start", "_all")
+    sizes = df.groupBy(F.col(cohort).alias("_cohort")).agg(F.count("*").alias("_all"))
+    ranked = global_rank(df, score, tie, "_place", (cohort,))
+    joined = ranked.join(sizes, ranked[cohort].eqNullSafe(F.col("_cohort")))
+    return joined.withColumn("p", F.col("_place") / (1 + F.col("_all"))).drop("_place", "_cohort", "_all")
 
 
 @dataclass

@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.ranks import average_precision, global_rank, roc_auc
+from vigil.functions.ranks import global_rank, rank_statistics
 from vigil.operators.alerts import attribution
 from vigil.schema import ATTACK_TYPES, DAILY_BUDGET, INSIDER
+from vigil.sources.store import store
 
 
 def is_attack() -> Column:
@@ -24,15 +25,16 @@ def labelled(scored: DataFrame, labels: DataFrame) -> DataFrame:
 
 def event_metrics(scored: DataFrame, labels: DataFrame, fraction: float = 0.01) -> DataFrame:
     """One row: prevalence, precision and recall among the top k = ceil(fraction N), their ceilings, R-precision, average precision, ROC-AUC."""
-    df = global_rank(labelled(scored, labels), "score", "event_id").select("score", "rank", "label", is_attack().alias("y"), (F.col("label") == INSIDER).alias("drift"))
+    df = store(labelled(scored, labels).select("event_id", "score", is_attack().alias("y"), (F.col("label") == INSIDER).alias("drift")))
     n = df.agg(F.count("*").alias("n_events"), F.sum(F.col("y").cast("long")).alias("n_attack")).withColumn("k", F.ceil(F.round(F.col("n_events") * fraction, 9)))
-    top = df.crossJoin(F.broadcast(n)).agg(
-        F.first("n_events").alias("n_events"),
-        F.first("n_attack").alias("n_attack"),
-        F.first("k").alias("k"),
-        F.sum((F.col("y") & (F.col("rank") <= F.col("k"))).cast("long")).alias("hits"),
-        F.sum((F.col("y") & (F.col("rank") <= F.col("n_attack"))).cast("long")).alias("r_hits"),
-        F.sum((F.col("drift") & (F.col("rank") <= F.col("k"))).cast("long")).alias("drift_hits"),
+    ranked = global_rank(df, "score", "event_id").withColumn("n", n.select(F.struct("n_events", "n_attack", "k")).scalar())
+    top = ranked.agg(
+        F.first("n.n_events").alias("n_events"),
+        F.first("n.n_attack").alias("n_attack"),
+        F.first("n.k").alias("k"),
+        F.sum((F.col("y") & (F.col("rank") <= F.col("n.k"))).cast("long")).alias("hits"),
+        F.sum((F.col("y") & (F.col("rank") <= F.col("n.n_attack"))).cast("long")).alias("r_hits"),
+        F.sum((F.col("drift") & (F.col("rank") <= F.col("n.k"))).cast("long")).alias("drift_hits"),
     )
     pos, k = F.nullif(F.col("n_attack"), F.lit(0)), F.nullif(F.col("k"), F.lit(0))
     out = top.select(
@@ -47,7 +49,8 @@ def event_metrics(scored: DataFrame, labels: DataFrame, fraction: float = 0.01)
         (F.col("r_hits") / pos).alias("r_precision"),
         (F.col("drift_hits") / k).alias("insider_share"),
     )
-    return out.crossJoin(average_precision(df, "score", F.col("y"))).crossJoin(roc_auc(df, "score", F.col("y")))
+    both = rank_statistics(df, "score", F.col("y")).select(F.struct("average_precision", "roc_auc")).scalar()
+    return out.withColumn("_both", both).select("*", "_both.average_precision", "_both.roc_auc").drop("_both")
 
 
 def reviewed(alerts: DataFrame, days: float, budgets: dict[str, float] | None = None) -> DataFrame:
@@ -89,8 +92,9 @@ def incident_metrics(queue: DataFrame, found: DataFrame, days: float) -> DataFra
         F.median("ttd_hours").alias("median_ttd_hours"),
         F.avg(F.when(F.col("detected"), F.col("early").cast("int"))).alias("share_early"),
     )
+    c = c.withColumn("_q", q.select(F.struct("n_reviewed", "budget_k")).scalar()).select("*", "_q.n_reviewed", "_q.budget_k")
     n, k = F.nullif(F.col("n_campaigns"), F.lit(0)), F.nullif(F.col("budget_k"), F.lit(0))
-    return c.crossJoin(q).select(
+    return c.select(
         "n_campaigns",
         "n_detected",
         (F.col("n_detected") / n).alias("recall"),
@@ -121,10 +125,10 @@ def budget_curve(alerts, assignment, labels, campaigns, days: float, factors=(0.
 
 def fp_breakdown(scored: DataFrame, labels: DataFrame, fraction: float = 0.01) -> DataFrame:
     """False positives of the top k by confounder: their count, rate among that confounder's events, and share."""
-    df = global_rank(labelled(scored, labels), "score", "event_id")
-    n = scored.agg(F.count("*").alias("_n"))
+    scored = store(labelled(scored, labels).select("event_id", "score", "label", "confounder"))
+    df = global_rank(scored, "score", "event_id")
     kind = F.coalesce("confounder", F.lit("(none)"))
-    df = df.crossJoin(F.broadcast(n)).withColumn("kind", kind).withColumn("fp", ((F.col("rank") <= F.ceil(F.round(F.col("_n") * fraction, 9))) & ~is_attack()).cast("long"))
+    df = df.withColumn("_n", scored.agg(F.count("*")).scalar()).withColumn("kind", kind).withColumn("fp", ((F.col("rank") <= F.ceil(F.round(F.col("_n") * fraction, 9))) & ~is_attack()).cast("long"))
     per = df.where(~is_attack()).groupBy("kind").agg(F.sum("fp").alias("n_fp"), F.count("*").alias("n_all"))
     total = F.sum("n_fp").over(Window.partitionBy(F.lit(1)))
     return per.withColumn("fp_rate", F.col("n_fp") / F.col("n_all")).withColumn("fp_share", F.col("n_fp") / F.nullif(total, F.lit(0))).where("n_fp > 0")
@@ -140,11 +144,12 @@ def band_report(scored: DataFrame, labels: DataFrame, theta: float) -> DataFrame
 
 def cold_start_report(scored: DataFrame, labels: DataFrame, fraction: float = 0.01) -> DataFrame:
     """Cold and warm events: shares of traffic and of the top k = max(1, int(fraction N)), attack rate, precision in the top."""
-    df = global_rank(labelled(scored, labels), "score", "event_id")
-    n = F.broadcast(scored.agg(F.count("*").alias("_n")))
+    scored = store(labelled(scored, labels).select("event_id", "score", "label", "is_cold_start"))
+    df = global_rank(scored, "score", "event_id")
+    df = df.withColumn("_n", scored.agg(F.count("*")).scalar())
     k = F.greatest(F.lit(1), F.floor(F.round(F.col("_n") * fraction, 9)))
     top = F.col("rank") <= k
-    per = df.crossJoin(n).groupBy(F.coalesce("is_cold_start", F.lit(False)).alias("cold")).agg(
+    per = df.groupBy(F.coalesce("is_cold_start", F.lit(False)).alias("cold")).agg(
         F.count("*").alias("n"), F.first("_n").alias("_n"), F.first(k).alias("_k"), F.sum(top.cast("long")).alias("n_top"), F.avg(is_attack().cast("int")).alias("attack_rate"), F.avg(F.when(top, is_attack().cast("int"))).alias("top_precision")
     )
     return per.select("cold", "n", (F.col("n") / F.col("_n")).alias("traffic_share"), "n_top", (F.col("n_top") / F.col("_k")).alias("budget_share"), "attack_rate", "top_precision")

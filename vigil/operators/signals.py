@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import bits, haversine_km
-from vigil.operators.causal import first_seen, ordered, prepare, prior, prior_total, trailing_sum
+from vigil.operators.causal import first_seen, is_first, ordered, pairs_alive, prepare, prior, prior_total, trailing_sum
 from vigil.schema import BURST_FLOOR, BURST_MIN, COLD_MIN, COLD_N0, FAIL_WINDOW, GEO_CAP_KMH, GEO_GATE_KM, IP_WINDOW, LONG_WINDOW, NGRAM, OFFHOURS, SIGNALS
 from vigil.sources.store import store
 
@@ -45,17 +45,22 @@ def burst_ratio(ev: DataFrame, seconds: int = FAIL_WINDOW, suffix: str = "") ->
 
 
 def ip_signals(ev: DataFrame, fail_seconds: int = FAIL_WINDOW, ip_seconds: int = IP_WINDOW, suffix: str = "") -> DataFrame:
+    """fail_rate_ip, ip_entity_fanout and ip_fail_ratio.
+
+    The entities on an address in the last while are its rows in reach, less those whose entity came
+    again before now: two running sums, so no row holds a set.
+    """
     failed = (F.col("auth_result") == "failure").cast("int")
     fails, tries = trailing_sum(failed, [IP], fail_seconds), trailing_sum(F.lit(1), [IP], ip_seconds)
-    near = F.collect_set(E).over(Window.partitionBy(IP).orderBy("sec").rangeBetween(-ip_seconds, -1))
-    tied = F.collect_set(E).over(Window.partitionBy(IP, "sec").orderBy("timestamp", "event_id").rowsBetween(Window.unboundedPreceding, -1))
+    ev = ev.withColumns({"_last": F.lag("sec").over(ordered(IP, E)), "_next": F.lead("sec").over(ordered(IP, E))})
+    near = lambda c: F.coalesce(F.abs(F.col(c) - F.col("sec")) <= ip_seconds, F.lit(False))
     return ev.withColumns(
         {
             "fail_rate_ip" + suffix: _zero(fails),
-            "ip_entity_fanout" + suffix: F.size(F.array_union(near, tied)).cast("double"),
+            "ip_entity_fanout" + suffix: _zero(tries) - pairs_alive(near("_last"), near("_next"), [IP], ip_seconds),
             "ip_fail_ratio" + suffix: F.when(tries >= 5, fails / tries).otherwise(0.0),
         }
-    )
+    ).drop("_last", "_next")
 
 
 def fingerprint_mismatch(ev: DataFrame) -> DataFrame:
@@ -69,10 +74,10 @@ def fingerprint_mismatch(ev: DataFrame) -> DataFrame:
     return ev.withColumn("fingerprint_mismatch", F.when(usual.isNull(), 0.0).otherwise(differs.cast("double"))).drop("_at", "_count", "_first")
 
 
-def hour_surprisal(ev: DataFrame) -> DataFrame:
+def hour_surprisal(ev: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Needs n and lam; adds p_hour too."""
-    ev = prior_total(ev, "_type_n", ["entity_type"])
-    ev = prior_total(ev, "_type_hour", ["entity_type", "hour"])
+    ev = prior_total(ev, "_type_n", ["entity_type"], base=base)
+    ev = prior_total(ev, "_type_hour", ["entity_type", "hour"], base=base)
     own = F.row_number().over(ordered(E, "hour")) - 1
     p_e = F.when(F.col("n") > 0, (own + 0.5) / (F.col("n") + 12)).otherwise(1 / 24)
     p_t = F.when(F.col("_type_n") > 0, (F.col("_type_hour") + 1) / (F.col("_type_n") + 24)).otherwise(1 / 24)
@@ -86,13 +91,14 @@ def novelties(ev: DataFrame) -> DataFrame:
     return ev.withColumns({name: F.when(first_seen(E, c), F.col("lam")).otherwise(0.0) for name, c in new.items()})
 
 
-def resource_signals(ev: DataFrame) -> DataFrame:
-    """peer_incongruence and resource_surprisal. Needs n and lam."""
+def resource_signals(ev: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """peer_incongruence and resource_surprisal. Needs n and lam; with base, also _new_role (1 at a role's first access to a resource)."""
     res = "resource_accessed"
-    ev = ev.withColumn("_new_role", first_seen("role", res).cast("int"))
-    ev = prior_total(ev, "_role_n", ["role"])
-    ev = prior_total(ev, "_role_d", ["role"], F.col("_new_role"))
-    ev = prior_total(ev, "_role_res", ["role", res])
+    if "_new_role" not in ev.columns:
+        ev = is_first(ev, "_new_role", ["role", res]).withColumn("_new_role", F.col("_new_role").cast("int"))
+    ev = prior_total(ev, "_role_n", ["role"], base=base)
+    ev = prior_total(ev, "_role_d", ["role"], F.col("_new_role"), base=base)
+    ev = prior_total(ev, "_role_res", ["role", res], base=base)
     p_role = F.when(F.col("_role_n") > 0, (F.col("_role_res") + 0.5) / (F.col("_role_n") + 0.5 * (F.col("_role_d") + 1))).otherwise(1e-3)
     own = F.row_number().over(ordered(E, res)) - 1
     p_e = F.when(F.col("n") > 0, (own + 0.5) / (F.col("n") + 32)).otherwise(1e-3)
@@ -113,96 +119,118 @@ def deviations(ev: DataFrame) -> DataFrame:
 
 
 def long_window(ev: DataFrame, seconds: int = LONG_WINDOW) -> DataFrame:
-    """new_resource_rate_7d, offhours_rate_7d and breadth_ratio_7d. Needs p_hour."""
-    res = "resource_accessed"
-    ev = ev.withColumn("_ord", F.row_number().over(ordered(E))).withColumn("_new", first_seen(E, res)).withColumn("_again", F.lead("_ord").over(ordered(E, res)))
-    near = Window.partitionBy(E).orderBy("sec").rangeBetween(-seconds, 0)
-    edges = F.collect_list(F.when(F.col("_new"), F.struct("_ord", "_again"))).over(near)
-    ev = ev.withColumn("_edges", F.filter(edges, lambda x: x["_ord"] < F.col("_ord")))
-    once = F.size(F.filter("_edges", lambda x: x["_again"].isNull() | (x["_again"] >= F.col("_ord"))))
+    """new_resource_rate_7d, offhours_rate_7d and breadth_ratio_7d. Needs p_hour.
+
+    A resource is new from its first access on for `seconds`, and breadth until its second.
+    """
+    here = ordered(E, "resource_accessed")
+    ev = ev.withColumns({"_nth": F.row_number().over(here), "_last": F.lag("sec").over(here), "_next": F.lead("sec").over(here)})
+    second = (F.col("_nth") == 2) & (F.col("sec") - F.col("_last") <= seconds)
+    first = (F.col("_nth") == 1) & F.coalesce(F.col("_next") - F.col("sec") <= seconds, F.lit(False))
+    new = trailing_sum((F.col("_nth") == 1).cast("int"), [E], seconds)
+    ev = ev.withColumns({"_new": _zero(new), "_twice": pairs_alive(second, first, [E], seconds), "_off": trailing_sum((F.col("p_hour") < OFFHOURS).cast("int"), [E], seconds)})
     return ev.withColumns(
         {
-            "new_resource_rate_7d": F.size("_edges").cast("double"),
-            "offhours_rate_7d": _zero(trailing_sum((F.col("p_hour") < OFFHOURS).cast("int"), [E], seconds)),
-            "breadth_ratio_7d": F.when(F.size("_edges") > 0, once / F.size("_edges")).otherwise(0.0),
+            "new_resource_rate_7d": F.col("_new"),
+            "offhours_rate_7d": _zero(F.col("_off")),
+            "breadth_ratio_7d": F.when(F.col("_new") > 0, (F.col("_new") - F.col("_twice")) / F.col("_new")).otherwise(0.0),
         }
-    ).drop("_ord", "_new", "_again", "_edges")
+    ).drop("_nth", "_last", "_next", "_new", "_twice", "_off")
 
 
-def corroboration(ev: DataFrame, seconds: int = LONG_WINDOW) -> DataFrame:
+def corroboration(ev: DataFrame, seconds: int = LONG_WINDOW, base: DataFrame | None = None) -> DataFrame:
     """uncorroborated_new_edges_7d and corroboration_7d.
 
     A new edge (first access of an entity to a resource) is corroborated once two peers of the role
     have had their own first access within `seconds` of it. In the order of a resource's first
     accesses by a role, the edges within reach begin at a place that a range frame counts, so
-    the second peer is found by an equi-join on that place rather than by joining all pairs.
+    the second peer is found by an equi-join on that place rather than by joining all pairs. The
+    moment of corroboration is put among the entity's own events, so that counts are running sums.
     """
-    res = "resource_accessed"
-    ev = ev.withColumn("_new", first_seen(E, res))
-    edges = ev.where("_new").select(E, "role", res, "sec", "timestamp", "event_id")
+    res, at = "resource_accessed", ["timestamp", "event_id"]
+    src = ev if base is None else base
+    firsts = src.groupBy(E, res).agg(F.min(F.struct(*at, "role", "sec")).alias("_at"))
+    edges = firsts.select(E, res, "_at.role", "_at.sec", "_at.timestamp", "_at.event_id")
     pool = ["role", res]
     far = Window.partitionBy(*pool).orderBy("sec").rangeBetween(Window.unboundedPreceding, -seconds - 1)
     edges = edges.withColumn("_place", F.row_number().over(ordered(*pool))).withColumn("_out", F.count("*").over(far))
     edges = edges.withColumn("_second", F.when(F.col("_place") <= F.col("_out") + 2, F.col("_out") + 3).otherwise(F.col("_out") + 2))
-    peer = edges.select(*[F.col(c).alias(f"_p_{c}") for c in (*pool, "sec", "timestamp", "event_id")], F.col("_place").alias("_p_place"))
+    edges = store(edges)
+    peer = edges.select(*[F.col(c).alias(f"_p_{c}") for c in (*pool, "sec", *at)], F.col("_place").alias("_p_place"))
     on = [edges[c].eqNullSafe(peer[f"_p_{c}"]) for c in pool] + [edges["_second"] == peer["_p_place"]]
-    met = edges.join(peer, on, "left")
-    near = F.col("_p_sec") <= F.col("sec") + seconds
-    seen = met.select(F.col("event_id").alias("_edge"), F.when(near, F.struct(F.col("_p_timestamp").alias("timestamp"), F.col("_p_event_id").alias("event_id"))).alias("_peer2"))
-    ev = ev.join(seen, ev["event_id"] == seen["_edge"], "left").drop("_edge")
-    reach = Window.partitionBy(E).orderBy("sec").rangeBetween(-seconds, 0)
-    now = F.struct("timestamp", "event_id")
-    news = F.collect_list(F.when(F.col("_new"), F.struct(now.alias("at"), "_peer2"))).over(reach)
-    ev = ev.withColumn("_news", F.filter(news, lambda x: x["at"] < now))
-    both = F.size(F.filter("_news", lambda x: x["_peer2"] < now))
-    return ev.withColumns({"corroboration_7d": both.cast("double"), "uncorroborated_new_edges_7d": (F.size("_news") - both).cast("double")}).drop("_new", "_peer2", "_news")
-
-
-def cmd_surprisal(ev: DataFrame, cut=lambda df: df) -> DataFrame:
+    now, then = F.struct(*at), F.struct(F.col("_p_timestamp").alias("timestamp"), F.col("_p_event_id").alias("event_id"))
+    near = F.coalesce(F.col("_p_sec") <= F.col("sec") + seconds, F.lit(False))
+    known = store(edges.join(peer, on, "left").select(E, "event_id", F.when(near, F.greatest(now, then)).alias("_met")))
+    ev = ev.join(known.select(F.col("event_id").alias("_edge"), F.lit(True).alias("_new"), F.col("_met").isNotNull().alias("_known")), ev["event_id"] == F.col("_edge"), "left").drop("_edge")
+    ev = ev.withColumns({"_new": _zero(trailing_sum(F.coalesce(F.col("_new"), F.lit(False)).cast("int"), [E], seconds)), "_mark": F.lit(0)})
+    met = known.where("_met IS NOT NULL").select(E, "_met.timestamp", "_met.event_id", F.lit(1).alias("_mark"))
+    both = ev.unionByName(met, allowMissingColumns=True)
+    # Its own event comes before a mark of the same moment, so an edge counts from the next event on.
+    begun = F.sum("_mark").over(Window.partitionBy(E).orderBy(*at, "_mark").rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("_begun", F.coalesce(begun, F.lit(0))).where("_mark = 0")
+    gone = F.sum(F.col("_known").cast("int")).over(Window.partitionBy(E).orderBy("sec").rangeBetween(Window.unboundedPreceding, -seconds - 1))
+    both = both.withColumn("corroboration_7d", (F.col("_begun") - F.coalesce(gone, F.lit(0))).cast("double"))
+    return both.withColumn("uncorroborated_new_edges_7d", F.col("_new") - F.col("corroboration_7d")).drop("_new", "_known", "_mark", "_begun")
+
+
+def cmd_surprisal(ev: DataFrame) -> DataFrame:
     """How far an event's mean bits per token are from the entity's own history of them.
 
     Bigrams of the entity and of its type and single tokens are mixed. An event is scored before its own
-    tokens count; the history holds the bits after they count.
+    tokens count; the history holds the bits after they count. Tokens are stored once, summed by event
+    and key, and counted by key; the entity's own counts need no move, as its tokens lie together.
     """
     parts = [F.format_string("hr:%02d", F.col("hour")), F.concat(F.lit("res:"), "resource_accessed"), F.concat(F.lit("auth:"), "auth_method"), F.when(F.col("auth_result") == "success", "ok").otherwise("fail")]
     commands = F.transform(F.coalesce("command_sequence", F.array().cast("array<string>")), lambda c: F.concat(F.lit("cmd:"), c))
-    tokens = ev.select("event_id", E, "entity_type", "timestamp", "sec", F.posexplode(F.concat(F.array(*parts), commands)).alias("pos", "tok"))
-    same = Window.partitionBy("event_id").orderBy("pos")
-    tokens = tokens.withColumn("prev", F.coalesce(F.lag("tok").over(same), F.lit("<BOS>")))
-    order = ("timestamp", "event_id", "pos")
-    tokens = cut(tokens)
-    sets = {"e_bi": [E, "prev", "tok"], "e_ctx": [E, "prev"], "g_bi": ["entity_type", "prev", "tok"], "g_ctx": ["entity_type", "prev"], "uni": ["tok"], "all": []}
-    for name, keys in sets.items():
+    every = F.concat(F.array(*parts), commands)
+    before = F.transform(every, lambda t, i: F.struct(F.when(i > 0, F.get(every, i - 1)).otherwise("<BOS>").alias("prev"), t.alias("tok")))
+    tokens = ev.select("event_id", E, "entity_type", "timestamp", "sec", F.explode(before).alias("t")).select("event_id", E, "entity_type", "timestamp", "sec", F.coalesce("t.prev", F.lit("<BOS>")).alias("prev"), "t.tok")
+    event = ["event_id", E, "entity_type", "timestamp", "sec"]
+    grams = store(tokens.groupBy(*event, "prev", "tok").agg(F.count("*").alias("own")))
+
+    def counted(name: str, keys: list[str]) -> DataFrame:
+        """event_id, keys, name (earlier tokens of the key) and name_own (the event's)."""
+        per = grams.groupBy("event_id", "timestamp", "sec", *keys).agg(F.sum("own").alias(f"{name}_own"))
         if E in keys:
-            tokens = tokens.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+            per = per.withColumn(name, F.coalesce(F.sum(f"{name}_own").over(prior(*keys)), F.lit(0)))
         else:
-            tokens = cut(prior_total(tokens, name, keys, order=order))
-        inside = Window.partitionBy("event_id", *keys)
-        tokens = tokens.withColumn(name, F.col(name) - (F.row_number().over(inside.orderBy("pos")) - 1)).withColumn(name + "_own", F.count("*").over(inside))
+            per = prior_total(per, name, keys, F.col(f"{name}_own"))
+        return per.select("event_id", *keys, name, f"{name}_own")
+
+    sets = {"e_bi": [E, "prev", "tok"], "e_ctx": [E, "prev"], "g_bi": ["entity_type", "prev", "tok"], "g_ctx": ["entity_type", "prev"], "uni": ["tok"], "all": []}
+    for name, keys in sets.items():
+        other = counted(name, keys)
+        marks = {k: f"_j_{k}" for k in ("event_id", *keys)}
+        other = other.withColumnsRenamed(marks)
+        grams_now = grams if name == "e_bi" else joined
+        joined = grams_now.join(other, [grams_now[k].eqNullSafe(other[m]) for k, m in marks.items()]).drop(*marks.values())
 
     def p(after: bool):
         c = {k: F.col(k) + F.col(k + "_own") if after else F.col(k) for k in sets}
         part = lambda a, b: F.when(c[b] > 0, c[a] / c[b]).otherwise(0.0)
         return bits(NGRAM["entity"] * part("e_bi", "e_ctx") + NGRAM["group"] * part("g_bi", "g_ctx") + NGRAM["unigram"] * part("uni", "all") + NGRAM["floor"], 1e-12)
 
-    scored = tokens.groupBy("event_id").agg(F.avg(p(False)).alias("_bits"), F.avg(p(True)).alias("_after"))
+    mean_of = lambda c: F.sum(c * F.col("own")) / F.sum("own")
+    scored = joined.groupBy("event_id").agg(mean_of(p(False)).alias("_bits"), mean_of(p(True)).alias("_after"))
     ev = ev.join(scored, "event_id", "left")
     mean, var, seen = F.avg("_after").over(prior(E)), F.var_samp("_after").over(prior(E)), F.count("_after").over(prior(E))
     sd = F.greatest(F.sqrt(F.greatest(var, F.lit(1e-6))), F.lit(0.5))
     return ev.withColumn("cmd_surprisal", F.when(seen >= 8, (F.col("_bits") - mean) / sd).otherwise(0.0)).drop("_bits", "_after")
 
 
-def signal_frame(log: DataFrame, keep: tuple[str, ...] = (), cut=store) -> DataFrame:
+def signal_frame(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """event_id, the 21 signals, _n_history and _cold_start; keep: further columns of the log.
 
-    Population counts join a frame with sums of itself, so the frame is stored before each such step:
-    the plan then grows with the number of steps rather than doubling at each.
+    The prepared events are stored once, and all population counts are taken from there, so the plan
+    grows with the number of steps and no step repeats those before it.
     """
-    ev = history(prepare(log))
-    for step in (geo_velocity, fail_rates, burst_ratio, ip_signals, fingerprint_mismatch, novelties, deviations):
+    base = history(prepare(log))
+    base = store(is_first(base, "_new_role", ["role", "resource_accessed"]).withColumn("_new_role", F.col("_new_role").cast("int")))
+    ev = base.repartition(E)  # windows of the entity and of the entity and more need no other move
+    for step in (geo_velocity, fail_rates, burst_ratio, fingerprint_mismatch, novelties, deviations):
         ev = step(ev)
-    for step in (hour_surprisal, resource_signals, long_window, corroboration):
-        ev = step(cut(ev))
-    ev = cmd_surprisal(cut(ev), cut)
+    ev = long_window(hour_surprisal(ev, base))
+    ev = ip_signals(resource_signals(ev, base))
+    ev = cmd_surprisal(corroboration(ev, base=base))
     n = F.col("n").cast("double")
     return ev.select("event_id", *keep, *[s.name for s in SIGNALS], n.alias("_n_history"), (F.col("n") < COLD_MIN).cast("double").alias("_cold_start"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import band, norm_ppf_sql, norm_sf_sql, top2mean
-from vigil.functions.ranks import average_precision, roc_auc, wilcoxon
+from vigil.functions.ranks import average_precision, quantiles, roc_auc, wilcoxon
 from vigil.operators import alerts as A
 from vigil.operators import explain as X
 from vigil.operators import fusion as U
@@ -14,6 +14,7 @@ from vigil.operators import signals as S
 from vigil.operators.causal import prepare
 from vigil.plans.signal_queries import FAIL, HIST, _burst, _trail
 from vigil.schema import ATTACK_TYPES
+from vigil.sources.store import store
 from vigil.sources.tables import LABELS_SQL, LOG_SQL, driver_labels, driver_log
 
 DAY = 86400
@@ -121,8 +122,9 @@ def fused_score(spark, sf):
     df = zframe(spark, sf)
     raw = U.raw_column({c: F.col(f"z_{c}") for c in Z3}, WEIGHTS, 1.5, [F.col("z_ip_novelty") / 2])
     df = df.withColumn("raw", raw)
-    theta = df.agg(F.percentile("raw", 0.99).alias("theta"))
-    return df.crossJoin(F.broadcast(theta)).select("event_id", F.round("raw", 5).alias("raw"), band(F.round("raw", 9), F.round("theta", 9)).alias("band"))
+    df = store(df.select("event_id", "raw"))
+    theta = quantiles(df, "raw", {"theta": 0.99}).scalar()
+    return df.select("event_id", F.round("raw", 5).alias("raw"), band(F.round("raw", 9), F.round(theta, 9)).alias("band"))
 
 
 FUSED = _z_cte() + """, rw AS (SELECT event_id, greatest((0.9 * z_fail_rate_entity + 0.9 * z_burst_ratio + 0.5 * z_ip_novelty) / 1.5,

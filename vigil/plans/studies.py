@@ -81,8 +81,8 @@ def ablation(fit_signals: DataFrame, fit_labels: DataFrame, signals: DataFrame,
         scored = U.score(signals, U.fit(fit_signals, fit_labels, layers=kept))
         row = M.event_metrics(scored, labels).withColumn("without", F.lit(gone or "-"))
         out = row if out is None else out.unionByName(row)
-    full = F.broadcast(out.where("without = '-'").select(F.col("precision_at_k").alias("_full")))
-    return out.crossJoin(full).withColumn("change", F.col("precision_at_k") - F.col("_full")).drop("_full")
+    full = out.where("without = '-'").select("precision_at_k").scalar()
+    return out.withColumn("change", F.col("precision_at_k") - full)
 
 
 def learned_types(train: DataFrame, test: DataFrame, merge: bool = False) -> DataFrame:

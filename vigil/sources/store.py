@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def store(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the cluster's shared checkpoint folder (one of its own only where none is named)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigil-"))
-    return df.checkpoint()
+    """df written to the cluster's shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None and re.match(r"local(\[|$)", spark.sparkContext.master):
+        root = tempfile.gettempdir()  # one process: its folder is shared by all tasks
+    if root is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{root.rstrip('/')}/frame-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

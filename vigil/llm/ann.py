@@ -18,7 +18,8 @@ Equal vectors are indexed as one, so copies take no share of the pivots, the pos
 exact ranking. Its ids come back after that: the k + 1 smallest of a vector suffice, as ties go
 to the smaller id and at most one of them is the query's own.
 
-Vectors that are null, zero, or hold null or non-finite components take no part. Rows that
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
+another length than most of the rest (of equally many: the shorter). Rows that
 repeat a vec_id count once (the smallest vector by order is kept). Ties in score go to the
 smaller vec_id; ties in footrule distance also. An empty table gives an empty result; further
 columns are not read.
@@ -98,9 +99,12 @@ def search(
     rows, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
     rows = written(distinct(rows, k + 1), "vectors")
-    pivots = directions(rows, n_pivots)
-    if not len(pivots):
+    lengths = rows.groupBy(F.size("vec").alias("n")).agg(F.sum(F.size("ids")).alias("rows"))
+    usual = lengths.orderBy(F.desc("rows"), "n").select("n").first()
+    if usual is None:
         return spark.createDataFrame([], schema)
+    rows, asked = rows.where(F.size("vec") == usual.n), asked.where(F.size("vec") == usual.n)
+    pivots = directions(rows, n_pivots)
     p_n = len(pivots)
     posted, probed = min(posted, p_n), min(probed, p_n)
     held = spark.sparkContext.broadcast(pivots)

@@ -45,11 +45,13 @@ def sentence_bounds(raw: bytes) -> list[int]:
     return size.tolist()
 
 
-def sentences(raw: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Ends of the sentences of a text, the numbers of those with words, and two hashes of each of these."""
+def sentences(raw: bytes, ends_only: bool = False) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Ends of the sentences of a text, the numbers of those with words, and two hashes of each of these (if more than the ends is asked for)."""
+    bounds = sentence_bounds(raw)
+    if ends_only and np.diff([0, *bounds]).max(initial=0) <= 2 * LONGEST:
+        return bounds, np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)  # too short to be cut
     low = LOWER[np.frombuffer(raw, np.uint8)]
     starts, ends, _ = word_spans(low, np.array([0, len(raw)], np.int64))
-    bounds = sentence_bounds(raw)
     if not len(starts):
         return bounds, np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
     h = span_hashes(low, starts, ends)
@@ -60,6 +62,8 @@ def sentences(raw: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
         bounds = np.union1d(bounds, ends[inner]).tolist()
         cut = np.searchsorted(starts, np.array([0, *bounds]))
     full = np.flatnonzero(np.diff(cut) > 0)
+    if ends_only:
+        return bounds, full, np.zeros((0, 2), np.uint64)
     first = cut[full]
     place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
     salted = h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +129,7 @@ def deduplicated(docs: DataFrame, run: int = 3) -> DataFrame:
     def strip(batch):
         out, ids, times = [[] for _ in range(5)], [], []
         for k, (raw, ranges, rows) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-            ends, full, _ = sentences(raw)
+            ends, full, _ = sentences(raw, rows == 1)
             for later, n in ((False, 1), (True, rows - 1)):
                 if not n:
                     continue

@@ -54,9 +54,9 @@ def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", by: tup
     names = df.columns
     df = df.withColumn("_s", F.when(F.col(score).isNull() | F.isnan(F.col(score)), F.lit(float("-inf"))).otherwise(F.col(score).cast("double")))
     df = df.withColumn("_cell", leading(F.col("_s")))
-    placed = _placed(df.groupBy(*by, "_cell").agg(F.count("*").alias("n")), ["n"], by, True)
+    placed = _placed(df.groupBy(*by, "_cell").agg(F.count("*").alias("_rows")), ["_rows"], by, True)
     own = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(F.desc("_s"), tie))
-    return df.join(placed, _beside(df, placed, by)).withColumn(name, F.col("_start_n") + own).select(*names, name)
+    return df.join(placed, _beside(df, placed, by)).withColumn(name, F.col("_start__rows") + own).select(*names, name)
 
 
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:

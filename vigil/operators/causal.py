@@ -43,27 +43,30 @@ def first_seen(*keys: str) -> Column:
     return F.row_number().over(ordered(*keys)) == 1
 
 
-def prior_total(df: DataFrame, name: str, keys: list[str], value: Column | None = None, order: tuple[str, ...] = ORDER, base: DataFrame | None = None, seconds: int = 900) -> DataFrame:
-    """Adds the sum of value (or the count) over a population's earlier rows, for keys with few values and many rows.
+def prior_totals(df: DataFrame, sets: dict[str, tuple[list, Column]], ids: list[str], carry: tuple[str, ...] = (), seconds: int = 900) -> DataFrame:
+    """ids, carry and, for each name: (keys, value) of sets, the sum of value over the key's rows of earlier events as name, and of the row's own event as name_own.
 
-    A window over such a key would be one task. Totals of (key, bucket of some minutes) are summed within
-    each day and over the days, which places a bucket; only the rows of one bucket are sorted together.
-    base: a stored frame with the same rows, keys and value, from which the totals are read; a
-    chain of such steps then reads it once each, rather than repeating the chain.
+    Populations have keys with few values and many rows, for which a window would be one task. All sets are
+    counted in one pass: totals of (set, key, bucket of some minutes) are summed within each day
+    and over the days, which places a bucket, and only the rows of one bucket are sorted together.
+    ids tell the rows of df apart; carry are further columns to keep.
     """
-    value = F.lit(1) if value is None else value
-    mark = lambda x: x.withColumn("_v", value.cast("long")).withColumn("_day", F.floor(F.col("sec") / 86400)).withColumn("_bucket", F.floor(F.col("sec") / seconds))
-    df, keys = mark(df), list(keys)
-    totals = (df if base is None else mark(base)).groupBy(*keys, "_day", "_bucket").agg(F.sum("_v").alias("_in"))
-    before = lambda c, part, at: F.coalesce(F.sum(c).over(Window.partitionBy(*part, F.lit(0)).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = totals.groupBy(*keys, "_day").agg(F.sum("_in").alias("_in")).withColumn("_start", before("_in", keys, "_day")).drop("_in")
-    marks = [(k, f"_k{i}") for i, k in enumerate([*keys, "_day"])]
-    days = days.withColumnsRenamed(dict(marks))
-    parts = totals.withColumn("_inner", before("_in", [*keys, "_day"], "_bucket"))
-    starts = parts.join(days, [parts[k].eqNullSafe(days[m]) for k, m in marks]).select(*[F.col(m) for _, m in marks[:-1]], F.col("_bucket").alias("_b"), (F.col("_start") + F.col("_inner")).alias("_start"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    on = [*[df[k].eqNullSafe(starts[m]) for k, m in marks[:-1]], df["_bucket"] == starts["_b"]]
-    return df.join(starts, on).withColumn(name, F.col("_start") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_v", "_day", "_bucket", "_b", "_start", *[m for _, m in marks[:-1]])
+    text = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00"))
+    each = [F.struct(F.lit(i).alias("_set"), F.concat_ws("\x01", F.lit(""), *[text(k) for k in keys]).alias("_key"), value.cast("long").alias("_v")) for i, (keys, value) in enumerate(sets.values())]
+    names = list(dict.fromkeys([*ids, *carry, *ORDER]))
+    rows = df.select(*names, F.floor(F.col("sec") / 86400).alias("_day"), F.floor(F.col("sec") / seconds).alias("_bucket"), F.explode(F.array(*each)).alias("_x")).select(*names, "_day", "_bucket", "_x.*")
+    group = ["_set", "_key"]
+    totals = rows.groupBy(*group, "_day", "_bucket").agg(F.sum("_v").alias("_in"))
+    before = lambda part, at: F.coalesce(F.sum("_in").over(Window.partitionBy(*part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = totals.groupBy(*group, "_day").agg(F.sum("_in").alias("_in")).withColumn("_start", before(group, "_day")).drop("_in")
+    parts = totals.withColumn("_inner", before([*group, "_day"], "_bucket")).drop("_in")
+    starts = parts.join(days, [*group, "_day"]).select(*group, "_bucket", (F.col("_start") + F.col("_inner")).alias("_start"))
+    upto = F.sum("_v").over(Window.partitionBy(*group, "_bucket").orderBy(*ORDER).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.sum("_v").over(Window.partitionBy(*group, "_bucket", *ORDER))
+    placed = rows.join(starts, [*group, "_bucket"]).withColumn("_own", own).withColumn("_before", F.col("_start") + upto - F.col("_own"))
+    of = lambda i, c: F.max(F.when(F.col("_set") == i, F.col(c)))
+    kept = [F.first(c).alias(c) for c in carry if c not in ids]
+    return placed.groupBy(*ids).agg(*kept, *[f for i, n in enumerate(sets) for f in (of(i, "_before").alias(n), of(i, "_own").alias(f"{n}_own"))])
 
 
 def is_first(df: DataFrame, name: str, keys: list[str]) -> DataFrame:

@@ -62,6 +62,10 @@ def rank_p(df: DataFrame, score: str, cohort: str, tie: str = "event_id") -> Dat
     return joined.withColumn("p", F.col("_place") / (1 + F.col("_all"))).drop("_place", "_cohort", "_all")
 
 
+#: Fixed value: what the order within a step of the isotonic map may add.
+TIE = 1e-6
+
+
 @dataclass
 class Fusion:
     """A fitted level: references, weights, spread, threshold, calibration and cohort references."""
@@ -75,6 +79,7 @@ class Fusion:
     scale: float = 1.0
     theta: float = float("nan")
     cohorts: dict[str, np.ndarray] = field(default_factory=dict)
+    raws: np.ndarray = field(default_factory=lambda: np.zeros(0))  # fused scores of the reference, in order
     steps: tuple[np.ndarray, np.ndarray] | None = None  # isotonic: raw, probability
     platt: tuple[float, float] | None = None
 
@@ -91,7 +96,9 @@ class Fusion:
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         if self.steps is not None:
-            return np.interp(raw, *self.steps)
+            # Plateaus are told apart by the score's place in the reference, so equal probabilities keep an order.
+            place = np.interp(raw, self.raws, np.linspace(0, 1, len(self.raws))) if len(self.raws) else 0.0
+            return np.interp(raw, *self.steps) + TIE * place
         if self.platt is not None:
             return 1 / (1 + np.exp(-(self.platt[0] * raw + self.platt[1])))
         return raw
@@ -137,6 +144,21 @@ def with_raw(df: DataFrame, f: Fusion, name: str = "raw") -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def with_tail_p(df: DataFrame, f: Fusion, name: str = "p") -> DataFrame:
+    """Adds the share of the cohort's reference at or above each raw score; df has raw and entity_type."""
+    held = df.sparkSession.sparkContext.broadcast(f)
+    columns = df.columns
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf[columns]
+            pdf[name] = held.value.tail_p(pdf["raw"].to_numpy(), pdf["entity_type"].to_numpy())
+            yield pdf
+
+    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema] + [f"{name} double"])
+    return df.mapInPandas(run, schema)
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pooled adjacent violators: the knots of the increasing step function nearest to y, each y counting n times (once by default)."""
     x, y = np.asarray(x, float), np.asarray(y, float)
@@ -172,12 +194,12 @@ def _calibrate(f: Fusion, raw: DataFrame, labels: DataFrame | None, attacks: tup
         f.steps = isotonic(per["x"], per["y"], per["n"])
 
 
-def fit(signals: DataFrame, labels: DataFrame | None = None, layers: tuple[str, ...] | None = None, without: tuple[str, ...] = (), rounds: int = 2, attacks: tuple[str, ...] | None = None) -> dict[str, Fusion]:
-    """Fits each level on a signal frame with event_id and entity_type. Flagged (top 1 %) events leave the reference in each round."""
+def fit(signals: DataFrame, labels: DataFrame | None = None, layers: tuple[str, ...] | None = None, without: tuple[str, ...] = (), rounds: int = 2, attacks: tuple[str, ...] | None = None, levels: tuple[str, ...] = LEVELS) -> dict[str, Fusion]:
+    """Fits each of the levels on a signal frame with event_id and entity_type. Flagged (top 1 %) events leave the reference in each round."""
     from vigil.schema import ATTACK_TYPES
 
     out = {}
-    for level in LEVELS:
+    for level in levels:
         take = lambda m: [s for s in signals_of(level, layers, m) if s.name not in without]  # noqa: E731,B023
         f = Fusion(level, take(False), take(True))
         columns = [s.name for s in [*f.signals, *f.mitigators]]
@@ -191,6 +213,7 @@ def fit(signals: DataFrame, labels: DataFrame | None = None, layers: tuple[str,
         scored = with_raw(base, f)
         f.theta = float(scored.agg(F.percentile_approx("raw", 0.99, 100000)).first()[0])
         ref = _sample(scored.where(F.col("raw") < cut), ["raw", "entity_type"])
+        f.raws = np.sort(ref["raw"].to_numpy())
         f.cohorts = {"*": np.sort(ref["raw"].to_numpy())} | {c: np.sort(g["raw"].to_numpy()) for c, g in ref.groupby("entity_type") if len(g) >= 200}
         _calibrate(f, scored, labels, attacks or ATTACK_TYPES)
         out[level] = f

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.ranks import global_rank, rank_statistics
+from vigil.functions.ranks import global_rank, rank_statistics, running
 from vigil.operators.alerts import attribution
 from vigil.schema import ATTACK_TYPES, DAILY_BUDGET, INSIDER
 from vigil.sources.store import store
@@ -197,6 +197,68 @@ def quiet_runs(daily: DataFrame, keys: list[str], value: str, theta: float, days
     return daily.withColumn("_calm", calm).groupBy(*keys).agg(F.min(F.when(F.col("_calm"), F.col("day"))).alias("quiet_from"))
 
 
+def score_by_size(alerts: DataFrame) -> DataFrame:
+    """n_alerts and r, the correlation of alert_score with n_events."""
+    return alerts.agg(F.count("*").alias("n_alerts"), F.corr("alert_score", "n_events").alias("r"))
+
+
+def recent_events(events: DataFrame, last: int = 40) -> DataFrame:
+    """The last events of each entity, latest first by place, with the number of resources and addresses it has used in all."""
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("timestamp"), F.desc("event_id")))
+    used = events.groupBy("entity_id").agg(F.countDistinct("resource_accessed").alias("n_resources"), F.countDistinct("source_ip").alias("n_ips"))
+    return events.withColumn("place", place).where(F.col("place") <= last).join(used, "entity_id")
+
+
+def first_alerts(queue: DataFrame, assignment: DataFrame, labels: DataFrame) -> DataFrame:
+    """campaign_id, alert_id, start_ts: the earliest reviewed alert of each campaign (ties: the smaller alert_id)."""
+    mine = assignment.join(queue.select("alert_id").distinct(), "alert_id", "left_semi")
+    hits = queue.join(attribution(mine, labels), "alert_id")
+    least = hits.groupBy("campaign_id").agg(F.min(F.struct("start_ts", "alert_id")).alias("x"))
+    return least.select("campaign_id", "x.alert_id", "x.start_ts")
+
+
+def pivot_mean(df: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
+    """Mean of value by row, one column for each of columns."""
+    return df.groupBy(row).pivot(column, columns).agg(F.avg(value))
+
+
+def registry(events: DataFrame, key: str) -> DataFrame:
+    """key, n, share and begin: each value's part of the unit interval by its rows, heaviest first (ties: the smaller value).
+
+    A uniform number falls in the part of the value that it draws. Values are ranked in buckets, so a large registry is no one task's.
+    """
+    per = store(events.groupBy(key).agg(F.count("*").alias("n")))
+    whole = per.agg(F.sum("n")).scalar()
+    steps = running(per.groupBy("n").agg(F.sum("n").alias("_sum")), "n", {"_sum": "_upto"}).select(F.col("n").alias("_n"), (F.col("_upto") - F.col("_sum")).alias("_above"))
+    within = global_rank(per, "n", key, "_place", ("n",))
+    at = within.join(steps, within["n"] == steps["_n"]).withColumn("begin", (F.col("_above") + (F.col("_place") - 1) * F.col("n")) / whole)
+    return at.select(key, "n", "begin", (F.col("n") / whole).alias("share"))
+
+
+def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """How many values of key both frames have, and only the first or the second."""
+    x, y = a.select(key).distinct(), b.select(key).distinct()
+    marked = x.withColumn("_a", F.lit(1)).join(y.withColumn("_b", F.lit(1)), key, "full")
+    return marked.agg(F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)).alias("both"), F.count(F.when(F.col("_b").isNull(), 1)).alias("first_only"), F.count(F.when(F.col("_a").isNull(), 1)).alias("second_only"))
+
+
+def verdict_counts(verdicts: DataFrame) -> DataFrame:
+    """verdict, n: what reviewers said of alerts (alert_id, verdict, at), the last word on each alert counting."""
+    last = verdicts.groupBy("alert_id").agg(F.max_by("verdict", F.struct("at", "verdict")).alias("verdict"))
+    return last.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+#: Fewer entities or attack campaigns than these make figures illustrations.
+LEAST_ENTITIES, LEAST_CAMPAIGNS = 150, 40
+
+
+def scale_note(events: DataFrame, campaigns: DataFrame) -> str | None:
+    """A warning if a log is too small for its figures to stand for results."""
+    n = events.select("entity_id").distinct().count()
+    c = campaigns.where(F.col("campaign_type").isin(*ATTACK_TYPES)).count()
+    return f"illustration only: {n} entities (of {LEAST_ENTITIES}) and {c} attack campaigns (of {LEAST_CAMPAIGNS})" if n < LEAST_ENTITIES or c < LEAST_CAMPAIGNS else None
+
+
 def headline(row) -> str:
     """The main figures of event_metrics(), one a line."""
     f = lambda x: "-" if x is None or math.isnan(x) else f"{x:.3f}"

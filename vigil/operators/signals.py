@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import bits, haversine_km
-from vigil.operators.causal import first_seen, is_first, ordered, pairs_alive, prepare, prior, prior_total, trailing_sum
+from vigil.operators.causal import first_seen, is_first, ordered, pairs_alive, prepare, prior, prior_totals, trailing_sum
 from vigil.schema import BURST_FLOOR, BURST_MIN, COLD_MIN, COLD_N0, FAIL_WINDOW, GEO_CAP_KMH, GEO_GATE_KM, IP_WINDOW, LONG_WINDOW, NGRAM, OFFHOURS, SIGNALS
 from vigil.sources.store import store
 
@@ -74,15 +74,31 @@ def fingerprint_mismatch(ev: DataFrame) -> DataFrame:
     return ev.withColumn("fingerprint_mismatch", F.when(usual.isNull(), 0.0).otherwise(differs.cast("double"))).drop("_at", "_count", "_first")
 
 
-def hour_surprisal(ev: DataFrame, base: DataFrame | None = None) -> DataFrame:
+HOUR_SETS = {"_type_n": ["entity_type"], "_type_hour": ["entity_type", "hour"]}
+RESOURCE_SETS = {"_role_n": ["role"], "_role_d": ["role"], "_role_res": ["role", "resource_accessed"]}
+
+
+def populations(ev: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Adds earlier counts of an event's type and role, by name. _role_d needs _new_role."""
+    every = HOUR_SETS | RESOURCE_SETS
+    sets = {n: (every[n], F.col("_new_role") if n == "_role_d" else F.lit(1)) for n in names}
+    counts = prior_totals(ev, sets, ["event_id"]).select(F.col("event_id").alias("_id"), *names)
+    return ev.join(counts, ev["event_id"] == counts["_id"]).drop("_id")
+
+
+def with_new_role(ev: DataFrame) -> DataFrame:
+    return is_first(ev, "_new_role", ["role", "resource_accessed"]).withColumn("_new_role", F.col("_new_role").cast("int"))
+
+
+def hour_surprisal(ev: DataFrame) -> DataFrame:
     """Needs n and lam; adds p_hour too."""
-    ev = prior_total(ev, "_type_n", ["entity_type"], base=base)
-    ev = prior_total(ev, "_type_hour", ["entity_type", "hour"], base=base)
+    if "_type_n" not in ev.columns:
+        ev = populations(ev, tuple(HOUR_SETS))
     own = F.row_number().over(ordered(E, "hour")) - 1
     p_e = F.when(F.col("n") > 0, (own + 0.5) / (F.col("n") + 12)).otherwise(1 / 24)
     p_t = F.when(F.col("_type_n") > 0, (F.col("_type_hour") + 1) / (F.col("_type_n") + 24)).otherwise(1 / 24)
     ev = ev.withColumn("p_hour", F.col("lam") * p_e + (1 - F.col("lam")) * p_t)
-    return ev.withColumn("hour_surprisal", bits(F.col("p_hour"))).drop("_type_n", "_type_hour")
+    return ev.withColumn("hour_surprisal", bits(F.col("p_hour"))).drop(*HOUR_SETS)
 
 
 def novelties(ev: DataFrame) -> DataFrame:
@@ -91,20 +107,17 @@ def novelties(ev: DataFrame) -> DataFrame:
     return ev.withColumns({name: F.when(first_seen(E, c), F.col("lam")).otherwise(0.0) for name, c in new.items()})
 
 
-def resource_signals(ev: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """peer_incongruence and resource_surprisal. Needs n and lam; with base, also _new_role (1 at a role's first access to a resource)."""
+def resource_signals(ev: DataFrame) -> DataFrame:
+    """peer_incongruence and resource_surprisal. Needs n and lam."""
     res = "resource_accessed"
-    if "_new_role" not in ev.columns:
-        ev = is_first(ev, "_new_role", ["role", res]).withColumn("_new_role", F.col("_new_role").cast("int"))
-    ev = prior_total(ev, "_role_n", ["role"], base=base)
-    ev = prior_total(ev, "_role_d", ["role"], F.col("_new_role"), base=base)
-    ev = prior_total(ev, "_role_res", ["role", res], base=base)
+    if "_role_n" not in ev.columns:
+        ev = populations(with_new_role(ev), tuple(RESOURCE_SETS))
     p_role = F.when(F.col("_role_n") > 0, (F.col("_role_res") + 0.5) / (F.col("_role_n") + 0.5 * (F.col("_role_d") + 1))).otherwise(1e-3)
     own = F.row_number().over(ordered(E, res)) - 1
     p_e = F.when(F.col("n") > 0, (own + 0.5) / (F.col("n") + 32)).otherwise(1e-3)
     ev = ev.withColumn("_p_role", p_role).withColumn("peer_incongruence", bits(F.col("_p_role")))
     p = F.col("lam") * p_e + (1 - F.col("lam")) * F.col("_p_role")
-    return ev.withColumn("resource_surprisal", F.greatest(F.lit(0.0), bits(p) - F.col("peer_incongruence"))).drop("_new_role", "_role_n", "_role_d", "_role_res", "_p_role")
+    return ev.withColumn("resource_surprisal", F.greatest(F.lit(0.0), bits(p) - F.col("peer_incongruence"))).drop("_new_role", "_p_role", *RESOURCE_SETS)
 
 
 def deviations(ev: DataFrame) -> DataFrame:
@@ -177,8 +190,8 @@ def cmd_surprisal(ev: DataFrame) -> DataFrame:
     """How far an event's mean bits per token are from the entity's own history of them.
 
     Bigrams of the entity and of its type and single tokens are mixed. An event is scored before its own
-    tokens count; the history holds the bits after they count. Tokens are stored once, summed by event
-    and key, and counted by key; the entity's own counts need no move, as its tokens lie together.
+    tokens count; the history holds the bits after they count. Tokens are stored once, summed
+    by event; all populations are counted in one pass.
     """
     parts = [F.format_string("hr:%02d", F.col("hour")), F.concat(F.lit("res:"), "resource_accessed"), F.concat(F.lit("auth:"), "auth_method"), F.when(F.col("auth_result") == "success", "ok").otherwise("fail")]
     commands = F.transform(F.coalesce("command_sequence", F.array().cast("array<string>")), lambda c: F.concat(F.lit("cmd:"), c))
@@ -187,26 +200,15 @@ def cmd_surprisal(ev: DataFrame) -> DataFrame:
     tokens = ev.select("event_id", E, "entity_type", "timestamp", "sec", F.explode(before).alias("t")).select("event_id", E, "entity_type", "timestamp", "sec", F.coalesce("t.prev", F.lit("<BOS>")).alias("prev"), "t.tok")
     event = ["event_id", E, "entity_type", "timestamp", "sec"]
     grams = store(tokens.groupBy(*event, "prev", "tok").agg(F.count("*").alias("own")))
-
-    def counted(name: str, keys: list[str]) -> DataFrame:
-        """event_id, keys, name (earlier tokens of the key) and name_own (the event's)."""
-        per = grams.groupBy("event_id", "timestamp", "sec", *keys).agg(F.sum("own").alias(f"{name}_own"))
-        if E in keys:
-            per = per.withColumn(name, F.coalesce(F.sum(f"{name}_own").over(prior(*keys)), F.lit(0)))
-        else:
-            per = prior_total(per, name, keys, F.col(f"{name}_own"))
-        return per.select("event_id", *keys, name, f"{name}_own")
-
-    sets = {"e_bi": [E, "prev", "tok"], "e_ctx": [E, "prev"], "g_bi": ["entity_type", "prev", "tok"], "g_ctx": ["entity_type", "prev"], "uni": ["tok"], "all": []}
-    for name, keys in sets.items():
-        other = counted(name, keys)
-        marks = {k: f"_j_{k}" for k in ("event_id", *keys)}
-        other = other.withColumnsRenamed(marks)
-        grams_now = grams if name == "e_bi" else joined
-        joined = grams_now.join(other, [grams_now[k].eqNullSafe(other[m]) for k, m in marks.items()]).drop(*marks.values())
+    own = F.col("own")
+    sets = {"g_bi": (["entity_type", "prev", "tok"], own), "g_ctx": (["entity_type", "prev"], own), "uni": (["tok"], own), "all": ([], own)}
+    joined = prior_totals(grams, sets, ["event_id", "prev", "tok"], (E, "timestamp", "own"))
+    for name, keys in (("e_bi", [E, "prev", "tok"]), ("e_ctx", [E, "prev"])):
+        upto = F.sum("own").over(Window.partitionBy(*keys).orderBy("timestamp", "event_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        joined = joined.withColumn(name + "_own", F.sum("own").over(Window.partitionBy(*keys, "timestamp", "event_id"))).withColumn(name, upto - F.col(name + "_own"))
 
     def p(after: bool):
-        c = {k: F.col(k) + F.col(k + "_own") if after else F.col(k) for k in sets}
+        c = {k: F.col(k) + F.col(k + "_own") if after else F.col(k) for k in (*sets, "e_bi", "e_ctx")}
         part = lambda a, b: F.when(c[b] > 0, c[a] / c[b]).otherwise(0.0)
         return bits(NGRAM["entity"] * part("e_bi", "e_ctx") + NGRAM["group"] * part("g_bi", "g_ctx") + NGRAM["unigram"] * part("uni", "all") + NGRAM["floor"], 1e-12)
 
@@ -221,16 +223,14 @@ def cmd_surprisal(ev: DataFrame) -> DataFrame:
 def signal_frame(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """event_id, the 21 signals, _n_history and _cold_start; keep: further columns of the log.
 
-    The prepared events are stored once, and all population counts are taken from there, so the plan
-    grows with the number of steps and no step repeats those before it.
+    The prepared events are stored once, and all that needs other events reads them from there, so the
+    plan grows with the number of steps and no step repeats those before it.
     """
-    base = history(prepare(log))
-    base = store(is_first(base, "_new_role", ["role", "resource_accessed"]).withColumn("_new_role", F.col("_new_role").cast("int")))
-    ev = base.repartition(E)  # windows of the entity and of the entity and more need no other move
-    for step in (geo_velocity, fail_rates, burst_ratio, fingerprint_mismatch, novelties, deviations):
+    base = store(with_new_role(history(prepare(log))))
+    ev = populations(base, (*HOUR_SETS, *RESOURCE_SETS)).repartition(E)  # windows of the entity and of the entity and more need no other move
+    for step in (geo_velocity, fail_rates, burst_ratio, fingerprint_mismatch, novelties, deviations, hour_surprisal, long_window, resource_signals):
         ev = step(ev)
-    ev = long_window(hour_surprisal(ev, base))
-    ev = ip_signals(resource_signals(ev, base))
+    ev = store(ip_signals(ev))
     ev = cmd_surprisal(corroboration(ev, base=base))
     n = F.col("n").cast("double")
     return ev.select("event_id", *keep, *[s.name for s in SIGNALS], n.alias("_n_history"), (F.col("n") < COLD_MIN).cast("double").alias("_cold_start"))

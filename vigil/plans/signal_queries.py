@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from vigil.operators import signals as S
 from vigil.operators.causal import prepare
-from vigil.schema import SIGNALS
 from vigil.sources.tables import LOG_SQL, driver_log
 
 DAY = 86400
@@ -177,12 +176,6 @@ REGISTRY = {
 }
 
 
-def signal_table(spark, sf_dir):
-    """All 21 signals of each event."""
-    out = S.signal_frame(driver_log(spark, sf_dir))
-    return _rounded(out, *[s.name for s in SIGNALS], "_n_history", "_cold_start")
-
-
 def queries():
     return {name: _query(steps, *columns) for name, (steps, columns, _) in REGISTRY.items()}
 

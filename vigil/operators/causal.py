@@ -49,10 +49,11 @@ def prior_totals(df: DataFrame, sets: dict[str, tuple[list, Column]], ids: list[
     Populations have keys with few values and many rows, for which a window would be one task. All sets are
     counted in one pass: totals of (set, key, bucket of some minutes) are summed within each day
     and over the days, which places a bucket, and only the rows of one bucket are sorted together.
-    ids tell the rows of df apart; carry are further columns to keep.
+    ids tell
+    the rows of df apart; carry are further columns to keep.
     """
-    text = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00"))
-    each = [F.struct(F.lit(i).alias("_set"), F.concat_ws("\x01", F.lit(""), *[text(k) for k in keys]).alias("_key"), value.cast("long").alias("_v")) for i, (keys, value) in enumerate(sets.values())]
+    null = lambda keys: F.concat_ws(",", *[F.col(k).isNull().cast("string") for k in keys]) if keys else F.lit("")
+    each = [F.struct(F.lit(i).alias("_set"), F.xxhash64(F.lit(i), null(keys), *keys).alias("_key"), value.cast("long").alias("_v")) for i, (keys, value) in enumerate(sets.values())]
     names = list(dict.fromkeys([*ids, *carry, *ORDER]))
     rows = df.select(*names, F.floor(F.col("sec") / 86400).alias("_day"), F.floor(F.col("sec") / seconds).alias("_bucket"), F.explode(F.array(*each)).alias("_x")).select(*names, "_day", "_bucket", "_x.*")
     group = ["_set", "_key"]

@@ -197,15 +197,17 @@ def cmd_surprisal(ev: DataFrame) -> DataFrame:
     commands = F.transform(F.coalesce("command_sequence", F.array().cast("array<string>")), lambda c: F.concat(F.lit("cmd:"), c))
     every = F.concat(F.array(*parts), commands)
     before = F.transform(every, lambda t, i: F.struct(F.when(i > 0, F.get(every, i - 1)).otherwise("<BOS>").alias("prev"), t.alias("tok")))
-    tokens = ev.select("event_id", E, "entity_type", "timestamp", "sec", F.explode(before).alias("t")).select("event_id", E, "entity_type", "timestamp", "sec", F.coalesce("t.prev", F.lit("<BOS>")).alias("prev"), "t.tok")
+    tokens = ev.select("event_id", E, "entity_type", "timestamp", "sec", F.posexplode(before).alias("pos", "t")).select("event_id", E, "entity_type", "timestamp", "sec", "pos", F.coalesce("t.prev", F.lit("<BOS>")).alias("prev"), "t.tok")
     event = ["event_id", E, "entity_type", "timestamp", "sec"]
-    grams = store(tokens.groupBy(*event, "prev", "tok").agg(F.count("*").alias("own")))
-    own = F.col("own")
-    sets = {"g_bi": (["entity_type", "prev", "tok"], own), "g_ctx": (["entity_type", "prev"], own), "uni": (["tok"], own), "all": ([], own)}
-    joined = prior_totals(grams, sets, ["event_id", "prev", "tok"], (E, "timestamp", "own"))
+    grams = store(tokens.groupBy(*event, "prev", "tok").agg(F.count("*").alias("own"), F.min("pos").alias("gram")))
+    held = ["own"]
     for name, keys in (("e_bi", [E, "prev", "tok"]), ("e_ctx", [E, "prev"])):
         upto = F.sum("own").over(Window.partitionBy(*keys).orderBy("timestamp", "event_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        joined = joined.withColumn(name + "_own", F.sum("own").over(Window.partitionBy(*keys, "timestamp", "event_id"))).withColumn(name, upto - F.col(name + "_own"))
+        grams = grams.withColumn(name + "_own", F.sum("own").over(Window.partitionBy(*keys, "timestamp", "event_id"))).withColumn(name, upto - F.col(name + "_own"))
+        held += [name, name + "_own"]
+    own = F.col("own")
+    sets = {"g_bi": (["entity_type", "prev", "tok"], own), "g_ctx": (["entity_type", "prev"], own), "uni": (["tok"], own), "all": ([], own)}
+    joined = prior_totals(grams, sets, ["event_id", "gram"], tuple(held))
 
     def p(after: bool):
         c = {k: F.col(k) + F.col(k + "_own") if after else F.col(k) for k in (*sets, "e_bi", "e_ctx")}

@@ -30,6 +30,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +92,10 @@ def _sorted_marks(text: np.ndarray, smaller: np.ndarray, marks: np.ndarray, n_te
             _, name = np.unique(part, return_inverse=True)
         else:
             # Those with more characters are ranked within their name; the rest of a name's rows have ended.
-            order = np.lexsort((part, name[todo]))
-            a, b = name[todo][order], part[order]
-            step = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+            _, small = np.unique(part, return_inverse=True)
+            key = name[todo] * len(todo) + small
+            order = np.argsort(key)
+            step = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
             wide = np.zeros(m, np.int64)
             wide[todo[order]] = step + 1
             _, name = np.unique(name * (m + 1) + wide, return_inverse=True)
@@ -110,8 +112,9 @@ def _sorted_marks(text: np.ndarray, smaller: np.ndarray, marks: np.ndarray, n_te
             break
         live = np.flatnonzero(counts[rank] > 1)
         after = np.where(live + step < m, rank[np.minimum(live + step, m - 1)] + 1, 0)
-        order = np.lexsort((after, rank[live]))
-        a, b = rank[live][order], after[order]
+        key = rank[live] * (m + 1) + after
+        order = np.argsort(key)
+        a, b = np.divmod(key[order], m + 1)
         fresh = np.concatenate([[True], a[1:] != a[:-1]])
         changed = fresh | np.concatenate([[True], b[1:] != b[:-1]])
         # Ranks of a group are spread over the places it has: the group's rank is its first place.
@@ -280,7 +283,7 @@ def _several(df: DataFrame, *by: str) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, length: int, notice: int, gram: int) -> DataFrame:
-    """anchor, t1, t2, q1, n (starts), c1, c2 (hash of the piece and n), piece: the runs whose anchor recurs."""
+    """anchor, t1, t2, q1, n (starts), c1, c2 (hash of the piece and n), bytes, piece: the runs whose anchor recurs. One row at least of each c1, c2 has the piece."""
 
     def find(batches):
         seen: set[bytes] = set()
@@ -300,10 +303,11 @@ def _contexts(texts: DataFrame, length: int, notice: int, gram: int) -> DataFram
     runs = written(texts.mapInArrow(find, "t1 long, t2 long, anchor long, q1 int, q2 int"), "runs")
     recurring = written(_several(runs, "anchor"), "recurring")
     cuts = runs.join(recurring.hint("merge"), "anchor", "left_semi").groupBy(*TEXT).agg(F.collect_set(F.struct("q1", "q2", "anchor")).alias("cuts"))
-    names = ["anchor", *TEXT, "q1", "n", "c1", "c2", "piece"]
+    names = ["anchor", *TEXT, "q1", "n", "c1", "c2", "bytes", "piece"]
 
     def cut(batches):
-        seen: set[bytes] = set()
+        seen: set[tuple] = set()
+        sent: set[bytes] = set()
         for batch in batches:
             for row in range(batch.num_rows):
                 key = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
@@ -316,15 +320,22 @@ def _contexts(texts: DataFrame, length: int, notice: int, gram: int) -> DataFram
                 q1, q2 = (c.field(k).to_numpy() for k in range(2))
                 pieces = [raw[s : e + length] for s, e in zip(q1.tolist(), q2.tolist())]
                 n = q2 - q1 + 1
-                digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16, salt=k.to_bytes(8, "big")).digest() for x, k in zip(pieces, n.tolist())), np.int64).reshape(-1, 2)
+                each = [hashlib.blake2b(x, digest_size=16, salt=k.to_bytes(8, "big")).digest() for x, k in zip(pieces, n.tolist())]
+                digests = np.frombuffer(b"".join(each), np.int64).reshape(-1, 2)
+                sizes = [len(x) for x in pieces]
+                for k, x in enumerate(each):  # the bytes of equal contexts leave a task once
+                    if x in sent:
+                        pieces[k] = None
+                    elif len(sent) < REMEMBERED:
+                        sent.add(x)
                 for s in range(0, len(pieces), 4096):
                     e = min(s + 4096, len(pieces))
                     ids = [pa.array(np.full(e - s, k)) for k in key]
-                    yield pa.RecordBatch.from_arrays([c.field(2).slice(s, e - s), *ids, pa.array(q1[s:e]), pa.array(n[s:e]), pa.array(digests[s:e, 0]), pa.array(digests[s:e, 1]), pa.array(pieces[s:e], pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([c.field(2).slice(s, e - s), *ids, pa.array(q1[s:e]), pa.array(n[s:e]), pa.array(digests[s:e, 0]), pa.array(digests[s:e, 1]), pa.array(sizes[s:e], pa.int32()), pa.array(pieces[s:e], pa.binary())], names)
 
     whole = texts.mapInArrow(once, "t1 long, t2 long, raw binary")
     joined = whole.join(cuts.hint("merge"), TEXT).select(*TEXT, "raw", "cuts")
-    return written(joined.mapInArrow(cut, "anchor long, t1 long, t2 long, q1 int, n int, c1 long, c2 long, piece binary"), "contexts")
+    return written(joined.mapInArrow(cut, "anchor long, t1 long, t2 long, q1 int, n int, c1 long, c2 long, bytes int, piece binary"), "contexts")
 
 
 FOUND = "c1 long, c2 long, level int, a int, b int"
@@ -414,7 +425,7 @@ def repeats(docs: DataFrame, length: int = 400, notice: int | None = None, gram:
 
     def different(anchors: DataFrame) -> DataFrame:
         # The other columns of a kind are the same in all its rows, but for its place.
-        rows = contexts.select(*kind, "n", "piece").join(anchors.select("anchor").hint("merge"), "anchor", "left_semi")
+        rows = contexts.where("piece IS NOT NULL").select(*kind, "n", "piece").join(anchors.select("anchor").hint("merge"), "anchor", "left_semi")
         return rows.dropDuplicates(["c1", "c2"])
 
     mild = different(by_anchor.where(F.col("bytes") <= HOT)).withColumn("key", F.col("anchor")).withColumn("skip", F.lit(0))
@@ -428,7 +439,7 @@ def repeats(docs: DataFrame, length: int = 400, notice: int | None = None, gram:
         take = lambda keys: parts.join(keys.select("key").hint("merge"), "key", "left_semi")
         found = found.union(_sorted_shards(take(small), lengths, max(1, -(-total // SHARD)))).union(_windows(take(large), lengths))
     found = written(found, "found")
-    rows = contexts.select(*TEXT, "q1", "n", "c1", "c2", (F.octet_length("piece")).alias("bytes"))
+    rows = contexts.select(*TEXT, "q1", "n", "c1", "c2", "bytes")
     part = rows.join(found.hint("merge"), ["c1", "c2"]).select(*TEXT, "level", (F.col("q1") + F.col("a")).alias("a"), (F.col("q1") + F.col("b")).alias("b"))
     equal = rows.join(written(many, "many").hint("merge"), ["c1", "c2"], "left_semi").withColumn("last", F.array(*[F.least(F.col("n"), F.col("bytes") - x + 1) for x in lengths]))
     full = equal.select(*TEXT, "q1", F.posexplode("last").alias("level", "k")).where("k > 0").select(*TEXT, "level", F.col("q1").alias("a"), (F.col("q1") + F.col("k") - 1).alias("b"))
@@ -446,18 +457,20 @@ def removed(docs: DataFrame, length: int = 400, notice: int | None = None, gram:
 
     def strip(batch):
         out = [[], [], [], [], []]
-        for raw, rows, ranges in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-            n = len(raw)
+        lists = batch.column(3)
+        at = np.concatenate([[0], np.cumsum([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()])]).astype(np.int64)
+        flat = lists.flatten()
+        level, a, b = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3)) if len(flat) else (np.zeros(0, np.int64),) * 3
+        for k, rows in enumerate(batch.column(2).to_pylist()):
+            raw = batch.column(1)[k].as_buffer().to_pybytes()
+            n, s, e = len(raw), at[k], at[k + 1]
             if (rows or 0) > 1 and n >= length:
                 row = (n, n, 1, n, b"")
-            elif ranges or (rows or 0) > 1:
+            elif e > s or (rows or 0) > 1:
                 over = []
-                for level, size in enumerate((length, notice)):
-                    edge = np.zeros(n + 1, np.int64)
-                    for r in ranges or []:
-                        if r["level"] == level:
-                            edge[r["a"]] += 1
-                            edge[r["b"] + size] -= 1
+                for size in (0, 1):
+                    mine = level[s:e] == size
+                    edge = np.bincount(a[s:e][mine], minlength=n + 1) - np.bincount(b[s:e][mine] + (length, notice)[size], minlength=n + 1)
                     over.append(np.cumsum(edge[:-1]) > 0)
                 gone = over[0]
                 seen = n if (rows or 0) > 1 and n >= notice else int((over[0] | over[1]).sum())

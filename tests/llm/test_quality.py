@@ -54,3 +54,49 @@ def test_no_labels(spark):
     e = quality.train(docs, none)
     assert [r.p_doc for r in quality.posterior(docs, e, F.col("source"), F.col("lang")).collect()] == [0.5, 0.5]
     assert quality.posterior(docs.limit(0), e, F.col("source"), F.col("lang")).count() == 0
+
+
+def plain(rows):
+    """p_host, p_path and score of (id, p_doc, host, path) rows, summed site by site."""
+    import math
+
+    logit = lambda p: math.log(p / (1 - p))
+    strength = lambda m, v: max(1.0, min(10000.0, m * (1 - m) / max(v, 1e-9) - 1))
+    hosts, paths = {}, {}
+    for _, p, h, q in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, q), []).append(p)
+    mean = sum(r[1] for r in rows) / len(rows)
+    means = [sum(v) / len(v) for v in hosts.values()]
+    between = sum((m - sum(means) / len(means)) ** 2 for m in means) / len(means)
+    k = strength(mean, between)
+    p_host = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in hosts.items()}
+    within = sum((sum(v) / len(v) - sum(hosts[h]) / len(hosts[h])) ** 2 for (h, _), v in paths.items()) / len(paths)
+    p_path = {}
+    for (h, q), v in paths.items():
+        k = strength(p_host[h], within)
+        p_path[h, q] = (sum(v) + k * p_host[h]) / (len(v) + k)
+    return {i: (p_host[h], p_path[h, q], 1 / (1 + math.exp(-(logit(p) + logit(p_path[h, q]) - logit(mean))))) for i, p, h, q in rows}
+
+
+def test_hosts_and_paths_equal_plain_sums(spark):
+    rows = corpus(150)
+    urls = [f"https://{'www.' if i % 2 else ''}Site{i % 4}.example.org/{'news' if i % 3 else 'shop'}/{i}?x=1" if i % 11 else None for i in range(150)]
+    docs = spark.createDataFrame([(r[0], r[1], u) for r, u in zip(rows, urls)], "doc_id long, text string, url string")
+    host, path = quality.site(F.col("url"))
+    docs = docs.withColumn("host", host).withColumn("path", path)
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.posterior(docs, quality.train(docs, labels), F.col("host"), F.col("path")).collect()}
+    sites = [(f"site{i % 4}.example.org", "news" if i % 3 else "shop") if i % 11 else (None, None) for i in range(150)]
+    want = plain([(i, got[i].p_doc, *sites[i]) for i in range(150)])
+    for i, (h, p, s) in want.items():
+        assert abs(got[i].p_host - h) < 1e-9 and abs(got[i].p_path - p) < 1e-9 and abs(got[i].score - s) < 1e-9
+
+
+def test_page_text_and_long_text(spark):
+    html = "<html><head><style>p{a:b}</style></head><body><script>var t='</p>';</script><!-- no --><p>One &amp; <b>two</b></p><p>three &lt; four</p></body></html>"
+    df = spark.createDataFrame([(html,), (None,), ("",)], "html string")
+    assert [r.t for r in df.select(quality.page_text(F.col("html")).alias("t")).collect()] == ["One & two\nthree < four", None, ""]
+    docs = spark.createDataFrame([(1, "word " * 300_000, "h", "p", "x"), (1, "word " * 300_000, "h", "p", "x")], "doc_id long, text string, host string, path string, p_path string")
+    e = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.posterior(docs, e, F.col("host"), F.col("path")).count() == 2

@@ -10,6 +10,9 @@ Learning takes at most `most` labelled rows of each kind, the first by a hash of
 mod 5 is not 0; sites are summed over all documents. Null texts count as empty; null hosts and paths
 are sites of their own. Repeated rows count as often as they come. Without labels of both kinds the
 evidence is 0.5 throughout. An empty table gives an empty result; columns that aren't named are not read.
+
+Pages have a host and a path in their address (site()); documents without one have their source as host
+and their language as path, which are few and never sparse.
 """
 
 from __future__ import annotations
@@ -112,6 +115,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return Evidence.fit(np.array([r.x for r in got]).reshape(-1, N_FEATURES), np.array([r.y for r in got]), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
+def site(url: Column) -> tuple[Column, Column]:
+    """Host (in small letters, without www. or m.) and the first part of the path of an address; null where there is none."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^(?:www|m)\.", "")
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)
+    return F.when(host != "", host), F.when(path != "", path)
+
+
+def page_text(html: Column) -> Column:
+    """What a page says: scripts, styles, comments and tags go, line ends stay for blocks, and basic entities are read."""
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    text = F.regexp_replace(text, r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|nav|article|section|title|head)\b[^>]*>", "\n")
+    text = F.regexp_replace(text, r"<[^>]*>", "")
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    return F.regexp_replace(F.regexp_replace(text, r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
+
+
 def _strength(mean: Column, between: Column) -> Column:
     """Rows that the prior counts for: mean (1 - mean) / variance between groups - 1, kept in [1, 10000]."""
     return F.greatest(F.lit(1.0), F.least(F.lit(10000.0), F.coalesce(mean * (1 - mean) / F.greatest(between, F.lit(1e-9)) - 1, F.lit(10000.0))))
@@ -136,10 +156,10 @@ def posterior(docs: DataFrame, evidence: Evidence, host: Column, path: Column) -
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
     whole = hosts.agg((F.sum("host_s") / F.sum("host_n")).alias("mean"), F.var_pop(F.col("host_s") / F.col("host_n")).alias("between"))
     m = F.col("mean")
-    by_host = hosts.join(F.broadcast(whole)).withColumn("p_host", (F.col("host_s") + _strength(m, F.col("between")) * m) / (F.col("host_n") + _strength(m, F.col("between"))))
+    by_host = hosts.withColumn("_all", whole.select(F.struct("mean", "between")).scalar()).select("*", "_all.mean", "_all.between").withColumn("p_host", (F.col("host_s") + _strength(m, F.col("between")) * m) / (F.col("host_n") + _strength(m, F.col("between"))))
     pairs = paths.join(by_host, "host")
-    spread = F.broadcast(pairs.agg(F.avg(F.pow(F.col("s") / F.col("n") - F.col("host_s") / F.col("host_n"), 2)).alias("within")))
+    within = pairs.agg(F.avg(F.pow(F.col("s") / F.col("n") - F.col("host_s") / F.col("host_n"), 2))).scalar()
     k = _strength(F.col("p_host"), F.col("within"))
-    sites = pairs.join(spread).select("host", "path", "mean", "p_host", ((F.col("s") + k * F.col("p_host")) / (F.col("n") + k)).alias("p_path"))
+    sites = pairs.withColumn("within", within).select("host", "path", "mean", "p_host", ((F.col("s") + k * F.col("p_host")) / (F.col("n") + k)).alias("p_path"))
     z = _logit(F.col("p_doc")) + _logit(F.col("p_path")) - _logit(F.col("mean"))
     return rows.join(sites, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-z))).select("doc_id", "p_doc", "p_host", "p_path", "score", (F.col("score") >= 0.5).cast("int").alias("keep"))

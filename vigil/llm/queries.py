@@ -71,6 +71,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.posterior(docs, quality.train(docs, labels), F.col("source"), F.col("lang"))
 
 
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op8 on pages, whose addresses have hosts and paths; evidence is learned from the labelled documents."""
+    from . import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    pages = table(spark, sf_dir, "pages")
+    host, path = quality.site(F.col("url"))
+    texts = pages.select(F.col("page_id").alias("doc_id"), quality.page_text(F.col("html")).alias("text"), host.alias("host"), path.alias("path"))
+    out = quality.posterior(texts, quality.train(docs, labels), F.col("host"), F.col("path"))
+    return out.withColumnRenamed("doc_id", "page_id")
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -85,7 +97,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if (name.startswith("op") or name == "page_quality") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,18 +1,21 @@
-"""Online scoring: the causal signals over a stream, with bounded state per entity and per address.
-
-Two stateful queries, keyed by entity_id and by source_ip, hold what the batch windows would reread:
-counts, moments and trailing times. Events of a key are taken in the order (timestamp, event_id) within a
-micro-batch; events that come later than the watermark allows are dropped by it. Seven of
-the 21 signals are absent, as they need populations or peers: hour_surprisal, resource_surprisal, peer_incongruence,
-cmd_surprisal, offhours_rate_7d, uncorroborated_new_edges_7d and corroboration_7d.
-
-State is bounded: least used addresses, resources and device sets go first, trailing times are pruned, and
-the state of a key without events for `idle` goes when its timer fires. Such timers keep a query running, so a
-query that should end with its input (availableNow) takes idle=None.
+"""Online scoring: the 21 causal signals over a stream, with bounded state per entity and per address.
+
+Two stateful queries, keyed by source_ip and by entity_id, hold what the batch windows would reread:
+counts, moments and trailing times. Spark allows one such step a query, so the first writes its events with the
+address signals to a table, from which the second reads them; a row of the second has all 21. Events of a key are taken in the order (timestamp, event_id) within a
+micro-batch; events later than the watermark allows are dropped. What a signal needs of a population or of
+peers comes from Priors: tables of bounded size that build_priors() makes from a log as a batch job and the
+query broadcasts; a restart with new ones refreshes them. So the four surprisals and the corroboration signals see a
+population as of the last refresh, where the batch counts up to the event.
+
+State is bounded: least used addresses, resources, bigrams, devices and device sets go first, trailing times are pruned, and
+the state of a key goes when the watermark has passed its last event by `idle`. A frame without watermark
+(late=None) uses timers of processing time, which keep a query running; idle=None then lets it end with its input.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import deque
 from collections.abc import Iterator
@@ -20,15 +23,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from vigil.schema import BURST_FLOOR, BURST_MIN, COLD_MIN, COLD_N0, EARTH_KM, FAIL_WINDOW, GEO_CAP_KMH, GEO_GATE_KM, IP_WINDOW, LONG_WINDOW
-
-#: Most addresses, resources and sets of device properties that a key's state holds.
-MOST_IPS, MOST_RESOURCES, MOST_DEVICE_SETS = 96, 384, 6
-ENTITY_SIGNALS = ("geo_velocity", "fail_rate_entity", "burst_ratio", "fingerprint_mismatch", "ip_novelty", "country_novelty", "auth_method_novelty", "duration_z", "ncmd_z", "new_resource_rate_7d", "breadth_ratio_7d")
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from vigil.operators import explain as X
+from vigil.schema import BURST_FLOOR, BURST_MIN, COLD_MIN, COLD_N0, EARTH_KM, EVENT_SCHEMA, FAIL_WINDOW, GEO_CAP_KMH, GEO_GATE_KM, IP_WINDOW, LONG_WINDOW, NGRAM, OFFHOURS
+
+#: Most addresses, resources, sets of device properties, devices and bigrams that a key's state holds.
+MOST_IPS, MOST_RESOURCES, MOST_DEVICE_SETS, MOST_DEVICES, MOST_GRAMS = 96, 384, 6, 64, 2048
+#: Most rows of each prior table, and first accesses kept of a resource by a role.
+MOST_PRIORS, MOST_FIRSTS = 100_000, 32
+ENTITY_SIGNALS = ("geo_velocity", "fail_rate_entity", "burst_ratio", "fingerprint_mismatch", "ip_novelty", "country_novelty", "auth_method_novelty", "duration_z", "ncmd_z", "new_resource_rate_7d", "breadth_ratio_7d", "hour_surprisal", "resource_surprisal", "peer_incongruence", "cmd_surprisal", "offhours_rate_7d", "uncorroborated_new_edges_7d", "corroboration_7d")
+#: Those that read priors: they see the population as of the last refresh.
+POPULATION_SIGNALS = ENTITY_SIGNALS[-7:]
 IP_SIGNALS = ("fail_rate_ip", "ip_entity_fanout", "ip_fail_ratio")
 
 
@@ -39,9 +48,68 @@ def _prune(times: deque, now: int, seconds: int) -> deque:
 
 
 def _bump(counts: dict, key, most: int) -> None:
+    """Counts a key; beyond `most` the least used of the others goes."""
     counts[key] = counts.get(key, 0) + 1
     if len(counts) > most:
-        del counts[min(counts, key=counts.get)]
+        del counts[min((k for k in counts if k != key), key=counts.get)]
+
+
+def _bits(p: float, floor: float = 1e-9) -> float:
+    return -math.log2(max(p, floor))
+
+
+@dataclass
+class Priors:
+    """What the last batch job counted of populations: rows by type, type and hour, role, role and resource, and tokens."""
+
+    types: dict = field(default_factory=dict)
+    hours: dict = field(default_factory=dict)  # (type, hour)
+    roles: dict = field(default_factory=dict)  # role -> rows, resources
+    resources: dict = field(default_factory=dict)  # (role, resource)
+    firsts: dict = field(default_factory=dict)  # (role, resource) -> (second, entity) of first accesses
+    bigrams: dict = field(default_factory=dict)  # (type, before, token)
+    contexts: dict = field(default_factory=dict)  # (type, before)
+    tokens: dict = field(default_factory=dict)
+    n_tokens: int = 0
+
+    def p_hour(self, kind, hour: int) -> float:
+        n = self.types.get(kind, 0)
+        return (self.hours.get((kind, hour), 0) + 1) / (n + 24) if n else 1 / 24
+
+    def p_role(self, role, resource) -> float:
+        n, d = self.roles.get(role, (0, 0))
+        return (self.resources.get((role, resource), 0) + 0.5) / (n + 0.5 * (d + 1)) if n else 1e-3
+
+    def second_peer(self, role, resource, entity, sec: int) -> float:
+        """When the second other entity had taken up a resource, if within a week of this second."""
+        near = [at for at, who in self.firsts.get((role, resource), ()) if who != entity and abs(at - sec) <= LONG_WINDOW]
+        return near[1] if len(near) > 1 else math.inf
+
+
+def tokens_of(e) -> list[str]:
+    commands = [] if e.command_sequence is None else [f"cmd:{c}" for c in e.command_sequence]
+    return [f"hr:{e.hour:02d}", f"res:{e.resource_accessed}", f"auth:{e.auth_method}", "ok" if e.auth_result == "success" else "fail", *commands]
+
+
+def build_priors(log: DataFrame, most: int = MOST_PRIORS) -> Priors:
+    """Counts of a log by populations; of each table the `most` largest counts, so that it can be broadcast at any size."""
+    t = F.col("timestamp").cast("timestamp")
+    ev = log.withColumn("hour", F.hour(t)).withColumn("sec", F.unix_timestamp(t))
+
+    def counts(df, *keys):
+        top = df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys).limit(most).collect()
+        return {(r[0] if len(keys) == 1 else tuple(r[: len(keys)])): r.n for r in top}
+
+    parts = [F.format_string("hr:%02d", "hour"), F.concat(F.lit("res:"), "resource_accessed"), F.concat(F.lit("auth:"), "auth_method"), F.when(F.col("auth_result") == "success", "ok").otherwise("fail")]
+    every = F.concat(F.array(*parts), F.transform(F.coalesce("command_sequence", F.array().cast("array<string>")), lambda c: F.concat(F.lit("cmd:"), c)))
+    pairs = F.transform(every, lambda x, i: F.struct(F.when(i > 0, F.get(every, i - 1)).otherwise("<BOS>").alias("before"), x.alias("token")))
+    grams = ev.select("entity_type", F.explode(pairs).alias("g")).select("entity_type", "g.before", "g.token")
+    roles = {r.role: (r.n, r.d) for r in ev.groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("resource_accessed").alias("d")).orderBy(F.desc("n"), "role").limit(most).collect()}
+    own = ev.groupBy("role", "resource_accessed", "entity_id").agg(F.min("sec").alias("at"))
+    place = F.row_number().over(Window.partitionBy("role", "resource_accessed").orderBy(F.desc("at"), "entity_id"))
+    last = own.withColumn("k", place).where(F.col("k") <= MOST_FIRSTS).groupBy("role", "resource_accessed").agg(F.sort_array(F.collect_list(F.struct("at", "entity_id"))).alias("f"), F.max("at").alias("newest"))
+    firsts = {(r.role, r.resource_accessed): [(x.at, x.entity_id) for x in r.f] for r in last.orderBy(F.desc("newest"), "role", "resource_accessed").limit(most).collect()}
+    return Priors(counts(ev, "entity_type"), counts(ev, "entity_type", "hour"), roles, counts(ev, "role", "resource_accessed"), firsts, counts(grams, "entity_type", "before", "token"), counts(grams, "entity_type", "before"), counts(grams, "token"), grams.count())
 
 
 class Moments:
@@ -75,9 +143,31 @@ class EntityState:
     devices: dict = field(default_factory=dict)
     duration: Moments = field(default_factory=Moments)
     commands: Moments = field(default_factory=Moments)
+    hours: list = field(default_factory=lambda: [0] * 24)
+    resources: dict = field(default_factory=dict)
+    off: deque = field(default_factory=deque)
+    bigrams: dict = field(default_factory=dict)
+    contexts: dict = field(default_factory=dict)
+    sequence: Moments = field(default_factory=Moments)
     quarantined: bool = False
 
-    def score(self, e) -> dict[str, float]:
+    def p_hour(self, e, priors: Priors) -> float:
+        lam = self.n / (self.n + COLD_N0)
+        own = (self.hours[e.hour] + 0.5) / (self.n + 12) if self.n else 1 / 24
+        return lam * own + (1 - lam) * priors.p_hour(e.entity_type, e.hour)
+
+    def token_bits(self, e, priors: Priors) -> float:
+        """Mean bits of the event's tokens by the entity's bigrams, its type's and single tokens."""
+        part = lambda a, b: a / b if b else 0.0
+        before, bits = "<BOS>", []
+        for t in tokens_of(e):
+            p = NGRAM["entity"] * part(self.bigrams.get((before, t), 0), self.contexts.get(before, 0))
+            p += NGRAM["group"] * part(priors.bigrams.get((e.entity_type, before, t), 0), priors.contexts.get((e.entity_type, before), 0))
+            bits.append(_bits(p + NGRAM["unigram"] * part(priors.tokens.get(t, 0), priors.n_tokens) + NGRAM["floor"], 1e-12))
+            before = t
+        return sum(bits) / len(bits)
+
+    def score(self, e, priors: Priors) -> dict[str, float]:
         lam, now = self.n / (self.n + COLD_N0), e.sec
         out = dict.fromkeys(ENTITY_SIGNALS, 0.0)
         if self.last:
@@ -99,25 +189,49 @@ class EntityState:
         out["ncmd_z"] = self.commands.z(float(e.ncmd), 0.75)
         edges = _prune(self.new, now, LONG_WINDOW)
         out["new_resource_rate_7d"] = float(len(edges))
-        out["breadth_ratio_7d"] = sum(self.touched.get(r, 0) <= 1 for _, r in edges) / len(edges) if edges else 0.0
+        out["breadth_ratio_7d"] = sum(self.touched.get(r, 0) <= 1 for _, r, _ in edges) / len(edges) if edges else 0.0
+        out["hour_surprisal"] = _bits(self.p_hour(e, priors))
+        p_role = priors.p_role(e.role, e.resource_accessed)
+        own = (self.resources.get(e.resource_accessed, 0) + 0.5) / (self.n + 32) if self.n else 1e-3
+        out["peer_incongruence"] = _bits(p_role)
+        out["resource_surprisal"] = max(0.0, _bits(lam * own + (1 - lam) * p_role) - out["peer_incongruence"])
+        if self.sequence.n >= 8:
+            spread = max(max(self.sequence.m2 / (self.sequence.n - 1), 1e-6) ** 0.5, 0.5)
+            out["cmd_surprisal"] = (self.token_bits(e, priors) - self.sequence.mean) / spread
+        out["offhours_rate_7d"] = float(len(_prune(self.off, now, LONG_WINDOW)))
+        together = sum(met < now for _, _, met in edges)
+        out["corroboration_7d"], out["uncorroborated_new_edges_7d"] = float(together), float(len(edges) - together)
         return out
 
-    def observe(self, e, learn: bool = True) -> None:
-        """Observations always advance; the baseline only from events that may be learned from."""
-        if e.resource_accessed not in self.touched:
-            self.new.append((e.sec, e.resource_accessed))
+    def observe(self, e, priors: Priors, learn: bool = True) -> None:
+        """Observations always advance; the baseline only from events that may be learned from. A quarantined one learns no more."""
+        learn = learn and not self.quarantined
+        if e.resource_accessed not in (self.resources if self.quarantined else self.touched):
+            self.new.append((e.sec, e.resource_accessed, priors.second_peer(e.role, e.resource_accessed, e.entity_id, e.sec)))
+        if self.p_hour(e, priors) < OFFHOURS:
+            self.off.append(e.sec)
         _bump(self.touched, e.resource_accessed, MOST_RESOURCES)
         self.last = (e.geo_lat, e.geo_lon, e.sec)
         self.times.append(e.sec)
         self.first = e.sec if self.first is None else self.first
         if e.auth_result == "failure":
             self.fails.append(e.sec)
-        if learn and not self.quarantined:
+        if learn:
             self.n += 1
+            self.hours[e.hour] += 1
+            _bump(self.resources, e.resource_accessed, MOST_RESOURCES)
+            before = "<BOS>"
+            for t in tokens_of(e):
+                _bump(self.bigrams, (before, t), MOST_GRAMS)
+                _bump(self.contexts, before, MOST_GRAMS)
+                before = t
+            self.sequence.add(self.token_bits(e, priors))
             _bump(self.ips, e.source_ip, MOST_IPS)
             _bump(self.countries, e.geo_country, MOST_IPS)
             _bump(self.methods, e.auth_method, MOST_IPS)
             _bump(self.devices.setdefault(e.device_id, {}), _device(e), MOST_DEVICE_SETS)
+            if len(self.devices) > MOST_DEVICES:
+                del self.devices[min((d for d in self.devices if d != e.device_id), key=lambda d: sum(self.devices[d].values()))]
             self.duration.add(float(np.log1p(e.session_duration)))
             self.commands.add(float(e.ncmd))
 
@@ -131,52 +245,92 @@ class AddressState:
     fails: deque = field(default_factory=deque)
     tries: deque = field(default_factory=deque)
 
-    def score(self, e) -> dict[str, float]:
+    def score(self, e, priors: Priors) -> dict[str, float]:
         fails = len(_prune(self.fails, e.sec, FAIL_WINDOW))
         tries = _prune(self.tries, e.sec, IP_WINDOW)
         return {"fail_rate_ip": float(fails), "ip_entity_fanout": float(len({x for _, x in tries})), "ip_fail_ratio": fails / len(tries) if len(tries) >= 5 else 0.0}
 
-    def observe(self, e, learn: bool = True) -> None:
+    def observe(self, e, priors: Priors, learn: bool = True) -> None:
         if e.auth_result == "failure":
             self.fails.append(e.sec)
         self.tries.append((e.sec, e.entity_id))
 
 
-def _stateful(events: DataFrame, key: str, make, names: tuple[str, ...], idle: str | None, decide=None) -> DataFrame:
-    """event_id, entity_id, source_ip, timestamp and the named signals, by a state of make() for each key."""
-    kinds = dict(events.dtypes)
+def _stateful(events: DataFrame, key: str, make, names: tuple[str, ...], idle: str | None, late: str | None = None, priors: Priors | None = None, decide=None) -> DataFrame:
+    """events with the named signals and n_after (what the state has learned), by a state of make() for each key."""
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
+    t = F.col("timestamp").cast("timestamp")
+    ready = events.withColumn("timestamp", t)
+    if late and not events.isStreaming:
+        late = None
+    if late:
+        ready = ready.withWatermark("timestamp", late)
+    ready = ready.withColumn("sec", F.unix_timestamp("timestamp")).withColumn("hour", F.hour("timestamp")).withColumn("ncmd", F.coalesce(F.array_size("command_sequence"), F.lit(0)))
+    kept = [f for f in events.schema.fields if f.name not in names and f.name != "n_after"]
+    columns = [f.name for f in kept]
+    known = events.sparkSession.sparkContext.broadcast(priors or Priors())
 
     def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = pickle.loads(state.get[0]) if state.exists else make()
+        held, prior = pickle.loads(state.get[0]) if state.exists else make(), known.value
         rows = pd.concat(list(frames)).sort_values(["timestamp", "event_id"])
-        out = []
+        out = {n: [] for n in (*names, "n_after")}
         for e in rows.itertuples(index=False):
-            s = held.score(e)
-            held.observe(e, True if decide is None else bool(decide(s, e, held)))
-            out.append((e.event_id, e.entity_id, e.source_ip, e.timestamp, *[s[n] for n in names], float(getattr(held, "n", 0))))
+            s = held.score(e, prior)
+            held.observe(e, prior, True if decide is None else bool(decide(s, e, held)))
+            for n in names:
+                out[n].append(s[n])
+            out["n_after"].append(float(getattr(held, "n", 0)))
         state.update((pickle.dumps(held),))
-        if idle_ms:
+        if late:
+            last = int(rows["sec"].max()) * 1000
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + max(idle_ms, 1))
+        elif idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["event_id", "entity_id", "source_ip", "timestamp", *names, "n_after"])
+        yield rows[columns].assign(**out)
 
-    schema = f"event_id {kinds['event_id']}, entity_id {kinds['entity_id']}, source_ip string, timestamp timestamp, " + ", ".join(f"{n} double" for n in names) + ", n_after double"
-    t = F.col("timestamp").cast("timestamp")
-    ready = events.withColumn("timestamp", t).withColumn("sec", F.unix_timestamp(t)).withColumn("ncmd", F.coalesce(F.array_size("command_sequence"), F.lit(0)))
-    how = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    schema = ", ".join([f"`{f.name}` {'timestamp' if f.name == 'timestamp' else f.dataType.simpleString()}" for f in kept] + [f"{n} double" for n in (*names, "n_after")])
+    how = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
     return ready.groupBy(key).applyInPandasWithState(run, schema, "held binary", "append", how)
 
 
-def entity_signals(events: DataFrame, idle: str | None = "30 days", decide=None) -> DataFrame:
-    """Signals of each entity. decide(signals, event, state) -> whether to learn from an event (else it is quarantined)."""
-    return _stateful(events, "entity_id", EntityState, ENTITY_SIGNALS, idle, decide).withColumn("cold_start", F.col("n_after") <= COLD_MIN)
+def entity_signals(events: DataFrame, idle: str | None = "30 days", decide=None, priors: Priors | None = None, late: str | None = None) -> DataFrame:
+    """events with the signals of each entity. decide(signals, event, state) -> whether to learn from an event; it may set state.quarantined."""
+    return _stateful(events, "entity_id", EntityState, ENTITY_SIGNALS, idle, late, priors, decide).withColumn("cold_start", F.col("n_after") <= COLD_MIN)
+
+
+def address_signals(events: DataFrame, idle: str | None = "1 day", late: str | None = None) -> DataFrame:
+    return _stateful(events, "source_ip", AddressState, IP_SIGNALS, idle, late).drop("n_after")
 
 
-def address_signals(events: DataFrame, idle: str | None = "1 day") -> DataFrame:
-    return _stateful(events, "source_ip", AddressState, IP_SIGNALS, idle).drop("n_after")
+def write_addressed(events: DataFrame, folder: str, checkpoint: str, idle: str | None = "1 day", late: str | None = None, trigger: dict | None = None):
+    """The first query, started: events with the address signals go to a folder of Parquet files."""
+    out = address_signals(events, idle, late)
+    return out.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def all_signals(spark, folder: str, priors: Priors | None = None, idle: str | None = "30 days", late: str | None = None, decide=None, **options) -> DataFrame:
+    """The second query's frame: all 21 signals of the events that write_addressed() puts into a folder."""
+    schema = StructType([*EVENT_SCHEMA.fields, *[StructField(n, DoubleType()) for n in IP_SIGNALS]])
+    return entity_signals(read_log(spark, folder, schema, **options), idle, decide, priors, late)
+
+
+def quarantine(theta: float, spike: float = 2.5, alone: float = 2.0, memory: float = 0.02):
+    """A decide() for entity_signals(): no learning from flagged events; a jump in new resources that no peers share freezes the entity's baseline."""
+
+    def decide(s: dict, e, state: EntityState) -> bool:
+        usual = getattr(state, "usual", None)
+        new = s["new_resource_rate_7d"]
+        state.usual = new if usual is None else (1 - memory) * usual + memory * new
+        jump = new > spike * max(usual or 0.0, 0.5)
+        if jump and s["uncorroborated_new_edges_7d"] >= alone:
+            state.quarantined = True
+        risk = s["resource_surprisal"] + 0.6 * new + 0.9 * s["uncorroborated_new_edges_7d"] - 0.7 * s["corroboration_7d"]
+        return not state.quarantined and not jump and risk < theta
+
+    return decide
 
 
 def session_alerts(scored: DataFrame, gap: str = "60 minutes", late: str = "10 minutes", key: str = "entity_id") -> DataFrame:
@@ -185,22 +339,35 @@ def session_alerts(scored: DataFrame, gap: str = "60 minutes", late: str = "10 m
     return scored.withWatermark("timestamp", late).groupBy(F.col(key), w).agg(F.count("*").alias("n_events"), F.max("score").alias("max_score"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("top"))
 
 
-def scored_stream(signals: DataFrame, fusion) -> DataFrame:
-    """Adds raw, probability and band of one fitted level (its tables are broadcast)."""
-    held = signals.sparkSession.sparkContext.broadcast(fusion)
+def scored_stream(signals: DataFrame, fusions, k: int = 3) -> DataFrame:
+    """One alert row for each event: level (that of the highest raw score), raw, score (its probability), band, and why (its strongest signals).
+
+    fusions: the fitted levels by name, or one of them; their tables are broadcast.
+    """
+    fusions = fusions if isinstance(fusions, dict) else {fusions.level: fusions}
+    held = signals.sparkSession.sparkContext.broadcast(fusions)
     columns = signals.columns
+    plain = [s.name for f in fusions.values() for s in f.signals]
 
     def run(batches):
         for pdf in batches:
-            f = held.value
-            pdf = pdf[columns]
-            raw = f.raw(pdf)
-            pdf["raw"], pdf["score"] = raw, f.probability(raw)
-            pdf["band"] = np.where(raw >= f.theta, "HIGH", np.where(raw >= f.theta / 2, "MEDIUM", "LOW"))
+            pdf, levels = pdf[columns], list(held.value.items())
+            raws = np.stack([f.raw(pdf) for _, f in levels], 1) if len(pdf) else np.zeros((0, len(levels)))
+            best = raws.argmax(1) if len(pdf) else np.zeros(0, int)
+            pick = lambda per: np.stack(per, 1)[np.arange(len(pdf)), best] if len(pdf) else np.zeros(0)  # noqa: E731,B023
+            raw, theta = pick(list(raws.T)), np.array([f.theta for _, f in levels])[best]
+            pdf = pdf.assign(level=np.array([n for n, _ in levels], object)[best], raw=raw, score=pick([f.probability(x) for (_, f), x in zip(levels, raws.T)]), band=np.where(raw >= theta, "HIGH", np.where(raw >= theta / 2, "MEDIUM", "LOW")))
+            for _, f in levels:
+                if f.signals:
+                    z = f.z(pdf, f.signals)
+                    pdf = pdf.assign(**{f"z_{s.name}": z[:, i] for i, s in enumerate(f.signals)})
             yield pdf
 
-    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in signals.schema] + ["raw double", "score double", "band string"])
-    return signals.mapInPandas(run, schema)
+    more = ["level string", "raw double", "score double", "band string", *[f"z_{n} double" for n in plain]]
+    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in signals.schema] + more)
+    out = signals.mapInPandas(run, schema)
+    why = X.explanation({n: F.col(f"z_{n}") for n in plain}, {n: F.col(n) for n in plain}, k)
+    return out.withColumn("why", why).drop(*[f"z_{n}" for n in plain])
 
 
 def read_log(spark, source: str, schema, kind: str = "parquet", **options) -> DataFrame:

@@ -7,25 +7,20 @@ import numpy as np
 from vigil.llm import suffix
 
 
-def brute(rows, length, notice=None):
+def brute(rows, length):
     where = collections.Counter()
     raw = [(i, (t or "").encode()) for i, t in rows]
     for _, b in raw:
-        for size in {length, notice or length}:
-            where.update(b[s : s + size] for s in range(len(b) - size + 1))
+        where.update(b[s : s + length] for s in range(len(b) - length + 1))
     out = []
     for i, b in raw:
-        over = []
-        for size in (length, notice or length):
-            gone = bytearray(len(b))
-            for s in range(len(b) - size + 1):
-                if where[b[s : s + size]] > 1:
-                    gone[s : s + size] = b"\1" * size
-            over.append(gone)
-        gone = over[0]
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if where[b[s : s + length]] > 1:
+                gone[s : s + length] = b"\1" * length
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        out.append((i, len(b), sum(gone), spans, sum(over[1]), hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=repr)
 
 
@@ -49,13 +44,9 @@ def test_repeated_starts():
     rng = random.Random(4)
     for _ in range(200):
         pieces = list({bytes(rng.choices(b"ab", k=rng.randint(8, 40))) for _ in range(5)})
-        starts = [rng.randint(1, len(p)) for p in pieces]
-        want = []
-        for size in (8, 5):
-            count = collections.Counter(p[s : s + size] for p, n in zip(pieces, starts) for s in range(min(n, len(p) - size + 1)))
-            want.append([[s for s in range(min(n, len(p) - size + 1)) if count[p[s : s + size]] > 1] for p, n in zip(pieces, starts)])
-        got = suffix.repeated_starts(pieces, starts, (8, 5))
-        assert [[x.tolist() for x in level] for level in got] == want
+        count = collections.Counter(p[s : s + 8] for p in pieces for s in range(len(p) - 7))
+        want = [[s for s in range(len(p) - 7) if count[p[s : s + 8]] > 1] for p in pieces]
+        assert [x.tolist() for x in suffix.repeated_starts(pieces, 8)] == want
 
 
 def corpus():
@@ -73,16 +64,14 @@ def corpus():
     return rows + [(100, rows[20][1]), (101, rows[20][1] + " and more"), (102, passage[0] * 2)]
 
 
-def result(spark, rows, length, gram, notice=None):
+def result(spark, rows, length, gram):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_bytes int").repartition(3)
-    got = suffix.removed(df, length, notice, gram).collect()
-    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.n_repeated, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got), key=repr)
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix.removed(df, length, gram).collect()), key=repr)
 
 
 def test_equals_brute_force(spark):
     rows = corpus()
     assert result(spark, rows, 50, 8) == brute(rows, 50)
-    assert result(spark, rows, 50, 8, 30) == brute(rows, 50, 30)
 
 
 def test_hot_anchors_and_small_shards(spark, monkeypatch):
@@ -91,13 +80,13 @@ def test_hot_anchors_and_small_shards(spark, monkeypatch):
     rows = corpus()
     for hot in (900, 200):
         monkeypatch.setattr(suffix, "HOT", hot)
-        assert result(spark, rows, 50, 8, 30) == brute(rows, 50, 30)
+        assert result(spark, rows, 50, 8) == brute(rows, 50)
 
 
 def test_null_and_repeated_ids(spark):
     rows = corpus()
     rows += [(None, rows[30][1]), (None, rows[40][1] + " x"), (9, rows[50][1]), (9, rows[51][1][:200]), rows[60], rows[60], rows[60]]
-    assert result(spark, rows, 50, 8, 30) == brute(rows, 50, 30)
+    assert result(spark, rows, 50, 8) == brute(rows, 50)
 
 
 def test_empty(spark):
@@ -105,8 +94,13 @@ def test_empty(spark):
     assert result(spark, [(1, None), (1, None)], 50, 8) == brute([(1, None), (1, None)], 50)
 
 
-def test_very_long_text(spark):
+def test_very_long_text_and_echoes(spark):
     rng = random.Random(1)
-    text = "".join(rng.choices("abcdefgh ", k=3_000_000))
-    got = result(spark, [(1, text + text[1000:2000]), (2, "short")], 400, 32, 256)
-    assert [r[:5] for r in got] == [(1, 3_001_000, 2000, 2, 2000), (2, 5, 0, 0, 0)]
+    some = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    text, passage, line = some(3_000_000), some(290), some(90)
+    rows = [(1, text + text[1000:2000]), (2, "short"), (3, some(500) + passage + some(300)), (4, passage + some(200)), (5, some(700) + line), (6, line + some(900)), (7, some(2000)), (8, line * 2), (9, line * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_echoed) for r in suffix.removed(df, 400, 32, 128).collect()}
+    assert got[1] == (2000, 2000) and got[2] == got[5] == got[6] == got[7] == (0, 0)
+    assert got[3][0] == got[4][0] == 0 and 128 <= got[3][1] <= 290 and got[3][1] == got[4][1]
+    assert got[8] == got[9] == (0, 180)

@@ -45,9 +45,9 @@ def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix
 
-    # Passages of fifty words are shorter than 400 bytes as often as not: strings of 256 bytes are counted besides.
-    out = suffix.removed(table(spark, sf_dir, "documents"), 400, notice=256)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
+    # Passages of fifty words are shorter than 400 bytes as often as not: they are reported besides, as echoes.
+    out = suffix.removed(table(spark, sf_dir, "documents"), 400, echo=128)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_echoed")
 
 
 def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,24 @@
 """Removal of long repeated byte strings by suffix arrays.
 
-A byte goes if a string of `length` bytes that covers it also starts anywhere else. Besides,
-bytes that a shorter string of `notice` bytes covers and that starts elsewhere are counted, not
-removed, from the same suffix arrays.
+A byte goes if a string of `length` bytes that covers it also starts anywhere else.
 
-Every window of `notice` bytes picks an anchor: the smallest hash of its `gram`-byte strings.
+Every window of `length` bytes picks an anchor: the smallest hash of its `gram`-byte strings.
 Equal windows pick equal anchors at equal places, so only windows whose anchor recurs somewhere
-can repeat; the runs of starts that share an anchor are cut out with the `length` bytes from
-each start on (contexts), equal contexts are joined, and contexts with one anchor go to one shard. A shard
+can repeat; the runs of starts that share an anchor are cut out with what follows them
+(contexts), equal contexts are joined, and contexts with one anchor go to one shard. A shard
 sorts all its suffixes by induced sorting: suffixes are classified, the leftmost-smaller
 substrings are named in order and their names sorted by repeated renaming of neighbouring pairs,
 and the other suffixes are induced bucket by bucket in two linear sweeps. Permuted common
 prefixes (computed where they are irreducible, counted down elsewhere) say which suffixes
-share `length` or `notice` bytes with a neighbour among the starts of the runs. An anchor with
+share `length` bytes with a neighbour. An anchor with
 more than HOT bytes of different contexts would load one shard, so it is split by what all the
 windows of a few starts have in common; what is still too much in one part is compared by 128-bit
 hashes of its windows in a plain aggregation.
 
+Shorter passages are reported, not removed: the anchors of smaller windows (`echo` bytes) cut a
+text into pieces, and pieces with the same two anchors at the same distance elsewhere are echoes;
+runs of them with at least `echo` bytes are counted. This is a report by fingerprints, not exact.
+
 Texts stand for themselves: all tables are keyed by a 128-bit hash of the text, so neither null nor
 repeated doc_ids matter. A text that several rows have is represented once; if it reaches
 `length`, all of it goes from each of them. Null and empty texts have 0 bytes and lose nothing.
@@ -43,25 +45,35 @@ STEP = 32
 REMEMBERED = 200_000
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc, first start, last start and anchor hash of each run of window starts of a block."""
+def _gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
     n = len(buf)
-    none = np.zeros(0, np.int64)
-    if n < length:
-        return none, none, none, none.astype(np.uint64)
+    if n < gram:
+        return np.zeros(0, np.uint64)
     r, inv = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * r[:n], out=total[1:])
-    h = mix((total[gram:] - total[:-gram]) * inv[: n - gram + 1])
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    span, have = length - gram + 1, 1
-    low = key
+    return mix((total[gram:] - total[:-gram]) * inv[: n - gram + 1])
+
+
+def _least(h: np.ndarray, span: int) -> np.ndarray:
+    """Where the smallest of each `span` neighbouring hashes is (by 32 bits, the first of equal ones)."""
+    low, have = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
+    n = len(h) - span + 1
     while have * 2 <= span:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if have < span:
-        low = np.minimum(low[: n - length + 1], low[span - have : span - have + n - length + 1])
-    at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        low = np.minimum(low[:n], low[span - have : span - have + n])
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def anchors(offs: np.ndarray, h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, first start, last start and anchor hash of each run of window starts of a block with gram hashes h."""
+    none = np.zeros(0, np.int64)
+    n = int(offs[-1])
+    if n < length:
+        return none, none, none, none.astype(np.uint64)
+    at = _least(h, length - gram + 1)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: n - length + 1]
     starts = np.flatnonzero(np.arange(n - length + 1) + length <= offs[1:][doc])
     if not len(starts):
@@ -75,6 +87,16 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[
     return d, q1 - offs[d], q2 - offs[d], h[at[q1]]
 
 
+def echo_pieces(offs: np.ndarray, h: np.ndarray, echo: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, start, end and key of each piece between neighbouring anchors of windows of echo bytes."""
+    d, q1, _, anchor = anchors(offs, h, echo, gram)
+    at = _least(h, echo - gram + 1)[q1 + offs[d]] - offs[d] if len(d) else q1
+    one = np.flatnonzero((d[1:] == d[:-1]) & (at[1:] != at[:-1]))
+    a, b = at[one], at[one + 1]
+    key = mix(anchor[one] * np.uint64(0x9E3779B97F4A7C15) ^ mix(anchor[one + 1] + (b - a).astype(np.uint64)))
+    return d[one], np.minimum(a, b), np.maximum(a, b) + gram, key
+
+
 def _sorted_marks(text: np.ndarray, smaller: np.ndarray, marks: np.ndarray, n_texts: int) -> np.ndarray:
     """Order of the leftmost-smaller suffixes: their substrings are named in order, then names are sorted by pairs."""
     m = len(marks)
@@ -193,8 +215,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return np.concatenate(out[::-1])
 
 
-def repeated_starts(pieces: list[bytes], starts: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
-    """For each length and piece: its first places, as many as starts says, where a string of that length begins that begins at another of them."""
+def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
+    """For each piece, the places where a string of that length begins that also begins at another place."""
     lens = np.array([len(p) for p in pieces], np.int64)
     text = np.frombuffer(b"".join(p + b"\0" for p in pieces), np.uint8).astype(np.uint16)
     ends = np.cumsum(lens + 1) - 1
@@ -228,23 +250,11 @@ def repeated_starts(pieces: list[bytes], starts: list[int], lengths: tuple[int,
     plcp = np.zeros(n, np.int32)
     plcp[heads] = got
     plcp = plcp[head] - (i - head)
-    # Only the runs' own starts are compared: between two of them the least of the prefixes holds.
-    first = ends - lens
-    counted = np.zeros(n + 1, np.int8)
-    np.add.at(counted, first, 1)
-    np.add.at(counted, first + np.minimum(np.array(starts, np.int64), lens), -1)
-    at = np.flatnonzero(np.cumsum(counted[:-1])[sa] > 0)
-    out = []
-    shared = np.minimum.reduceat(plcp[sa], at[:-1] + 1)[: len(at) - 1] if len(at) > 1 else np.zeros(0, np.int32)
-    if len(at) > 1 and at[-1] + 1 < n:
-        shared[-1] = plcp[sa[at[-2] + 1 : at[-1] + 1]].min()
-    for length in lengths:
-        hit = np.flatnonzero(shared >= length)
-        found = np.zeros(n, bool)
-        found[sa[at[hit]]] = True
-        found[sa[at[hit + 1]]] = True
-        out.append([np.flatnonzero(found[s:e]) for s, e in zip(first.tolist(), ends.tolist())])
-    return out
+    hit = np.flatnonzero(plcp >= length)
+    found = np.zeros(n, bool)
+    found[hit] = True
+    found[before[hit]] = True
+    return [np.flatnonzero(found[s:e]) for s, e in zip((ends - lens).tolist(), ends.tolist())]
 
 
 def _ranges(starts: np.ndarray) -> list[list[int]]:
@@ -282,7 +292,7 @@ def _several(df: DataFrame, *by: str) -> DataFrame:
     return got.where(" OR ".join(f"lo_{c} <> hi_{c}" for c in (*TEXT, "q1"))).select(*by)
 
 
-def _contexts(texts: DataFrame, length: int, notice: int, gram: int) -> DataFrame:
+def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """anchor, t1, t2, q1, n (starts), c1, c2 (hash of the piece and n), bytes, piece: the runs whose anchor recurs. One row at least of each c1, c2 has the piece."""
 
     def find(batches):
@@ -290,7 +300,7 @@ def _contexts(texts: DataFrame, length: int, notice: int, gram: int) -> DataFram
         for batch in batches:
             column, keys = _unseen(batch.column(0), seen)
             for a, _, buf, offs in blocks(column):
-                d, q1, q2, h = anchors(buf, offs, notice, gram)
+                d, q1, q2, h = anchors(offs, _gram_hashes(buf, gram), length, gram)
                 if len(d):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[a + d, 0]), pa.array(keys[a + d, 1]), pa.array(h.view(np.int64)), pa.array(q1.astype(np.int32)), pa.array(q2.astype(np.int32))], [*TEXT, "anchor", "q1", "q2"])
 
@@ -338,39 +348,37 @@ def _contexts(texts: DataFrame, length: int, notice: int, gram: int) -> DataFram
     return written(joined.mapInArrow(cut, "anchor long, t1 long, t2 long, q1 int, n int, c1 long, c2 long, bytes int, piece binary"), "contexts")
 
 
-FOUND = "c1 long, c2 long, level int, a int, b int"
+FOUND = "c1 long, c2 long, a int, b int"
 
 
-def _sorted_shards(pieces: DataFrame, lengths: tuple[int, ...], shards: int) -> DataFrame:
-    """c1, c2, level, a, b (ranges of starts) of pieces (key, c1, c2, skip, n, piece): those of one key are compared."""
+def _sorted_shards(pieces: DataFrame, length: int, shards: int) -> DataFrame:
+    """c1, c2, a, b (ranges of starts) of pieces (key, c1, c2, skip, piece): those of one key are compared."""
 
     def sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        skip, rows = pdf["skip"].tolist(), []
-        for level, found in enumerate(repeated_starts(pdf["piece"].tolist(), pdf["n"].tolist(), lengths)):
-            for k, x in enumerate(found):
-                rows += [(k, level, a + skip[k], b + skip[k]) for a, b in _ranges(x)]
-        at, level, a, b = np.array(rows, np.int64).reshape(-1, 4).T
-        return pd.DataFrame({"c1": pdf["c1"].to_numpy()[at], "c2": pdf["c2"].to_numpy()[at], "level": level, "a": a, "b": b})
+        skip = pdf["skip"].tolist()
+        rows = [(k, a + skip[k], b + skip[k]) for k, x in enumerate(repeated_starts(pdf["piece"].tolist(), length)) for a, b in _ranges(x)]
+        at, a, b = np.array(rows, np.int64).reshape(-1, 3).T
+        return pd.DataFrame({"c1": pdf["c1"].to_numpy()[at], "c2": pdf["c2"].to_numpy()[at], "a": a, "b": b})
 
     return pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(sort_shard, FOUND)
 
 
-def _split(pieces: DataFrame, length: int, notice: int, gram: int) -> DataFrame:
+def _split(pieces: DataFrame, length: int, gram: int) -> DataFrame:
     """The pieces of hot anchors in parts of STEP starts; the key of a part is what all its windows share, seen from the anchor."""
 
     def run(batches):
         for batch in batches:
             for c1, c2, n, piece, anchor in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 buf = np.frombuffer(piece, np.uint8)
-                at = _anchor_place(buf, n, notice, gram)
-                out, step = [], min(STEP, notice)
+                at = _anchor_place(buf, n, length, gram)
+                out, step = [], min(STEP, length)
                 # Starts by their distance to the anchor, in steps, so that equal windows fall in equal parts.
                 for far in range((at - n + 1) // step, at // step + 1):
                     s = at - far * step
                     lo, hi = max(0, s - step + 1), min(n - 1, s)
                     if lo > hi:
                         continue
-                    core = piece[s : s - step + 1 + notice]
+                    core = piece[s : s - step + 1 + length]
                     key = hashlib.blake2b(core, digest_size=8, salt=(far & 0xFFFF).to_bytes(4, "big"), key=(anchor & (1 << 64) - 1).to_bytes(8, "big")).digest()
                     out.append((int.from_bytes(key, "big", signed=True), c1, c2, lo, hi - lo + 1, piece[lo : hi + length]))
                 if out:
@@ -379,46 +387,54 @@ def _split(pieces: DataFrame, length: int, notice: int, gram: int) -> DataFrame:
     return pieces.select("c1", "c2", "n", "piece", "anchor").mapInArrow(run, "key long, c1 long, c2 long, skip int, n int, piece binary")
 
 
-def _anchor_place(buf: np.ndarray, n: int, notice: int, gram: int) -> int:
-    """Where the anchor that the first n windows of a piece share begins in it."""
-    size = len(buf[: n - 1 + notice])
-    r, inv = powers(size + 1)
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum((buf[:size].astype(np.uint64) + np.uint64(1)) * r[:size], out=total[1:])
-    h = mix((total[gram:] - total[:-gram]) * inv[: size - gram + 1]) & np.uint64(0xFFFFFFFF00000000)
-    # The windows share bytes n - 1 .. notice; their common anchor is the first of the smallest there.
-    return n - 1 + int(np.argmin(h[n - 1 : notice - gram + 1]))
+def _anchor_place(buf: np.ndarray, n: int, length: int, gram: int) -> int:
+    """Where the anchor that the first n windows of a piece share begins in it: the smallest hash of the bytes that all of them have."""
+    h = _gram_hashes(buf[: n - 1 + length], gram) & np.uint64(0xFFFFFFFF00000000)
+    return n - 1 + int(np.argmin(h[n - 1 : length - gram + 1]))
 
 
-def _windows(pieces: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """c1, c2, level, a, b of pieces (key, c1, c2, skip, n, piece) whose windows recur in their key, by 128-bit hashes."""
+def _windows(pieces: DataFrame, length: int) -> DataFrame:
+    """c1, c2, a, b of pieces (key, c1, c2, skip, piece) whose windows recur in their key, by 128-bit hashes."""
 
     def run(batches):
         for batch in batches:
-            for key, c1, c2, skip, n, piece in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                for level, length in enumerate(lengths):
-                    k = min(n, len(piece) - length + 1)
-                    if k > 0:
-                        d = np.frombuffer(b"".join(hashlib.blake2b(piece[s : s + length], digest_size=16).digest() for s in range(k)), np.int64).reshape(-1, 2)
-                        ids = [pa.array(np.full(k, x)) for x in (key, c1, c2)]
-                        yield pa.RecordBatch.from_arrays([*ids, pa.array(np.full(k, level, np.int32)), pa.array(np.arange(skip, skip + k, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], ["key", "c1", "c2", "level", "at", "h1", "h2"])
-
-    each = written(pieces.select("key", "c1", "c2", "skip", "n", "piece").mapInArrow(run, "key long, c1 long, c2 long, level int, at int, h1 long, h2 long"), "windows")
-    by = ["level", "key", "h1", "h2"]
+            for key, c1, c2, skip, piece in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                k = len(piece) - length + 1
+                d = np.frombuffer(b"".join(hashlib.blake2b(piece[s : s + length], digest_size=16).digest() for s in range(k)), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(k, x)) for x in (key, c1, c2)], pa.array(np.arange(skip, skip + k, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], ["key", "c1", "c2", "at", "h1", "h2"])
+
+    each = written(pieces.select("key", "c1", "c2", "skip", "piece").mapInArrow(run, "key long, c1 long, c2 long, at int, h1 long, h2 long"), "windows")
+    by = ["key", "h1", "h2"]
     twice = written(each.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by), "twice")
-    return each.join(twice.hint("merge"), by, "left_semi").select("c1", "c2", "level", F.col("at").alias("a"), F.col("at").alias("b"))
+    return each.join(twice.hint("merge"), by, "left_semi").select("c1", "c2", F.col("at").alias("a"), F.col("at").alias("b"))
 
 
-def repeats(docs: DataFrame, length: int = 400, notice: int | None = None, gram: int = GRAM) -> DataFrame:
-    """t1, t2, rows (with that text), ranges (level 0: of length, 1: of notice; first and last start) of texts with repeats."""
-    notice = min(length, notice or length)
-    lengths = (length, notice)
-    texts = docs.select("text").where(F.octet_length("text") >= notice)
-    copies = texts.select(*text_key(F.col("text"))).groupBy(*TEXT).agg(F.count("*").alias("rows")).where("rows > 1")
-    contexts = _contexts(texts, length, notice, gram)
+def echoes(texts: DataFrame, echo: int, gram: int = GRAM) -> DataFrame:
+    """t1, t2, a, b: pieces of texts, from a to before b, whose two anchors stand at the same distance elsewhere."""
+
+    def find(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            column, keys = _unseen(batch.column(0), seen)
+            for first, _, buf, offs in blocks(column):
+                d, a, b, key = echo_pieces(offs, _gram_hashes(buf, gram), echo, gram)
+                if len(d):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[first + d, 0]), pa.array(keys[first + d, 1]), pa.array(key.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], [*TEXT, "key", "q1", "b"])
+
+    pieces = written(texts.mapInArrow(find, "t1 long, t2 long, key long, q1 int, b int"), "pieces")
+    recurring = written(_several(pieces, "key"), "echoing")
+    return pieces.join(recurring.hint("merge"), "key", "left_semi").select(*TEXT, F.col("q1").alias("a"), "b")
+
+
+def repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, echo: int | None = None) -> DataFrame:
+    """t1, t2, rows (with that text), ranges (level 0: first and last start of repeated strings; level 1: echoes, from a to before b) of texts with repeats."""
+    least = min(length, echo or length)
+    texts = docs.select("text").where(F.octet_length("text") >= length)
+    copies = docs.where(F.octet_length("text") >= least).select(*text_key(F.col("text"))).groupBy(*TEXT).agg(F.count("*").alias("rows")).where("rows > 1")
+    contexts = _contexts(texts, length, gram)
 
     kind = ["anchor", "c1", "c2"]
-    slim = written(contexts.groupBy(*kind).agg(F.max(F.col("n") - 1 + length).alias("size")), "kinds")
+    slim = written(contexts.groupBy(*kind).agg(F.max("bytes").alias("size")), "kinds")
     by_anchor = written(slim.groupBy("anchor").agg(F.sum("size").alias("bytes"), F.count("*").alias("kinds")).where("kinds > 1"), "anchors")
     total = by_anchor.where(F.col("bytes") <= HOT).agg(F.sum("bytes")).first()[0] or 0
     many = _several(contexts, *kind).select("c1", "c2")  # equal contexts: every start repeats
@@ -429,32 +445,43 @@ def repeats(docs: DataFrame, length: int = 400, notice: int | None = None, gram:
         return rows.dropDuplicates(["c1", "c2"])
 
     mild = different(by_anchor.where(F.col("bytes") <= HOT)).withColumn("key", F.col("anchor")).withColumn("skip", F.lit(0))
-    found = _sorted_shards(mild, lengths, max(1, -(-total // SHARD)))
+    found = _sorted_shards(mild, length, max(1, -(-total // SHARD)))
     hot = by_anchor.where(F.col("bytes") > HOT)
     if not hot.isEmpty():
-        parts = written(_split(different(hot), length, notice, gram), "parts")
+        parts = written(_split(different(hot), length, gram), "parts")
         by_key = written(parts.groupBy("key").agg(F.sum(F.octet_length("piece")).alias("bytes"), F.count("*").alias("kinds")).where("kinds > 1"), "keys")
         small, large = by_key.where(F.col("bytes") <= HOT), by_key.where(F.col("bytes") > HOT)
         total = small.agg(F.sum("bytes")).first()[0] or 0
         take = lambda keys: parts.join(keys.select("key").hint("merge"), "key", "left_semi")
-        found = found.union(_sorted_shards(take(small), lengths, max(1, -(-total // SHARD)))).union(_windows(take(large), lengths))
+        found = found.union(_sorted_shards(take(small), length, max(1, -(-total // SHARD)))).union(_windows(take(large), length))
     found = written(found, "found")
-    rows = contexts.select(*TEXT, "q1", "n", "c1", "c2", "bytes")
-    part = rows.join(found.hint("merge"), ["c1", "c2"]).select(*TEXT, "level", (F.col("q1") + F.col("a")).alias("a"), (F.col("q1") + F.col("b")).alias("b"))
-    equal = rows.join(written(many, "many").hint("merge"), ["c1", "c2"], "left_semi").withColumn("last", F.array(*[F.least(F.col("n"), F.col("bytes") - x + 1) for x in lengths]))
-    full = equal.select(*TEXT, "q1", F.posexplode("last").alias("level", "k")).where("k > 0").select(*TEXT, "level", F.col("q1").alias("a"), (F.col("q1") + F.col("k") - 1).alias("b"))
-    ranges = part.union(full).groupBy(*TEXT).agg(F.collect_set(F.struct("level", "a", "b")).alias("ranges"))
+    rows = contexts.select(*TEXT, "q1", "n", "c1", "c2")
+    start = lambda c: (F.col("q1") + c).alias
+    part = rows.join(found.hint("merge"), ["c1", "c2"]).select(*TEXT, F.lit(0).alias("level"), start(F.col("a"))("a"), start(F.col("b"))("b"))
+    full = rows.join(written(many, "many").hint("merge"), ["c1", "c2"], "left_semi").select(*TEXT, F.lit(0).alias("level"), F.col("q1").alias("a"), start(F.col("n") - 1)("b"))
+    every = part.union(full)
+    if echo:
+        every = every.union(echoes(docs.select("text").where(F.octet_length("text") >= echo), echo, gram).select(*TEXT, F.lit(1).alias("level"), "a", "b"))
+    ranges = every.groupBy(*TEXT).agg(F.collect_set(F.struct("level", "a", "b")).alias("ranges"))
     return ranges.join(copies, TEXT, "full").select(*TEXT, F.coalesce("rows", F.lit(1)).alias("rows"), "ranges")
 
 
-def removed(docs: DataFrame, length: int = 400, notice: int | None = None, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, n_repeated (bytes in repeated strings of notice bytes), kept (the bytes that stay)."""
+def removed(docs: DataFrame, length: int = 400, gram: int = GRAM, echo: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_echoed (bytes removed or in echoes of at least echo bytes), kept (the bytes that stay)."""
     kind = dict(docs.dtypes)["doc_id"]
-    notice = min(length, notice or length)
-    marks = written(repeats(docs, length, notice, gram), "repeats")
+    least = min(length, echo or length)
+    marks = written(repeats(docs, length, gram, echo), "repeats")
     named = docs.select("doc_id", *text_key(F.col("text")), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     joined = named.join(marks.hint("merge"), TEXT, "left")
 
+    def cover(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        edge = np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1)
+        return np.cumsum(edge[:-1]) > 0
+
+    def runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.diff(np.concatenate([[0], on.astype(np.int8), [0]]))
+        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
     def strip(batch):
         out = [[], [], [], [], []]
         lists = batch.column(3)
@@ -467,19 +494,17 @@ def removed(docs: DataFrame, length: int = 400, notice: int | None = None, gram:
             if (rows or 0) > 1 and n >= length:
                 row = (n, n, 1, n, b"")
             elif e > s or (rows or 0) > 1:
-                over = []
-                for size in (0, 1):
-                    mine = level[s:e] == size
-                    edge = np.bincount(a[s:e][mine], minlength=n + 1) - np.bincount(b[s:e][mine] + (length, notice)[size], minlength=n + 1)
-                    over.append(np.cumsum(edge[:-1]) > 0)
-                gone = over[0]
-                seen = n if (rows or 0) > 1 and n >= notice else int((over[0] | over[1]).sum())
-                row = (n, int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()), seen, np.frombuffer(raw, np.uint8)[~gone].tobytes())
+                mine, kin = level[s:e] == 0, level[s:e] == 1
+                gone = cover(n, a[s:e][mine], b[s:e][mine] + length)
+                heard = gone | cover(n, a[s:e][kin], b[s:e][kin])
+                x, y = runs(heard)
+                echoed = n if (rows or 0) > 1 and n >= least else int((y - x)[y - x >= least].sum())
+                row = (n, int(gone.sum()), len(runs(gone)[0]), echoed, np.frombuffer(raw, np.uint8)[~gone].tobytes())
             else:
                 row = (n, 0, 0, 0, raw)
             for c, v in zip(out, row):
                 c.append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "n_echoed", "kept"])
 
-    return map_batches(joined, ["doc_id", "raw", "rows", "ranges"], strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")
+    return map_batches(joined, ["doc_id", "raw", "rows", "ranges"], strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, n_echoed long, kept binary")

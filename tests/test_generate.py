@@ -81,3 +81,39 @@ def test_drift_policies(spark):
     assert last["all"] < last["none"] <= last["quarantine"]
     r = {x.policy: x for x in studies.drift_report(s, 3.0, (0, 29), (30, 59)).collect()}
     assert r["none"].quiet_from == 0 and r["none"].n_flagged == 30
+
+
+def test_each_confounder_raises_its_signal(spark, log):
+    from vigil.operators.signals import signal_frame
+    from vigil.sources.generate import CONFOUNDERS
+
+    events, labels, _ = log
+    got = pipeline.store(signal_frame(events).join(labels.select("event_id", "label", "confounder"), "event_id").where("label = 'normal'"))
+    kinds = {r.confounder for r in got.select("confounder").distinct().collect()}
+    assert set(CONFOUNDERS) <= kinds
+    raised = {
+        "business_travel": "geo_velocity", "password_reset_storm": "fail_rate_entity", "cert_retry_loop": "fail_rate_entity", "os_patch": "fingerprint_mismatch", "device_refresh": "fingerprint_mismatch",
+        "oncall_rotation": "hour_surprisal", "maintenance_window": "hour_surprisal", "project_onboarding": "new_resource_rate_7d", "ci_automation_burst": "ncmd_z", "shared_jump_host": "ip_entity_fanout", "office_nat": "ip_entity_fanout", "credential_rotation": "auth_method_novelty",
+    }
+    names = sorted(set(raised.values()))
+    mean = {r.confounder: r for r in got.groupBy("confounder").agg(*[F.avg(n).alias(n) for n in names]).collect()}
+    for kind, name in raised.items():
+        assert mean[kind][name] > mean[None][name], (kind, name, mean[kind][name], mean[None][name])
+
+
+def test_addresses_of_attacks_are_those_of_benign_traffic(log):
+    events, labels, _ = log
+    both = events.join(labels.select("event_id", "label"), "event_id")
+    own = both.where("label = 'normal'").select("source_ip").distinct()
+    campaigns = both.where(F.col("label").isin("brute_force", "credential_stuffing", "lateral_movement", "low_and_slow")).select("source_ip").distinct()
+    assert campaigns.join(own, "source_ip", "left_semi").count() / campaigns.count() > 0.4
+
+
+def test_meta_and_memoised_datasets(spark, log, tmp_path):
+    from vigil.sources import generate as g
+
+    m = g.meta(*log)
+    assert m["n_events"] == log[0].count() and 0 < m["prevalence"] < 0.5 and m["campaigns"]["brute_force"] == 3
+    a = g.ensure_dataset(spark, str(tmp_path), "s", seed=2, n_entities=5, days=10, per_kind=1)
+    n = a[0].count()
+    assert g.ensure_dataset(spark, str(tmp_path), "s", seed=99, n_entities=50)[0].count() == n

@@ -63,3 +63,18 @@ def test_empty_and_repeated(spark):
         words[r.doc_id] += len(r.text.split())
     assert words == {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
     assert mixing.repeated(docs, mixing.mix(docs)).columns == docs.columns
+
+
+def test_rows_of_one_id_take_their_own_plans(spark):
+    rows = [(1, "a b c", "s"), (1, "d e f g h", "s"), (1, "a b c", "s"), (None, "x y", "s"), (2, "q " * 30, "t"), (None, None, None)]
+    docs = frame(spark, rows)
+    plan = mixing.mix(docs)
+    want = collections.Counter()
+    for r in plan.collect():
+        want[r.doc_id] += r.taken
+    first, second = ([(r.doc_id, r.text) for r in mixing.repeated(docs, mixing.mix(docs)).collect()] for _ in range(2))
+    assert sorted(first, key=repr) == sorted(second, key=repr)
+    got = collections.Counter()
+    for i, t in first:
+        got[i] += len(t.split())
+    assert got == {i: n for i, n in want.items() if n}

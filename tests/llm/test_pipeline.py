@@ -83,3 +83,32 @@ def test_ids_equal_the_library(steps):
     digest = lambda r: (r.doc_id, hashlib.sha256(np.array(enc.encode_ordinary(r.text or ""), "<u4").tobytes()).hexdigest())
     want = collections.Counter(digest(r) for r in steps[4].collect())
     assert want == collections.Counter((r.doc_id, r.ids_sha256) for r in steps[5].collect())
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark, tmp_path):
+    long = " ".join(f"w{k % 3000}" for k in range(60_000))
+    data = [(1, "one two three four five six", "en", "a", 1), (1, "one two three four five six", "en", "b", 1), (1, "other words that are not the same at all", "en", "a", 1), (None, "a text without any id in this place", "en", "a", 1), (None, "a text without any id in this place", "en", "a", 1), (7, None, None, None, None), (8, "", "en", "a", 0), (9, long, "en", "c", 1), (10, long + " end", "en", "c", 1)]
+    docs = spark.createDataFrame([(*r, 5) for r in data], "doc_id long, text string, lang string, source string, n_chars long, size int").repartition(3)
+    kept = cp.written(cp.drop_near_duplicates(spark, docs, SF), "test")
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), (r.text or "")[:12]) for r in kept.collect())
+    assert got == sorted([("1", "one two thre"), ("1", "other words "), ("None", "a text witho"), ("7", ""), ("8", ""), ("9", "w0 w1 w2 w3 ")])
+    mixed = cp.written(cp.mix_sources(spark, cp.replace_personal_data(spark, kept, SF), SF), "test")
+    words = collections.Counter()
+    for r in mixed.collect():
+        if r.text:
+            words[r.doc_id, r.text.split()[0]] += len(r.text.split())
+    plan = collections.Counter()
+    for r in mixing.mix(kept).collect():
+        plan[r.doc_id] += r.taken
+    assert {i: n for i, n in plan.items() if n} == {i: sum(n for (j, _), n in words.items() if j == i) for i in {j for j, _ in words}}
+    assert cp.encode(spark, mixed, SF).count() == mixed.count()
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = toxicity.without_toxic(docs, toxicity.train(docs, labels))
+    for stage in (cp.drop_near_duplicates, cp.replace_personal_data, cp.mix_sources, cp.encode):
+        docs = cp.written(stage(spark, docs, SF), "test")
+    assert docs.count() == 0

@@ -65,7 +65,7 @@ def targets(by_source: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs: int
 
 
 def mix(docs: DataFrame, seed: str = "mix-1", digits: int = 3, weights=WEIGHTS, share=SHARE, max_epochs: int = 2) -> DataFrame:
-    """doc_id, size, source_size, target, whole (full repetitions), extra (words of one more), taken."""
+    """doc_id, source_key, size, source_size, target, whole (full repetitions), extra (words of one more), taken."""
     rows = written(sizes(docs, seed, digits), "mix-sizes")  # texts are read once
     buckets = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("in_bucket"))
     plan = targets(buckets.groupBy("source_key").agg(F.sum("in_bucket").alias("source_size")), weights, share, max_epochs)
@@ -76,18 +76,26 @@ def mix(docs: DataFrame, seed: str = "mix-1", digits: int = 3, weights=WEIGHTS,
         rows.join(starts, ["source_key", "bucket"])
         .withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
         .withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("at"))))
-        .select("doc_id", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+        .select("doc_id", "source_key", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
     )
 
 
 def repeated(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The documents of a mix, each as often as the plan takes it; a part of a document is its first words.
 
-    Here doc_id names a document: rows that repeat one share its plan.
+    Rows that share a doc_id take their own rows of the plan: by source and size, in the order of the
+    text and of what is taken, so a rerun agrees. A null doc_id is one like others.
     """
-    plan = plan.select("doc_id", *[F.col(c).alias(f"_mix_{c}") for c in ("size", "whole", "extra")]).dropDuplicates(["doc_id"])
+    wanted = ["_mix_id", "_mix_source", "_mix_size"]
+    plan = plan.select(F.col("doc_id").alias("_p_id"), F.col("source_key").alias("_p_source"), F.col("size").alias("_p_size"), F.col("whole").alias("_mix_whole"), F.col("extra").alias("_mix_extra"))
+    named = docs.withColumns({"_mix_id": F.col("doc_id"), "_mix_source": F.coalesce(F.concat(F.lit("x"), "source"), F.lit("z")), "_mix_size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")})
+    on = named["_mix_id"].eqNullSafe(plan["_p_id"])
+    if not plan.groupBy("_p_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        named = named.withColumn("_mix_nth", F.row_number().over(Window.partitionBy(*wanted).orderBy("text")))
+        plan = plan.withColumn("_p_nth", F.row_number().over(Window.partitionBy("_p_id", "_p_source", "_p_size").orderBy(F.desc("_mix_whole"), F.desc("_mix_extra"))))
+        on = named["_mix_id"].eqNullSafe(plan["_p_id"]) & (named["_mix_source"] == plan["_p_source"]) & (named["_mix_size"] == plan["_p_size"]) & (named["_mix_nth"] == plan["_p_nth"])
     n = F.col("_mix_whole") + (F.col("_mix_extra") > 0).cast("long")
-    copies = docs.join(plan, "doc_id").where(n > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    copies = named.join(plan, on).where(n > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
     part = (F.col("_mix_copy") > F.col("_mix_whole")) & (F.col("_mix_extra") < F.col("_mix_size"))
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_mix_extra").cast("int")), " ")
     return copies.withColumn("text", F.when(part, words).otherwise(F.col("text"))).select(*docs.columns)

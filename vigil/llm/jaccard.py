@@ -299,7 +299,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, top: int = 90, bottom: int = 1
         links = links.union(blocks_.where("doc_id != other").select("doc_id", "other"))
     components = connected_components(links).withColumnRenamed("node", "rep")
     counted = counted.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("linked").alias("linked"))
-    by_class = components.join(counted, "rep", "left")
+    by_class = written(components.join(counted, "rep", "left"), "by-class")  # its own table, so that a class of very many copies can be split
     return members.join(by_class, "rep", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

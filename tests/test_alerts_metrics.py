@@ -146,3 +146,46 @@ def test_tied_scores(spark):
     assert average_precision(df, "score", pos).first()[0] == pytest.approx(0.5 * 0.5 + 0.5 * 2 / 5)
     wins = sum(1 if a > b else 0.5 if a == b else 0 for a, y in rows if y for b, z in rows if not z)
     assert roc_auc(df, "score", pos).first()[0] == pytest.approx(wins / 8)
+
+
+def test_ranks_quantiles_and_intervals(spark):
+    """Running sums, places and quantiles by buckets equal what one sorted list gives."""
+    import random
+
+    from vigil.functions import ranks
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.choice([0.0, -0.0, 1.5, -2.25, rng.gauss(0, 1), rng.gauss(0, 1e6), rng.gauss(0, 1e-6)]), rng.random() < 0.3) for i in range(500)] + [(900, "a", float("nan"), False), (901, "b", None, True), (902, "a", float("inf"), True), (903, "a", float("-inf"), True)]
+    df = spark.createDataFrame(rows, "event_id long, g string, score double, y boolean").repartition(5)
+    finite = [r for r in rows if r[2] is not None and r[2] == r[2]]
+    low = lambda v: float("-inf") if v is None or v != v else v
+    want = {r[0]: k for k, r in enumerate(sorted(rows, key=lambda r: (-low(r[2]), r[0])), 1)}
+    assert {r.event_id: r["rank"] for r in ranks.global_rank(df, "score", "event_id").collect()} == want
+    per = {r.score: r for r in ranks.score_steps(df.where("score IS NOT NULL AND NOT isnan(score)"), "score", F.col("y")).collect()}
+    for s, r in per.items():
+        assert r.cum_n == sum(x[2] >= s for x in finite) and r.cum_pos == sum(x[2] >= s and x[3] for x in finite)
+    plain = [r for r in finite if abs(r[2]) != float("inf")]
+    got = {r.g: r for r in ranks.quantiles(df.where("abs(score) < 1e300"), "score", {"mid": 0.5, "low": 0.16}, ("g",)).collect()}
+    for g in "ab":
+        v = sorted(r[2] for r in plain if r[1] == g)
+        for name, q in (("mid", 0.5), ("low", 0.16)):
+            at = (len(v) - 1) * q
+            k = int(at)
+            assert abs(got[g][name] - (v[k] + (v[min(k + 1, len(v) - 1)] - v[k]) * (at - k))) < 1e-9
+    pos, neg = [r[2] for r in plain if r[3]], [r[2] for r in plain if not r[3]]
+    auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    r = ranks.bootstrap_auc(df.where("abs(score) < 1e300"), "score", F.col("y"), "event_id", 60).first()
+    assert abs(r.roc_auc - auc) < 1e-9 and r.low < auc < r.high and r.high - r.low < 0.3
+
+
+def test_verdicts_scale_and_burn_in(spark):
+    from vigil.operators import alerts as A
+    from vigil.operators import metrics as M
+
+    v = spark.createDataFrame([("a", "true", 1), ("a", "false", 2), ("b", "true", 1)], "alert_id string, verdict string, at int")
+    assert {r.verdict: r.n for r in M.verdict_counts(v).collect()} == {"true": 1, "false": 1}
+    ev = spark.createDataFrame([(str(i),) for i in range(200)], "entity_id string")
+    camps = lambda k: spark.createDataFrame([("brute_force",)] * k, "campaign_type string")
+    assert M.scale_note(ev, camps(50)) is None and "illustration" in M.scale_note(ev, camps(3))
+    days = spark.sql("SELECT explode(sequence(timestamp'2026-01-01', timestamp'2026-01-20', interval 1 day)) AS start_ts")
+    assert A.burned_in(days).count() == 13

@@ -44,9 +44,17 @@ def test_round_trip_and_discovery(spark, log, tmp_path):
     folder = f"{tmp_path}/seed3_delta05"
     tables.write_bundle(spark, folder, {"meta": {"a": float("nan"), "t": datetime.datetime(2026, 1, 1), "n": [1, 2]}}, {"volume": c.select("campaign_id"), "hist": e.select("event_id", "command_sequence").limit(5)})
     assert [(s, d) for s, d, _ in tables.bundles(spark, str(tmp_path))] == [(3, 0.5)]
+    assert tables.load_bundle(spark, folder) is None
     back = tables.read_bundle(spark, folder)
     assert back["meta"] == {"a": None, "t": "2026-01-01T00:00:00", "n": [1, 2]}
     assert back["volume"].count() == c.count() and back["hist"].count() == 5
+    full = f"{tmp_path}/full"
+    figures = spark.createDataFrame([("seed101", 0.25, 3)], "log string, prevalence double, n int")
+    tables.write_bundle(spark, full, {n: {} for n in tables.BUNDLE_REQUIRED} | {"latency": {"p50_ms": 1.5}}, {"entity_history": figures, "fp_breakdown": figures})
+    tables.write_figures(f"{full}/figures", {"holdout": figures})
+    whole = tables.load_bundle(spark, full)
+    assert whole["latency"] == {"p50_ms": 1.5} and dict(whole["fp_breakdown"].dtypes) == {"log": "string", "prevalence": "double", "n": "int"}
+    assert whole["entity_history"].first() == figures.first() and spark.read.csv(f"{full}/figures/holdout.csv", header=True).count() == 1
 
 
 def test_pipeline_ranks_attacks_first(spark, log):

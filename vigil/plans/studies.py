@@ -97,6 +97,12 @@ def learned_types(train: DataFrame, test: DataFrame, merge: bool = False) -> Dat
     return out.select("event_id", F.col("kind").alias("label"), F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int")).alias("predicted"))
 
 
+def merge_gain(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Macro F1 of the learned types with all kinds and with low_and_slow and insider_drift joined, and their difference."""
+    both = [M.macro_f1(learned_types(train, test, merge), "label", "predicted").select(F.col("macro_f1").alias(name)) for merge, name in ((False, "f1_apart"), (True, "f1_merged"))]
+    return both[0].withColumn("f1_merged", both[1].scalar()).withColumn("gain", F.col("f1_merged") - F.col("f1_apart"))
+
+
 POLICIES = ("all", "unflagged", "quarantine", "none")
 SPIKE, ALONE, MEMORY = 2.5, 2.0, 0.02
 

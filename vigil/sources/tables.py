@@ -136,26 +136,48 @@ def plain(value):
     return value.isoformat() if hasattr(value, "isoformat") else value
 
 
+#: Files that a bundle must have and may have, and the table that is always Parquet.
+BUNDLE_REQUIRED, BUNDLE_OPTIONAL, BUNDLE_PARQUET = ("meta", "metrics", "alerts", "weights"), ("alerts_by_level",), ("entity_history",)
+
+
 def write_bundle(spark: SparkSession, folder: str, small: dict[str, object], tables: dict[str, DataFrame]) -> None:
-    """A result bundle: small values as one JSON line each, tables as CSV or, with nested columns, Parquet."""
+    """A result bundle: small values as one JSON line each, tables as CSV or, with nested columns or by name, Parquet."""
     for name, value in small.items():
-        spark.createDataFrame([(json.dumps(plain(value)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}.json")
+        write_json(spark, f"{folder}/{name}.json", value)
     for name, df in tables.items():
         nested = any(k.startswith(("array", "map", "struct")) for _, k in df.dtypes)
-        if nested:
+        if nested or name in BUNDLE_PARQUET:
             df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
         else:
             df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
 
 
+def write_json(spark: SparkSession, path: str, value: object) -> None:
+    """One small value as a line of JSON, for instance the report of a stream's latency."""
+    spark.createDataFrame([(json.dumps(plain(value)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_figures(folder: str, tables: dict[str, DataFrame]) -> None:
+    """Tables of figures (a sweep, held-out seeds, an ablation) as one CSV each: a row for each log or layer, so one file is enough."""
+    for name, df in tables.items():
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+
+
 def read_bundle(spark: SparkSession, folder: str) -> dict[str, object]:
+    """All files of a bundle by name; columns of CSV files get the types that their values show."""
     out: dict[str, object] = {}
     for p in _listed(spark, f"{folder}/*"):
         name, _, kind = p.rsplit("/", 1)[-1].rpartition(".")
         if kind == "json":
             out[name] = json.loads(spark.read.text(p).first()[0])
         elif kind == "csv":
-            out[name] = spark.read.option("header", True).csv(p)
+            out[name] = spark.read.option("header", True).option("inferSchema", True).csv(p)
         elif kind == "parquet":
             out[name] = spark.read.parquet(p)
     return out
+
+
+def load_bundle(spark: SparkSession, folder: str) -> dict[str, object] | None:
+    """A bundle with every required file, else None."""
+    there = {p.rsplit("/", 1)[-1] for p in _listed(spark, f"{folder}/*.json")}
+    return read_bundle(spark, folder) if all(f"{n}.json" in there for n in BUNDLE_REQUIRED) else None

@@ -387,3 +387,18 @@ def latency_report(query) -> dict[str, float]:
     if not len(ms):
         return {"batches": 0}
     return {"batches": len(ms), "rows": rows, "rows_per_s": rows / max(ms.sum() / 1000, 1e-9), **{f"p{q}_ms": float(np.percentile(ms, q)) for q in (50, 95, 99, 100)}, "state_bytes": float(sum(state))}
+
+
+def benchmark(events: DataFrame, folder: str, priors: Priors | None = None, warm_up: float = 0.1) -> dict[str, float]:
+    """latency_report() of the entity step over a log, written to a folder; the first share of its time warms the query up."""
+    spark = events.sparkSession
+    sec = F.unix_timestamp(F.col("timestamp").cast("timestamp"))
+    cut = events.select(sec.cast("double").alias("s")).approxQuantile("s", [warm_up], 0.01)[0]
+    reports = []
+    for name, part in (("warm", sec <= cut), ("rest", sec > cut)):
+        events.where(part).repartitionByRange(10, "timestamp").write.mode("overwrite").parquet(f"{folder}/log-{name}")
+        source = read_log(spark, f"{folder}/log-{name}", events.schema, maxFilesPerTrigger=1)
+        q = entity_signals(source, None, priors=priors).writeStream.format("noop").option("checkpointLocation", f"{folder}/cp-{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        reports.append(latency_report(q))
+    return reports[-1]

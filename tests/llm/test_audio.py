@@ -47,3 +47,34 @@ def test_steps_agree(monkeypatch):
 def test_hysteresis():
     e = np.array([0, 1, 0.0, 0.05, -1, -0.3, 0.0, 0.3, 0.0, -0.05])
     assert audio.active_spans(e).tolist() == [[1, 4], [7, 10]]
+
+
+def test_bands_equal_a_plain_computation():
+    """Filter, frame and band sums written out sample by sample."""
+    import math
+
+    up, down, taps, frame, hop = audio.UP, audio.DOWN, audio.TAPS, audio.FRAME, audio.HOP
+    samples = np.random.default_rng(4).integers(0, 256, 192 * 5).astype(np.uint8)
+    x = [(int(v) - 128) / 128 for v in samples]
+    size = up * taps
+    low = [math.sin(math.pi * (k - (size - 1) / 2) / down) / (math.pi * (k - (size - 1) / 2)) * (0.54 - 0.46 * math.cos(2 * math.pi * k / (size - 1))) * up for k in range(size)]
+    n_out = -(-len(x) * up // down)
+    frames = max(1, 1 + -(-max(0, n_out - frame) // hop))
+    y = []
+    for o in range((frames - 1) * hop + frame):
+        shift, phase = divmod(o * down, up)
+        near = [shift + taps - 1 - j - taps // 2 for j in range(taps)]
+        y.append(sum(x[i] * low[phase + j * up] for j, i in enumerate(near) if 0 <= i < len(x)))
+    rate = audio.RATE * up / down
+    mel = lambda hz: 2595 * math.log10(1 + hz / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * k / (audio.BANDS + 1) / 2595) - 1) for k in range(audio.BANDS + 2)]
+    got, energy = audio.log_mel(samples)
+    assert got.shape == (frames, audio.BANDS)
+    for f in range(frames):
+        part = [y[f * hop + k] * (0.5 - 0.5 * math.cos(2 * math.pi * k / (frame - 1))) for k in range(frame)]
+        assert abs(energy[f] - math.log(sum(v * v for v in part) + 1e-8)) < 1e-3
+        power = [abs(sum(v * complex(math.cos(2 * math.pi * b * k / frame), -math.sin(2 * math.pi * b * k / frame)) for k, v in enumerate(part))) ** 2 for b in range(frame // 2 + 1)]
+        for m in range(audio.BANDS):
+            lo, mid, hi = edges[m : m + 3]
+            total = sum(p * max(0.0, min((b * rate / frame - lo) / (mid - lo), (hi - b * rate / frame) / (hi - mid))) for b, p in enumerate(power))
+            assert abs(got[f, m] - math.log10(total + 10**audio.FLOOR)) < 2e-3

@@ -73,3 +73,51 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score < 0.5 for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()] == [True]
     assert toxicity.score(docs.limit(0), toxicity.train(docs, labels)).count() == 0
+
+
+def test_forward_pass_and_gradients_equal_a_plain_network():
+    """The two directions, the gates and the attention written out word by word; gradients by differences."""
+    import math
+
+    from vigil.llm import toxicity as T
+
+    rng = np.random.default_rng(2)
+    net = T.Network.fresh(np.zeros(T.WORDS, np.float32), np.zeros(4 * T.CHARS, np.float32), 3)
+    for name in net.NAMES:
+        setattr(net, name, rng.normal(0, 0.4, getattr(net, name).shape).astype(np.float32))
+    steps, h = 6, T.HIDDEN
+    ids = rng.integers(0, 4 * T.CHARS, (steps, 3, 5))
+    ids[..., 0] %= T.WORDS
+    n = np.array([6, 4, 1])
+    x = net.inputs(ids.reshape(-1, 5)).reshape(steps, 3, 2 * T.DIM)
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def plain(m):
+        states = [[0.0] * (2 * h) for _ in range(n[m])]
+        for d, order in ((0, range(n[m])), (1, range(n[m] - 1, -1, -1))):
+            state = [0.0] * h
+            for t in order:
+                gate = lambda g, k, s: sum(float(x[t, m, i]) * float(net.w[d][i, g * h + k]) for i in range(2 * T.DIM)) + float(net.b[d][g * h + k])  # noqa: E731,B023
+                back = lambda g, k: sum(state[i] * float(net.u[d][i, g * h + k]) for i in range(h))  # noqa: E731,B023
+                z = [sig(gate(0, k, 0) + back(0, k)) for k in range(h)]
+                r = [sig(gate(1, k, 0) + back(1, k)) for k in range(h)]
+                new = [math.tanh(gate(2, k, 0) + r[k] * back(2, k)) for k in range(h)]
+                state = [new[k] + z[k] * (state[k] - new[k]) for k in range(h)]
+                states[t][d * h : (d + 1) * h] = state
+        look = [sum(a * float(b) for a, b in zip(s, net.look)) for s in states]
+        e = [math.exp(v - max(look)) for v in look]
+        pooled = [sum(w * s[k] for w, s in zip(e, states)) / sum(e) for k in range(2 * h)]
+        return sum(a * float(b) for a, b in zip(pooled, net.out)) + float(net.bias[0])
+
+    logit, kept = net.forward(x, n, keep=True)
+    assert np.allclose(logit, [plain(m) for m in range(3)], atol=1e-4)
+    grad = rng.normal(size=3).astype(np.float32)
+    got = net.backward(grad, ids, kept)
+    for name, at in (("w", (0, 1, 2)), ("u", (1, 0, 5)), ("b", (0, 3)), ("look", (4,)), ("out", (2,)), ("bias", (0,)), ("word", (int(ids[0, 0, 0]), 1))):
+        value, step = getattr(net, name), 1e-2
+        old, ends = float(value[at]), []
+        for s in (step, -step):
+            value[at] = old + s
+            ends.append(float((net.forward(net.inputs(ids.reshape(-1, 5)).reshape(x.shape), n) * grad).sum()))
+        value[at] = old
+        assert abs((ends[0] - ends[1]) / (2 * step) - got[name][at]) < 5e-3, name

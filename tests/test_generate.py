@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from vigil.functions.columns import bumped
 from vigil.plans import pipeline, studies
 from vigil.schema import ATTACK_TYPES, CAMPAIGN_SCHEMA, EVENT_SCHEMA, LABEL_SCHEMA, LabelLeakError, assert_feature_frame
 from vigil.sources import tables
@@ -25,6 +26,10 @@ def test_contract_and_contents(spark, log):
     assert_feature_frame(events)
     with pytest.raises(LabelLeakError):
         assert_feature_frame(events.withColumn("label", F.lit(1)))
+    with pytest.raises(LabelLeakError):  # this process has the generator
+        assert_feature_frame(events, alone=True)
+    versions = spark.createDataFrame([("10.2.9",), ("os 11 23H2",), ("n/a",), (None,)], "v string")
+    assert [r.b for r in versions.select(bumped(F.col("v")).alias("b")).collect()] == ["10.2.10", "os 11 23H3", "n/a", None]
 
 
 def test_same_log_under_any_partitioning(spark):

@@ -65,3 +65,10 @@ def top2mean(values: Column) -> Column:
 def band(score: Column, theta: Column) -> Column:
     """HIGH from theta on, MEDIUM from half of it, else LOW (for theta >= 0)."""
     return F.when(score >= theta, "HIGH").when(score >= theta / 2, "MEDIUM").otherwise("LOW")
+
+
+def bumped(version: Column, by: Column | int = 1) -> Column:
+    """A version with its last number raised; text without a number stays."""
+    by = F.lit(by) if isinstance(by, int) else by
+    head, last, tail = (F.regexp_extract(version, r"^(.*?)(\d+)(\D*)$", i) for i in (1, 2, 3))
+    return F.when(version.rlike(r"\d"), F.concat(head, (last.cast("long") + by).cast("string"), tail)).otherwise(version)

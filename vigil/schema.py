@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -103,11 +104,16 @@ def signals_of(level: str, layers: tuple[str, ...] | None = None, mitigating: bo
     return [s for s in SIGNALS if s.level == level and s.mitigating == mitigating and (layers is None or s.layer in layers)]
 
 
-def assert_feature_frame(df: DataFrame) -> DataFrame:
-    """df itself, if it holds only what a detector may see; costs no job."""
+GENERATOR = "vigil.sources.generate"
+
+
+def assert_feature_frame(df: DataFrame, alone: bool = False) -> DataFrame:
+    """df itself, if it holds only what a detector may see; costs no job. alone: the log generator must not even be loaded."""
     allowed = set(EVENT_SCHEMA.names)
     if extra := [c for c in df.columns if c not in allowed]:
         raise LabelLeakError(f"columns outside the contract: {extra}")
     if named := [c for c in df.columns if any(p in c.lower() for p in FORBIDDEN_PARTS)]:
         raise LabelLeakError(f"columns named after labels: {named}")
+    if alone and GENERATOR in sys.modules:
+        raise LabelLeakError("the generator and its parameters are loaded in this process")
     return df

@@ -46,7 +46,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix
 
     # Passages of fifty words are shorter than 400 bytes as often as not: they are reported besides, as echoes.
-    out = suffix.removed(table(spark, sf_dir, "documents"), 400, echo=128)
+    out = suffix.removed(table(spark, sf_dir, "documents"), 400, echo=160)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_echoed")
 
 

@@ -17,7 +17,7 @@ hashes of its windows in a plain aggregation.
 
 Shorter passages are reported, not removed: the anchors of smaller windows (`echo` bytes) cut a
 text into pieces, and pieces with the same two anchors at the same distance elsewhere are echoes;
-runs of them with at least `echo` bytes are counted. This is a report by fingerprints, not exact.
+runs of them with at least three quarters of `echo` bytes are counted. This is a report by fingerprints, not exact.
 
 Texts stand for themselves: all tables are keyed by a 128-bit hash of the text, so neither null nor
 repeated doc_ids matter. A text that several rows have is represented once; if it reaches
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .text import blocks, map_batches, mix, powers, written
 
-GRAM, SHARD, HOT = 32, 1 << 21, 1 << 20
+GRAM, SHARD, HOT = 32, 3 << 20, 1 << 20
 #: Starts that a part of a split anchor holds.
 STEP = 32
 #: Texts that a task remembers, so as to send copies of them once.
@@ -286,23 +286,41 @@ def _unseen(column: pa.Array, seen: set[bytes]) -> tuple[pa.Array, np.ndarray]:
 TEXT = ["t1", "t2"]
 
 
+def _place(t1: np.ndarray, t2: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of a text's key and a place in it."""
+    return mix(mix(t1.view(np.uint64) ^ at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ t2.view(np.uint64)).view(np.int64)
+
+
 def _several(df: DataFrame, *by: str) -> DataFrame:
-    """Groups with rows of more than one place: their least and greatest t1, t2 or q1 differ."""
-    got = df.groupBy(*by).agg(*[f(c).alias(f"{k}_{c}") for c in (*TEXT, "q1") for k, f in (("lo", F.min), ("hi", F.max))])
-    return got.where(" OR ".join(f"lo_{c} <> hi_{c}" for c in (*TEXT, "q1"))).select(*by)
+    """Groups with rows of more than one place."""
+    return df.groupBy(*by).agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi").select(*by)
 
 
-def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, t1, t2, q1, n (starts), c1, c2 (hash of the piece and n), bytes, piece: the runs whose anchor recurs. One row at least of each c1, c2 has the piece."""
+def marks_of(texts: DataFrame, length: int, gram: int, echo: int | None) -> DataFrame:
+    """t1, t2, cuts (runs whose anchor recurs: q1, q2, anchor), heard (pieces that echo elsewhere: a, b)."""
+    names = ["kind", "key", "place", *TEXT, "a", "b"]
 
     def find(batches):
         seen: set[bytes] = set()
         for batch in batches:
             column, keys = _unseen(batch.column(0), seen)
-            for a, _, buf, offs in blocks(column):
-                d, q1, q2, h = anchors(offs, _gram_hashes(buf, gram), length, gram)
-                if len(d):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a + d, 0]), pa.array(keys[a + d, 1]), pa.array(h.view(np.int64)), pa.array(q1.astype(np.int32)), pa.array(q2.astype(np.int32))], [*TEXT, "anchor", "q1", "q2"])
+            for first, _, buf, offs in blocks(column):
+                h = _gram_hashes(buf, gram)
+                for kind in (0, 1) if echo else (0,):
+                    d, a, b, key = echo_pieces(offs, h, echo, gram) if kind else anchors(offs, h, length, gram)
+                    if len(d):
+                        t1, t2 = (np.ascontiguousarray(keys[first + d, c]) for c in (0, 1))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(_place(t1, t2, a)), pa.array(t1), pa.array(t2), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names)
+
+    places = written(texts.mapInArrow(find, "kind int, key long, place long, t1 long, t2 long, a int, b int"), "places")
+    recurring = written(_several(places, "kind", "key"), "recurring")
+    met = places.drop("place").join(recurring.hint("merge"), ["kind", "key"], "left_semi")
+    cuts = F.collect_set(F.when(F.col("kind") == 0, F.struct(F.col("a").alias("q1"), F.col("b").alias("q2"), F.col("key").alias("anchor"))))
+    return written(met.groupBy(*TEXT).agg(cuts.alias("cuts"), F.collect_set(F.when(F.col("kind") == 1, F.struct("a", "b"))).alias("heard")), "marks")
+
+
+def _contexts(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
+    """anchor, place, t1, t2, q1, n (starts), c1, c2 (hash of the piece and n), bytes, piece: the runs of marks_of(), cut out. One row at least of each c1, c2 has the piece."""
 
     def once(batches):
         seen: set[bytes] = set()
@@ -310,10 +328,8 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
             column, keys = _unseen(batch.column(0), seen)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), column.cast(pa.binary())], [*TEXT, "raw"])
 
-    runs = written(texts.mapInArrow(find, "t1 long, t2 long, anchor long, q1 int, q2 int"), "runs")
-    recurring = written(_several(runs, "anchor"), "recurring")
-    cuts = runs.join(recurring.hint("merge"), "anchor", "left_semi").groupBy(*TEXT).agg(F.collect_set(F.struct("q1", "q2", "anchor")).alias("cuts"))
-    names = ["anchor", *TEXT, "q1", "n", "c1", "c2", "bytes", "piece"]
+    cuts = marks.where(F.size("cuts") > 0).select(*TEXT, "cuts")
+    names = ["anchor", "place", *TEXT, "q1", "n", "c1", "c2", "bytes", "piece"]
 
     def cut(batches):
         seen: set[tuple] = set()
@@ -338,14 +354,16 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
                         pieces[k] = None
                     elif len(sent) < REMEMBERED:
                         sent.add(x)
+                t1, t2 = (np.full(len(pieces), k, np.int64) for k in key)
+                place = _place(t1, t2, q1)
                 for s in range(0, len(pieces), 4096):
                     e = min(s + 4096, len(pieces))
-                    ids = [pa.array(np.full(e - s, k)) for k in key]
+                    ids = [pa.array(x[s:e]) for x in (place, t1, t2)]
                     yield pa.RecordBatch.from_arrays([c.field(2).slice(s, e - s), *ids, pa.array(q1[s:e]), pa.array(n[s:e]), pa.array(digests[s:e, 0]), pa.array(digests[s:e, 1]), pa.array(sizes[s:e], pa.int32()), pa.array(pieces[s:e], pa.binary())], names)
 
     whole = texts.mapInArrow(once, "t1 long, t2 long, raw binary")
     joined = whole.join(cuts.hint("merge"), TEXT).select(*TEXT, "raw", "cuts")
-    return written(joined.mapInArrow(cut, "anchor long, t1 long, t2 long, q1 int, n int, c1 long, c2 long, bytes int, piece binary"), "contexts")
+    return written(joined.mapInArrow(cut, "anchor long, place long, t1 long, t2 long, q1 int, n int, c1 long, c2 long, bytes int, piece binary"), "contexts")
 
 
 FOUND = "c1 long, c2 long, a int, b int"
@@ -409,29 +427,13 @@ def _windows(pieces: DataFrame, length: int) -> DataFrame:
     return each.join(twice.hint("merge"), by, "left_semi").select("c1", "c2", F.col("at").alias("a"), F.col("at").alias("b"))
 
 
-def echoes(texts: DataFrame, echo: int, gram: int = GRAM) -> DataFrame:
-    """t1, t2, a, b: pieces of texts, from a to before b, whose two anchors stand at the same distance elsewhere."""
-
-    def find(batches):
-        seen: set[bytes] = set()
-        for batch in batches:
-            column, keys = _unseen(batch.column(0), seen)
-            for first, _, buf, offs in blocks(column):
-                d, a, b, key = echo_pieces(offs, _gram_hashes(buf, gram), echo, gram)
-                if len(d):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[first + d, 0]), pa.array(keys[first + d, 1]), pa.array(key.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], [*TEXT, "key", "q1", "b"])
-
-    pieces = written(texts.mapInArrow(find, "t1 long, t2 long, key long, q1 int, b int"), "pieces")
-    recurring = written(_several(pieces, "key"), "echoing")
-    return pieces.join(recurring.hint("merge"), "key", "left_semi").select(*TEXT, F.col("q1").alias("a"), "b")
-
-
 def repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, echo: int | None = None) -> DataFrame:
-    """t1, t2, rows (with that text), ranges (level 0: first and last start of repeated strings; level 1: echoes, from a to before b) of texts with repeats."""
+    """t1, t2, rows (with that text), ranges (first and last start of repeated strings), heard (echoes, from a to before b) of texts with repeats."""
     least = min(length, echo or length)
-    texts = docs.select("text").where(F.octet_length("text") >= length)
+    texts = docs.select("text").where(F.octet_length("text") >= least)
+    marks = marks_of(texts, length, gram, echo)
     copies = docs.where(F.octet_length("text") >= least).select(*text_key(F.col("text"))).groupBy(*TEXT).agg(F.count("*").alias("rows")).where("rows > 1")
-    contexts = _contexts(texts, length, gram)
+    contexts = _contexts(texts.where(F.octet_length("text") >= length), marks, length)
 
     kind = ["anchor", "c1", "c2"]
     slim = written(contexts.groupBy(*kind).agg(F.max("bytes").alias("size")), "kinds")
@@ -457,17 +459,16 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, echo: int | No
     found = written(found, "found")
     rows = contexts.select(*TEXT, "q1", "n", "c1", "c2")
     start = lambda c: (F.col("q1") + c).alias
-    part = rows.join(found.hint("merge"), ["c1", "c2"]).select(*TEXT, F.lit(0).alias("level"), start(F.col("a"))("a"), start(F.col("b"))("b"))
-    full = rows.join(written(many, "many").hint("merge"), ["c1", "c2"], "left_semi").select(*TEXT, F.lit(0).alias("level"), F.col("q1").alias("a"), start(F.col("n") - 1)("b"))
-    every = part.union(full)
-    if echo:
-        every = every.union(echoes(docs.select("text").where(F.octet_length("text") >= echo), echo, gram).select(*TEXT, F.lit(1).alias("level"), "a", "b"))
-    ranges = every.groupBy(*TEXT).agg(F.collect_set(F.struct("level", "a", "b")).alias("ranges"))
-    return ranges.join(copies, TEXT, "full").select(*TEXT, F.coalesce("rows", F.lit(1)).alias("rows"), "ranges")
+    part = rows.join(found.hint("merge"), ["c1", "c2"]).select(*TEXT, start(F.col("a"))("a"), start(F.col("b"))("b"))
+    full = rows.join(written(many, "many").hint("merge"), ["c1", "c2"], "left_semi").select(*TEXT, F.col("q1").alias("a"), start(F.col("n") - 1)("b"))
+    ranges = part.union(full).groupBy(*TEXT).agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    heard = marks.where(F.size("heard") > 0).select(*TEXT, "heard")
+    every = ranges.join(heard, TEXT, "full").join(copies, TEXT, "full")
+    return every.select(*TEXT, F.coalesce("rows", F.lit(1)).alias("rows"), "ranges", "heard")
 
 
 def removed(docs: DataFrame, length: int = 400, gram: int = GRAM, echo: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, n_echoed (bytes removed or in echoes of at least echo bytes), kept (the bytes that stay)."""
+    """doc_id, n_bytes, n_removed, n_spans, n_echoed (bytes removed or in echoes of at least three quarters of echo bytes), kept (the bytes that stay)."""
     kind = dict(docs.dtypes)["doc_id"]
     least = min(length, echo or length)
     marks = written(repeats(docs, length, gram, echo), "repeats")
@@ -482,23 +483,25 @@ def removed(docs: DataFrame, length: int = 400, gram: int = GRAM, echo: int | No
         edge = np.diff(np.concatenate([[0], on.astype(np.int8), [0]]))
         return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
+    def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each row's pairs begin, and all pairs' two numbers."""
+        at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        pairs = lists.flatten()
+        return at, *((pairs.field(k).to_numpy(zero_copy_only=False) for k in range(2)) if len(pairs) else (np.zeros(0, np.int64),) * 2)
+
     def strip(batch):
         out = [[], [], [], [], []]
-        lists = batch.column(3)
-        at = np.concatenate([[0], np.cumsum([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()])]).astype(np.int64)
-        flat = lists.flatten()
-        level, a, b = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3)) if len(flat) else (np.zeros(0, np.int64),) * 3
+        (at, a, b), (at2, a2, b2) = flat(batch.column(3)), flat(batch.column(4))
         for k, rows in enumerate(batch.column(2).to_pylist()):
             raw = batch.column(1)[k].as_buffer().to_pybytes()
-            n, s, e = len(raw), at[k], at[k + 1]
+            n, s, e, s2, e2 = len(raw), at[k], at[k + 1], at2[k], at2[k + 1]
             if (rows or 0) > 1 and n >= length:
                 row = (n, n, 1, n, b"")
-            elif e > s or (rows or 0) > 1:
-                mine, kin = level[s:e] == 0, level[s:e] == 1
-                gone = cover(n, a[s:e][mine], b[s:e][mine] + length)
-                heard = gone | cover(n, a[s:e][kin], b[s:e][kin])
+            elif e > s or e2 > s2 or (rows or 0) > 1:
+                gone = cover(n, a[s:e], b[s:e] + length)
+                heard = gone | cover(n, a2[s2:e2], b2[s2:e2])
                 x, y = runs(heard)
-                echoed = n if (rows or 0) > 1 and n >= least else int((y - x)[y - x >= least].sum())
+                echoed = n if (rows or 0) > 1 and n >= least else int((y - x)[y - x >= min(length, 3 * (echo or length) // 4)].sum())
                 row = (n, int(gone.sum()), len(runs(gone)[0]), echoed, np.frombuffer(raw, np.uint8)[~gone].tobytes())
             else:
                 row = (n, 0, 0, 0, raw)
@@ -507,4 +510,4 @@ def removed(docs: DataFrame, length: int = 400, gram: int = GRAM, echo: int | No
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "n_echoed", "kept"])
 
-    return map_batches(joined, ["doc_id", "raw", "rows", "ranges"], strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, n_echoed long, kept binary")
+    return map_batches(joined, ["doc_id", "raw", "rows", "ranges", "heard"], strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, n_echoed long, kept binary")

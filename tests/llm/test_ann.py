@@ -53,3 +53,22 @@ def test_hot_file_is_split(spark):
     q = df.where("vec_id % 20 = 0")
     a = ann.search(df, q, block=32).collect()
     assert {(r.query_id, r.rank, r.vec_id) for r in a} == {(r.query_id, r.rank, r.vec_id) for r in ann.search(df, q).collect()}
+
+
+def test_ragged_vectors_and_repeated_ids(spark):
+    """Vectors of another length than most take no part; a repeated id counts once, by its smallest vector."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 6))
+    extra = [(100, [1.0, 2.0], 0), (120, [1.0] * 7, 0), (140, [], 0), (20, [9.0] * 6, 0), (20, x[20].tolist(), 0)]
+    df = frame(spark, x, extra)
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    own = x.copy()
+    own[20] = min([x[20].tolist(), [9.0] * 6])
+    want = exact(own, (0, 20, 40))
+    assert set(got) == {0, 20, 40}
+    for q, rows in got.items():
+        assert [v for _, v, _ in sorted(rows)] == [v for v, _ in want[q]]
+    same = spark.createDataFrame([(i, [float(i + 1)] * (2 + i % 2), 0) for i in range(40)], "vec_id long, embedding array<double>, rank int")
+    assert {len(v) for v in (r.embedding for r in same.join(ann.search(same, same.where("vec_id = 20")).select("vec_id"), "vec_id").collect())} == {2}

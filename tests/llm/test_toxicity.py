@@ -121,3 +121,17 @@ def test_forward_pass_and_gradients_equal_a_plain_network():
             ends.append(float((net.forward(net.inputs(ids.reshape(-1, 5)).reshape(x.shape), n) * grad).sum()))
         value[at] = old
         assert abs((ends[0] - ends[1]) / (2 * step) - got[name][at]) < 5e-3, name
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "bad rude awful " * 20 if i % 2 else "calm kind words here " * 20) for i in range(1, 60)] + [(500, "calm kind words here " * 60_000 + "bad rude awful " * 20)] * 2 + [(None, "bad rude awful " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(500, 1)] * 2, "doc_id long, toxic int")
+    net = toxicity.train(docs, labels)
+    got = toxicity.score(docs, net).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    long = [(r.score, r.n_windows) for r in got if r.doc_id == 500]
+    assert len(long) == 2 and long[0] == long[1] and long[0][1] > 5000
+    assert toxicity.without_toxic(docs, net).columns == docs.columns

@@ -27,6 +27,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -60,10 +62,17 @@ def distinct(rows: DataFrame, most: int) -> DataFrame:
 
 def directions(rows: DataFrame, n: int) -> np.ndarray:
     """n of the rows' distinct directions at most, as unit vectors: the first by a hash."""
-    top = F.array_max(F.transform("vec", lambda x: F.abs(x)))
-    scaled = F.transform("vec", lambda x: x / top)
-    size = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    hashed = rows.withColumn("way", F.xxhash64(F.transform(scaled, lambda x: F.round(x / size, 9) + F.lit(0.0))))
+
+    def ways_of(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["vec"].to_numpy())
+                x = x / np.abs(x).max(1)[:, None]
+                x = np.round(x / np.sqrt((x**2).sum(1))[:, None], 9) + 0.0
+                way = [int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in x]
+                yield pd.DataFrame({"vec": pdf["vec"], "way": way})
+
+    hashed = rows.select("vec").mapInPandas(ways_of, "vec array<double>, way long")
     ways = [r.way for r in hashed.select("way").distinct().orderBy("way").limit(n).collect()]
     found = hashed.where(F.col("way").isin(ways)).groupBy("way").agg(F.min("vec").alias("vec")).orderBy("way").collect() if ways else []
     x = np.array([r.vec for r in found], float)

@@ -96,11 +96,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import filter_audit
+
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if (name.startswith("op") or name == "page_quality") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import filter_audit, mixing
 
-    return {"op6_water_filling": mixing.SQL}
+    return {"op6_water_filling": mixing.SQL, "op12_filter_audit": filter_audit.SQL}

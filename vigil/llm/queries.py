@@ -102,11 +102,17 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
 
 
+def op13_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import odd_sketch
+
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if (name.startswith("op") or name == "page_quality") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import filter_audit, mixing
+    from . import filter_audit, mixing, odd_sketch
 
-    return {"op6_water_filling": mixing.SQL, "op12_filter_audit": filter_audit.SQL}
+    return {"op6_water_filling": mixing.SQL, "op12_filter_audit": filter_audit.SQL, "op13_odd_sketches": odd_sketch.SQL}

@@ -96,6 +96,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import collocations
+
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import filter_audit
 
@@ -113,6 +119,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import filter_audit, mixing, odd_sketch
+    from . import collocations, filter_audit, mixing, odd_sketch
 
-    return {"op6_water_filling": mixing.SQL, "op12_filter_audit": filter_audit.SQL, "op13_odd_sketches": odd_sketch.SQL}
+    return {"op6_water_filling": mixing.SQL, "op11_collocations": collocations.SQL, "op12_filter_audit": filter_audit.SQL, "op13_odd_sketches": odd_sketch.SQL}

@@ -1,328 +1,80 @@
-"""Online scoring: the 21 causal signals over a stream, with bounded state per entity and per address.
-
-Two stateful queries, keyed by source_ip and by entity_id, hold what the batch windows would reread:
-counts, moments and trailing times. Spark allows one such step a query, so the first writes its events with the
-address signals to a table, from which the second reads them; a row of the second has all 21. Events of a key are taken in the order (timestamp, event_id) within a
-micro-batch; events later than the watermark allows are dropped. What a signal needs of a population or of
-peers comes from Priors: tables of bounded size that build_priors() makes from a log as a batch job and the
-query broadcasts; a restart with new ones refreshes them. So the four surprisals and the corroboration signals see a
-population as of the last refresh, where the batch counts up to the event.
-
-State is bounded: least used addresses, resources, bigrams, devices and device sets go first, trailing times are pruned, and
-the state of a key goes when the watermark has passed its last event by `idle`. A frame without watermark
-(late=None) uses timers of processing time, which keep a query running; idle=None then lets it end with its input.
+"""Online scoring: the 21 causal signals over a stream as one query, with typed state per address and per entity.
+
+events -> the newest model version -> state by source_ip -> state by entity_id -> scores and reasons. Both stateful steps
+are in one query with one checkpoint: the first hands its events and the watermark on to the second in the same
+micro-batch. Events of a key are taken in the order (timestamp, event_id) within a micro-batch. What a signal needs of
+a population or of peers comes from the published priors, so the four surprisals and the corroboration signals
+see a population as of the newest version, where the batch counts up to the event.
+
+Spark drops events that are older than the watermark. serve() finds them by comparing each micro-batch's input with
+its output and writes them to a table of their own. Its tables have a folder for each micro-batch, which a repeated batch
+overwrites, so every alert and every late event is there once.
 """
 
 from __future__ import annotations
 
-import math
-import pickle
-from collections import deque
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.streaming import StreamingQueryListener
 
 from vigil.operators import explain as X
-from vigil.schema import BURST_FLOOR, BURST_MIN, COLD_MIN, COLD_N0, EARTH_KM, EVENT_SCHEMA, FAIL_WINDOW, GEO_CAP_KMH, GEO_GATE_KM, IP_WINDOW, LONG_WINDOW, NGRAM, OFFHOURS
-
-#: Most addresses, resources, sets of device properties, devices and bigrams that a key's state holds.
-MOST_IPS, MOST_RESOURCES, MOST_DEVICE_SETS, MOST_DEVICES, MOST_GRAMS = 96, 384, 6, 64, 2048
-#: Most rows of each prior table, and first accesses kept of a resource by a role.
-MOST_PRIORS, MOST_FIRSTS = 100_000, 32
-ENTITY_SIGNALS = ("geo_velocity", "fail_rate_entity", "burst_ratio", "fingerprint_mismatch", "ip_novelty", "country_novelty", "auth_method_novelty", "duration_z", "ncmd_z", "new_resource_rate_7d", "breadth_ratio_7d", "hour_surprisal", "resource_surprisal", "peer_incongruence", "cmd_surprisal", "offhours_rate_7d", "uncorroborated_new_edges_7d", "corroboration_7d")
-#: Those that read priors: they see the population as of the last refresh.
-POPULATION_SIGNALS = ENTITY_SIGNALS[-7:]
-IP_SIGNALS = ("fail_rate_ip", "ip_entity_fanout", "ip_fail_ratio")
-
+from vigil.schema import COLD_MIN, EVENT_SCHEMA, SIGNALS
 
-def _prune(times: deque, now: int, seconds: int) -> deque:
-    while times and now - (times[0][0] if isinstance(times[0], tuple) else times[0]) > seconds:
-        times.popleft()
-    return times
+from .model import LiveModel, Priors, build_priors, load  # noqa: F401
+from .state import ENTITY_SIGNALS, IP_SIGNALS, POPULATION_SIGNALS, AddressState, EntityState, Scoring  # noqa: F401
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _bump(counts: dict, key, most: int) -> None:
-    """Counts a key; beyond `most` the least used of the others goes."""
-    counts[key] = counts.get(key, 0) + 1
-    if len(counts) > most:
-        del counts[min((k for k in counts if k != key), key=counts.get)]
 
+def use_state_store(spark: SparkSession) -> None:
+    """Typed state needs the store on disk. Many small stores don't reserve space ahead, and a batch uploads its changes only."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
-def _bits(p: float, floor: float = 1e-9) -> float:
-    return -math.log2(max(p, floor))
 
+def _ready(events: DataFrame, model: LiveModel | None, late: str) -> DataFrame:
+    t = F.col("timestamp").cast("timestamp")
+    ready = events.withColumn("timestamp", t).withWatermark("timestamp", late)
+    ready = ready.withColumns({"sec": F.unix_timestamp("timestamp"), "hour": F.hour("timestamp"), "ncmd": F.coalesce(F.array_size("command_sequence"), F.lit(0))})
+    return model.attach(ready) if model else ready.withColumn("model", F.lit(None).cast("string"))
 
-@dataclass
-class Priors:
-    """What the last batch job counted of populations: rows by type, type and hour, role, role and resource, and tokens."""
-
-    types: dict = field(default_factory=dict)
-    hours: dict = field(default_factory=dict)  # (type, hour)
-    roles: dict = field(default_factory=dict)  # role -> rows, resources
-    resources: dict = field(default_factory=dict)  # (role, resource)
-    firsts: dict = field(default_factory=dict)  # (role, resource) -> (second, entity) of first accesses
-    bigrams: dict = field(default_factory=dict)  # (type, before, token)
-    contexts: dict = field(default_factory=dict)  # (type, before)
-    tokens: dict = field(default_factory=dict)
-    n_tokens: int = 0
-
-    def p_hour(self, kind, hour: int) -> float:
-        n = self.types.get(kind, 0)
-        return (self.hours.get((kind, hour), 0) + 1) / (n + 24) if n else 1 / 24
-
-    def p_role(self, role, resource) -> float:
-        n, d = self.roles.get(role, (0, 0))
-        return (self.resources.get((role, resource), 0) + 0.5) / (n + 0.5 * (d + 1)) if n else 1e-3
 
-    def second_peer(self, role, resource, entity, sec: int) -> float:
-        """When the second other entity had taken up a resource, if within a week of this second."""
-        near = [at for at, who in self.firsts.get((role, resource), ()) if who != entity and abs(at - sec) <= LONG_WINDOW]
-        return near[1] if len(near) > 1 else math.inf
+def _stateful(ready: DataFrame, key: str, make, names: tuple[str, ...], idle: str | None, decide=None) -> DataFrame:
+    kept = [f for f in ready.schema.fields if f.name not in (*names, "n_after", f"{make.__name__}_ms")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} double" for n in (*names, "n_after", f"{make.__name__}_ms")])
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    return ready.groupBy(key).transformWithState(Scoring(make, names, [f.name for f in kept], idle_ms, decide), schema, "append", "eventTime", eventTimeColumnName="timestamp")
 
 
-def tokens_of(e) -> list[str]:
-    commands = [] if e.command_sequence is None else [f"cmd:{c}" for c in e.command_sequence]
-    return [f"hr:{e.hour:02d}", f"res:{e.resource_accessed}", f"auth:{e.auth_method}", "ok" if e.auth_result == "success" else "fail", *commands]
+def address_signals(events: DataFrame, late: str = "1 hour", idle: str | None = "1 day", model: LiveModel | None = None) -> DataFrame:
+    """events with the three signals of each address."""
+    return _stateful(_ready(events, model, late), "source_ip", AddressState, IP_SIGNALS, idle).drop("n_after", "AddressState_ms", "sec", "hour", "ncmd", "model")
 
 
-def build_priors(log: DataFrame, most: int = MOST_PRIORS) -> Priors:
-    """Counts of a log by populations; of each table the `most` largest counts, so that it can be broadcast at any size."""
-    t = F.col("timestamp").cast("timestamp")
-    ev = log.withColumn("hour", F.hour(t)).withColumn("sec", F.unix_timestamp(t))
-
-    def counts(df, *keys):
-        top = df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys).limit(most).collect()
-        return {(r[0] if len(keys) == 1 else tuple(r[: len(keys)])): r.n for r in top}
-
-    parts = [F.format_string("hr:%02d", "hour"), F.concat(F.lit("res:"), "resource_accessed"), F.concat(F.lit("auth:"), "auth_method"), F.when(F.col("auth_result") == "success", "ok").otherwise("fail")]
-    every = F.concat(F.array(*parts), F.transform(F.coalesce("command_sequence", F.array().cast("array<string>")), lambda c: F.concat(F.lit("cmd:"), c)))
-    pairs = F.transform(every, lambda x, i: F.struct(F.when(i > 0, F.get(every, i - 1)).otherwise("<BOS>").alias("before"), x.alias("token")))
-    grams = ev.select("entity_type", F.explode(pairs).alias("g")).select("entity_type", "g.before", "g.token")
-    roles = {r.role: (r.n, r.d) for r in ev.groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("resource_accessed").alias("d")).orderBy(F.desc("n"), "role").limit(most).collect()}
-    own = ev.groupBy("role", "resource_accessed", "entity_id").agg(F.min("sec").alias("at"))
-    place = F.row_number().over(Window.partitionBy("role", "resource_accessed").orderBy(F.desc("at"), "entity_id"))
-    last = own.withColumn("k", place).where(F.col("k") <= MOST_FIRSTS).groupBy("role", "resource_accessed").agg(F.sort_array(F.collect_list(F.struct("at", "entity_id"))).alias("f"), F.max("at").alias("newest"))
-    firsts = {(r.role, r.resource_accessed): [(x.at, x.entity_id) for x in r.f] for r in last.orderBy(F.desc("newest"), "role", "resource_accessed").limit(most).collect()}
-    return Priors(counts(ev, "entity_type"), counts(ev, "entity_type", "hour"), roles, counts(ev, "role", "resource_accessed"), firsts, counts(grams, "entity_type", "before", "token"), counts(grams, "entity_type", "before"), counts(grams, "token"), grams.count())
-
-
-class Moments:
-    def __init__(self):
-        self.n, self.mean, self.m2 = 0, 0.0, 0.0
-
-    def z(self, x: float, floor: float, least: int = 5) -> float:
-        if self.n < least:
-            return 0.0
-        return abs(x - self.mean) / max(max(self.m2 / max(self.n - 1, 1), 1e-6) ** 0.5, floor)
-
-    def add(self, x: float) -> None:
-        self.n += 1
-        d = x - self.mean
-        self.mean += d / self.n
-        self.m2 += d * (x - self.mean)
-
-
-@dataclass
-class EntityState:
-    n: int = 0
-    first: int | None = None
-    last: tuple | None = None
-    times: deque = field(default_factory=deque)
-    fails: deque = field(default_factory=deque)
-    ips: dict = field(default_factory=dict)
-    countries: dict = field(default_factory=dict)
-    methods: dict = field(default_factory=dict)
-    touched: dict = field(default_factory=dict)
-    new: deque = field(default_factory=deque)
-    devices: dict = field(default_factory=dict)
-    duration: Moments = field(default_factory=Moments)
-    commands: Moments = field(default_factory=Moments)
-    hours: list = field(default_factory=lambda: [0] * 24)
-    resources: dict = field(default_factory=dict)
-    off: deque = field(default_factory=deque)
-    bigrams: dict = field(default_factory=dict)
-    contexts: dict = field(default_factory=dict)
-    sequence: Moments = field(default_factory=Moments)
-    quarantined: bool = False
-
-    def p_hour(self, e, priors: Priors) -> float:
-        lam = self.n / (self.n + COLD_N0)
-        own = (self.hours[e.hour] + 0.5) / (self.n + 12) if self.n else 1 / 24
-        return lam * own + (1 - lam) * priors.p_hour(e.entity_type, e.hour)
-
-    def token_bits(self, e, priors: Priors) -> float:
-        """Mean bits of the event's tokens by the entity's bigrams, its type's and single tokens."""
-        part = lambda a, b: a / b if b else 0.0
-        before, bits = "<BOS>", []
-        for t in tokens_of(e):
-            p = NGRAM["entity"] * part(self.bigrams.get((before, t), 0), self.contexts.get(before, 0))
-            p += NGRAM["group"] * part(priors.bigrams.get((e.entity_type, before, t), 0), priors.contexts.get((e.entity_type, before), 0))
-            bits.append(_bits(p + NGRAM["unigram"] * part(priors.tokens.get(t, 0), priors.n_tokens) + NGRAM["floor"], 1e-12))
-            before = t
-        return sum(bits) / len(bits)
-
-    def score(self, e, priors: Priors) -> dict[str, float]:
-        lam, now = self.n / (self.n + COLD_N0), e.sec
-        out = dict.fromkeys(ENTITY_SIGNALS, 0.0)
-        if self.last:
-            lat, lon, sec = self.last
-            a = np.sin(np.radians(e.geo_lat - lat) / 2) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(e.geo_lat)) * np.sin(np.radians(e.geo_lon - lon) / 2) ** 2
-            km = 2 * EARTH_KM * np.arcsin(min(1.0, np.sqrt(a)))
-            out["geo_velocity"] = float(min(km / max((now - sec) / 3600, 1 / 60), GEO_CAP_KMH)) if km > GEO_GATE_KM else 0.0
-        out["fail_rate_entity"] = float(len(_prune(self.fails, now, FAIL_WINDOW)))
-        recent = len(_prune(self.times, now, FAIL_WINDOW))
-        if self.n >= BURST_MIN:
-            out["burst_ratio"] = recent / max(self.n * FAIL_WINDOW / max(now - self.first, 1), BURST_FLOOR)
-        sets = self.devices.get(e.device_id)
-        if sets:
-            usual = max(sets, key=sets.get)
-            out["fingerprint_mismatch"] = float(sum(a != b for a, b in zip(usual, _device(e))))
-        for name, held, value in (("ip_novelty", self.ips, e.source_ip), ("country_novelty", self.countries, e.geo_country), ("auth_method_novelty", self.methods, e.auth_method)):
-            out[name] = 0.0 if value in held else lam
-        out["duration_z"] = self.duration.z(float(np.log1p(e.session_duration)), 0.15)
-        out["ncmd_z"] = self.commands.z(float(e.ncmd), 0.75)
-        edges = _prune(self.new, now, LONG_WINDOW)
-        out["new_resource_rate_7d"] = float(len(edges))
-        out["breadth_ratio_7d"] = sum(self.touched.get(r, 0) <= 1 for _, r, _ in edges) / len(edges) if edges else 0.0
-        out["hour_surprisal"] = _bits(self.p_hour(e, priors))
-        p_role = priors.p_role(e.role, e.resource_accessed)
-        own = (self.resources.get(e.resource_accessed, 0) + 0.5) / (self.n + 32) if self.n else 1e-3
-        out["peer_incongruence"] = _bits(p_role)
-        out["resource_surprisal"] = max(0.0, _bits(lam * own + (1 - lam) * p_role) - out["peer_incongruence"])
-        if self.sequence.n >= 8:
-            spread = max(max(self.sequence.m2 / (self.sequence.n - 1), 1e-6) ** 0.5, 0.5)
-            out["cmd_surprisal"] = (self.token_bits(e, priors) - self.sequence.mean) / spread
-        out["offhours_rate_7d"] = float(len(_prune(self.off, now, LONG_WINDOW)))
-        together = sum(met < now for _, _, met in edges)
-        out["corroboration_7d"], out["uncorroborated_new_edges_7d"] = float(together), float(len(edges) - together)
-        return out
-
-    def observe(self, e, priors: Priors, learn: bool = True) -> None:
-        """Observations always advance; the baseline only from events that may be learned from. A quarantined one learns no more."""
-        learn = learn and not self.quarantined
-        if e.resource_accessed not in (self.resources if self.quarantined else self.touched):
-            self.new.append((e.sec, e.resource_accessed, priors.second_peer(e.role, e.resource_accessed, e.entity_id, e.sec)))
-        if self.p_hour(e, priors) < OFFHOURS:
-            self.off.append(e.sec)
-        _bump(self.touched, e.resource_accessed, MOST_RESOURCES)
-        self.last = (e.geo_lat, e.geo_lon, e.sec)
-        self.times.append(e.sec)
-        self.first = e.sec if self.first is None else self.first
-        if e.auth_result == "failure":
-            self.fails.append(e.sec)
-        if learn:
-            self.n += 1
-            self.hours[e.hour] += 1
-            _bump(self.resources, e.resource_accessed, MOST_RESOURCES)
-            before = "<BOS>"
-            for t in tokens_of(e):
-                _bump(self.bigrams, (before, t), MOST_GRAMS)
-                _bump(self.contexts, before, MOST_GRAMS)
-                before = t
-            self.sequence.add(self.token_bits(e, priors))
-            _bump(self.ips, e.source_ip, MOST_IPS)
-            _bump(self.countries, e.geo_country, MOST_IPS)
-            _bump(self.methods, e.auth_method, MOST_IPS)
-            _bump(self.devices.setdefault(e.device_id, {}), _device(e), MOST_DEVICE_SETS)
-            if len(self.devices) > MOST_DEVICES:
-                del self.devices[min((d for d in self.devices if d != e.device_id), key=lambda d: sum(self.devices[d].values()))]
-            self.duration.add(float(np.log1p(e.session_duration)))
-            self.commands.add(float(e.ncmd))
-
-
-def _device(e) -> tuple:
-    return e.device_os, e.device_mac, e.device_firmware, e.device_protocol
-
-
-@dataclass
-class AddressState:
-    fails: deque = field(default_factory=deque)
-    tries: deque = field(default_factory=deque)
-
-    def score(self, e, priors: Priors) -> dict[str, float]:
-        fails = len(_prune(self.fails, e.sec, FAIL_WINDOW))
-        tries = _prune(self.tries, e.sec, IP_WINDOW)
-        return {"fail_rate_ip": float(fails), "ip_entity_fanout": float(len({x for _, x in tries})), "ip_fail_ratio": fails / len(tries) if len(tries) >= 5 else 0.0}
-
-    def observe(self, e, priors: Priors, learn: bool = True) -> None:
-        if e.auth_result == "failure":
-            self.fails.append(e.sec)
-        self.tries.append((e.sec, e.entity_id))
-
-
-def _stateful(events: DataFrame, key: str, make, names: tuple[str, ...], idle: str | None, late: str | None = None, priors: Priors | None = None, decide=None) -> DataFrame:
-    """events with the named signals and n_after (what the state has learned), by a state of make() for each key."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
-    t = F.col("timestamp").cast("timestamp")
-    ready = events.withColumn("timestamp", t)
-    if late and not events.isStreaming:
-        late = None
-    if late:
-        ready = ready.withWatermark("timestamp", late)
-    ready = ready.withColumn("sec", F.unix_timestamp("timestamp")).withColumn("hour", F.hour("timestamp")).withColumn("ncmd", F.coalesce(F.array_size("command_sequence"), F.lit(0)))
-    kept = [f for f in events.schema.fields if f.name not in names and f.name != "n_after"]
-    columns = [f.name for f in kept]
-    known = events.sparkSession.sparkContext.broadcast(priors or Priors())
-
-    def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, prior = pickle.loads(state.get[0]) if state.exists else make(), known.value
-        rows = pd.concat(list(frames)).sort_values(["timestamp", "event_id"])
-        out = {n: [] for n in (*names, "n_after")}
-        for e in rows.itertuples(index=False):
-            s = held.score(e, prior)
-            held.observe(e, prior, True if decide is None else bool(decide(s, e, held)))
-            for n in names:
-                out[n].append(s[n])
-            out["n_after"].append(float(getattr(held, "n", 0)))
-        state.update((pickle.dumps(held),))
-        if late:
-            last = int(rows["sec"].max()) * 1000
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + max(idle_ms, 1))
-        elif idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield rows[columns].assign(**out)
-
-    schema = ", ".join([f"`{f.name}` {'timestamp' if f.name == 'timestamp' else f.dataType.simpleString()}" for f in kept] + [f"{n} double" for n in (*names, "n_after")])
-    how = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return ready.groupBy(key).applyInPandasWithState(run, schema, "held binary", "append", how)
-
-
-def entity_signals(events: DataFrame, idle: str | None = "30 days", decide=None, priors: Priors | None = None, late: str | None = None) -> DataFrame:
+def entity_signals(events: DataFrame, late: str = "1 hour", idle: str | None = "30 days", model: LiveModel | None = None, decide=None) -> DataFrame:
     """events with the signals of each entity. decide(signals, event, state) -> whether to learn from an event; it may set state.quarantined."""
-    return _stateful(events, "entity_id", EntityState, ENTITY_SIGNALS, idle, late, priors, decide).withColumn("cold_start", F.col("n_after") <= COLD_MIN)
-
-
-def address_signals(events: DataFrame, idle: str | None = "1 day", late: str | None = None) -> DataFrame:
-    return _stateful(events, "source_ip", AddressState, IP_SIGNALS, idle, late).drop("n_after")
+    out = _stateful(_ready(events, model, late), "entity_id", EntityState, ENTITY_SIGNALS, idle, decide)
+    return out.withColumn("cold_start", F.col("n_after") <= COLD_MIN).drop("EntityState_ms", "sec", "hour", "ncmd", "model")
 
 
-def write_addressed(events: DataFrame, folder: str, checkpoint: str, idle: str | None = "1 day", late: str | None = None, trigger: dict | None = None):
-    """The first query, started: events with the address signals go to a folder of Parquet files."""
-    out = address_signals(events, idle, late)
-    return out.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"processingTime": "10 seconds"})).start()
-
-
-def all_signals(spark, folder: str, priors: Priors | None = None, idle: str | None = "30 days", late: str | None = None, decide=None, **options) -> DataFrame:
-    """The second query's frame: all 21 signals of the events that write_addressed() puts into a folder."""
-    schema = StructType([*EVENT_SCHEMA.fields, *[StructField(n, DoubleType()) for n in IP_SIGNALS]])
-    return entity_signals(read_log(spark, folder, schema, **options), idle, decide, priors, late)
+def all_signals(events: DataFrame, model: LiveModel | None = None, late: str = "1 hour", idle: tuple[str | None, str | None] = ("1 day", "30 days"), decide=None) -> DataFrame:
+    """events with all 21 signals, n_after (what the entity's state has learned), cold_start, model and took_ms (spent on the event in both steps)."""
+    one = _stateful(_ready(events, model, late), "source_ip", AddressState, IP_SIGNALS, idle[0]).drop("n_after")
+    two = _stateful(one, "entity_id", EntityState, ENTITY_SIGNALS, idle[1], decide)
+    took = F.col("AddressState_ms") + F.col("EntityState_ms")
+    return two.withColumns({"cold_start": F.col("n_after") <= COLD_MIN, "took_ms": took}).drop("AddressState_ms", "EntityState_ms", "sec", "hour", "ncmd")
 
 
 def quarantine(theta: float, spike: float = 2.5, alone: float = 2.0, memory: float = 0.02):
     """A decide() for entity_signals(): no learning from flagged events; a jump in new resources that no peers share freezes the entity's baseline."""
 
     def decide(s: dict, e, state: EntityState) -> bool:
-        usual = getattr(state, "usual", None)
-        new = s["new_resource_rate_7d"]
+        usual, new = state.usual, s["new_resource_rate_7d"]
         state.usual = new if usual is None else (1 - memory) * usual + memory * new
         jump = new > spike * max(usual or 0.0, 0.5)
         if jump and s["uncorroborated_new_edges_7d"] >= alone:
@@ -339,29 +91,41 @@ def session_alerts(scored: DataFrame, gap: str = "60 minutes", late: str = "10 m
     return scored.withWatermark("timestamp", late).groupBy(F.col(key), w).agg(F.count("*").alias("n_events"), F.max("score").alias("max_score"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("top"))
 
 
-def scored_stream(signals: DataFrame, fusions, k: int = 3) -> DataFrame:
+def scored_stream(signals: DataFrame, fusions=None, k: int = 3) -> DataFrame:
     """One alert row for each event: level (that of the highest raw score), raw, score (its probability), band, and why (its strongest signals).
 
-    fusions: the fitted levels by name, or one of them; their tables are broadcast.
+    fusions: the fitted levels by name, or one of them; None: those of the version that `model` names, row by row.
+    Events without a fitted level have no level, score 0 and band LOW.
     """
-    fusions = fusions if isinstance(fusions, dict) else {fusions.level: fusions}
-    held = signals.sparkSession.sparkContext.broadcast(fusions)
+    fixed = fusions if fusions is None or isinstance(fusions, dict) else {fusions.level: fusions}
+    held = signals.sparkSession.sparkContext.broadcast(fixed)
     columns = signals.columns
-    plain = [s.name for f in fusions.values() for s in f.signals]
+    plain = [s.name for s in SIGNALS if not s.mitigating and s.name in columns and (fixed is None or any(s in f.signals for f in fixed.values()))]
+
+    def scored(pdf: pd.DataFrame, levels: list) -> pd.DataFrame:
+        if not levels:
+            return pdf.assign(level=None, raw=np.nan, score=0.0, band="LOW", **{f"z_{n}": np.nan for n in plain})
+        raws = np.stack([f.raw(pdf) for _, f in levels], 1)
+        best = raws.argmax(1)
+        pick = lambda per: np.stack(per, 1)[np.arange(len(pdf)), best]
+        raw, theta = pick(list(raws.T)), np.array([f.theta for _, f in levels])[best]
+        pdf = pdf.assign(level=np.array([n for n, _ in levels], object)[best], raw=raw, score=pick([f.probability(x) for (_, f), x in zip(levels, raws.T)]), band=np.where(raw >= theta, "HIGH", np.where(raw >= theta / 2, "MEDIUM", "LOW")))
+        z = {f"z_{n}": np.nan for n in plain}
+        for _, f in levels:
+            if f.signals:
+                z |= {f"z_{s.name}": v for s, v in zip(f.signals, f.z(pdf, f.signals).T)}
+        return pdf.assign(**{n: z[n] for n in (f"z_{x}" for x in plain)})
 
     def run(batches):
         for pdf in batches:
-            pdf, levels = pdf[columns], list(held.value.items())
-            raws = np.stack([f.raw(pdf) for _, f in levels], 1) if len(pdf) else np.zeros((0, len(levels)))
-            best = raws.argmax(1) if len(pdf) else np.zeros(0, int)
-            pick = lambda per: np.stack(per, 1)[np.arange(len(pdf)), best] if len(pdf) else np.zeros(0)  # noqa: E731,B023
-            raw, theta = pick(list(raws.T)), np.array([f.theta for _, f in levels])[best]
-            pdf = pdf.assign(level=np.array([n for n, _ in levels], object)[best], raw=raw, score=pick([f.probability(x) for (_, f), x in zip(levels, raws.T)]), band=np.where(raw >= theta, "HIGH", np.where(raw >= theta / 2, "MEDIUM", "LOW")))
-            for _, f in levels:
-                if f.signals:
-                    z = f.z(pdf, f.signals)
-                    pdf = pdf.assign(**{f"z_{s.name}": z[:, i] for i, s in enumerate(f.signals)})
-            yield pdf
+            pdf = pdf[columns]
+            if held.value is not None:
+                parts = [(held.value, pdf)]
+            else:
+                parts = [(load(name if isinstance(name, str) else None)[1], part) for name, part in pdf.groupby("model", dropna=False)]
+            for levels, part in parts:
+                if len(part):
+                    yield scored(part, list(levels.items()))
 
     more = ["level string", "raw double", "score double", "band string", *[f"z_{n} double" for n in plain]]
     schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in signals.schema] + more)
@@ -370,7 +134,26 @@ def scored_stream(signals: DataFrame, fusions, k: int = 3) -> DataFrame:
     return out.withColumn("why", why).drop(*[f"z_{n}" for n in plain])
 
 
-def read_log(spark, source: str, schema, kind: str = "parquet", **options) -> DataFrame:
+def serve(events: DataFrame, model: LiveModel, folder: str, late: str = "1 hour", idle: tuple[str | None, str | None] = ("1 day", "30 days"), decide=None, trigger: dict | None = None):
+    """Starts the query: alert rows go to <folder>/alerts, events behind the watermark to <folder>/late, by micro-batch. A restart goes on from its checkpoint."""
+    use_state_store(events.sparkSession)
+    alerts = scored_stream(all_signals(events, model, late, idle, decide)).withColumn("_input", F.lit(False))
+    given = events.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumn("_input", F.lit(True))
+    columns = events.columns
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        done = batch.where("NOT _input").drop("_input")
+        done.write.mode("overwrite").parquet(f"{folder}/alerts/batch_id={batch_id}")
+        missed = batch.where("_input").select(*columns).join(done.select("event_id"), "event_id", "left_anti")
+        missed.select(*columns).write.mode("overwrite").parquet(f"{folder}/late/batch_id={batch_id}")
+        batch.unpersist()
+
+    both = alerts.unionByName(given, allowMissingColumns=True)
+    return both.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def read_log(spark, source: str, schema=EVENT_SCHEMA, kind: str = "parquet", **options) -> DataFrame:
     """A stream of events: files of a folder, or a Kafka topic keyed by entity whose values are JSON."""
     if kind == "kafka":
         raw = spark.readStream.format("kafka").option("subscribe", source).options(**options).load()
@@ -378,27 +161,55 @@ def read_log(spark, source: str, schema, kind: str = "parquet", **options) -> Da
     return spark.readStream.schema(schema).format(kind).options(**options).load(source)
 
 
-def latency_report(query) -> dict[str, float]:
-    """Percentiles of batch duration, throughput and state size from a query's progress."""
-    p = [x for x in query.recentProgress if x["numInputRows"]]
+class Progress(StreamingQueryListener):
+    """Collects the progress of each micro-batch of this session's queries: rows, durations, dropped rows and state."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.batches = spark, []
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.batches.append(json.loads(event.progress.json))
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def stop(self) -> None:
+        self.spark.streams.removeListener(self)
+
+
+def latency_report(progress) -> dict[str, float]:
+    """Percentiles of batch duration, throughput and state size, from a query or from a list of its micro-batches' progress."""
+    every = progress if isinstance(progress, list) else progress.recentProgress
+    p = [x for x in every if x["numInputRows"]]
+    if not p:
+        return {"batches": 0}
     ms = np.array([x["durationMs"]["triggerExecution"] for x in p], float)
     rows = sum(x["numInputRows"] for x in p)
-    state = [s.get("memoryUsedBytes", 0) for x in p[-1:] for s in x["stateOperators"]]
-    if not len(ms):
-        return {"batches": 0}
-    return {"batches": len(ms), "rows": rows, "rows_per_s": rows / max(ms.sum() / 1000, 1e-9), **{f"p{q}_ms": float(np.percentile(ms, q)) for q in (50, 95, 99, 100)}, "state_bytes": float(sum(state))}
+    last = p[-1]["stateOperators"]
+    total = lambda name: float(sum(s.get(name, 0) for s in last))
+    return {"batches": len(ms), "rows": rows, "rows_per_s": rows / max(ms.sum() / 1000, 1e-9), **{f"p{q}_ms": float(np.percentile(ms, q)) for q in (50, 95, 99, 100)}, "state_bytes": total("memoryUsedBytes"), "state_rows": total("numRowsTotal")}
+
 
+def benchmark(events: DataFrame, folder: str, model: LiveModel | None = None, files: int = 10, warm_up: int = 1) -> dict[str, float]:
+    """Serves a log dealt into files in the order of time, one a micro-batch; the first warm_up batches aren't counted.
 
-def benchmark(events: DataFrame, folder: str, priors: Priors | None = None, warm_up: float = 0.1) -> dict[str, float]:
-    """latency_report() of the entity step over a log, written to a folder; the first share of its time warms the query up."""
+    events/s counts whole micro-batches; the percentiles are of the time that tasks spend on an event in both steps.
+    """
     spark = events.sparkSession
-    sec = F.unix_timestamp(F.col("timestamp").cast("timestamp"))
-    cut = events.select(sec.cast("double").alias("s")).approxQuantile("s", [warm_up], 0.01)[0]
-    reports = []
-    for name, part in (("warm", sec <= cut), ("rest", sec > cut)):
-        events.where(part).repartitionByRange(10, "timestamp").write.mode("overwrite").parquet(f"{folder}/log-{name}")
-        source = read_log(spark, f"{folder}/log-{name}", events.schema, maxFilesPerTrigger=1)
-        q = entity_signals(source, None, priors=priors).writeStream.format("noop").option("checkpointLocation", f"{folder}/cp-{name}").trigger(availableNow=True).start()
-        q.awaitTermination()
-        reports.append(latency_report(q))
-    return reports[-1]
+    events.repartitionByRange(files, "timestamp").write.mode("overwrite").parquet(f"{folder}/log")
+    progress = Progress(spark)
+    source = read_log(spark, f"{folder}/log", events.schema, maxFilesPerTrigger=1)
+    query = serve(source, model or LiveModel(spark, f"{folder}/model"), f"{folder}/out", late="3650 days", idle=(None, None), trigger={"availableNow": True})
+    query.awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    progress.stop()
+    counted = [p for p in progress.batches if p["numInputRows"] and p["batchId"] >= warm_up]
+    out = latency_report(counted)
+    alerts = spark.read.parquet(f"{folder}/out/alerts").where(F.col("batch_id") >= warm_up)
+    row = alerts.agg(F.count("*").alias("events"), F.percentile("took_ms", [0.5, 0.95, 0.99]).alias("p"), F.max("took_ms").alias("most"), F.countDistinct("entity_id").alias("entities")).first()
+    seconds = sum(p["durationMs"]["triggerExecution"] for p in counted) / 1000
+    return {"n_events": row.events, "wall_seconds": seconds, "events_per_second": row.events / max(seconds, 1e-9), "p50_ms": row.p[0], "p95_ms": row.p[1], "p99_ms": row.p[2], "max_ms": row.most, "n_entities": row.entities, "batch_p50_ms": out["p50_ms"], "batch_p95_ms": out["p95_ms"], "state_rows": out["state_rows"]}

@@ -2,7 +2,8 @@
 
 Rows are dealt by the leading bits of the score (sign, exponent and ten bits of the mantissa), which
 needs no pass over the data and keeps the order. There are as many buckets as the number format has,
-however many rows; their counts are summed in order, and only the rows of one bucket are sorted together.
+however many rows; their counts are summed in order, and only the distinct values of one bucket are sorted together. Places of
+rows are counted along ranges of like size (scan).
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.scan import scan
+
 #: Buckets of an octave, and what keeps bucket numbers positive for every exponent.
 CELLS, OFFSET = 1024, 1100
 
@@ -50,13 +53,16 @@ def _beside(df: DataFrame, placed: DataFrame, by: tuple[str, ...]) -> list[Colum
 
 
 def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds the place of each row (of its group `by`) by (score descending, tie ascending), from 1. NaN scores come last, as null ones do."""
+    """Adds the place of each row (of its group `by`) by (score descending, tie ascending), from 1. NaN scores come last, as null ones do.
+
+    Rows are counted along ranges of (group, score, tie), so neither a large group nor a score that most rows have is one
+    task. Rows that share score and tie share the place of the first.
+    """
     names = df.columns
-    df = df.withColumn("_s", F.when(F.col(score).isNull() | F.isnan(F.col(score)), F.lit(float("-inf"))).otherwise(F.col(score).cast("double")))
-    df = df.withColumn("_cell", leading(F.col("_s")))
-    placed = _placed(df.groupBy(*by, "_cell").agg(F.count("*").alias("_rows")), ["_rows"], by, True)
-    own = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(F.desc("_s"), tie))
-    return df.join(placed, _beside(df, placed, by)).withColumn(name, F.col("_start__rows") + own).select(*names, name)
+    low = F.when(F.col(score).isNull() | F.isnan(F.col(score)), F.lit(float("inf"))).otherwise(-F.col(score).cast("double"))
+    group = F.xxhash64(F.concat_ws(",", *[F.col(k).isNull().cast("string") for k in by]), *by) if by else F.lit(0).cast("long")
+    rows = df.withColumns({"_group": group, "_other": F.xxhash64(*by, F.lit(1)) if by else F.lit(0).cast("long"), "_low": low, "_one": F.lit(1)})
+    return scan(rows, ["_group", "_other"], ["_low", tie], "_one").withColumn(name, F.col("_before") + 1).select(*names, name)
 
 
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.scan import scan
+
 ORDER = ("timestamp", "event_id")
 
 
@@ -43,31 +45,20 @@ def first_seen(*keys: str) -> Column:
     return F.row_number().over(ordered(*keys)) == 1
 
 
-def prior_totals(df: DataFrame, sets: dict[str, tuple[list, Column]], ids: list[str], carry: tuple[str, ...] = (), seconds: int = 900) -> DataFrame:
+def prior_totals(df: DataFrame, sets: dict[str, tuple[list, Column]], ids: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """ids, carry and, for each name: (keys, value) of sets, the sum of value over the key's rows of earlier events as name, and of the row's own event as name_own.
 
-    Populations have keys with few values and many rows, for which a window would be one task. All sets are
-    counted in one pass: totals of (set, key, bucket of some minutes) are summed within each day
-    and over the days, which places a bucket, and only the rows of one bucket are sorted together.
-    ids tell
-    the rows of df apart; carry are further columns to keep.
+    Populations have keys with few values and many rows, for which a window would be one task. All sets are counted
+    in one pass, along ranges of (set, key, time) with like numbers of rows. ids tell the rows of df apart; carry are further columns to keep. Keys go by 128 bits.
     """
     null = lambda keys: F.concat_ws(",", *[F.col(k).isNull().cast("string") for k in keys]) if keys else F.lit("")
-    each = [F.struct(F.lit(i).alias("_set"), F.xxhash64(F.lit(i), null(keys), *keys).alias("_key"), value.cast("long").alias("_v")) for i, (keys, value) in enumerate(sets.values())]
-    names = list(dict.fromkeys([*ids, *carry, *ORDER]))
-    rows = df.select(*names, F.floor(F.col("sec") / 86400).alias("_day"), F.floor(F.col("sec") / seconds).alias("_bucket"), F.explode(F.array(*each)).alias("_x")).select(*names, "_day", "_bucket", "_x.*")
-    group = ["_set", "_key"]
-    totals = rows.groupBy(*group, "_day", "_bucket").agg(F.sum("_v").alias("_in"))
-    before = lambda part, at: F.coalesce(F.sum("_in").over(Window.partitionBy(*part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = totals.groupBy(*group, "_day").agg(F.sum("_in").alias("_in")).withColumn("_start", before(group, "_day")).drop("_in")
-    parts = totals.withColumn("_inner", before([*group, "_day"], "_bucket")).drop("_in")
-    starts = parts.join(days, [*group, "_day"]).select(*group, "_bucket", (F.col("_start") + F.col("_inner")).alias("_start"))
-    upto = F.sum("_v").over(Window.partitionBy(*group, "_bucket").orderBy(*ORDER).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    own = F.sum("_v").over(Window.partitionBy(*group, "_bucket", *ORDER))
-    placed = rows.join(starts, [*group, "_bucket"]).withColumn("_own", own).withColumn("_before", F.col("_start") + upto - F.col("_own"))
+    each = [F.struct(F.lit(i).alias("_set"), F.xxhash64(F.lit(i), null(keys), *keys).alias("_key"), F.xxhash64(*keys, null(keys), F.lit(~i)).alias("_more"), value.cast("long").alias("_value")) for i, (keys, value) in enumerate(sets.values())]
+    names = list(dict.fromkeys([*ids, *ORDER]))
+    kept = [c for c in carry if c not in names]
+    rows = df.select(*names, *kept, F.explode(F.array(*each)).alias("_x")).select(*names, "_x.*", *[F.when(F.col("_x._set") == 0, F.col(c)).alias(c) for c in kept])
+    placed = scan(rows, ["_set", "_key", "_more"], list(ORDER), "_value")
     of = lambda i, c: F.max(F.when(F.col("_set") == i, F.col(c)))
-    kept = [F.first(c).alias(c) for c in carry if c not in ids]
-    return placed.groupBy(*ids).agg(*kept, *[f for i, n in enumerate(sets) for f in (of(i, "_before").alias(n), of(i, "_own").alias(f"{n}_own"))])
+    return placed.groupBy(*ids).agg(*[F.max(c).alias(c) for c in kept if c not in ids], *[f for i, n in enumerate(sets) for f in (of(i, "_before").alias(n), of(i, "_own").alias(f"{n}_own"))])
 
 
 def is_first(df: DataFrame, name: str, keys: list[str]) -> DataFrame:

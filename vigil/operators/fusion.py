@@ -22,23 +22,33 @@ from vigil.schema import LEVELS, MITIGATION, REFERENCE_ROWS, TARGET_FPR, Z_RANGE
 from vigil.sources.store import store
 
 
-def empirical_z(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds z_<column>: the upper-tail rank among all rows of df as a normal quantile, within Z_RANGE.
+#: A value that a thousandth of the rows have is looked up in a broadcast table, which so has at most HEAVY rows a column.
+HEAVY = 1000
 
-    All columns are counted in one pass, by distinct value, so equal values share a z.
+
+def empirical_z(df: DataFrame, columns: list[str], key: str = "event_id") -> DataFrame:
+    """Adds z_<column>: the upper-tail rank among all rows of df as a normal quantile, within Z_RANGE. key tells rows apart.
+
+    All columns are counted in one pass, by distinct value, so equal values share a z, and looked up in one join. Zeros and
+    other values that very many rows have don't take part in it: they are few, so their z is broadcast.
     """
-    each = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])).alias("x")).select("x._c", "x._v")
+    df = store(df)
+    value = lambda i, c: F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"))
+    each = df.select(F.col(key).alias("_id"), F.explode(F.array(*[value(i, c) for i, c in enumerate(columns)])).alias("x")).select("_id", "x._c", "x._v")
     per = each.groupBy("_c", "_v").agg(F.count("*").alias("_n"))
     steps = running(per, "_v", {"_n": "_upto"}, ("_c",))
-    rows = per.where("_c = 0").agg(F.sum("_n")).scalar()
-    steps = steps.withColumn("_p", (1 + F.col("_upto")) / (1 + rows))
-    steps = steps.withColumn("_p", F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), F.col("_p"))))
+    rows = df.count()
+    p = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), (1 + F.col("_upto")) / F.lit(1 + rows)))
+    steps = steps.withColumn("_p", p)
     z = F.greatest(F.lit(Z_RANGE[0]), F.least(F.lit(Z_RANGE[1]), -F.expr(norm_ppf_sql("_p"))))
-    steps = store(steps.select("_c", "_v", z.alias("_z")))
-    for i, c in enumerate(columns):
-        one = steps.where(F.col("_c") == i).select(F.col("_v").alias("_of"), F.col("_z").alias(f"z_{c}"))
-        df = df.join(one, df[c].cast("double").eqNullSafe(F.col("_of")), "left").drop("_of")
-    return df
+    steps = store(steps.select(F.col("_c").alias("_of"), F.col("_v").alias("_at"), "_n", z.alias("_z")))
+    on = (F.col("_c") == F.col("_of")) & F.col("_v").eqNullSafe(F.col("_at"))
+    often = F.col("_n") * HEAVY >= rows
+    met = each.join(F.broadcast(steps.where(often)), on, "left").select("_id", "_c", "_v", "_z")
+    rest = met.where("_z IS NULL").drop("_z").join(steps.where(~often), on).select("_id", "_c", "_z")
+    found = met.where("_z IS NOT NULL").select("_id", "_c", "_z").union(rest)
+    wide = found.groupBy("_id").agg(*[F.max(F.when(F.col("_c") == i, F.col("_z"))).alias(f"z_{c}") for i, c in enumerate(columns)])
+    return df.join(wide, df[key] == wide["_id"]).drop("_id")
 
 
 def raw_column(z: dict[str, Column], weights: dict[str, float], scale: float, mitigators: list[Column] = ()) -> Column:

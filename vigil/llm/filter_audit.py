@@ -2,14 +2,13 @@
 
 The files of a table are taken in available-now micro-batches. Each text is judged once in a task (word count,
 distinct words, capitals, marks) and goes on as a 128-bit digest with a mask of what it fails. The fifth filter
-(identical to the text of a smaller doc_id) needs the whole table: keyed state holds, for each text, the smallest
-doc_id so far and how many rows of which part and label have it. A row with a smaller doc_id retracts the mask
-of those it supersedes from their parts' counters and counts them again with the fifth failure; a larger one fails at once.
+(identical to the text of a smaller doc_id) needs the whole table: rows count at first as if no smaller doc_id came, and keyed
+state holds, for each text, the smallest doc_id so far and which part and label have it. When a smaller one arrives, or a row
+that is not the smallest, the earlier mask is retracted from its part's counters and counted again with the fifth failure.
 The counters (part, mask, label) then answer all 120 orders, as each question depends on masks alone.
 
-Before the state, each task combines its rows: only the smallest doc_id of a text goes to the text's key, the others
-are counted already, so a text that holds a third of all rows sends one row from each task. Rerun with the same
-folder, the audit reads new files only.
+Before the state, each task combines its rows: counters are summed, and only the smallest doc_id of a text goes to the text's
+key, so a text that holds a third of all rows sends one row from each task. Rerun with the same folder, the audit reads new files only.
 
 Null texts count as empty; a null source is part ''. Rows that repeat a doc_id and its text are no copies of
 each other (no smaller doc_id). A null doc_id is smaller than nothing and nothing is smaller than it: such a row
@@ -33,26 +32,32 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from .text import blocks, map_batches, shared_dir, span_hashes, word_spans
 
+#: A code: bits 0 to 4 for what fails (A to E), bit 5 for quality, bit 6 for toxic.
+GOOD, TOXIC = 32, 64
 #: The filters' thresholds: words, per cent of distinct words and of capitals, marks.
 LEAST_WORDS, DISTINCT, CAPITALS, MARKS = 200, 50, 2, b"#$%&*|"
 LETTERS = "ABCDE"
 COPY = 16
 #: Rows that a task combines at once, and the micro-batches that a table is dealt into (at least as many files each).
 COMBINED, BATCHES = 200_000, 4
-COUNTER = "part string, mask int, label int, n long"
+COUNTER = "part string, code int, n long"
+#: The state store: on disk, which typed state asks for; many small stores reserve no space ahead, and a batch uploads its changes only.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 
 
 def masks(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """What each text of a block fails of A (1), B (2), C (4) and D (8)."""
     starts, ends, first = word_spans(buf, offs)
     words = np.diff(first)
-    doc = np.repeat(np.arange(len(words)), words)
-    hashes = span_hashes(buf, starts, ends)
-    order = np.lexsort((hashes, doc))
-    h, d = hashes[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    distinct = np.bincount(d[new], minlength=len(words))
+    hashes, distinct = span_hashes(buf, starts, ends), np.zeros(len(words), np.int64)
+    for d, (s, e) in enumerate(zip(first.tolist(), first[1:].tolist())):
+        h = np.sort(hashes[s:e])
+        distinct[d] = (h[1:] != h[:-1]).sum() + (e > s)
 
     def count(which: np.ndarray) -> np.ndarray:
         at = np.concatenate([[0], np.cumsum(which)])
@@ -79,22 +84,21 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def _combine(batches):
-    """Rows of one task: the smallest doc_id of each text by its key, and what is settled, as counters under keys of the task's own."""
+    """Rows of one task: every row as counters under keys of the task's own, as if no smaller doc_id came; and the smallest doc_id of each text by its key."""
     task = TaskContext.get().partitionId()
     held, rows = [], 0
 
     def flush():
-        df = pa.Table.from_batches(held).to_pandas(integer_object_nulls=False, types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        df = pa.Table.from_batches(held).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
         low = df.groupby("text_key")["doc_id"].transform("min")
-        settled = df["doc_id"].isna() | (df["doc_id"] > low).fillna(False).astype(bool)
-        done = df[settled]
-        done = done.assign(mask=done["mask"] | np.where(done["doc_id"].isna(), 0, COPY)).groupby(["part", "mask", "label"], as_index=False).size()
-        done["text_key"] = [b"=" + hashlib.blake2b(f"{task} {m} {x} {p}".encode(), digest_size=15).digest() for p, m, x in zip(done["part"], done["mask"], done["label"])]
-        first = df[~settled].groupby(["text_key", "doc_id", "part", "mask", "label"], as_index=False).size()
-        first["text_key"] = [b"#" + k for k in first["text_key"]]
+        late = (df["doc_id"] > low).fillna(False).astype(bool)
+        done = df.assign(code=df["code"] | np.where(late, COPY, 0)).groupby(["part", "code"], as_index=False).size()
+        done["text_key"] = [b"=" + hashlib.blake2b(f"{task} {c} {p}".encode(), digest_size=15).digest() for p, c in zip(done["part"], done["code"])]
         done["doc_id"] = pd.array([pd.NA] * len(done), "Int64")
-        both = pd.concat([x for x in (first, done) if len(x)]).astype({"mask": "int32", "label": "int32"}).rename(columns={"size": "n"})
-        return pa.RecordBatch.from_pandas(both[["text_key", "doc_id", "part", "mask", "label", "n"]], preserve_index=False)
+        first = df[~late & df["doc_id"].notna()].groupby(["text_key", "doc_id", "part", "code"], as_index=False).size()
+        first["text_key"] = [b"#" + k for k in first["text_key"]]
+        both = pd.concat([x for x in (done, first) if len(x)]).astype({"code": "int32"}).rename(columns={"size": "n"})
+        return pa.RecordBatch.from_pandas(both[["text_key", "doc_id", "part", "code", "n"]], preserve_index=False)
 
     for batch in batches:
         held.append(batch)
@@ -107,60 +111,70 @@ def _combine(batches):
 
 
 class Retractions(StatefulProcessor):
-    """Counter changes of one text's rows. State: smallest doc_id, mask, and the parts, labels and counts of the rows that have it."""
+    """Retracts and counts again the rows of a text that turn out to have a smaller doc_id before them; counters pass through.
+
+    State: the smallest doc_id so far with the part, code and number of its rows; `ties` holds further parts and codes of a doc_id that is there more than once.
+    """
 
     def init(self, handle) -> None:
-        self.least = handle.getValueState("least", "low long, parts array<string>, labels array<int>, counts array<long>")
+        self.least = handle.getValueState("least", "low long, part string, code int, n long, more boolean")
+        self.ties = handle.getListState("ties", "part string, code int, n long")
 
-    def handleInputRows(self, key, rows, timers):
-        rows = list(rows)
+    def handleInputRows(self, key, rows, timerValues):
         if key[0][:1] == b"=":
             for r in rows:
-                yield Row(part=r.part, mask=r.mask, label=r.label, n=r.n)
+                yield Row(part=r.part, code=r.code, n=r.n)
             return
-        had, mask, low = self.least.get(), rows[0].mask, min(r.doc_id for r in rows)
-        cells = {}
-        if had is not None and had[0] <= low:
-            low = had[0]
-            cells = dict(zip(zip(had[1], had[2]), had[3]))
-        elif had is not None:
-            for part, label, n in zip(*had[1:]):
-                yield Row(part=part, mask=mask, label=label, n=-n)
-                yield Row(part=part, mask=mask | COPY, label=label, n=n)
-        known = sum(cells.values())
-        for r in rows:
-            yield Row(part=r.part, mask=mask if r.doc_id == low else mask | COPY, label=r.label, n=r.n)
-            if r.doc_id == low:
-                cells[r.part, r.label] = cells.get((r.part, r.label), 0) + r.n
-        if sum(cells.values()) > known:
-            self.least.update((low, [p for p, _ in cells], [x for _, x in cells], list(cells.values())))
+        rows, had = list(rows), self.least.get()
+        low = min(r.doc_id for r in rows)
+        mine = [(r.part, r.code, r.n) for r in rows if r.doc_id == low]
+        gone = [(r.part, r.code, r.n) for r in rows if r.doc_id > low]
+        if had is not None:
+            held = [had[1:4], *([tuple(t) for t in self.ties.get()] if had[4] else [])]
+            if had[0] < low:
+                gone, mine, low = gone + mine, [], had[0]
+            elif had[0] > low:
+                gone += held
+            else:
+                mine += held
+        for part, code, n in gone:
+            yield Row(part=part, code=code, n=-n)
+            yield Row(part=part, code=code | COPY, n=n)
+        if mine:
+            self.least.update((low, *mine[0], len(mine) > 1))
+            if len(mine) > 1:
+                self.ties.put(mine[1:])
+            elif had is not None and had[4]:
+                self.ties.clear()
 
 
 def counters(spark: SparkSession, path: str, labels: DataFrame, folder: str | None = None, batches: int = BATCHES) -> DataFrame:
-    """part, mask (A to E), label (1: quality, 2: toxic), n: how many documents fail what. folder: shared, kept between runs to read new files only."""
+    """part, mask, good, toxic, n: how many documents fail what. folder: shared, kept between runs to read new files only."""
     folder = folder or shared_dir(spark, "filter-audit")
     table = spark.read.parquet(path)
     each = max(1, -(-len(table.inputFiles()) // batches))
     docs = spark.readStream.schema(table.select("doc_id", "text", "source").schema).option("maxFilesPerTrigger", each).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name one file, a plain path to a stream may not
     flag = lambda c: F.max((F.coalesce(F.col(c), F.lit(0)) == 1).cast("int"))
-    known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((flag("quality") + 2 * flag("toxic")).alias("label"))
-    marked = judged(docs).join(known, "doc_id", "left").select("doc_id", "part", "text_key", "mask", F.coalesce("label", F.lit(0)).alias("label"))
-    combined = marked.mapInArrow(_combine, "text_key binary, doc_id long, part string, mask int, label int, n long")
+    known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((GOOD * flag("quality") + TOXIC * flag("toxic")).alias("label"))
+    marked = judged(docs).join(known, "doc_id", "left").select("doc_id", "part", "text_key", (F.col("mask") + F.coalesce("label", F.lit(0))).alias("code"))
+    combined = marked.mapInArrow(_combine, "text_key binary, doc_id long, part string, code int, n long")
     changes = combined.groupBy("text_key").transformWithState(Retractions(), COUNTER, "append", "none")
-    store, was = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # on disk; typed state asks for it
+    was = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     query = changes.writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    spark.conf.set(store, was)
+    for name, value in was.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     query.awaitTermination()
-    total = spark.read.schema(COUNTER).parquet(f"{folder}/changes").groupBy("part", "mask", "label").agg(F.sum("n").alias("n"))
-    return total.where("n != 0")
+    total = spark.read.schema(COUNTER).parquet(f"{folder}/changes").groupBy("part", "code").agg(F.sum("n").alias("n"))
+    return total.where("n != 0").select("part", F.col("code").bitwiseAND(31).alias("mask"), (F.col("code").bitwiseAND(GOOD) > 0).alias("good"), (F.col("code").bitwiseAND(TOXIC) > 0).alias("toxic"), "n")
 
 
 def report(cells: DataFrame) -> DataFrame:
     """One row per part, order and step. A part has at most 32 masks, so its cells fit one row."""
     tests = [{"filter_order": "".join(o), "step": k + 1, "own": 1 << LETTERS.index(x), "before": sum(1 << LETTERS.index(y) for y in o[:k])} for o in itertools.permutations(LETTERS) for k, x in enumerate(o)]
     n = F.col("n")
-    by_mask = cells.groupBy("part", "mask").agg(F.sum(n).alias("n"), F.sum(F.when(F.col("label").bitwiseAND(1) > 0, n).otherwise(0)).alias("good"), F.sum(F.when(F.col("label") > 1, n).otherwise(0)).alias("toxic"))
+    by_mask = cells.groupBy("part", "mask").agg(F.sum(n).alias("n"), F.sum(F.when(F.col("good"), n).otherwise(0)).alias("good"), F.sum(F.when(F.col("toxic"), n).otherwise(0)).alias("toxic"))
     parts = by_mask.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells"))
     rows = parts.select("part", "cells", F.explode(F.from_json(F.lit(json.dumps(tests)), "array<struct<filter_order string, step int, own int, before int>>")).alias("t")).select("part", "cells", "t.*")
 

@@ -43,7 +43,8 @@ def found(spark, rows):
 def test_equals_brute_force(spark, monkeypatch):
     rows = corpus(5, 30, 14)
     assert found(spark, rows) == brute(rows)
-    monkeypatch.setattr(odd_sketch, "BLOCK", 3)  # bands cut into many blocks
+    monkeypatch.setattr(odd_sketch, "BLOCK", 3)
+    monkeypatch.setattr(odd_sketch, "_closest", lambda rows, *a: rows.select(rows.key.alias("a"), rows.key.alias("b")).limit(0))  # the last step does it all; bands cut into many blocks
     assert found(spark, rows) == brute(rows)
 
 
@@ -72,14 +73,18 @@ def test_ids_texts_and_tables_of_all_kinds(spark):
 
 def test_sketches_estimate_high_similarities():
     rng = np.random.default_rng(3)
-    for share in (0.95, 0.85, 0.6):
-        n = 4000
-        same, both = int(n * share), rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
-        x, y = np.sort(np.concatenate([both[:same], both[same : (n + same) // 2]])), np.sort(np.concatenate([both[:same], both[(n + same) // 2 : n]]))
-        s = odd_sketch.sketches(odd_sketch.minima(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])))
-        differ = int(np.bitwise_count(s[0] ^ s[1]).sum())
-        assert abs(odd_sketch.similarity(differ) - share) < 0.09
-        assert (differ <= odd_sketch.threshold(0.85)) or share < 0.85
+    for share, wide in ((0.95, 0.02), (0.85, 0.04), (0.7, 0.09)):
+        n, got = 2000, []
+        same = int(n * share)
+        for _ in range(20):
+            both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            half = (n + same) // 2
+            x, y = np.sort(both[:half]), np.sort(np.concatenate([both[:same], both[half:]]))
+            s = odd_sketch.sketches(odd_sketch.minima(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])))
+            differ = int(np.bitwise_count(s[0] ^ s[1]).sum())
+            assert differ <= odd_sketch.threshold(0.85) or share < 0.85
+            got.append(odd_sketch.similarity(differ))
+        assert abs(np.mean(got) - share) < wide
 
 
 def test_threshold_is_the_tail_of_the_walk():

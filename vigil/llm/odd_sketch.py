@@ -8,9 +8,10 @@ similarity exceeds with probability MISS; pairs above it are dropped, the others
 A pair at a similarity of 0.85 shares no band with probability 6e-11, so links are lost with that chance only.
 
 Only components are asked for, so a group of copies isn't expanded into pairs. First each node is confirmed
-with the closest of its bands' smallest nodes. What stays apart inside a band then meets in blocks of at most 2 * BLOCK
-rows: first each node with its closest partner of another component, then all pairs of different components whose
-sketches agree. A band that holds one component costs nothing further.
+with the closest of its bands' smallest nodes. What stays apart inside a band then meets in blocks of about 2 * BLOCK
+rows: first each node's closest partner of another component is confirmed, then the sets of what is still apart and alike meet,
+and each pair of different components is checked in the first band that it shares. Only links that join two components leave a
+task, so rows stay in proportion to nodes. A band that holds one component costs nothing further.
 
 Null and empty texts have no shingles: they link with nothing and are kept. Fewer words than a shingle make one
 shingle of all words. Rows are told apart by what they say, so rows that repeat a doc_id link as documents of their own;
@@ -35,8 +36,8 @@ from .text import blocks, map_batches, mix, written
 
 BANDS, ROWS, PERMUTATIONS, BITS = 32, 4, 256, 512
 MISS = 1e-9
-#: Nodes of a block; two blocks meet in one task.
-BLOCK = 1024
+#: Nodes of a block, and bytes of their sets; two blocks meet in one task.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _ODD = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _PLACE = mix(np.arange(PERMUTATIONS, dtype=np.uint64) + np.uint64(0x51ED27))
 
@@ -159,64 +160,130 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, top: int, bottom:
     return same.where(f"same * {bottom}L >= (sizes - same) * {top}L").select("a", "b")
 
 
-def _crossing(rows: DataFrame, most: int, top: int, bottom: int, everything: bool) -> DataFrame:
-    """Pairs (a, b) of different components within a band whose sketches differ in at most `most` bits. rows: token, key, component, n, sketch.
-
-    A band is cut into blocks by hash; each pair of blocks meets in one task. everything: all such pairs, else the closest for each row.
-    """
-    parts = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (token, key, n, ..) with part, low and high: a band is cut into blocks by hash, and each pair of blocks meets in one task."""
+    many = F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)
+    parts = rows.groupBy("token").agg(F.ceil(many).cast("int").alias("parts"))
     cut = rows.join(parts.hint("merge"), "token").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    met = met.select("token", "low", "high", "part", "key", "component", "n", "sketch").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    return cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("parts", "other")
 
-    def meet(table: pa.Table, out: list) -> None:
-        part, n = table["part"].to_numpy(), table["n"].to_numpy()
-        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(part), -1)
-        keys, component = table["key"].to_pylist(), np.unique(np.array(table["component"].to_pylist(), object), return_inverse=True)[1]
-        if component.max() == 0:
-            return
-        one = table["low"][0] == table["high"][0]
-        for s in range(0, len(part), 64):
-            block = slice(s, s + 64)
-            differ = np.bitwise_count(sketch[block, None, :] ^ sketch[None, :, :]).sum(2, dtype=np.int32)
-            small, large = np.minimum(n[block, None], n[None, :]), np.maximum(n[block, None], n[None, :])
-            bad = (component[block, None] == component[None, :]) | (differ > most) | (small * bottom < large * top)
-            if not one:
-                bad |= part[block, None] == part[None, :]
-            differ[bad] = BITS + 1
-            if everything:
-                i, j = np.nonzero(differ <= most)
-            else:
-                j = differ.argmin(1)
-                i = np.flatnonzero(differ[np.arange(len(j)), j] <= most)
-                j = j[i]
-            out += [(min(keys[s + x], keys[y]), max(keys[s + x], keys[y])) for x, y in zip(i.tolist(), j.tolist())]
+
+def _by_meeting(rows: DataFrame, meet, schema: str) -> DataFrame:
+    """meet(table) -> iterator of RecordBatch, over the rows of each (token, low, high)."""
+    place = ["token", "low", "high"]
 
     def run(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table])
-            token, low, high = (table[c].to_numpy() for c in ("token", "low", "high"))
-            new = np.flatnonzero((token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-            bounds, out = [0, *new.tolist()], []
+            at = [table[c].to_numpy() for c in place]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
+            bounds = [0, *new.tolist()]
             for s, e in zip(bounds, bounds[1:]):
                 if e - s > 1:
-                    meet(table.slice(s, e - s), out)
+                    yield from meet(table.slice(s, e - s))
             held = table.slice(bounds[-1])
-            yield from _pairs(out)
         if held is not None and held.num_rows > 1:
-            out = []
-            meet(held, out)
-            yield from _pairs(out)
+            yield from meet(held)
+
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, schema)
+
 
-    return met.mapInArrow(run, "a binary, b binary").distinct()
+def _lists(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(rows, -1)
 
 
-def _pairs(out: list):
-    if out:
-        both = sorted(set(out))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], ["a", "b"])
+def _candidates(table: pa.Table, component: np.ndarray, most: int, top: int, bottom: int):
+    """(first row, bits that differ) of 64 rows at a time against all: beyond BITS where a pair is of one component, in one of two blocks, or too unlike."""
+    part, n = table["part"].to_numpy(), table["n"].to_numpy()
+    sketch = _lists(table["sketch"], len(part))
+    one = table["low"][0] == table["high"][0]
+    for s in range(0, len(part), 64):
+        block = slice(s, s + 64)
+        differ = np.bitwise_count(sketch[block, None, :] ^ sketch[None, :, :]).sum(2, dtype=np.int32)
+        small, large = np.minimum(n[block, None], n[None, :]), np.maximum(n[block, None], n[None, :])
+        bad = (component[block, None] == component[None, :]) | (differ > most) | (small * bottom < large * top)
+        if not one:
+            bad |= part[block, None] == part[None, :]
+        differ[bad] = BITS + 1
+        yield s, differ
+
+
+def _numbered(column: pa.ChunkedArray) -> np.ndarray:
+    return np.unique(np.array(column.to_pylist(), object), return_inverse=True)[1]
+
+
+def _closest(rows: DataFrame, most: int, top: int, bottom: int) -> DataFrame:
+    """Pairs (a, b): for each row of each band, its closest partner of another component."""
+
+    def meet(table):
+        component = _numbered(table["component"])
+        if component.max() == 0:
+            return
+        keys, out = table["key"].to_pylist(), set()
+        for s, differ in _candidates(table, component, most, top, bottom):
+            for i, j in enumerate(differ.argmin(1).tolist()):
+                if differ[i, j] <= most:
+                    out.add((min(keys[s + i], keys[j]), max(keys[s + i], keys[j])))
+        yield _pairs(out)
+
+    return _by_meeting(rows.select("token", "low", "high", "part", "key", "component", "n", "sketch"), meet, "a binary, b binary").distinct()
+
+
+def _first_here(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether this band is the first that two rows share: a pair is looked at there alone."""
+    bands = _lists(table["bands"], table.num_rows)
+    token = np.int64(table["token"][0].as_py()).astype(np.uint64)
+    here = int((bands[0] == token).argmax())
+    return (bands[i] == bands[j]).argmax(1) == here
+
+
+def _still_open(rows: DataFrame, most: int, top: int, bottom: int) -> DataFrame:
+    """token, low, high, part, key of the rows that have a candidate of another component whose first shared band this is."""
+
+    def meet(table):
+        component = _numbered(table["component"])
+        if component.max() == 0:
+            return
+        live = np.zeros(table.num_rows, bool)
+        for s, differ in _candidates(table, component, most, top, bottom):
+            i, j = np.nonzero(differ <= most)
+            ok = _first_here(table, s + i, j)
+            live[s + i[ok]] = live[j[ok]] = True
+        if live.any():
+            yield from table.filter(pa.array(live)).select(["token", "low", "high", "part", "key"]).to_batches()
+
+    return _by_meeting(rows.select("token", "low", "high", "part", "key", "component", "n", "sketch", "bands"), meet, "token long, low int, high int, part int, key binary")
+
+
+def _linked(rows: DataFrame, most: int, top: int, bottom: int) -> DataFrame:
+    """Links (a, b) between components of a band, checked on whole sets where they meet; of those that join the same components one is named."""
+
+    def meet(table):
+        component = _numbered(table["component"])
+        keys, sets = table["key"].to_pylist(), [np.asarray(x) for x in table["tokens"].combine_chunks().to_numpy(zero_copy_only=False)]
+        up, out = np.arange(component.max() + 1), set()
+        for s, differ in _candidates(table, component, most, top, bottom):
+            i, j = np.nonzero(differ <= most)
+            ok = _first_here(table, s + i, j)
+            i, j = i[ok], j[ok]
+            for k in np.argsort(differ[i, j], kind="stable").tolist():
+                x, y = s + int(i[k]), int(j[k])
+                if up[component[x]] == up[component[y]]:
+                    continue
+                same = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if same * bottom >= top * (len(sets[x]) + len(sets[y]) - same):
+                    out.add((min(keys[x], keys[y]), max(keys[x], keys[y])))
+                    up[up == up[component[y]]] = up[component[x]]
+        yield _pairs(out)
+
+    return _by_meeting(rows, meet, "a binary, b binary").distinct()
+
+
+def _pairs(out: set) -> pa.RecordBatch:
+    both = sorted(out)
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, top: int = 85, bottom: int = 100) -> DataFrame:
@@ -238,16 +305,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, top: int = 85, bottom: int
     links = written(_confirmed(tested, docs, words, top, bottom), "confirmed")
     component = written(connected_components(links), "components")
 
-    for everything in (False, True):
+    def apart() -> DataFrame:
+        """Rows of the bands that hold more than one component, dealt into blocks."""
         placed = posts.join(component.withColumnRenamed("node", "key").hint("merge"), "key", "left").select("token", "key", F.coalesce("component", "key").alias("component"))
         mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-        rows = placed.join(mixed.hint("merge"), "token", "left_semi").join(mine.hint("merge"), "key")
-        pairs = written(_crossing(written(rows, "mixed"), most, top, bottom, everything).join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        more = written(_confirmed(pairs, docs, words, top, bottom), "confirmed")
-        if not more.isEmpty():
-            links = links.union(more)
-            component = written(connected_components(links), "components")
-        tested = tested.union(pairs)
+        return written(_dealt(placed.join(mixed.hint("merge"), "token", "left_semi").join(nodes.hint("merge"), "key")), "apart")
+
+    pairs = written(_closest(apart(), most, top, bottom).join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    links = links.union(written(_confirmed(pairs, docs, words, top, bottom), "confirmed"))
+    component = written(connected_components(links), "components")
+
+    rest = apart()
+    live = written(_still_open(rest, most, top, bottom), "open")
+    sets = written(full_sets(docs, live.select("key").distinct(), words), "sets")
+    met = live.join(rest.hint("merge"), ["token", "low", "high", "part", "key"]).join(sets.hint("merge"), "key")
+    last = written(_linked(met.select("token", "low", "high", "part", "key", "component", "n", "sketch", "bands", "tokens"), most, top, bottom), "linked")
+    component = written(connected_components(links.union(last)), "components")
 
     named = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("low")).join(component.withColumnRenamed("node", "key").hint("merge"), "key", "left")
     named = named.withColumn("component", F.coalesce("component", "key"))

@@ -174,7 +174,7 @@ def test_ranks_quantiles_and_intervals(spark):
             assert abs(got[g][name] - (v[k] + (v[min(k + 1, len(v) - 1)] - v[k]) * (at - k))) < 1e-9
     pos, neg = [r[2] for r in plain if r[3]], [r[2] for r in plain if not r[3]]
     auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
-    r = ranks.bootstrap_auc(df.where("abs(score) < 1e300"), "score", F.col("y"), "event_id", 60).first()
+    r = ranks.bootstrap_auc(df.where("abs(score) < 1e300"), "score", F.col("y"), 60).first()
     assert abs(r.roc_auc - auc) < 1e-9 and r.low < auc < r.high and r.high - r.low < 0.3
 
 

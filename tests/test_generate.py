@@ -86,16 +86,6 @@ def test_frozen_config():
         studies.verify_config(c | {"hash": "0"})
 
 
-def test_drift_policies(spark):
-    rows = [("a", d, 0.0, 0.0, 0.0, 1.0) for d in range(30)] + [("a", d, 6.0, 3.0, 0.0, 1.0) for d in range(30, 60)]
-    daily = spark.createDataFrame(rows, "entity_id string, day int, new_resources double, alone double, shared double, surprisal double")
-    s = studies.drift_policies(daily, 3.0)
-    last = {r.policy: r.score for r in s.where("day = 59").collect()}
-    assert last["all"] < last["none"] <= last["quarantine"]
-    r = {x.policy: x for x in studies.drift_report(s, 3.0, (0, 29), (30, 59)).collect()}
-    assert r["none"].quiet_from == 0 and r["none"].n_flagged == 30
-
-
 def test_each_confounder_raises_its_signal(spark, log):
     from vigil.operators.signals import signal_frame
     from vigil.sources.generate import CONFOUNDERS

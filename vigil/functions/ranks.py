@@ -8,10 +8,14 @@ rows are counted along ranges of like size (scan).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.scan import scan
+from vigil.sources.store import store
 
 #: Buckets of an octave, and what keeps bucket numbers positive for every exponent.
 CELLS, OFFSET = 1024, 1100
@@ -120,39 +124,56 @@ def rank_statistics(df: DataFrame, score: str, positive: Column) -> DataFrame:
     )
 
 
-def bootstrap_auc(df: DataFrame, score: str, positive: Column, key: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+def resampled(value, n, replicates: int, seed: int, salt: int = 0) -> np.ndarray:
+    """How often the n rows of a value count in each replicate, where each row counts Poisson(1) times: Poisson(n), drawn by the value alone."""
+    key = [seed & (1 << 64) - 1, int(np.float64(value).view(np.uint64)) ^ salt << 1]
+    return np.random.Generator(np.random.Philox(key=key)).poisson(n, replicates)
+
+
+def _ends(per: DataFrame, column: str) -> Column:
+    return per.agg(F.percentile(column, F.array(F.lit(0.025), F.lit(0.975)))).scalar()
+
+
+def bootstrap_auc(df: DataFrame, score: str, positive: Column, replicates: int = 200, seed: int = 1) -> DataFrame:
     """roc_auc of all rows, and the 2.5 and 97.5 percentiles over resamples in which each row counts Poisson(1) times.
 
-    Rows are first summed by score step and replicate, so what is sorted is steps, not rows.
+    The counts of a score's rows are drawn together, from how many they are, so resampling costs steps times replicates. Tasks
+    sum along ranges of scores, for all replicates at once, and each gives three numbers a replicate.
     """
-    y = positive.cast("long")
-    many = df.select(F.col(score).alias("score"), y.alias("y"), F.col(key).alias("_key"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    many = many.withColumn("c", poisson(F.col("_key"), F.col("r"), seed)).where("c > 0")
-    per = many.groupBy("r", "score").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("y")).alias("pos"))
-    steps = running(per, "score", {"pos": "cum_pos"}, ("r",))
-    neg = F.col("n") - F.col("pos")
-    aucs = steps.groupBy("r").agg((F.sum(neg * (F.col("cum_pos") - F.col("pos") / 2)) / F.nullif(F.sum("pos") * F.sum(neg), F.lit(0))).alias("auc"))
-    ends = aucs.agg(F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975)))).scalar()
-    return roc_auc(df, score, positive).withColumn("_ends", ends).select("roc_auc", F.col("_ends")[0].alias("low"), F.col("_ends")[1].alias("high"))
-
-
-def poisson(key: Column, replicate: Column, seed: int) -> Column:
-    """How often a row counts in a replicate: Poisson with mean 1, by a hash."""
-    u = (F.pmod(F.xxhash64(key, replicate, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    count, p, total = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        count = count + (u > total).cast("int")
-        p /= k + 1
-    return count
-
-
-def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int = 1000, seed: int = 1) -> DataFrame:
-    """Mean of value, and the 2.5 and 97.5 percentiles of its resampled means (each row counts Poisson(1) times, by a hash of key)."""
-    many = df.select(F.col(value).alias("v"), F.col(key).alias("_key"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("c", poisson(F.col("_key"), F.col("r"), seed))
-    means = many.groupBy("r").agg((F.sum(F.col("v") * F.col("c")) / F.nullif(F.sum("c"), F.lit(0))).alias("m"))
-    ends = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))).scalar()
-    return df.agg(F.avg(value).alias("mean")).withColumn("_ends", ends).select("mean", F.col("_ends")[0].alias("low"), F.col("_ends")[1].alias("high"))
+    per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(positive.cast("long")).alias("pos"), F.sum((~positive).cast("long")).alias("neg"))
+
+    def run(batches):
+        pos, neg, won, part = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates), TaskContext.get().partitionId()
+        for batch in batches:
+            for s, p, n in zip(*(c.to_pylist() for c in batch.columns)):
+                p, n = resampled(s, p, replicates, seed), resampled(s, n, replicates, seed, 1)
+                won += n * (pos + p / 2)
+                pos += p
+                neg += n
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(replicates, part, np.int32)), pa.array(np.arange(replicates, dtype=np.int32)), pa.array(pos), pa.array(neg), pa.array(won)], ["part", "r", "pos", "neg", "won"])
+
+    parts = store(per.repartitionByRange(F.desc("score")).sortWithinPartitions(F.desc("score")).select("score", "pos", "neg").mapInArrow(run, "part int, r int, pos double, neg double, won double"))
+    above = F.coalesce(F.sum("pos").over(Window.partitionBy("r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = parts.withColumn("won", F.col("won") + F.col("neg") * above)
+    aucs = placed.groupBy("r").agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
+    return roc_auc(df, score, positive).withColumn("_ends", _ends(aucs, "auc")).select("roc_auc", F.col("_ends")[0].alias("low"), F.col("_ends")[1].alias("high"))
+
+
+def bootstrap_mean(df: DataFrame, value: str, replicates: int = 1000, seed: int = 1) -> DataFrame:
+    """Mean of value, and the 2.5 and 97.5 percentiles of its resampled means, by counts of each distinct value."""
+    per = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+
+    def run(batches):
+        total, rows = np.zeros(replicates), np.zeros(replicates)
+        for batch in batches:
+            for v, n in zip(*(c.to_pylist() for c in batch.columns)):
+                c = resampled(v, n, replicates, seed)
+                total += v * c
+                rows += c
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(total), pa.array(rows)], ["r", "total", "rows"])
+
+    means = per.mapInArrow(run, "r int, total double, rows double").groupBy("r").agg((F.sum("total") / F.nullif(F.sum("rows"), F.lit(0.0))).alias("m"))
+    return df.agg(F.avg(value).alias("mean")).withColumn("_ends", _ends(means, "m")).select("mean", F.col("_ends")[0].alias("low"), F.col("_ends")[1].alias("high"))
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -7,11 +7,13 @@ hold. So no key is one task, however many rows it has; only rows of one moment o
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.sources.store import store
@@ -102,3 +104,26 @@ def scan(rows: DataFrame, place: list[str], moment: list[str], value: str) -> Da
     begun = rows.sparkSession.createDataFrame(starts, ", ".join(["_part int", *[f"`{c}` {kinds[c]}" for c in place], "_start long"]))
     placed = summed.where("_edge = 0").join(begun, ["_part", *place], "left").withColumn("_before", F.col("_before") + F.coalesce("_start", F.lit(0)))
     return placed.select(*rows.columns, "_before", "_own")
+
+
+def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str, rate: float, name: str) -> DataFrame:
+    """Adds h = (1 - rate) h + rate x along each key's rows, which begins with the first x.
+
+    Steps are affine maps, which compose: within a chunk of rows as one weighted window sum, over chunks by the sums of the few
+    chunks before, as older ones weigh less than the double format resolves. No row waits for another's result.
+    """
+    keep = 1 - rate
+    chunk = max(1, int(math.log(1e3) / -math.log(keep)))  # weights within a chunk stay within a factor of 1000
+    back = math.ceil(math.log(1e-18) / (chunk * math.log(keep)))
+    rows = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    rows = rows.withColumns({"_chunk": F.floor(F.col("_i") / chunk), "_k": F.col("_i") % chunk, "_term": F.when(F.col("_i") == 0, F.col(value)).otherwise(rate * F.col(value))})
+    power = lambda e: F.pow(F.lit(keep), e)
+    own = Window.partitionBy(*keys, "_chunk").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", power(F.col("_k")) * F.sum(F.col("_term") * power(-F.col("_k"))).over(own))
+    ends = rows.where(F.col("_k") == chunk - 1).select(*keys, (F.col("_chunk") + 1).alias("_chunk"), F.col("_own").alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_chunk")
+    carried = sum((keep ** (chunk * j) * F.coalesce(F.lag("_end", j).over(before), F.lit(0.0)) for j in range(1, back + 1)), F.col("_end"))
+    starts = ends.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_at"), carried.alias("_start"))
+    on = [rows[k].eqNullSafe(starts[f"_of{i}"]) for i, k in enumerate(keys)] + [rows["_chunk"] == starts["_at"]]
+    joined = rows.join(starts, on, "left")
+    return joined.withColumn(name, F.col("_own") + power(F.col("_k") + 1) * F.coalesce("_start", F.lit(0.0))).select(*df.columns, name)

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import norm_ppf_sql
-from vigil.functions.ranks import global_rank, running
+from vigil.functions.isotonic import isotonic_fit, pooled
+from vigil.functions.ranks import global_rank, quantiles, running
 from vigil.schema import LEVELS, MITIGATION, REFERENCE_ROWS, TARGET_FPR, Z_RANGE, Signal, signals_of
 from vigil.sources.store import store
 
@@ -170,22 +171,16 @@ def with_tail_p(df: DataFrame, f: Fusion, name: str = "p") -> DataFrame:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: the knots of the increasing step function nearest to y, each y counting n times (once by default)."""
+    """The knots of the increasing step function nearest to y, each y counting n times (once by default)."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     n = np.ones(len(x)) if n is None else np.asarray(n, float)
     ux, inverse = np.unique(x, return_inverse=True)
-    rows = np.bincount(inverse, n)
-    blocks: list[list[float]] = []
-    for v, w, lo in zip(np.bincount(inverse, y * n) / rows, rows, ux):
-        blocks.append([v, w, lo, lo])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            b, a = blocks.pop(), blocks.pop()
-            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2], b[3]])
-    return np.array([e for b in blocks for e in (b[2], b[3])]), np.array([b[0] for b in blocks for _ in (0, 1)])
+    lo, hi, w, total = pooled(ux, ux, np.bincount(inverse, n), np.bincount(inverse, y * n))
+    return np.stack([lo, hi], 1).ravel(), np.repeat(total / w, 2)
 
 
 def _calibrate(f: Fusion, raw: DataFrame, labels: DataFrame | None, attacks: tuple[str, ...]) -> None:
-    """Labels enter here only: a monotone map of one variable. Fewer than 1000 positives: logistic; else isotonic on per-score counts."""
+    """Labels enter here only: a monotone map of one variable. Fewer than 1000 positives: logistic; else isotonic over all rows."""
     if labels is None:
         return
     y = raw.join(labels.select("event_id", F.col("label").isin(*attacks).cast("double").alias("y")), "event_id", "left").select("event_id", "raw", F.coalesce("y", F.lit(0.0)).alias("label"))
@@ -200,8 +195,7 @@ def _calibrate(f: Fusion, raw: DataFrame, labels: DataFrame | None, attacks: tup
         m = LogisticRegression(regParam=1 / n, elasticNetParam=0.0, standardization=False).fit(VectorAssembler(inputCols=["raw"], outputCol="features").transform(y))
         f.platt = (float(m.coefficients[0]), float(m.intercept))
     else:
-        per = y.groupBy(F.round("raw", 3).alias("x")).agg(F.avg("label").alias("y"), F.count("*").alias("n")).orderBy("x").toPandas()  # z is bounded: at most some thousand steps
-        f.steps = isotonic(per["x"], per["y"], per["n"])
+        f.steps = isotonic_fit(y, "raw", "label")
 
 
 def fit(signals: DataFrame, labels: DataFrame | None = None, layers: tuple[str, ...] | None = None, without: tuple[str, ...] = (), rounds: int = 2, attacks: tuple[str, ...] | None = None, levels: tuple[str, ...] = LEVELS) -> dict[str, Fusion]:
@@ -217,11 +211,11 @@ def fit(signals: DataFrame, labels: DataFrame | None = None, layers: tuple[str,
         kept = base
         for _ in range(rounds):
             _fit_reference(f, _sample(kept, columns))
-            scored = with_raw(base, f)
-            cut = scored.agg(F.percentile_approx("raw", 0.99, 100000)).first()[0]
+            scored = store(with_raw(base, f))
+            cut = quantiles(scored, "raw", {"cut": 1 - TARGET_FPR}).first()[0]
             kept = scored.where(F.col("raw") < cut).select(*base.columns)
-        scored = with_raw(base, f)
-        f.theta = float(scored.agg(F.percentile_approx("raw", 0.99, 100000)).first()[0])
+        scored = store(with_raw(base, f))
+        f.theta = float(quantiles(scored, "raw", {"cut": 1 - TARGET_FPR}).first()[0])
         ref = _sample(scored.where(F.col("raw") < cut), ["raw", "entity_type"])
         f.raws = np.sort(ref["raw"].to_numpy())
         f.cohorts = {"*": np.sort(ref["raw"].to_numpy())} | {c: np.sort(g["raw"].to_numpy()) for c, g in ref.groupby("entity_type") if len(g) >= 200}

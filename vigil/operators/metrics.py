@@ -235,6 +235,14 @@ def registry(events: DataFrame, key: str) -> DataFrame:
     return at.select(key, "n", "begin", (F.col("n") / whole).alias("share"))
 
 
+def ordered_distinct(df: DataFrame, key: str, value: str, order: list[str], most: int) -> DataFrame:
+    """key, values (its first `most` distinct values, in the order of their first rows) and n_distinct."""
+    first = df.groupBy(key, value).agg(F.min(F.struct(*order)).alias("_at"))
+    placed = first.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("_at")))
+    values = F.transform(F.sort_array(F.collect_list(F.when(F.col("_i") <= most, F.struct("_i", value)))), lambda x: x[value])
+    return placed.groupBy(key).agg(values.alias("values"), F.count("*").alias("n_distinct"))
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """How many values of key both frames have, and only the first or the second."""
     x, y = a.select(key).distinct(), b.select(key).distinct()

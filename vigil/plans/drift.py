@@ -174,7 +174,7 @@ def summary(pairs: DataFrame, replicates: int = 2000) -> dict[str, DataFrame]:
     keyed = pairs.withColumn("_key", F.concat_ws("|", "seed", "pair")).withColumn("_x", F.col("absorbed").cast("double"))
     ends = None
     for policy in POLICIES:
-        row = bootstrap_mean(keyed.where(F.col("policy") == policy), "_x", "_key", replicates).select(F.lit(policy).alias("policy"), "low", "high")
+        row = bootstrap_mean(keyed.where(F.col("policy") == policy), "_x", replicates).select(F.lit(policy).alias("policy"), "low", "high")
         ends = row if ends is None else ends.unionByName(row)
     wide = M.pivot_mean(pairs.withColumn("_key", F.concat_ws("|", "seed", "pair")), "_key", "policy", "ratio_b", list(POLICIES))
     both = wide.where(F.col("all").isNotNull() & F.col("quarantine").isNotNull())

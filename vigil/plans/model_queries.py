@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import band, norm_ppf_sql
+from vigil.functions.isotonic import isotonic_values
+from vigil.functions.scan import moving_average
 from vigil.operators import alerts as A
+from vigil.operators import explain as X
 from vigil.operators import fusion as U
 from vigil.operators import metrics as M
 from vigil.operators import signals as S
 from vigil.operators.causal import prepare
 from vigil.plans import report_queries as R
 from vigil.plans import signal_queries as Q
+from vigil.plans import studies as T
 from vigil.schema import SIGNALS, signals_of
 from vigil.sources.store import store
 from vigil.sources.tables import LOG_SQL, driver_labels, driver_log
@@ -38,36 +42,131 @@ def _address_signals(spark, sf):
     return store(ev.select("event_id", "entity_id", "entity_type", *[F.round(s.name, 6).alias(s.name) for s in signals_of("ip")]))
 
 
-def fitted_level(spark, sf):
+def _all_signals(spark, sf):
+    out = S.signal_frame(driver_log(spark, sf), ("entity_id", "entity_type", "timestamp"))
+    return store(out.select("event_id", "entity_id", "entity_type", "timestamp", "_n_history", "_cold_start", *[F.round(F.col(s.name).cast("double"), 6).alias(s.name) for s in SIGNALS]))
+
+
+def _fitted(ev, level):
     """A level fitted on the log (two rounds, flagged events leave the reference) and its scores of the same log."""
-    ev = _address_signals(spark, sf)
-    f = U.fit(ev, levels=("ip",))["ip"]
+    f = U.fit(ev, levels=(level,))[level]
     out = U.with_tail_p(U.with_raw(ev, f), f)
     return out.select("event_id", F.round("raw", 4).alias("raw"), F.round("p", 6).alias("p"), band(F.round("raw", 7), F.lit(round(f.theta, 7))).alias("band"))
 
 
-def _fitted_sql() -> str:
+def fitted_level(spark, sf):
+    return _fitted(_address_signals(spark, sf), "ip")
+
+
+def fitted_entity(spark, sf):
+    return _fitted(_all_signals(spark, sf), "entity")
+
+
+def fitted_long(spark, sf):
+    return _fitted(_all_signals(spark, sf), "long")
+
+
+def _fitted_sql(level: str, body: str) -> str:
     """Every step of the fit in SQL. The library's table of quantiles comes from another routine than the formula here."""
-    names = [s.name for s in signals_of("ip")]
-    prior = {s.name: s.prior for s in signals_of("ip")}
-    body = Q._ip_sql(DAY // 4, DAY)
+    names, mitigating = [s.name for s in signals_of(level)], [s.name for s in signals_of(level, mitigating=True)]
+    every = names + mitigating
+    prior = {s.name: s.prior for s in signals_of(level)}
     out = f"WITH sg AS ({body}), ev AS (SELECT sg.*, log.entity_type FROM sg JOIN (WITH {LOG_SQL} SELECT event_id, entity_type FROM log) log USING (event_id)), k0 AS (SELECT *, true AS kept FROM ev)"
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     for r in (0, 1):
         out += f", n{r} AS (SELECT count(*) FILTER (WHERE kept) AS n FROM k{r})"
-        out += f", t{r} AS (SELECT *, " + ", ".join(f"(1 + sum(kept::INT) OVER (ORDER BY {c} DESC))::DOUBLE / (1 + (SELECT n FROM n{r})) AS p_{c}" for c in names) + f" FROM k{r})"
-        out += f", z{r} AS (SELECT event_id, entity_type, kept, {', '.join(names)}, " + ", ".join(f"greatest(-4, least(6, -({norm_ppf_sql(f'greatest(1e-12, least(1 - 1e-12, p_{c}))')}))) AS z_{c}" for c in names) + f" FROM t{r})"
+        out += f", t{r} AS (SELECT *, " + ", ".join(f"(1 + sum(kept::INT) OVER (ORDER BY {c} DESC))::DOUBLE / (1 + (SELECT n FROM n{r})) AS p_{c}" for c in every) + f" FROM k{r})"
+        out += f", z{r} AS (SELECT event_id, entity_type, kept, {', '.join(every)}, " + ", ".join(f"greatest(-4, least(6, -({norm_ppf_sql(f'greatest(1e-12, least(1 - 1e-12, p_{c}))')}))) AS z_{c}" for c in every) + f" FROM t{r})"
         out += f", w{r} AS (SELECT " + ", ".join(f"{prior[c]}::DOUBLE / (1 + avg((z_{c} > 2.33)::INT) FILTER (WHERE kept) / 0.01) AS w_{c}" for c in names)
-        out += ", " + ", ".join(f"coalesce(corr(z_{a}, z_{b}) FILTER (WHERE kept), 0) AS c_{a}_{b}" for i, a in enumerate(names) for b in names[i + 1 :]) + f" FROM z{r})"
-        spread = " + ".join(f"w_{c} * w_{c}" for c in names) + " + " + " + ".join(f"2 * w_{a} * w_{b} * c_{a}_{b}" for i, a in enumerate(names) for b in names[i + 1 :])
-        z = [f"z_{c}" for c in names]
-        out += f", r{r} AS (SELECT z{r}.*, greatest((" + " + ".join(f"z_{c} * w_{c}" for c in names) + f") / sqrt(greatest({spread}, 1e-12)), ({' + '.join(z)} - least({', '.join(z)})) / 2) AS raw FROM z{r}, w{r})"
-        out += f", q{r} AS (SELECT raw AS cut FROM (SELECT raw, row_number() OVER (ORDER BY raw) AS i, count(*) OVER () AS n FROM r{r}) WHERE i = ceil(0.99 * n - 1e-9))"
-        out += f", k{r + 1} AS (SELECT event_id, entity_type, {', '.join(names)}, round(raw, 9) < round(cut, 9) AS kept, raw, cut FROM r{r}, q{r})"
+        out += "".join(f", CASE WHEN stddev_pop(z_{a}) FILTER (WHERE kept) > 1e-12 AND stddev_pop(z_{b}) FILTER (WHERE kept) > 1e-12 THEN corr(z_{a}, z_{b}) FILTER (WHERE kept) ELSE 0 END AS c_{a}_{b}" for a, b in pairs) + f" FROM z{r})"
+        spread = " + ".join([f"w_{c} * w_{c}" for c in names] + [f"2 * w_{a} * w_{b} * c_{a}_{b}" for a, b in pairs])
+        top = f"list_sum(list_sort([{', '.join(f'z_{c}' for c in names)}], 'DESC')[1:2]) / 2"
+        off = f" - 0.75 * greatest(0, {', '.join(f'z_{c}' for c in mitigating)})" if mitigating else ""
+        out += f", r{r} AS (SELECT z{r}.*, greatest((" + " + ".join(f"z_{c} * w_{c}" for c in names) + f") / sqrt(greatest({spread}, 1e-12)), {top}){off} AS raw FROM z{r}, w{r})"
+        out += f", q{r} AS (SELECT quantile_cont(raw, 0.99) AS cut FROM r{r})"
+        out += f", k{r + 1} AS (SELECT event_id, entity_type, {', '.join(every)}, round(raw, 9) < round(cut, 9) AS kept, raw, cut FROM r{r}, q{r})"
     out += ", sizes AS (SELECT entity_type, count(*) FILTER (WHERE kept) AS m, sum(count(*) FILTER (WHERE kept)) OVER () AS every FROM k2 GROUP BY 1)"
     out += ", u AS (SELECT *, sum(kept::INT) OVER (PARTITION BY entity_type ORDER BY round(raw, 9) DESC) AS own, sum(kept::INT) OVER (ORDER BY round(raw, 9) DESC) AS whole FROM k2)"
     return out + " SELECT event_id, round(raw, 4) AS raw, round(CASE WHEN m >= 200 THEN (1 + own)::DOUBLE / (1 + m) ELSE (1 + whole)::DOUBLE / (1 + every) END, 6) AS p, CASE WHEN round(raw, 7) >= round(cut, 7) THEN 'HIGH' WHEN round(raw, 7) >= round(cut, 7) / 2 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM u JOIN sizes USING (entity_type)"
 
 
+PLAIN = [s.name for s in SIGNALS if not s.mitigating]
+
+
+def explained_queue(spark, sf):
+    """The 40 highest alerts of the log, with kind and reasons by all 21 signals."""
+    ev = _all_signals(spark, sf)
+    scored = U.empirical_z(ev, [s.name for s in SIGNALS])
+    a, members = A.group_alerts(R.scored(spark, sf), "entity", DAY)
+    out = X.explain_alerts(store(a), store(members), store(scored), 40)
+    return out.select("alert_id", "pred_type", F.round("pred_confidence", 5).alias("pred_confidence"), F.array_join(F.transform("why", lambda x: x["signal"]), ",").alias("reasons"), F.round(F.get("why", F.lit(0))["z"], 5).alias("top_z"), F.col("n_history").cast("long").alias("n_history"), "cold_start")
+
+
+def _explained_sql() -> str:
+    names = [s.name for s in SIGNALS]
+    kinds = list(X.TYPE_RULES)
+    out = f"{R.SCORED}{R._alerts_cte('entity', DAY)}, top AS (SELECT * FROM alerts ORDER BY alert_score DESC, alert_id LIMIT 40), sg AS ({_signal_table_sql()})"
+    out += ", " + ", ".join(f"v_{c} AS (SELECT {c} AS v, greatest(-4, least(6, -({norm_ppf_sql('least(1 - 1e-12, greatest(1e-12, p))')}))) AS z FROM (SELECT {c}, (1 + sum(count(*)) OVER (ORDER BY {c} DESC))::DOUBLE / (1 + sum(count(*)) OVER ()) AS p FROM sg GROUP BY {c}))" for c in names)
+    most = ", ".join(f"max(v_{c}.z) AS z_{c}" for c in names)
+    out += f", per AS (SELECT alert_id, {most}, min(n_history) AS hist_low, max(n_history) AS n_history, min(few_events) AS cold FROM mem JOIN top USING (alert_id) JOIN sg USING (event_id) " + " ".join(f"JOIN v_{c} ON v_{c}.v = sg.{c}" for c in names) + " GROUP BY alert_id)"
+    used = lambda c: f"CASE WHEN z_{c} >= 1 THEN z_{c} ELSE 0 END"
+    score = lambda kind: " + ".join(f"({w} * {used(c)})" for c, w in X.TYPE_RULES[kind].items())
+    out += ", s AS (SELECT alert_id, [" + ", ".join(score(k) for k in kinds) + "]::DOUBLE[] AS s FROM per)"
+    out += f", t AS (SELECT alert_id, list_max(s) AS best, {kinds}[list_position(s, list_max(s))] AS kind, list_sum(list_transform(s, lambda x: greatest(x, 0))) AS total FROM s)"
+    out += ", l AS (SELECT alert_id, unnest([" + ", ".join(f"{{'z': z_{c}, 'i': {i}, 's': '{c}'}}" for i, c in enumerate(names) if c in PLAIN) + "]) AS x FROM per)"
+    out += ", k AS (SELECT alert_id, x.z AS z, x.s AS s, row_number() OVER (PARTITION BY alert_id ORDER BY x.z DESC, x.i) AS r FROM l WHERE x.z > 0.5)"
+    out += ", w AS (SELECT alert_id, string_agg(s, ',' ORDER BY r) AS reasons, max(z) AS top_z FROM k WHERE r <= 5 GROUP BY alert_id)"
+    return out + " SELECT alert_id, CASE WHEN best > 0 THEN kind ELSE 'unclassified' END AS pred_type, round(CASE WHEN best > 0 THEN best / total ELSE 0 END, 5)::DOUBLE AS pred_confidence, coalesce(reasons, '') AS reasons, round(top_z, 5) AS top_z, n_history::BIGINT AS n_history, cold = 1 AS cold_start FROM t JOIN per USING (alert_id) LEFT JOIN w USING (alert_id)"
+
+
+def isotonic_map(spark, sf):
+    """The calibration curve of the score, to two decimals: at each value its rows, attacks and probability."""
+    df = M.labelled(R.scored(spark, sf), driver_labels(spark, sf)).select(F.round("score", 2).alias("x"), M.is_attack().cast("double").alias("y"))
+    return isotonic_values(store(df), "x", "y").select("x", "n", F.col("total").cast("long").alias("attacks"), F.round("value", 9).alias("value"))
+
+
+_ISOTONIC = R.SCORED + f""", st AS (SELECT round(score, 2) AS x, count(*) AS n, sum((label IN {R.ATTACKS})::INT) AS t FROM scored JOIN lab USING (event_id) GROUP BY 1),
+c AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(t) OVER (ORDER BY x) AS ct FROM st),
+m AS (SELECT a.i AS a, b.i AS b, (b.ct - a.ct + a.t)::DOUBLE / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON b.i >= a.i),
+l AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS low FROM m),
+v AS (SELECT b AS i, max(low) AS value FROM l GROUP BY b)
+SELECT x, n, t::BIGINT AS attacks, round(value, 9) AS value FROM c JOIN v USING (i)"""
+
+
+def usual_rate(spark, sf):
+    """The moving average of an entity's new resources in a week, as the drift policies follow it, at each event."""
+    ev = S.long_window(S.hour_surprisal(S.history(prepare(driver_log(spark, sf)))))
+    ev = store(ev.select("event_id", "entity_id", "timestamp", "new_resource_rate_7d"))
+    return moving_average(ev, ["entity_id"], ["timestamp", "event_id"], "new_resource_rate_7d", 0.02, "usual").select("event_id", F.round("usual", 8).alias("usual"))
+
+
+_USUAL = f"""WITH RECURSIVE r AS MATERIALIZED (SELECT event_id, entity_id, new_resource_rate_7d AS x, row_number() OVER (PARTITION BY entity_id ORDER BY timestamp, event_id) AS i FROM ({Q.REGISTRY['long_window'][2]}) JOIN (WITH {LOG_SQL} SELECT event_id, entity_id, timestamp FROM log) USING (event_id)),
+walk AS (SELECT event_id, entity_id, i, x::DOUBLE AS usual FROM r WHERE i = 1 UNION ALL SELECT r.event_id, r.entity_id, r.i, 0.98::DOUBLE * usual + 0.02::DOUBLE * x FROM walk JOIN r ON r.entity_id = walk.entity_id AND r.i = walk.i + 1)
+SELECT event_id, round(usual, 8) AS usual FROM walk"""
+
+
+def written_traits(spark, sf):
+    """How rows are written: what the leakage audit lets a classifier see, without the hash of the id."""
+    t = T.artefacts(driver_log(spark, sf))
+    return t.select("event_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in T.ARTEFACTS if c != "id_bucket"])
+
+
+_TRAITS = f"""WITH {LOG_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY timestamp, event_id)::DOUBLE / count(*) OVER (PARTITION BY entity_id) AS place FROM log)
+SELECT event_id, round(place, 6) AS place, """ + ", ".join(f"length(string_split({c}::VARCHAR, '.')[-1])::DOUBLE AS {n}" for c, n in (("geo_lat", "decimals_lat"), ("geo_lon", "decimals_lon"))) + """,
+  length(string_split(session_duration::VARCHAR, '.')[-1])::DOUBLE AS decimals_duration, length(event_id::VARCHAR)::DOUBLE AS id_length, length(entity_id::VARCHAR)::DOUBLE AS entity_length,
+  string_split(source_ip, '.')[1]::DOUBLE AS first_octet, len(command_sequence)::DOUBLE AS n_commands, (command_sequence IS NOT NULL)::INT::DOUBLE AS has_commands, (microsecond(timestamp) % 1000000)::DOUBLE AS microseconds FROM n"""
+
+
+def first_resources(spark, sf):
+    """Each entity's first eight distinct resources, in the order of their first use."""
+    out = M.ordered_distinct(driver_log(spark, sf), "entity_id", "resource_accessed", ["timestamp", "event_id"], 8)
+    return out.select("entity_id", F.array_join("values", ",").alias("resources"), "n_distinct")
+
+
+_FIRST_USED = f"""WITH {LOG_SQL}, f AS (SELECT entity_id, resource_accessed, row_number() OVER (PARTITION BY entity_id ORDER BY timestamp, event_id) AS i FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY entity_id, resource_accessed ORDER BY timestamp, event_id) = 1))
+SELECT entity_id, string_agg(resource_accessed, ',' ORDER BY i) FILTER (WHERE i <= 8) AS resources, count(*) AS n_distinct FROM f GROUP BY 1"""
+
+
 def budget_curve(spark, sf):
     """Recall and precision of the entity queue at half, once and twice its budget."""
     ev, labels = R.scored(spark, sf), driver_labels(spark, sf)
@@ -156,7 +255,14 @@ def _overlap_sql() -> str:
 
 REGISTRY = {
     "signal_table": (signal_table, _signal_table_sql()),
-    "fitted_level": (fitted_level, _fitted_sql()),
+    "fitted_level": (fitted_level, _fitted_sql("ip", Q._ip_sql(DAY // 4, DAY))),
+    "fitted_entity": (fitted_entity, _fitted_sql("entity", _signal_table_sql())),
+    "fitted_long": (fitted_long, _fitted_sql("long", _signal_table_sql())),
+    "explained_queue": (explained_queue, _explained_sql()),
+    "isotonic_map": (isotonic_map, _ISOTONIC),
+    "usual_rate": (usual_rate, _USUAL),
+    "written_traits": (written_traits, _TRAITS),
+    "first_resources": (first_resources, _FIRST_USED),
     "budget_curve": (budget_curve, _budget_sql()),
     "score_by_size": (score_by_size, R.SCORED + R._alerts_cte("entity", DAY) + "SELECT count(*) AS n_alerts, round(corr(alert_score, n_events), 6) AS r FROM alerts"),
     "recent_events": (recent_events, _RECENT),

@@ -5,16 +5,17 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil import schema
+from vigil.functions import boosting
 from vigil.functions.ranks import roc_auc
 from vigil.operators import explain as X
 from vigil.operators import fusion as U
 from vigil.operators import metrics as M
 from vigil.schema import ATTACK_TYPES, SIGNALS
+from vigil.sources.store import store
 
 AUDIT_GATE, SPLITS, TEST_SHARE = 0.60, 7, 0.35
 ARTEFACTS = ["place", "decimals_lat", "decimals_lon", "decimals_duration", "id_length", "id_bucket", "entity_length", "first_octet", "n_commands", "has_commands", "microseconds"]
@@ -47,25 +48,14 @@ def grouped_split(df: DataFrame, seed: int, share: float = TEST_SHARE) -> DataFr
     return df.withColumn("test", F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(1000)) < int(1000 * share))
 
 
-def _forest(train: DataFrame, test: DataFrame, features: list[str], label: str, trees: int = 40, seed: int = 1) -> DataFrame:
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    to = VectorAssembler(inputCols=features, outputCol="features")
-    model = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=8, seed=seed).fit(to.transform(train))
-    return model.transform(to.transform(test))
-
-
-def audit(events: DataFrame, labels: DataFrame, splits: int = SPLITS, gate: float = AUDIT_GATE) -> dict[str, object]:
+def audit(events: DataFrame, labels: DataFrame, splits: int = SPLITS, gate: float = AUDIT_GATE, rounds: int = 20) -> dict[str, object]:
     """Mean AUC of a classifier on artefacts over grouped splits, and values that only attacks have; passes below the gate without any."""
-    from pyspark.ml.functions import vector_to_array
-
-    df = M.labelled(artefacts(events), labels).withColumn("y", M.is_attack().cast("double"))
+    df = store(M.labelled(artefacts(events), labels).withColumn("y", M.is_attack().cast("double")))
     aucs = []
     for s in range(splits):
         split = grouped_split(df, s)
-        out = _forest(split.where("not test"), split.where("test"), ARTEFACTS, "y", 20, s)
-        aucs.append(roc_auc(out.withColumn("s", F.round(vector_to_array("probability")[1], 4)), "s", F.col("y") == 1).first()[0])
+        out = boosting.fit(split.where("not test"), ARTEFACTS, "y", 2, rounds).predict(split.where("test"))
+        aucs.append(roc_auc(out.withColumn("s", F.round(F.col("probability")[1], 9)), "s", F.col("y") == 1).first()[0])
     known = [a for a in aucs if a is not None]
     mean = sum(known) / len(known) if known else float("nan")
     vocabulary = M.exclusive_values(M.labelled(events, labels), ["resource_type", "auth_method", "geo_country", "device_os"], M.is_attack()).collect()
@@ -85,62 +75,24 @@ def ablation(fit_signals: DataFrame, fit_labels: DataFrame, signals: DataFrame,
     return out.withColumn("change", F.col("precision_at_k") - full)
 
 
-def learned_types(train: DataFrame, test: DataFrame, merge: bool = False) -> DataFrame:
-    """label and predicted type of attack events by a forest over z evidence; merge joins low_and_slow with insider_drift."""
+def learned_types(train: DataFrame, test: DataFrame, merge: bool = False, rounds: int = 40) -> DataFrame:
+    """label and predicted type of attack events by boosted trees over z evidence; merge joins low_and_slow with insider_drift."""
     features = [f"z_{s.name}" for s in SIGNALS if f"z_{s.name}" in train.columns]
     kinds = [*ATTACK_TYPES, schema.INSIDER]
     name = F.when(F.col("label").isin("low_and_slow", schema.INSIDER), "slow").otherwise(F.col("label")) if merge else F.col("label")
     names = sorted({("slow" if merge and k in ("low_and_slow", schema.INSIDER) else k) for k in kinds})
     index = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(k), F.lit(float(i)))])
     ready = lambda df: df.where(F.col("label").isin(*kinds)).withColumn("kind", name).withColumn("y", index[F.col("kind")])
-    out = _forest(ready(train), ready(test), features, "y")
+    out = boosting.fit(ready(train), features, "y", len(names), rounds).predict(ready(test))
     return out.select("event_id", F.col("kind").alias("label"), F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int")).alias("predicted"))
 
 
-def merge_gain(train: DataFrame, test: DataFrame) -> DataFrame:
+def merge_gain(train: DataFrame, test: DataFrame, rounds: int = 40) -> DataFrame:
     """Macro F1 of the learned types with all kinds and with low_and_slow and insider_drift joined, and their difference."""
-    both = [M.macro_f1(learned_types(train, test, merge), "label", "predicted").select(F.col("macro_f1").alias(name)) for merge, name in ((False, "f1_apart"), (True, "f1_merged"))]
+    both = [M.macro_f1(learned_types(train, test, merge, rounds), "label", "predicted").select(F.col("macro_f1").alias(name)) for merge, name in ((False, "f1_apart"), (True, "f1_merged"))]
     return both[0].withColumn("f1_merged", both[1].scalar()).withColumn("gain", F.col("f1_merged") - F.col("f1_apart"))
 
 
-POLICIES = ("all", "unflagged", "quarantine", "none")
-SPIKE, ALONE, MEMORY = 2.5, 2.0, 0.02
-
-
-def drift_policies(daily: DataFrame, theta: float) -> DataFrame:
-    """entity_id, day, policy, score: how a baseline that learns under each policy sees the same days.
-
-    daily: entity_id, day, new_resources, alone (new resources that no peer took up), shared, surprisal.
-    The baseline is a moving average of new resources; a jump with resources of one's own puts an entity
-    in quarantine, a jump alone only skips the day.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for policy in POLICIES:
-            usual, held = 0.5, False
-            for d in pdf.sort_values("day").itertuples(index=False):
-                score = d.surprisal + 0.6 * max(d.new_resources - usual, 0) + 0.9 * d.alone - 0.7 * d.shared
-                jump = d.new_resources > SPIKE * max(usual, 0.5)
-                held = held or (policy == "quarantine" and jump and d.alone >= ALONE)
-                learn = policy == "all" or (policy == "unflagged" and score < theta) or (policy == "quarantine" and not held and not jump)
-                if learn:
-                    usual = (1 - MEMORY) * usual + MEMORY * d.new_resources
-                out.append((d.entity_id, d.day, policy, float(score)))
-        return pd.DataFrame(out, columns=["entity_id", "day", "policy", "score"])
-
-    kinds = dict(daily.dtypes)
-    return daily.groupBy("entity_id").applyInPandas(fold, f"entity_id {kinds['entity_id']}, day {kinds['day']}, policy string, score double")
-
-
-def drift_report(scores: DataFrame, theta: float, early: tuple, late: tuple) -> DataFrame:
-    """Per entity and policy: late over early mean score, whether it was absorbed (ratio below a half), and the first quiet week."""
-    mean = lambda a, b: F.avg(F.when(F.col("day").between(a, b), F.col("score")))
-    ratio = scores.groupBy("entity_id", "policy").agg((mean(*late) / F.nullif(mean(*early), F.lit(0.0))).alias("ratio"), F.sum((F.col("score") >= theta).cast("long")).alias("n_flagged"))
-    quiet = M.quiet_runs(scores, ["entity_id", "policy"], "score", theta)
-    return ratio.join(quiet, ["entity_id", "policy"]).withColumn("absorbed", F.col("ratio") < 0.5)
-
-
 def frozen_config() -> dict[str, object]:
     """Every constant that shapes a result, and a hash of them."""
     names = ("FAIL_WINDOW", "IP_WINDOW", "LONG_WINDOW", "COLD_N0", "COLD_MIN", "GEO_GATE_KM", "GEO_CAP_KMH", "BURST_MIN", "BURST_FLOOR", "OFFHOURS", "NGRAM", "MERGE_WINDOW", "DAILY_BUDGET", "Z_RANGE", "TARGET_FPR", "REFERENCE_ROWS", "MITIGATION")
@@ -158,7 +110,6 @@ def sweep(fit_log, logs: dict[str, tuple]) -> DataFrame:
     """Event metrics of one fitted model on several logs (levels of difficulty, held-out seeds)."""
     from vigil.operators.signals import signal_frame
     from vigil.plans.pipeline import KEEP
-    from vigil.sources.store import store
 
     fusions = U.fit(store(signal_frame(fit_log[0], KEEP)), fit_log[1])
     out = None

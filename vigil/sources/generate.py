@@ -7,20 +7,27 @@ cannot be told by how they were written. delta goes from 0 (blatant) to 1 (hard
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.columns import bumped
+from vigil.functions.draws import draw_by_weight, draw_from
 from vigil.schema import ATTACK_TYPES, EVENT_SCHEMA, INSIDER
 from vigil.sources.tables import CITIES, ROLES, read_tag, tags, write_tag
 
 START = 1767225600  # 2026-01-01 00:00:00 UTC
-RESOURCES, PER_ROLE = 150, 24
+RESOURCES = 150
 KINDS = ("brute_force", "credential_stuffing", "impossible_travel", "lateral_movement", "device_spoofing", "low_and_slow", INSIDER)
 #: Benign behaviour that looks wrong, by name.
 CONFOUNDERS = ("business_travel", "password_reset_storm", "cert_retry_loop", "os_patch", "device_refresh", "oncall_rotation", "maintenance_window", "project_onboarding", "ci_automation_burst", "shared_jump_host", "office_nat", "credential_rotation")
 #: Addresses of each pool of a city (cloud: of the world), and the share of attack traffic from addresses that benign traffic uses.
 POOLS = {"office": 8, "consumer": 400, "vpn": 4, "cloud": 64}
-REGISTRY_SHARE, TRIES = 0.75, 32
+REGISTRY_SHARE = 0.75
+#: How much likelier a role's own and shared resources are than others', and how far single ones vary.
+OWN, SHARED, OTHER, VARY = 6.0, 3.0, 0.02, (0.7, 1.3)
+#: Fixed value: the share of brute force that gets in at the end.
+BREAKS_IN = 0.35
 
 
 def u(seed: int, *keys) -> Column:
@@ -61,11 +68,9 @@ def _city_of(seed: int, i: Column) -> Column:
     return F.floor(u(seed, "c", i) * len(CITIES)).cast("int")
 
 
-def by_volume(seed: int, n: int, *keys) -> Column:
-    """An entity's number, drawn by its rate: the first of some candidates that a draw by rate accepts."""
-    draws = F.transform(F.sequence(F.lit(1), F.lit(TRIES)), lambda j: F.floor(u(seed, "vol", *keys, j) * n))
-    good = F.filter(draws, lambda i: u(seed, "acc", *keys, i) * 40 < _rate_of(seed, i))
-    return F.coalesce(F.get(good, F.lit(0)), F.get(draws, F.lit(0)))
+def volumes(spark: SparkSession, seed: int, n: int) -> DataFrame:
+    """Entities by their rate, and by role: what victims, members of a team and addresses are drawn from."""
+    return entities(spark, n, seed).select("id", "role", "rate")
 
 
 def address(seed: int, i: Column, *keys) -> Column:
@@ -95,10 +100,21 @@ def entities(spark: SparkSession, n: int, seed: int) -> DataFrame:
     )
 
 
+def catalogue(seed: int) -> np.ndarray:
+    """P(resource given role): each resource is one role's own or shared by all, and any role may use any."""
+    owner = np.arange(RESOURCES) % (len(ROLES) + 1)
+    base = np.where(owner == len(ROLES), SHARED, OTHER) + np.zeros((len(ROLES), 1))
+    base[owner[None, :] == np.arange(len(ROLES))[:, None]] = OWN
+    w = base * np.random.Generator(np.random.Philox(key=seed)).uniform(*VARY, base.shape)
+    return w / w.sum(1, keepdims=True)
+
+
 def _resource(seed: int, role: Column, *keys) -> Column:
-    """A resource of the role's usual ones, the first far more often."""
-    place = F.floor(F.pow(u(seed, "res", *keys), 2.5) * PER_ROLE)
-    return F.concat(F.lit("res/"), F.pmod(F.xxhash64(role, place.cast("int"), F.lit(seed)), F.lit(RESOURCES)).cast("string"))
+    """A resource, drawn by the role's weights."""
+    number = F.lit(None).cast("int")
+    for name, w in zip(ROLES, catalogue(seed)):
+        number = F.when(role == name, draw_from(w, u(seed, "res", *keys), u(seed, "stay", *keys))).otherwise(number)
+    return F.concat(F.lit("res/"), number.cast("string"))
 
 
 INTENT = ["id", "entity_id", "entity_type", "role", "city", "sec", "resource", "failed", "ip", "spoof", "recon", "nonce", "label", "campaign_id", "confounder", "method", "commands", "stretch"]
@@ -145,10 +161,14 @@ def confounded(spark, n, days, seed, per_kind: int) -> DataFrame:
         .when(crowd, between(40, 120, x("z")))
         .otherwise(between(10, 40, x("z")))
     ).cast("int")
-    e = plan.withColumns({"start": start, "victim": by_volume(seed, n, F.lit("cf"), c)}).withColumn("k", F.explode(F.sequence(F.lit(1), size)))
-    # A crowd's members are the victim's neighbours in number; a project's first two thirds are the victim's own.
+    every = volumes(spark, seed, n)
+    plan = draw_by_weight(plan.withColumn("start", start), u(seed, "vol", "cf", c), every, "id", "rate", "victim")
+    plan = plan.join(every.select(F.col("id").alias("victim"), "role"), "victim")
+    # A project's first two thirds are the victim's own, the rest that of members of its team; a crowd is drawn from all.
+    e = plan.withColumn("k", F.explode(F.sequence(F.lit(1), size))).withColumn("who", F.floor(k / 3))
     own = ~crowd | ((kind == "project_onboarding") & (k % 3 != 0))
-    e = e.withColumn("id", F.when(own, F.col("victim")).otherwise(F.floor(x("who", F.floor(k / 3)) * n)).cast("long"))
+    team = draw_by_weight(e.where((kind == "project_onboarding") & ~own), x("who", F.col("who")), every, "id", "rate", "id", ("role",))
+    e = e.where((kind != "project_onboarding") | own).withColumn("id", F.when(own, F.col("victim")).otherwise(F.floor(x("who", F.col("who")) * n)).cast("long")).unionByName(team).drop("role", "who")
     night = F.col("start") - F.pmod(F.col("start"), F.lit(86400))
     sec = (
         F.when(kind == "business_travel", F.col("start") + 36000 + F.floor(x("d", k) * 4) * 86400 + x("t", k) * 43200)
@@ -171,7 +191,7 @@ def confounded(spark, n, days, seed, per_kind: int) -> DataFrame:
         F.when(kind == "password_reset_storm", "res/sso").when(kind == "project_onboarding", new).otherwise(_resource(seed, F.col("role"), c, k)).alias("resource"),
         F.when(retry, True).when(crowd, False).otherwise(x("f", k) < 0.03).alias("failed"),
         F.when(kind.isin("shared_jump_host", "office_nat"), shared).otherwise(address(seed, F.col("id"), "cf", c, k)).alias("ip"),
-        F.when(kind == "os_patch", 2).when(kind == "device_refresh", 4).otherwise(0).alias("spoof"), F.lit(0.0).alias("recon"),
+        F.when(kind == "device_refresh", 4).otherwise(0).alias("spoof"), F.lit(0.0).alias("recon"),
         F.xxhash64(F.lit("c"), c, k).alias("nonce"), F.lit("normal").alias("label"), F.lit(None).cast("string").alias("campaign_id"), kind.alias("confounder"),
         F.when(kind == "cert_retry_loop", "certificate").when(kind == "credential_rotation", F.when(x("m") < 0.5, "certificate").otherwise("passkey")).alias("method"),
         F.when(retry, 1).when(kind == "ci_automation_burst", between(8, 20, x("nc", k)).cast("int")).alias("commands"),
@@ -185,7 +205,8 @@ def campaigns_of(spark, n, days, seed, per_kind: int) -> DataFrame:
     long = F.col("kind").isin("low_and_slow", INSIDER)
     share = (F.floor(F.col("c") / len(KINDS)) + u(seed, "s", F.col("c"))) / per_kind
     start = START + (F.when(long, 7 + (days - 7) * 0.4 * share).otherwise(7 + (days - 8) * share) * 86400).cast("long")
-    return c.select("c", "kind", by_volume(seed, n, F.lit("v"), F.col("c")).alias("victim"), start.alias("start"), F.concat("kind", F.lit("-"), F.col("c").cast("string")).alias("campaign_id"))
+    drawn = draw_by_weight(c, u(seed, "vol", "v", F.col("c")), volumes(spark, seed, n), "id", "rate", "victim")
+    return drawn.select("c", "kind", "victim", start.alias("start"), F.concat("kind", F.lit("-"), F.col("c").cast("string")).alias("campaign_id"))
 
 
 def attacks(spark, n, days, seed, delta: float, per_kind: int) -> DataFrame:
@@ -217,7 +238,9 @@ def attacks(spark, n, days, seed, delta: float, per_kind: int) -> DataFrame:
     own = kind.isin("device_spoofing", INSIDER)
     ip = F.when(kind == "credential_stuffing", F.floor(u(seed, "ips", c, k) * lerp(1, 4, delta))).otherwise(F.lit(0))
     # Most attack traffic comes from addresses that benign traffic uses, as often as it uses them.
-    lent = address(seed, by_volume(seed, n, F.lit("reg"), c, ip), "reg", c, ip)
+    e = draw_by_weight(e.withColumn("_ip", ip), u(seed, "vol", "reg", c, F.col("_ip")), volumes(spark, seed, n), "id", "rate", "_lender")
+    ip = F.col("_ip")
+    lent = address(seed, F.col("_lender"), "reg", c, ip)
     hostile = F.when(u(seed, "lent", c, ip) < REGISTRY_SHARE, lent).otherwise(F.xxhash64(F.lit("a"), c, ip))
     resource = (
         F.when(kind.isin("brute_force", "credential_stuffing"), "res/sso")
@@ -225,7 +248,8 @@ def attacks(spark, n, days, seed, delta: float, per_kind: int) -> DataFrame:
         .when(kind == INSIDER, F.concat(F.lit("res/"), F.pmod(F.xxhash64("role", F.floor(u(seed, "ir", c, k) * 4).cast("int"), F.floor(c / 7)), F.lit(RESOURCES)).cast("string")))
         .otherwise(_resource(seed, F.col("role"), c, k))
     )
-    fail = F.when(kind == "brute_force", u(seed, "ff", c, k) < 0.97).when(kind == "credential_stuffing", u(seed, "ff", c, k) > lerp(0.02, 0.18, delta)).otherwise(u(seed, "ff", c, k) < 0.03)
+    last = k == F.max(k).over(Window.partitionBy("c"))
+    fail = F.when((kind == "brute_force") & last & (u(seed, "in", c) < BREAKS_IN), False).when(kind == "brute_force", u(seed, "ff", c, k) < 0.97).when(kind == "credential_stuffing", u(seed, "ff", c, k) > lerp(0.02, 0.18, delta)).otherwise(u(seed, "ff", c, k) < 0.03)
     far = F.pmod(F.col("city") + 5 + F.floor(u(seed, "far", c) * 8), F.lit(len(CITIES))).cast("int")
     return e.select(
         "id", "entity_id", "entity_type", "role", F.when(kind == "impossible_travel", far).otherwise(F.col("city")).alias("city"), "sec", resource.alias("resource"), fail.alias("failed"),
@@ -238,7 +262,13 @@ def attacks(spark, n, days, seed, delta: float, per_kind: int) -> DataFrame:
 def emit(intents: DataFrame, seed: int) -> DataFrame:
     """The one step that turns intents of any kind into events; labels stay beside."""
     key = (F.col("nonce"),)
-    part = lambda name, i: F.substring(F.sha2(F.concat_ws("|", F.lit(name), "id", F.when(F.col("spoof") > i, F.col("nonce") % 7).otherwise(0).cast("string")), 256), 1, 8)
+    # People have up to three devices and mostly use the first; each has its system, firmware, address and protocol.
+    fleet = F.when(F.col("entity_type") == "user", 1 + F.floor(3 * u(seed, "fleet", F.col("id")))).otherwise(1)
+    device = F.floor(fleet * F.pow(u(seed, "dev", *key), 2)).cast("int")
+    part = lambda name, i: F.substring(F.sha2(F.concat_ws("|", F.lit(name), "id", device.cast("string"), F.when(F.col("spoof") > i, F.col("nonce") % 7).otherwise(0).cast("string")), 256), 1, 8)
+    number = lambda name, i, most: F.pmod(F.xxhash64(part(name, i)), F.lit(most)).cast("string")
+    version = lambda name, i: F.concat(F.lit(f"{name}-"), number(name, i, 5), F.lit(" "), number(name, i, 40), F.lit("."), number(name, i, 9))
+    patched = lambda v: F.when(F.col("confounder") == "os_patch", bumped(v)).otherwise(v)
     at = lambda j: F.element_at(F.array(*[F.lit(c[j]) for c in CITIES]), F.col("city") + 1)
     n_cmd = F.coalesce("commands", F.when(F.col("failed"), 0).otherwise(poisson(F.lit(3.0), u(seed, "nc", *key), 12)))
     command = lambda i: F.when(u(seed, "rc", *key, i) < F.col("recon"), F.concat(F.lit("scan"), F.floor(6 * u(seed, "rk", *key, i)).cast("string"))).otherwise(F.concat(F.lit("c"), F.pmod(F.xxhash64("role", F.floor(8 * F.pow(u(seed, "ck", *key, i), 2)).cast("int")), F.lit(40)).cast("string")))
@@ -252,7 +282,7 @@ def emit(intents: DataFrame, seed: int) -> DataFrame:
         F.when(F.col("failed"), "failure").otherwise("success").alias("auth_result"),
         F.round(F.greatest(F.lit(0.4), F.least(F.lit(86400.0), F.col("stretch") * F.exp(4 + normal(seed, "du", *key)))), 2).alias("session_duration"),
         F.transform(F.when(n_cmd > 0, F.sequence(F.lit(1), n_cmd)).otherwise(F.array().cast("array<int>")), command).alias("command_sequence"),
-        F.concat(F.lit("d-"), F.col("id").cast("string")).alias("device_id"), part("os", 0).alias("device_os"), part("fw", 2).alias("device_firmware"), part("mac", 1).alias("device_mac"), part("pr", 3).alias("device_protocol"),
+        F.concat(F.lit("d-"), F.col("id").cast("string"), F.lit("-"), device.cast("string")).alias("device_id"), patched(version("os", 0)).alias("device_os"), patched(version("fw", 2)).alias("device_firmware"), part("mac", 1).alias("device_mac"), part("pr", 3).alias("device_protocol"),
         "label", "campaign_id", "confounder",
     )
 

@@ -7,7 +7,7 @@ sorted coordinates with counts. Pairs with a part that has no rank are sorted co
 Spark sums what the tasks found; phrases of `least` occurrences or more are re-ranked as the units of the next level.
 
 A phrase can't be more frequent than its parts, so only places whose unit and whose last words were frequent a level below are
-counted. Tasks look that up in a ranked table and a bitmap, both of fixed size at any size of the corpus: a phrase
+counted; from three words on, phrases are also counted by slots of a hash first, and those in slots with fewer than `least` are left out, as they can't reach it. Tasks look that up in a ranked table and a bitmap, both of fixed size at any size of the corpus: a phrase
 that a bitmap lets through wrongly is counted in vain, never reported.
 
 Words are 64-bit hashes of language and word. The vocabulary is grouped by hash: if two words of the corpus share one, another seed is
@@ -35,6 +35,8 @@ RANKED, TILE = 1 << 16, 256
 DENSE = 16
 #: Coordinates that a task holds before they go out.
 HELD = 1 << 21
+#: Slots that phrases of three and more words are counted in beforehand, and the parts that these travel in.
+SLOTS, PARTS = 1 << 22, 64
 LONGEST = 4
 _BREAK, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True  # fixed values: what parts pieces
@@ -180,9 +182,69 @@ def _counted(tuples: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.
     return t[starts], np.add.reduceat(w, starts) if len(starts) else np.zeros(0, np.int64)
 
 
-def _level(docs: DataFrame, size: int, units: Units, vocabulary: Units, seed: int) -> DataFrame:
-    """w1 .. w{size}, c: phrases of `size` words whose first and last size - 1 words may be frequent, as each task found them."""
-    held = docs.sparkSession.sparkContext.broadcast((units, vocabulary))
+def _phrases(column: pa.Array, langs: pa.Array, size: int, bits: np.ndarray, crowded: np.ndarray | None, seed: int):
+    """Word hashes of the phrases of each block whose first and last size - 1 words may be frequent, and which may be themselves by their slot."""
+    for a, b, buf, offs in blocks(column):
+        h, _, _, _, joined = words(buf, offs, lang_seeds(langs.slice(a, b - a)), seed)
+        n = len(h) - size + 1
+        if n <= 0:
+            continue
+        whole = np.ones(n, bool)
+        for k in range(1, size):
+            whole &= joined[k : k + n]
+        at = np.flatnonzero(whole)
+        keep = maybe(bits, _fold([h[at + k] for k in range(size - 1)])) & maybe(bits, _fold([h[at + k] for k in range(1, size)]))
+        columns = [h[at[keep] + k] for k in range(size)]
+        if crowded is not None and len(columns[0]):
+            keep = maybe(crowded, _fold(columns))
+            columns = [c[keep] for c in columns]
+        if len(columns[0]):
+            yield columns
+
+
+def _crowded(docs: DataFrame, size: int, bits: np.ndarray, seed: int, least: int) -> np.ndarray:
+    """A bitmap of the slots that hold at least `least` phrases of this size in all: what falls elsewhere is not frequent.
+
+    Tasks count hashes in an array of fixed size and send it in parts, which are added up one after the other.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+    kind = np.uint8 if least < 256 else np.uint32
+
+    def count(batches):
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for columns in _phrases(batch.column(1), batch.column(0), size, held.value, None, seed):
+                n += np.bincount((_fold(columns) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        parts = np.minimum(n, least).astype(kind).reshape(PARTS, -1)
+        used = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used.tolist()], pa.binary())], ["part", "counts"])
+
+    def add(batches):
+        part, total = None, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != part:
+                    if part is not None:
+                        yield done()
+                    part, total = k, np.zeros(SLOTS // PARTS, np.int64)
+                total += np.frombuffer(raw, kind)
+        if part is not None:
+            yield done()
+
+    sums = docs.select("lang", "text").mapInArrow(count, "part int, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, bits binary")
+    out = np.zeros((PARTS, SLOTS // PARTS // 64), np.uint64)
+    for r in sums.collect():  # PARTS rows of fixed size
+        out[r.part] = np.frombuffer(r.bits, np.uint64)
+    return out.ravel()
+
+
+def _level(docs: DataFrame, size: int, units: Units, vocabulary: Units, seed: int, crowded: np.ndarray | None) -> DataFrame:
+    """w1 .. w{size}, c: phrases of `size` words that may be frequent, as each task found them."""
+    held = docs.sparkSession.sparkContext.broadcast((units, vocabulary, crowded))
     names = [f"w{k + 1}" for k in range(size)]
 
     def out(found):
@@ -192,25 +254,11 @@ def _level(docs: DataFrame, size: int, units: Units, vocabulary: Units, seed: in
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, k]).view(np.int64)) for k in range(size)), pa.array(c[s : s + (1 << 16)])], [*names, "c"])
 
     def run(batches):
-        units, vocabulary = held.value
+        units, vocabulary, crowded = held.value
         tiles = Tiles(size)
         for batch in batches:
-            for a, b, buf, offs in blocks(batch.column(1)):
-                h, _, _, _, joined = words(buf, offs, lang_seeds(batch.column(0).slice(a, b - a)), seed)
-                if len(h) < size:
-                    continue
-                n = len(h) - size + 1
-                whole = np.ones(n, bool)
-                for k in range(1, size):
-                    whole &= joined[k : k + n]
-                at = np.flatnonzero(whole)
-                first = [h[at + k] for k in range(size - 1)]
-                folded = _fold(first)
-                keep = maybe(units.bits, folded) & maybe(units.bits, _fold([h[at + k] for k in range(1, size)]))
-                at, folded = at[keep], folded[keep]
-                if len(at):
-                    columns = [h[at + k] for k in range(size)]
-                    tiles.add(columns, units.ranks(columns[:-1], folded), vocabulary.ranks(columns[-1:], columns[-1]))
+            for columns in _phrases(batch.column(1), batch.column(0), size, units.bits, crowded, seed):
+                tiles.add(columns, units.ranks(columns[:-1], _fold(columns[:-1])), vocabulary.ranks(columns[-1:], columns[-1]))
                 if tiles.held > HELD:
                     yield from out(tiles.found(units, vocabulary))
         yield from out(tiles.found(units, vocabulary))
@@ -245,7 +293,8 @@ def frequent(docs: DataFrame, least: int = 30, longest: int = LONGEST) -> tuple[
     units = ranked
     for size in range(2, longest + 1):
         names = [f"w{k + 1}" for k in range(size)]
-        counted = _level(docs, size, units, ranked, seed).groupBy(*names).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+        crowded = _crowded(docs, size, units.bits, seed, least) if size > 2 else None
+        counted = _level(docs, size, units, ranked, seed, crowded).groupBy(*names).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
         last = single.select(F.col("w1").alias(names[-1]), F.col("phrase").alias("last"))
         named = counted.join(levels[-1].select("lang", *names[:-1], "phrase"), names[:-1]).join(last, names[-1])
         levels.append(written(named.select("lang", *names, F.concat_ws(" ", "phrase", "last").alias("phrase"), "f"), "phrases"))

@@ -199,13 +199,15 @@ def _calibrate(f: Fusion, raw: DataFrame, labels: DataFrame | None, attacks: tup
 
 
 def fit(signals: DataFrame, labels: DataFrame | None = None, layers: tuple[str, ...] | None = None, without: tuple[str, ...] = (), rounds: int = 2, attacks: tuple[str, ...] | None = None, levels: tuple[str, ...] = LEVELS) -> dict[str, Fusion]:
-    """Fits each of the levels on a signal frame with event_id and entity_type. Flagged (top 1 %) events leave the reference in each round."""
+    """Fits each of the levels that has signals on a signal frame with event_id and entity_type. Flagged (top 1 %) events leave the reference in each round."""
     from vigil.schema import ATTACK_TYPES
 
     out = {}
     for level in levels:
         take = lambda m: [s for s in signals_of(level, layers, m) if s.name not in without]  # noqa: E731,B023
         f = Fusion(level, take(False), take(True))
+        if not f.signals:
+            continue  # nothing is left of the level
         columns = [s.name for s in [*f.signals, *f.mitigators]]
         base = signals.select("event_id", "entity_type", *columns)
         kept = base
@@ -213,10 +215,11 @@ def fit(signals: DataFrame, labels: DataFrame | None = None, layers: tuple[str,
             _fit_reference(f, _sample(kept, columns))
             scored = store(with_raw(base, f))
             cut = quantiles(scored, "raw", {"cut": 1 - TARGET_FPR}).first()[0]
-            kept = scored.where(F.col("raw") < cut).select(*base.columns)
+            below = scored.where(F.col("raw") < cut)
+            kept = base if below.isEmpty() else below.select(*base.columns)  # one score for all flags nobody
         scored = store(with_raw(base, f))
         f.theta = float(quantiles(scored, "raw", {"cut": 1 - TARGET_FPR}).first()[0])
-        ref = _sample(scored.where(F.col("raw") < cut), ["raw", "entity_type"])
+        ref = _sample(scored if below.isEmpty() else below, ["raw", "entity_type"])
         f.raws = np.sort(ref["raw"].to_numpy())
         f.cohorts = {"*": np.sort(ref["raw"].to_numpy())} | {c: np.sort(g["raw"].to_numpy()) for c, g in ref.groupby("entity_type") if len(g) >= 200}
         _calibrate(f, scored, labels, attacks or ATTACK_TYPES)

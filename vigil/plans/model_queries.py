@@ -90,6 +90,21 @@ def _fitted_sql(level: str, body: str) -> str:
     return out + " SELECT event_id, round(raw, 4) AS raw, round(CASE WHEN m >= 200 THEN (1 + own)::DOUBLE / (1 + m) ELSE (1 + whole)::DOUBLE / (1 + every) END, 6) AS p, CASE WHEN round(raw, 7) >= round(cut, 7) THEN 'HIGH' WHEN round(raw, 7) >= round(cut, 7) / 2 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM u JOIN sizes USING (entity_type)"
 
 
+def scored_log(spark, sf):
+    """The log scored by all three levels, fitted on it: the highest raw score and the highest band (2: HIGH)."""
+    ev = _all_signals(spark, sf)
+    fusions = U.fit(ev)
+    out = store(U.score(ev, fusions))
+    raws = [F.col(f"raw_{level}") for level in fusions]
+    return out.select("event_id", F.round(F.greatest(*raws), 4).alias("score"), F.greatest(*[F.when(band(F.round(r, 7), F.lit(round(f.theta, 7))) == "HIGH", 2).when(band(F.round(r, 7), F.lit(round(f.theta, 7))) == "MEDIUM", 1).otherwise(0) for r, f in zip(raws, fusions.values())]).alias("risk"))
+
+
+def _scored_sql() -> str:
+    parts = ", ".join(f"l_{level} AS ({_fitted_sql(level, _signal_table_sql())})" for level in ("entity", "ip", "long"))
+    risk = lambda level: f"CASE l_{level}.band WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END"
+    return f"WITH {parts} SELECT event_id, greatest(l_entity.raw, l_ip.raw, l_long.raw) AS score, greatest({risk('entity')}, {risk('ip')}, {risk('long')})::INT AS risk FROM l_entity JOIN l_ip USING (event_id) JOIN l_long USING (event_id)"
+
+
 PLAIN = [s.name for s in SIGNALS if not s.mitigating]
 
 
@@ -258,6 +273,7 @@ REGISTRY = {
     "fitted_level": (fitted_level, _fitted_sql("ip", Q._ip_sql(DAY // 4, DAY))),
     "fitted_entity": (fitted_entity, _fitted_sql("entity", _signal_table_sql())),
     "fitted_long": (fitted_long, _fitted_sql("long", _signal_table_sql())),
+    "scored_log": (scored_log, _scored_sql()),
     "explained_queue": (explained_queue, _explained_sql()),
     "isotonic_map": (isotonic_map, _ISOTONIC),
     "usual_rate": (usual_rate, _USUAL),

@@ -26,6 +26,7 @@ POOLS = {"office": 8, "consumer": 400, "vpn": 4, "cloud": 64}
 REGISTRY_SHARE = 0.75
 #: How much likelier a role's own and shared resources are than others', and how far single ones vary.
 OWN, SHARED, OTHER, VARY = 6.0, 3.0, 0.02, (0.7, 1.3)
+FAVOURITES, HABIT = 16, 0.97
 #: Fixed value: the share of brute force that gets in at the end.
 BREAKS_IN = 0.35
 
@@ -109,11 +110,13 @@ def catalogue(seed: int) -> np.ndarray:
     return w / w.sum(1, keepdims=True)
 
 
-def _resource(seed: int, role: Column, *keys) -> Column:
-    """A resource, drawn by the role's weights."""
+def _resource(seed: int, role: Column, who: Column, *keys) -> Column:
+    """A resource, drawn by the role's weights: mostly one of the entity's favourites, which are draws of its own, the first far more often."""
+    favourite = F.xxhash64(F.lit("own"), who, F.floor(FAVOURITES * F.pow(u(seed, "fav", *keys), 2.5)).cast("int"))
+    draw = F.when(u(seed, "habit", *keys) < HABIT, favourite).otherwise(F.xxhash64(F.lit("any"), *keys))
     number = F.lit(None).cast("int")
     for name, w in zip(ROLES, catalogue(seed)):
-        number = F.when(role == name, draw_from(w, u(seed, "res", *keys), u(seed, "stay", *keys))).otherwise(number)
+        number = F.when(role == name, draw_from(w, u(seed, "res", draw), u(seed, "stay", draw))).otherwise(number)
     return F.concat(F.lit("res/"), number.cast("string"))
 
 
@@ -136,7 +139,7 @@ def benign(spark, n, days, seed) -> DataFrame:
     return d.select(
         "id", "entity_id", "entity_type", "role", "city",
         (START + F.col("day") * 86400 + hour * 3600).cast("long").alias("sec"),
-        F.when(u(seed, "sso", *key) < 0.22, "res/sso").otherwise(_resource(seed, F.col("role"), *key)).alias("resource"),
+        F.when(u(seed, "sso", *key) < 0.22, "res/sso").otherwise(_resource(seed, F.col("role"), F.col("id"), *key)).alias("resource"),
         (u(seed, "f", *key) < 0.03).alias("failed"), address(seed, F.col("id"), *key).alias("ip"), F.lit(0).alias("spoof"), F.lit(0.0).alias("recon"),
         F.xxhash64(F.lit("b"), *key).alias("nonce"), F.lit("normal").alias("label"), F.lit(None).cast("string").alias("campaign_id"), F.lit(None).cast("string").alias("confounder"), *_usual(),
     )
@@ -188,7 +191,7 @@ def confounded(spark, n, days, seed, per_kind: int) -> DataFrame:
     new = F.concat(F.lit("res/"), F.pmod(F.xxhash64(F.lit("project"), c, F.floor(x("r", k) * 5).cast("int")), F.lit(RESOURCES)).cast("string"))
     return e.select(
         "id", "entity_id", "entity_type", "role", F.when(kind == "business_travel", far).otherwise(F.col("city")).alias("city"), "sec",
-        F.when(kind == "password_reset_storm", "res/sso").when(kind == "project_onboarding", new).otherwise(_resource(seed, F.col("role"), c, k)).alias("resource"),
+        F.when(kind == "password_reset_storm", "res/sso").when(kind == "project_onboarding", new).otherwise(_resource(seed, F.col("role"), F.col("id"), c, k)).alias("resource"),
         F.when(retry, True).when(crowd, False).otherwise(x("f", k) < 0.03).alias("failed"),
         F.when(kind.isin("shared_jump_host", "office_nat"), shared).otherwise(address(seed, F.col("id"), "cf", c, k)).alias("ip"),
         F.when(kind == "device_refresh", 4).otherwise(0).alias("spoof"), F.lit(0.0).alias("recon"),
@@ -246,7 +249,7 @@ def attacks(spark, n, days, seed, delta: float, per_kind: int) -> DataFrame:
         F.when(kind.isin("brute_force", "credential_stuffing"), "res/sso")
         .when(kind.isin("lateral_movement", "low_and_slow"), F.concat(F.lit("res/"), F.floor(u(seed, "lr", c, k) * RESOURCES).cast("string")))
         .when(kind == INSIDER, F.concat(F.lit("res/"), F.pmod(F.xxhash64("role", F.floor(u(seed, "ir", c, k) * 4).cast("int"), F.floor(c / 7)), F.lit(RESOURCES)).cast("string")))
-        .otherwise(_resource(seed, F.col("role"), c, k))
+        .otherwise(_resource(seed, F.col("role"), F.col("id"), c, k))
     )
     last = k == F.max(k).over(Window.partitionBy("c"))
     fail = F.when((kind == "brute_force") & last & (u(seed, "in", c) < BREAKS_IN), False).when(kind == "brute_force", u(seed, "ff", c, k) < 0.97).when(kind == "credential_stuffing", u(seed, "ff", c, k) > lerp(0.02, 0.18, delta)).otherwise(u(seed, "ff", c, k) < 0.03)

@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[str] = []
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -19,4 +21,15 @@ def store(df: DataFrame) -> DataFrame:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{root.rstrip('/')}/frame-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this process has stored so far: for long sessions, once the frames that read them are no longer used."""
+    n = len(_written)
+    for path in _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.clear()
+    return n

@@ -58,7 +58,6 @@ def test_without_ranks_and_with_small_tables(spark, monkeypatch):
     monkeypatch.setattr(collocations, "RANKED", 4)
     monkeypatch.setattr(collocations, "TILE", 2)
     monkeypatch.setattr(collocations, "DENSE", 1)
-    monkeypatch.setattr(collocations, "_DENSE_TILES", np.array([(0, 0)]))
     monkeypatch.setattr(collocations, "HELD", 10)
     monkeypatch.setattr("vigil.llm.bitmaps.BITS", 8)
     monkeypatch.setattr(collocations, "SLOTS", 4096)

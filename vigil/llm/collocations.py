@@ -4,7 +4,7 @@ Level by level, adjacent units are counted: first word and word, then frequent p
 and next word. The RANKED most frequent units and words have ids by rank. A task places a pair of ids in
 tiles of TILE x TILE cells: tiles where frequent meets frequent are dense arrays that bincount fills, the others hold
 sorted coordinates with counts. Pairs with a part that has no rank are sorted coordinates of word hashes.
-Spark sums what the tasks found; phrases of `least` occurrences or more are re-ranked as the units of the next level.
+Tiles travel whole and are added up, the rest is merged by buckets of a hash; phrases of `least` occurrences or more are re-ranked as the units of the next level.
 
 A phrase can't be more frequent than its parts, so only places whose unit and whose last words were frequent a level below are
 counted; from three words on, phrases are also counted by slots of a hash first, and those in slots with fewer than `least` are left out, as they can't reach it. Tasks look that up in a ranked table and a bitmap, both of fixed size at any size of the corpus: a phrase
@@ -37,11 +37,12 @@ DENSE = 16
 HELD = 1 << 21
 #: Slots that phrases of three and more words are counted in beforehand, and the parts that these travel in.
 SLOTS, PARTS = 1 << 22, 64
+#: Words of the corpus for each bucket of unranked phrases.
+BUCKET = 1 << 20
 LONGEST = 4
 _BREAK, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True  # fixed values: what parts pieces
 _SPACE[[0x20, 0x09]] = True  # fixed values: what parts words
-_DENSE_TILES = np.array([(i, j) for i in range(DENSE) for j in range(DENSE) if (i + 1) * (j + 1) <= DENSE])
 
 
 def lang_seeds(langs: pa.Array) -> np.ndarray:
@@ -124,24 +125,27 @@ class Units:
 class Tiles:
     """What a task has counted: dense tiles, and coordinates of ranked pairs and of tuples, merged when they grow."""
 
-    def __init__(self, size: int):
-        self.size = size
-        self.number = np.full((RANKED // TILE, RANKED // TILE), -1, np.int32)
-        self.number[_DENSE_TILES[:, 0], _DENSE_TILES[:, 1]] = np.arange(len(_DENSE_TILES))
-        self.dense = np.zeros(len(_DENSE_TILES) * TILE * TILE, np.int64)
+    def __init__(self, ranked: int, side: int, dense: int):
+        self.side, self.across = side, ranked // side
+        most = min(dense, self.across)
+        self.first = [(i, j) for i in range(most) for j in range(most) if (i + 1) * (j + 1) <= dense]
+        self.number = np.full((self.across, self.across), -1, np.int32)
+        for n, at in enumerate(self.first):
+            self.number[at] = n
+        self.dense = np.zeros(len(self.first) * side * side, np.int64)
         self.codes: list[tuple[np.ndarray, np.ndarray]] = []
         self.tuples: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
     def add(self, columns: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> None:
         """Counts one phrase a row: its word hashes, the rank of all but the last word, the rank of the last."""
-        ranked = (left >= 0) & (right >= 0)
+        side, ranked = self.side, (left >= 0) & (right >= 0)
         x, y = left[ranked], right[ranked]
-        tile = self.number[x // TILE, y // TILE]
-        cell = x % TILE * TILE + y % TILE
+        tile = self.number[x // side, y // side]
+        cell = x % side * side + y % side
         hot = tile >= 0
         if hot.any():
-            self.dense += np.bincount(tile[hot] * (TILE * TILE) + cell[hot], minlength=len(self.dense))
+            self.dense += np.bincount(tile[hot] * (side * side) + cell[hot], minlength=len(self.dense))
         code, c = np.unique((x[~hot] << 16) | y[~hot], return_counts=True)
         self.codes.append((code, c))
         rest = ~ranked
@@ -151,32 +155,45 @@ class Tiles:
             self.held += len(t)
         self.held += len(code)
 
-    def found(self, units: Units, vocabulary: Units):
-        """(word hashes, counts) of all that was counted; the task starts anew."""
-        at = np.flatnonzero(self.dense)
-        tile, cell = _DENSE_TILES[at // (TILE * TILE)], at % (TILE * TILE)
-        x, y, n = [tile[:, 0] * TILE + cell // TILE], [tile[:, 1] * TILE + cell % TILE], [self.dense[at]]
+    def packed(self):
+        """(tile, cells, counts) of what was counted by rank, one tile after the other."""
+        side = self.side
+        for number, (i, j) in enumerate(self.first):
+            n = self.dense[number * side * side : (number + 1) * side * side]
+            cells = np.flatnonzero(n)
+            if len(cells):
+                yield i * self.across + j, cells, n[cells]
         if self.codes:
             code, order = np.unique(np.concatenate([c for c, _ in self.codes]), return_inverse=True)
-            x.append(code >> 16)
-            y.append(code & 0xFFFF)
-            n.append(np.bincount(order, np.concatenate([c for _, c in self.codes]), len(code)).astype(np.int64))
-        x, y = np.concatenate(x), np.concatenate(y)
-        if len(x):
-            yield np.concatenate([units.tuples[x], vocabulary.tuples[y]], 1), np.concatenate(n)
-        if self.tuples:
-            yield _counted(np.concatenate([t for t, _ in self.tuples]), np.concatenate([c for _, c in self.tuples]))
+            n = np.bincount(order, np.concatenate([c for _, c in self.codes]), len(code)).astype(np.int64)
+            x, y = code >> 16, code & 0xFFFF
+            tile, cell = x // side * self.across + y // side, x % side * side + y % side
+            order = np.argsort(tile, kind="stable")
+            tile, cell, n = tile[order], cell[order], n[order]
+            starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, int)
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(tile)]):
+                yield int(tile[s]), cell[s:e], n[s:e]
+
+    def sparse(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """(word hashes, counts) of what has a part without a rank."""
+        return _counted(np.concatenate([t for t, _ in self.tuples]), np.concatenate([c for _, c in self.tuples])) if self.tuples else None
+
+    def clear(self) -> None:
         self.dense[:] = 0
         self.codes, self.tuples, self.held = [], [], 0
 
 
 def _counted(tuples: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and how often each occurs: sorted by one hash, and apart where equal hashes differ in a word."""
-    folded = _fold(list(tuples.T))
-    order = np.argsort(folded, kind="stable")
-    t, f = tuples[order], folded[order]
+    """Distinct rows and how often each occurs, sorted by one hash."""
+    order = np.argsort(_fold(list(tuples.T)), kind="stable")
+    t = tuples[order]
+    f = _fold(list(t.T))
     new = np.ones(len(t), bool)
-    new[1:] = (f[1:] != f[:-1]) | (t[1:] != t[:-1]).any(1)  # tuples that share a hash may come apart in several rows, which Spark sums
+    new[1:] = (t[1:] != t[:-1]).any(1)
+    if (new[1:] & (f[1:] == f[:-1])).any():  # different words share a hash: in the order of all words equal ones are neighbours
+        order = np.lexsort(tuples.T)
+        t = tuples[order]
+        new[1:] = (t[1:] != t[:-1]).any(1)
     starts = np.flatnonzero(new)
     w = np.ones(len(t), np.int64) if weights is None else weights[order]
     return t[starts], np.add.reduceat(w, starts) if len(starts) else np.zeros(0, np.int64)
@@ -242,28 +259,89 @@ def _crowded(docs: DataFrame, size: int, bits: np.ndarray, seed: int, least: int
     return out.ravel()
 
 
-def _level(docs: DataFrame, size: int, units: Units, vocabulary: Units, seed: int, crowded: np.ndarray | None) -> DataFrame:
-    """w1 .. w{size}, c: phrases of `size` words that may be frequent, as each task found them."""
+def _level(docs: DataFrame, size: int, units: Units, vocabulary: Units, seed: int, crowded: np.ndarray | None, least: int, buckets: int) -> DataFrame:
+    """w1 .. w{size}, f: the phrases of `size` words with f >= least.
+
+    A task sends a tile as one row of cells and counts, and its unranked phrases as rows of sorted words and counts by bucket.
+    Tiles are added up one after the other in an array of TILE x TILE, buckets by merging; buckets follow the corpus, so one has a like number of phrases at any size.
+    """
     held = docs.sparkSession.sparkContext.broadcast((units, vocabulary, crowded))
     names = [f"w{k + 1}" for k in range(size)]
-
-    def out(found):
-        for tuples, c in found:
-            for s in range(0, len(c), 1 << 16):
-                part = tuples[s : s + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, k]).view(np.int64)) for k in range(size)), pa.array(c[s : s + (1 << 16)])], [*names, "c"])
+    kind = np.dtype(np.uint16 if TILE * TILE <= 1 << 16 else np.uint32)
+    fields = ["tile", "cells", "counts"]
+
+    def out(tiles: Tiles):
+        def rows():
+            for t, c, n in tiles.packed():
+                yield t, c.astype(kind).tobytes(), n.astype(np.uint32).tobytes()
+            if (found := tiles.sparse()) is not None:
+                w, n = found
+                bucket = (_fold(list(w.T)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                w, n, bucket = w[order], n[order], bucket[order]
+                starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(n)]):
+                    yield -1 - int(bucket[s]), np.ascontiguousarray(w[s:e]).tobytes(), n[s:e].astype(np.uint32).tobytes()
+            tiles.clear()
+
+        batch, weight = [], 0
+        for row in rows():
+            batch.append(row)
+            weight += len(row[1])
+            if weight > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch), (pa.int64(), pa.binary(), pa.binary()))], fields)
+                batch, weight = [], 0
+        if batch:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch), (pa.int64(), pa.binary(), pa.binary()))], fields)
 
     def run(batches):
         units, vocabulary, crowded = held.value
-        tiles = Tiles(size)
+        tiles = Tiles(RANKED, TILE, DENSE)
         for batch in batches:
             for columns in _phrases(batch.column(1), batch.column(0), size, units.bits, crowded, seed):
                 tiles.add(columns, units.ranks(columns[:-1], _fold(columns[:-1])), vocabulary.ranks(columns[-1:], columns[-1]))
                 if tiles.held > HELD:
-                    yield from out(tiles.found(units, vocabulary))
-        yield from out(tiles.found(units, vocabulary))
+                    yield from out(tiles)
+        yield from out(tiles)
+
+    def add(batches):
+        units, vocabulary, _ = held.value
+        tile, total, parts, waiting = None, np.zeros(TILE * TILE, np.int64), [], 0
+
+        def merged():
+            return [_counted(np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts]))]
+
+        def done():
+            if tile < 0:
+                w, n = merged()[0]
+                w, n = w[n >= least], n[n >= least]
+            else:
+                cell = np.flatnonzero(total >= least)
+                x, y = tile // (RANKED // TILE) * TILE + cell // TILE, tile % (RANKED // TILE) * TILE + cell % TILE
+                w, n = np.concatenate([units.tuples[x], vocabulary.tuples[y]], 1), total[cell]
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(w[:, k]).view(np.int64)) for k in range(size)), pa.array(n)], [*names, "f"])
+
+        for batch in batches:
+            for t, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != tile:
+                    if tile is not None:
+                        yield done()
+                    tile, parts, waiting = t, [], 0
+                    total[:] = 0
+                n = np.frombuffer(counts, np.uint32).astype(np.int64)
+                if t >= 0:
+                    total[np.frombuffer(cells, kind)] += n
+                    continue
+                parts.append((np.frombuffer(cells, np.uint64).reshape(-1, size), n))
+                waiting += len(n)
+                if waiting > HELD:
+                    parts = merged()
+                    waiting = 0
+        if tile is not None:
+            yield done()
 
-    return docs.select("lang", "text").mapInArrow(run, ", ".join(f"{w} long" for w in [*names, "c"]))
+    found = docs.select("lang", "text").mapInArrow(run, "tile long, cells binary, counts binary")
+    return found.repartition("tile").sortWithinPartitions("tile").mapInArrow(add, ", ".join(f"{w} long" for w in [*names, "f"]))
 
 
 def _units(table: DataFrame, size: int) -> Units:
@@ -290,11 +368,12 @@ def frequent(docs: DataFrame, least: int = 30, longest: int = LONGEST) -> tuple[
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     single = written(counts.where(F.col("f") >= least).select("lang", F.col("h").alias("w1"), F.col("word").alias("phrase"), "f"), "phrases")
     levels, ranked = [single], _units(single, 1)
+    buckets = 16 + int(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET
     units = ranked
     for size in range(2, longest + 1):
         names = [f"w{k + 1}" for k in range(size)]
         crowded = _crowded(docs, size, units.bits, seed, least) if size > 2 else None
-        counted = _level(docs, size, units, ranked, seed, crowded).groupBy(*names).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+        counted = _level(docs, size, units, ranked, seed, crowded, least, buckets)
         last = single.select(F.col("w1").alias(names[-1]), F.col("phrase").alias("last"))
         named = counted.join(levels[-1].select("lang", *names[:-1], "phrase"), names[:-1]).join(last, names[-1])
         levels.append(written(named.select("lang", *names, F.concat_ws(" ", "phrase", "last").alias("phrase"), "f"), "phrases"))

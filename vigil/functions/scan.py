@@ -102,7 +102,8 @@ def scan(rows: DataFrame, place: list[str], moment: list[str], value: str) -> Da
         reached = (last, b._before + (start if first == last else 0))
     kinds = dict(rows.dtypes)
     begun = rows.sparkSession.createDataFrame(starts, ", ".join(["_part int", *[f"`{c}` {kinds[c]}" for c in place], "_start long"]))
-    placed = summed.where("_edge = 0").join(begun, ["_part", *place], "left").withColumn("_before", F.col("_before") + F.coalesce("_start", F.lit(0)))
+    # At most one row a task, so it is sent to each.
+    placed = summed.where("_edge = 0").join(F.broadcast(begun), ["_part", *place], "left").withColumn("_before", F.col("_before") + F.coalesce("_start", F.lit(0)))
     return placed.select(*rows.columns, "_before", "_own")
 
 

@@ -49,7 +49,7 @@ def prior_totals(df: DataFrame, sets: dict[str, tuple[list, Column]], ids: list[
     """ids, carry and, for each name: (keys, value) of sets, the sum of value over the key's rows of earlier events as name, and of the row's own event as name_own.
 
     Populations have keys with few values and many rows, for which a window would be one task. All sets are counted
-    in one pass, along ranges of (set, key, time) with like numbers of rows. ids tell the rows of df apart; carry are further columns to keep. Keys go by 128 bits.
+    in one pass, along ranges of (set, key, time) with like numbers of rows. ids tell the rows of df apart, and rows are brought together by the first of them; carry are further columns to keep. Keys go by 128 bits.
     """
     null = lambda keys: F.concat_ws(",", *[F.col(k).isNull().cast("string") for k in keys]) if keys else F.lit("")
     each = [F.struct(F.lit(i).alias("_set"), F.xxhash64(F.lit(i), null(keys), *keys).alias("_key"), F.xxhash64(*keys, null(keys), F.lit(~i)).alias("_more"), value.cast("long").alias("_value")) for i, (keys, value) in enumerate(sets.values())]
@@ -58,7 +58,7 @@ def prior_totals(df: DataFrame, sets: dict[str, tuple[list, Column]], ids: list[
     rows = df.select(*names, *kept, F.explode(F.array(*each)).alias("_x")).select(*names, "_x.*", *[F.when(F.col("_x._set") == 0, F.col(c)).alias(c) for c in kept])
     placed = scan(rows, ["_set", "_key", "_more"], list(ORDER), "_value")
     of = lambda i, c: F.max(F.when(F.col("_set") == i, F.col(c)))
-    return placed.groupBy(*ids).agg(*[F.max(c).alias(c) for c in kept if c not in ids], *[f for i, n in enumerate(sets) for f in (of(i, "_before").alias(n), of(i, "_own").alias(f"{n}_own"))])
+    return placed.repartition(ids[0]).groupBy(*ids).agg(*[F.max(c).alias(c) for c in kept if c not in ids], *[f for i, n in enumerate(sets) for f in (of(i, "_before").alias(n), of(i, "_own").alias(f"{n}_own"))])
 
 
 def is_first(df: DataFrame, name: str, keys: list[str]) -> DataFrame:

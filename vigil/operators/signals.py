@@ -190,8 +190,8 @@ def cmd_surprisal(ev: DataFrame) -> DataFrame:
     """How far an event's mean bits per token are from the entity's own history of them.
 
     Bigrams of the entity and of its type and single tokens are mixed. An event is scored before its own
-    tokens count; the history holds the bits after they count. Tokens are stored once, summed
-    by event; all populations are counted in one pass.
+    tokens count; the history holds the bits after they count. Tokens are summed by event and stored once
+    with the entity's own counts; all populations are counted in one pass.
     """
     parts = [F.format_string("hr:%02d", F.col("hour")), F.concat(F.lit("res:"), "resource_accessed"), F.concat(F.lit("auth:"), "auth_method"), F.when(F.col("auth_result") == "success", "ok").otherwise("fail")]
     commands = F.transform(F.coalesce("command_sequence", F.array().cast("array<string>")), lambda c: F.concat(F.lit("cmd:"), c))
@@ -199,7 +199,7 @@ def cmd_surprisal(ev: DataFrame) -> DataFrame:
     before = F.transform(every, lambda t, i: F.struct(F.when(i > 0, F.get(every, i - 1)).otherwise("<BOS>").alias("prev"), t.alias("tok")))
     tokens = ev.select("event_id", E, "entity_type", "timestamp", "sec", F.posexplode(before).alias("pos", "t")).select("event_id", E, "entity_type", "timestamp", "sec", "pos", F.coalesce("t.prev", F.lit("<BOS>")).alias("prev"), "t.tok")
     event = ["event_id", E, "entity_type", "timestamp", "sec"]
-    grams = store(tokens.groupBy(*event, "prev", "tok").agg(F.count("*").alias("own"), F.min("pos").alias("gram")))
+    grams = tokens.repartition(E, "prev").groupBy(*event, "prev", "tok").agg(F.count("*").alias("own"), F.min("pos").alias("gram"))  # the windows below need no other move
     held = ["own"]
     for name, keys in (("e_bi", [E, "prev", "tok"]), ("e_ctx", [E, "prev"])):
         upto = F.sum("own").over(Window.partitionBy(*keys).orderBy("timestamp", "event_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -207,7 +207,7 @@ def cmd_surprisal(ev: DataFrame) -> DataFrame:
         held += [name, name + "_own"]
     own = F.col("own")
     sets = {"g_bi": (["entity_type", "prev", "tok"], own), "g_ctx": (["entity_type", "prev"], own), "uni": (["tok"], own), "all": ([], own)}
-    joined = prior_totals(grams, sets, ["event_id", "gram"], tuple(held))
+    joined = prior_totals(store(grams), sets, ["event_id", "gram"], tuple(held))
 
     def p(after: bool):
         c = {k: F.col(k) + F.col(k + "_own") if after else F.col(k) for k in (*sets, "e_bi", "e_ctx")}

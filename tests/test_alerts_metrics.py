@@ -189,3 +189,12 @@ def test_verdicts_scale_and_burn_in(spark):
     assert M.scale_note(ev, camps(50)) is None and "illustration" in M.scale_note(ev, camps(3))
     days = spark.sql("SELECT explode(sequence(timestamp'2026-01-01', timestamp'2026-01-20', interval 1 day)) AS start_ts")
     assert A.burned_in(days).count() == 13
+
+
+def test_leads(spark):
+    t = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame([(1, t, 0.5), (2, t, 0.9), (3, t + dt.timedelta(1), 0.9), (4, t, None), (5, t, float("nan"))], "event_id long, timestamp timestamp, score double")
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "b")], "event_id long, alert_id string")
+    got = {r.alert_id: tuple(r)[1:] for r in A.leads(members, ev).collect()}
+    assert got == {"a": (3, 1, 3, 2), "b": (2, 4, 5, None)}
+    assert A.leads(members.limit(0), ev).count() == 0

@@ -67,3 +67,19 @@ def test_grouped_split_keeps_groups_together(small):
     group = F.coalesce("campaign_id", "entity_id")
     assert split.groupBy(group).agg(F.countDistinct("test").alias("n")).where("n > 1").count() == 0
     assert 0 < split.where("test").count() < split.count()
+
+
+def test_one_trait_alone(small):
+    (log, _), _ = small
+    traits = ["place", "id_length"]
+    got = {r.trait: r for r in studies.trait_auc(log[0], log[1], traits, 3).collect()}
+    df = M.labelled(studies.artefacts(log[0]), log[1]).withColumn("y", M.is_attack())
+    for t in traits:
+        aucs = []
+        for s in range(3):
+            rows = [(r[t], r.y) for r in studies.grouped_split(df, s).where("test").select(t, "y").collect()]
+            up, down = [v for v, y in rows if y], [v for v, y in rows if not y]
+            if up and down:
+                aucs.append(sum((a > b) + (a == b) / 2 for a in up for b in down) / len(up) / len(down))
+        assert got[t].n_splits == len(aucs) > 0 and got[t].mean_auc == pytest.approx(sum(aucs) / len(aucs), abs=1e-9)
+    assert studies.trait_auc(log[0].limit(0), log[1], traits, 3).count() == 0

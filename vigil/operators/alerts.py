@@ -93,6 +93,17 @@ def attribution(assignment: DataFrame, labels: DataFrame) -> DataFrame:
     return per.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
+def leads(assignment: DataFrame, scored: DataFrame) -> DataFrame:
+    """Per alert: its members' number, first and last (by time) and the one with the highest score (ties: the smallest event_id; without any score: null).
+
+    Each is a largest or smallest value, so members are never brought together.
+    """
+    member = assignment.select("alert_id", "event_id").join(scored.select("event_id", "timestamp", "score"), "event_id")
+    at, known = F.struct("timestamp", "event_id"), F.col("score").isNotNull() & ~F.isnan("score")
+    lowest = F.min(F.when(known, F.struct((-F.col("score")).alias("s"), "event_id")))
+    return member.groupBy("alert_id").agg(F.count("*").alias("n_members"), F.min(at)["event_id"].alias("first_event"), F.max(at)["event_id"].alias("last_event"), lowest["event_id"].alias("top_event"))
+
+
 def daily_queue(alerts: DataFrame, per_day: int) -> DataFrame:
     """The highest alerts of each day, with their place."""
     day = F.date_trunc("day", "start_ts")

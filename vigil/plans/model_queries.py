@@ -18,7 +18,7 @@ from vigil.plans import signal_queries as Q
 from vigil.plans import studies as T
 from vigil.schema import SIGNALS, signals_of
 from vigil.sources.store import store
-from vigil.sources.tables import LOG_SQL, driver_labels, driver_log
+from vigil.sources.tables import LABELS_SQL, LOG_SQL, driver_labels, driver_log
 
 DAY = 86400
 
@@ -172,6 +172,60 @@ SELECT event_id, round(place, 6) AS place, """ + ", ".join(f"length(string_split
   string_split(source_ip, '.')[1]::DOUBLE AS first_octet, len(command_sequence)::DOUBLE AS n_commands, (command_sequence IS NOT NULL)::INT::DOUBLE AS has_commands, (microsecond(timestamp) % 1000000)::DOUBLE AS microseconds FROM n"""
 
 
+_PLAIN_TRAITS = [c for c in T.ARTEFACTS if c != "id_bucket"]  # SQL has no such hash
+_LABELLED_TRAITS = (
+    _TRAITS.replace("WITH ", f"WITH {LABELS_SQL}, ", 1).replace(", n AS (", ", n AS MATERIALIZED (", 1).replace("\nSELECT event_id, round(place, 6) AS place", ", t AS (SELECT event_id, entity_id, place", 1)
+    + f"), y AS (SELECT t.*, coalesce(label IN {R.ATTACKS}, false) AS y, coalesce(campaign_id, 'ent:' || entity_id) AS grp FROM t LEFT JOIN lab USING (event_id)),"
+    + f" sp AS (SELECT y.*, s.seed, ('0x' || substr(md5(grp || '|' || s.seed), 1, 8))::BIGINT % 1000 < {int(1000 * T.TEST_SHARE)} AS test FROM y, range({T.SPLITS}) s(seed))"
+)
+
+
+def grouped_splits(spark, sf):
+    """On which side of each grouped split an event is: campaigns and entities stay whole."""
+    out = M.labelled(driver_log(spark, sf), driver_labels(spark, sf))
+    for s in range(T.SPLITS):
+        out = T.grouped_split(out, s).withColumn(f"test_{s}", F.col("test").cast("int"))
+    return out.select("event_id", *[f"test_{s}" for s in range(T.SPLITS)])
+
+
+_SPLITS = _LABELLED_TRAITS + " SELECT event_id, " + ", ".join(f"max(test::INT) FILTER (WHERE seed = {s}) AS test_{s}" for s in range(T.SPLITS)) + " FROM sp GROUP BY 1"
+
+
+def trait_auc(spark, sf):
+    """How well each way of writing a row tells attacks by itself, over the grouped splits of the audit."""
+    out = T.trait_auc(driver_log(spark, sf), driver_labels(spark, sf), _PLAIN_TRAITS)
+    return out.select("trait", "n_splits", F.round("mean_auc", 6).alias("mean_auc"), F.round("sd_auc", 6).alias("sd_auc"))
+
+
+_TRAIT_AUC = (
+    _LABELLED_TRAITS
+    + ", long AS (UNPIVOT (SELECT seed, y, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in _PLAIN_TRAITS) + " FROM sp WHERE test) ON " + ", ".join(_PLAIN_TRAITS) + " INTO NAME trait VALUE v)"
+    + ", rk AS (SELECT trait, seed, y, rank() OVER (PARTITION BY trait, seed ORDER BY v) + (count(*) OVER (PARTITION BY trait, seed, v) - 1) / 2.0::DOUBLE AS r FROM long)"
+    + ", auc AS (SELECT trait, seed, (sum(r) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (WHERE y) * count(*) FILTER (WHERE NOT y), 0)::DOUBLE AS auc FROM rk GROUP BY 1, 2)"
+    + " SELECT trait, count(auc) AS n_splits, round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS sd_auc FROM auc GROUP BY 1"
+)
+
+
+def alert_leads(spark, sf):
+    """Per alert of an entity, its number of members, the first, the last and the one with the highest score."""
+    ev = store(R.scored(spark, sf))
+    _, members = A.group_alerts(ev, "entity", DAY)
+    return A.leads(members, ev)
+
+
+_LEADS = R.SCORED + R._alerts_cte("entity", DAY) + """SELECT alert_id, count(*) AS n_members, arg_min(event_id, (timestamp, event_id)) AS first_event, arg_max(event_id, (timestamp, event_id)) AS last_event,
+  max(event_id) FILTER (WHERE place = 1) AS top_event FROM pl GROUP BY 1"""
+
+
+def burned_in_alerts(spark, sf):
+    """Alerts from a week after the first one on, when histories mean something."""
+    a, _ = A.group_alerts(R.scored(spark, sf), "entity", DAY)
+    return A.burned_in(store(a)).select("alert_id", F.unix_timestamp("start_ts").alias("start_s"), "n_events")
+
+
+_BURNED = R.SCORED + R._alerts_cte("entity", DAY) + "SELECT alert_id, floor(epoch(start_ts))::BIGINT AS start_s, n_events FROM alerts WHERE start_ts >= (SELECT min(start_ts) FROM alerts) + INTERVAL 7 DAYS"
+
+
 def first_resources(spark, sf):
     """Each entity's first eight distinct resources, in the order of their first use."""
     out = M.ordered_distinct(driver_log(spark, sf), "entity_id", "resource_accessed", ["timestamp", "event_id"], 8)
@@ -278,6 +332,10 @@ REGISTRY = {
     "isotonic_map": (isotonic_map, _ISOTONIC),
     "usual_rate": (usual_rate, _USUAL),
     "written_traits": (written_traits, _TRAITS),
+    "grouped_splits": (grouped_splits, _SPLITS),
+    "trait_auc": (trait_auc, _TRAIT_AUC),
+    "alert_leads": (alert_leads, _LEADS),
+    "burned_in_alerts": (burned_in_alerts, _BURNED),
     "first_resources": (first_resources, _FIRST_USED),
     "budget_curve": (budget_curve, _budget_sql()),
     "score_by_size": (score_by_size, R.SCORED + R._alerts_cte("entity", DAY) + "SELECT count(*) AS n_alerts, round(corr(alert_score, n_events), 6) AS r FROM alerts"),

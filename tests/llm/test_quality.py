@@ -36,16 +36,31 @@ def test_shrinkage_equals_formula(spark):
     docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality.posterior(docs, quality.train(docs, labels), F.col("source"), F.col("lang")).collect()}
-    by = {}
-    for r in rows:
-        by.setdefault(r[2], []).append(got[r[0]].p_doc)
-    mean = sum(map(sum, by.values())) / 60
-    means = [sum(v) / len(v) for v in by.values()]
-    var = sum((m - sum(means) / len(means)) ** 2 for m in means) / len(means)
-    k = max(1, min(10000, mean * (1 - mean) / max(var, 1e-9) - 1))
-    for r in rows:
-        v = by[r[2]]
-        assert abs(got[r[0]].p_host - (sum(v) + k * mean) / (len(v) + k)) < 1e-9
+    want = plain([(r[0], got[r[0]].p_doc, r[2], r[3]) for r in rows])
+    for i, (h, p, s) in want.items():
+        assert abs(got[i].p_host - h) < 1e-9 and abs(got[i].p_path - p) < 1e-9 and abs(got[i].score - s) < 1e-9
+
+
+def test_sparse_hosts_stay_near_the_prior(spark):
+    """Hosts of one page, and of two pages that differ as much within as between hosts, don't leave the share of all."""
+    rows = corpus(400)
+    docs = spark.createDataFrame([(r[0], r[1], f"h{r[0]}" if r[0] < 200 else f"h{r[0] % 100}") for r in rows], "doc_id long, text string, host string").withColumn("path", F.lit(None).cast("string"))
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, quality int")
+    e = quality.train(docs, labels)
+    for part in (docs.where("doc_id < 200"), docs.where("doc_id >= 200")):
+        got = quality.posterior(part, e, F.col("host"), F.col("path")).collect()
+        mean = sum(r.p_doc for r in got) / len(got)
+        assert min(r.p_doc for r in got) < 0.1 and max(r.p_doc for r in got) > 0.9
+        assert all(abs(r.p_host - mean) < 0.05 and abs(r.p_path - mean) < 0.05 for r in got)
+
+
+def test_hosts_that_differ_leave_the_prior(spark):
+    rows = corpus(300)
+    docs = spark.createDataFrame([(r[0], r[1], "good" if r[4] else "bad", "p") for r in rows], "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, quality int")
+    got = quality.posterior(docs, quality.train(docs, labels), F.col("host"), F.col("path")).select("p_host", "doc_id").collect()
+    good = {r[0]: r[4] for r in rows}
+    assert all(r.p_host > 0.9 if good[r.doc_id] else r.p_host < 0.1 for r in got)
 
 
 def test_no_labels(spark):
@@ -67,11 +82,22 @@ def plain(rows):
         hosts.setdefault(h, []).append(p)
         paths.setdefault((h, q), []).append(p)
     mean = sum(r[1] for r in rows) / len(rows)
-    means = [sum(v) / len(v) for v in hosts.values()]
-    between = sum((m - sum(means) / len(means)) ** 2 for m in means) / len(means)
+    average = lambda v: sum(v) / len(v)
+
+    def variance(groups):
+        """Of true means, from (mean of the level above, its rows, rows of the group): what differs between groups beyond what their rows explain."""
+        above = len({key for key, _, _, _ in groups})
+        free, n = len(groups) - above, sum(len(v) for *_, v in groups)
+        if free == 0 or n == len(groups):
+            return 0.0
+        spread = sum(len(v) * (average(v) - m) ** 2 for _, m, _, v in groups) / free
+        chance = sum((x - average(v)) ** 2 for *_, v in groups for x in v) / (n - len(groups))
+        return max(0.0, (spread - chance) / ((n - sum(len(v) ** 2 / size for _, _, size, v in groups)) / free))
+
+    between = variance([(0, mean, len(rows), v) for v in hosts.values()])
     k = strength(mean, between)
     p_host = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in hosts.items()}
-    within = sum((sum(v) / len(v) - sum(hosts[h]) / len(hosts[h])) ** 2 for (h, _), v in paths.items()) / len(paths)
+    within = variance([(h, average(hosts[h]), len(hosts[h]), v) for (h, _), v in paths.items()])
     p_path = {}
     for (h, q), v in paths.items():
         k = strength(p_host[h], within)

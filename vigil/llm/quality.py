@@ -2,8 +2,9 @@
 
 A logistic model of a document's own marks gives its evidence. Evidence is averaged by host and
 by path of a host; each mean is shrunk toward the level above (path to host, host to all) by
-a Beta prior whose strength is estimated from how much the means differ (method of moments), so
-that a sparse site stays near the prior. A document's score adds to its own log odds what
+a Beta prior whose strength is estimated from how much the means differ beyond what the spread within
+them explains (analysis of variance, weighed by numbers of rows), so that a sparse site stays near the prior. Where every
+site has one document, nothing tells sites from chance and all stay near the prior. A document's score adds to its own log odds what
 its path's posterior says beyond the share of all.
 
 Learning takes at most `most` labelled rows of each kind, the first by a hash of doc_id, where crc32(doc_id)
@@ -137,6 +138,17 @@ def _strength(mean: Column, between: Column) -> Column:
     return F.greatest(F.lit(1.0), F.least(F.lit(10000.0), F.coalesce(mean * (1 - mean) / F.greatest(between, F.lit(1e-9)) - 1, F.lit(10000.0))))
 
 
+def _between(groups: Column, above: Column, rows: Column, squares: Column, squares_above: Column, every: Column, sizes: Column) -> Column:
+    """Variance of the groups' true means around those of the level above.
+
+    groups, above: how many; rows: in all; squares: sum of n mean^2 of the groups, squares_above that of the level above; every: sum of squared
+    rows; sizes: sum of n^2 / n of the level above.
+    """
+    more = F.nullif(groups - above, F.lit(0))
+    chance = F.greatest(F.lit(0.0), every - squares) / F.nullif(rows - groups, F.lit(0))
+    return F.coalesce(F.greatest(F.lit(0.0), ((squares - squares_above) / more - chance) / F.nullif((rows - sizes) / more, F.lit(0.0))), F.lit(0.0))
+
+
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
@@ -152,14 +164,18 @@ def posterior(docs: DataFrame, evidence: Evidence, host: Column, path: Column) -
 
     named = docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("x"), host.cast("string")), F.lit("-")).alias("host"), F.coalesce(F.concat(F.lit("x"), path.cast("string")), F.lit("-")).alias("path"))
     rows = written(map_batches(named, ["doc_id", "text", "host", "path"], run, f"doc_id {dict(docs.dtypes)['doc_id']}, host string, path string, p_doc double"), "evidence")
-    paths = written(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    whole = hosts.agg((F.sum("host_s") / F.sum("host_n")).alias("mean"), F.var_pop(F.col("host_s") / F.col("host_n")).alias("between"))
+    paths = written(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"), F.sum(F.col("p_doc") * F.col("p_doc")).alias("ss")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.sum("ss").alias("host_ss"), F.count("*").alias("n_paths"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("in_paths"), F.sum(F.col("n") * F.col("n")).alias("n2"))
+    hosts = written(hosts, "hosts")
+    total, n = F.sum("host_s"), F.sum("host_n")
+    in_hosts, every = F.sum(F.col("host_s") * F.col("host_s") / F.col("host_n")), F.sum("host_ss")
+    between = _between(F.count("*"), F.lit(1), n, in_hosts, total * total / n, every, F.sum(F.col("host_n") * F.col("host_n")) / n)
+    within = _between(F.sum("n_paths"), F.count("*"), n, F.sum("in_paths"), in_hosts, every, F.sum(F.col("n2") / F.col("host_n")))
+    whole = hosts.agg((total / n).alias("mean"), between.alias("between"), within.alias("within"))
     m = F.col("mean")
-    by_host = hosts.withColumn("_all", whole.select(F.struct("mean", "between")).scalar()).select("*", "_all.mean", "_all.between").withColumn("p_host", (F.col("host_s") + _strength(m, F.col("between")) * m) / (F.col("host_n") + _strength(m, F.col("between"))))
-    pairs = paths.join(by_host, "host")
-    within = pairs.agg(F.avg(F.pow(F.col("s") / F.col("n") - F.col("host_s") / F.col("host_n"), 2))).scalar()
+    k = _strength(m, F.col("between"))
+    by_host = hosts.withColumn("_all", whole.select(F.struct("mean", "between", "within")).scalar()).select("host", "host_n", "host_s", "_all.*").withColumn("p_host", (F.col("host_s") + k * m) / (F.col("host_n") + k))
     k = _strength(F.col("p_host"), F.col("within"))
-    sites = pairs.withColumn("within", within).select("host", "path", "mean", "p_host", ((F.col("s") + k * F.col("p_host")) / (F.col("n") + k)).alias("p_path"))
+    sites = paths.join(by_host, "host").select("host", "path", "mean", "p_host", ((F.col("s") + k * F.col("p_host")) / (F.col("n") + k)).alias("p_path"))
     z = _logit(F.col("p_doc")) + _logit(F.col("p_path")) - _logit(F.col("mean"))
     return rows.join(sites, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-z))).select("doc_id", "p_doc", "p_host", "p_path", "score", (F.col("score") >= 0.5).cast("int").alias("keep"))

@@ -96,3 +96,17 @@ def test_threshold_is_the_tail_of_the_walk():
         above += (np.bincount(rng.integers(0, odd_sketch.BITS, flips), minlength=odd_sketch.BITS) & 1).sum() > most
     assert above < 80
     assert odd_sketch.threshold(0.85) > most
+
+
+def test_wanted_sets_are_made_and_chosen_in_one_step(spark):
+    """Each step in Python is a worker more for each core, and its input a batch of whole sets."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None), (61, rows[3][1])], "doc_id long, text string")
+    signed = odd_sketch.signatures(docs, 3)
+    wanted = signed.where("doc_id % 7 = 3 AND key IS NOT NULL").select("key").distinct()
+    sets = odd_sketch.full_sets(docs, wanted, 3)
+    got = {bytes(r.key): len(set(r.tokens)) for r in sets.collect()}
+    assert got == {bytes(r.key): r.n for r in signed.join(wanted, "key").select("key", "n").distinct().collect()} and got
+    plan = odd_sketch.full_sets(docs, spark.createDataFrame([(b"x",)], "key binary"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from .bitmaps import bitmap, maybe
 from .components import connected_components
 from .jaccard import shingle_sets
-from .text import blocks, map_batches, mix, written
+from .text import blocks, gather, map_batches, mix, written
 
 BANDS, ROWS, PERMUTATIONS, BITS = 32, 4, 256, 512
 MISS = 1e-9
 #: Nodes of a block, and bytes of their sets; two blocks meet in one task.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Bytes of text whose sets a task makes at once.
+SET_BYTES = 1 << 20
 _ODD = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _PLACE = mix(np.arange(PERMUTATIONS, dtype=np.uint64) + np.uint64(0x51ED27))
 
@@ -111,7 +113,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64).ravel()))
 
     def run(batch):
-        for a, b, buf, offs in blocks(batch.column(1)):
+        for a, b, buf, offs in blocks(batch.column(1), SET_BYTES):
             tokens, at = shingle_sets(buf, offs, words)
             least, full = minima(tokens, at), np.diff(at) > 0
             columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(_set_keys(tokens, at), pa.binary()), lists(band_keys(least), full), lists(sketches(least), full)]
@@ -121,28 +123,26 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """key, tokens of the wanted keys. Tasks send the sets whose key a bitmap of fixed size lets through, a join keeps those that are wanted."""
+    """key, tokens of the wanted keys. Tasks send the sets whose key a bitmap of fixed size lets through, a join keeps those that are wanted.
+
+    The bitmap is asked where the sets are made: a second step would need a worker more for each core, and batches of all sets on their way to it.
+    """
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("key").alias("h")), "h"))
 
     def send(batch):
-        for _, _, buf, offs in blocks(batch.column(0)):
-            tokens, at = shingle_sets(buf, offs, words)
-            keys = _set_keys(tokens, at)
-            full = np.flatnonzero(np.diff(at) > 0)
-            cut = at[np.concatenate([full, [len(at) - 1]])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in full.tolist()], pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(tokens.view(np.int64)))], ["key", "tokens"])
-
-    def known(batches):
         import xxhash
 
         bits = held.value
-        for batch in batches:
-            h = np.array([xxhash.xxh64_intdigest(k, 42) for k in batch.column(0).to_pylist()], np.uint64)
-            keep = maybe(bits, h)
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-
-    sent = map_batches(docs, ["text"], send, "key binary, tokens array<bigint>").mapInArrow(known, "key binary, tokens array<bigint>")
+        for _, _, buf, offs in blocks(batch.column(0), SET_BYTES):
+            tokens, at = shingle_sets(buf, offs, words)
+            full, keys = np.flatnonzero(np.diff(at) > 0), _set_keys(tokens, at)
+            h = np.array([xxhash.xxh64_intdigest(keys[i], 42) for i in full.tolist()], np.uint64)
+            sent = full[maybe(bits, h)]
+            if len(sent):
+                data, cut = gather(at, tokens, sent)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in sent.tolist()], pa.binary()), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(data.view(np.int64)))], ["key", "tokens"])
+
+    sent = map_batches(docs, ["text"], send, "key binary, tokens array<bigint>")
     return sent.join(wanted.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 

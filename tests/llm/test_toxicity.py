@@ -135,3 +135,23 @@ def test_repeated_rows_and_very_long_texts(spark):
     long = [(r.score, r.n_windows) for r in got if r.doc_id == 500]
     assert len(long) == 2 and long[0] == long[1] and long[0][1] > 5000
     assert toxicity.without_toxic(docs, net).columns == docs.columns
+
+
+def test_training_holds_no_arrays_over_all_words_at_once(monkeypatch):
+    """The driver's memory follows the sample's features, not several arrays of as many long numbers."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    size = rng.integers(2500, 3500, 600)
+    first = np.concatenate([[0], np.cumsum(size)])
+    ids = np.concatenate([rng.integers(0, toxicity.WORDS, (first[-1], 1)), rng.integers(0, toxicity.CHARS, (first[-1], 4)) + np.arange(4) * toxicity.CHARS], 1).astype(np.uint16)
+    y = np.arange(600) % 3 // 2
+    made = []
+    for docs in (16, 600):
+        monkeypatch.setattr(toxicity, "DOCS", docs, raising=False)
+        tracemalloc.start()
+        made.append((toxicity.fit(ids, first, y, 0.1, epochs=1), tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+    (one, peak), (other, _) = made
+    assert peak < 2.5 * ids.nbytes
+    assert all(np.array_equal(getattr(one, k), getattr(other, k)) for k in one.NAMES)

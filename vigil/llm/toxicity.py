@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import LOWER, blocks, map_batches, mix, span_hashes, word_spans
+from .text import packed as bytes_of
 
 WIDTH, STRIDE, HIDDEN, DIM = 48, 32, 8, 4
 WORDS, CHARS = 1 << 14, 1 << 13
@@ -32,6 +33,8 @@ APART = np.ones(256, bool)
 APART[128:] = False
 APART[[*range(48, 58), *range(97, 123)]] = False
 POSITIVES, NEGATIVES = 1500, 4500
+#: Training documents that are worked on at once: arrays as long as all their words would stay with the driver in pieces.
+DOCS = 256
 
 
 def held_out(id_col: str) -> Column:
@@ -187,10 +190,16 @@ class Network:
         return _sigmoid(self.slope * logit.astype(np.float64) + self.shift)
 
 
-def _odds(ids: np.ndarray, first: np.ndarray, y: np.ndarray, buckets: int, used: np.ndarray) -> np.ndarray:
-    seen = np.unique(np.repeat(np.arange(len(y)) * np.int64(buckets), np.diff(first)) + ids)
-    d, f = seen // buckets, seen % buckets
-    pos, neg = np.bincount(f[y[d] == 1], minlength=buckets), np.bincount(f[y[d] == 0], minlength=buckets)
+def _odds(ids: np.ndarray, first: np.ndarray, y: np.ndarray, k: int, low: int, buckets: int, used: np.ndarray) -> np.ndarray:
+    """Log odds of each bucket of column k, over the used documents that hold it."""
+    pos, neg = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+    for a in range(0, len(y), DOCS):
+        b = min(a + DOCS, len(y))
+        doc = np.repeat(np.arange(a, b), np.diff(first[a : b + 1]))
+        seen = np.unique((doc * np.int64(buckets) + ids[first[a] : first[b], k] - low)[used[doc]])
+        d, f = seen // buckets, seen % buckets
+        pos += np.bincount(f[y[d] == 1], minlength=buckets)
+        neg += np.bincount(f[y[d] == 0], minlength=buckets)
     odds = np.log((pos + 0.3) / (y[used].sum() + 0.6)) - np.log((neg + 0.3) / ((1 - y[used]).sum() + 0.6))
     return np.where(pos + neg > 5, np.clip(odds, -3, 3), 0).astype(np.float32)
 
@@ -204,18 +213,19 @@ def fit(ids: np.ndarray, first: np.ndarray, y: np.ndarray, prior: float, epochs:
     aside = np.arange(len(y)) % 4 == 3
     if len(y) < 1000 or len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside[:] = False
-    doc_of = np.repeat(np.arange(len(y)), np.diff(first))
-    seen = ~aside[doc_of]
-    seen_first = np.concatenate([[0], np.cumsum(np.where(aside, 0, np.diff(first)))])
-    odds = lambda k, low, n: _odds(ids[seen, k] - low, seen_first, y, n, ~aside)
+    odds = lambda k, low, n: _odds(ids, first, y, k, low, n, ~aside)
     net = Network.fresh(odds(0, 0, WORDS), np.concatenate([odds(k, (k - 1) * CHARS, CHARS) for k in range(1, 5)]), seed)
     # Windows to learn from: by the words' odds, the highest of a document, for label 0 the highest two.
     start, n, w_offs = window_starts(first)
-    hint = np.maximum(net.word[:, 0], 0)[ids[:, 0]]
-    for k in range(1, 5):
-        hint += np.maximum(net.char[:, 0], 0)[ids[:, k]]
-    total = np.concatenate([[0], np.cumsum(hint, dtype=np.float64)])
+    total = np.zeros(len(ids) + 1)
+    for d in range(0, len(y), DOCS):
+        a, b = first[d], first[min(d + DOCS, len(y))]
+        hint = np.maximum(net.word[:, 0], 0)[ids[a:b, 0]]
+        for k in range(1, 5):
+            hint += np.maximum(net.char[:, 0], 0)[ids[a:b, k]]
+        total[a : b + 1] = np.cumsum(np.concatenate([total[a : a + 1], hint]))
     guess = total[start + n] - total[start]
+    del total
     pick, label = [], []
     for d in range(len(y)):
         a, b = w_offs[d], w_offs[d + 1]
@@ -241,7 +251,7 @@ def fit(ids: np.ndarray, first: np.ndarray, y: np.ndarray, prior: float, epochs:
                 rate = (0.002 if name in ("word", "char") else 0.01) / (1 - 0.9**step) * np.sqrt(1 - 0.99**step)
                 setattr(net, name, (getattr(net, name) - rate * mean[name] / (np.sqrt(square[name]) + 1e-8)).astype(np.float32))
     # Probability from the highest window: a weighted logistic fit by Newton's steps, halved where they don't help.
-    z = np.concatenate([net.logits(ids[first[d] : first[min(d + 256, len(y))]], first[d : d + 257] - first[d])[0] for d in range(0, len(y), 256)]).astype(np.float64)
+    z = np.concatenate([net.logits(ids[first[d] : first[min(d + DOCS, len(y))]], first[d : d + DOCS + 1] - first[d])[0] for d in range(0, len(y), DOCS)]).astype(np.float64)
     net.floor = float(z.min())
     if aside.any():
         z, y = z[aside], y[aside]
@@ -271,11 +281,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     sample = part[0].union(part[1])
     got = packed(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).orderBy(place, "doc_id").select("y", "ids").toArrow()
     total = sum(counts.values())
-    raw = [c for c in got["ids"].chunks if len(c)]
-    ids = np.concatenate([np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, 5) for c in raw]) if raw else np.zeros((0, 5), np.uint16)
-    first = np.concatenate([[0], np.cumsum([len(v.as_buffer()) // 10 for c in raw for v in c])]).astype(np.int64)
+    raw = [bytes_of(c) for c in got["ids"].chunks]
+    ids = np.concatenate([np.zeros(0, np.uint16), *[x.view(np.uint16) for x, _ in raw]]).reshape(-1, 5)
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[np.diff(offs) // 10 for _, offs in raw]]))]).astype(np.int64)
     y = got["y"].to_numpy().astype(np.int64)
     del got, raw
+    pa.default_memory_pool().release_unused()
     return fit(ids, first, y, counts.get(1, 0) / total if total else 0.0)
 
 

@@ -84,3 +84,25 @@ def test_empty_and_long(spark):
     assert sentence_spans.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     long = "word " * 400_000
     assert result(spark, [(1, long)])[0][2] == 0
+
+
+def test_a_passage_of_one_or_two_long_sentences_is_found(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    text = lambda n, ends=".": " ".join(word() for _ in range(n)) + ends
+    one, two, short = text(35), text(20) + " " + text(16), text(7) + " " + text(9)
+    own = lambda: text(8) + " " + text(7)
+    rows = [(k, f"{own()} {p} {own()}") for k, p in enumerate([one, one, two, two, short, short])] + [(6, one), (7, text(60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.n_shared) for r in sentence_spans.deduplicated(df).collect()}
+    assert got == {0: (0, 35), 1: (1, 35), 2: (0, 36), 3: (2, 36), 4: (0, 0), 5: (0, 0), 6: (1, 35), 7: (0, 0)}
+
+
+def test_shared_words_of_repeated_rows_and_of_one_document_alone(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n)) + ". "
+    inner, long = text(15) + text(15) + text(15), text(40)
+    rows = [(1, inner + text(5) + inner), (2, long), (2, long), (None, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.n_removed, r.n_shared) for r in sentence_spans.deduplicated(df).collect()))
+    assert got == [(0, 0, 40), (1, 3, 0), (2, 1, 40), (2, 1, 40)]

@@ -33,7 +33,7 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sentence_spans
 
     out = sentence_spans.deduplicated(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_sentences", "n_removed", "removed_bytes", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_sentences", "n_removed", "removed_bytes", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared")
 
 
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

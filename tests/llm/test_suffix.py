@@ -104,3 +104,27 @@ def test_very_long_text_and_echoes(spark):
     assert got[1] == (2000, 2000) and got[2] == got[5] == got[6] == got[7] == (0, 0)
     assert got[3][0] == got[4][0] == 0 and 128 <= got[3][1] <= 290 and got[3][1] == got[4][1]
     assert got[8] == got[9] == (0, 180)
+
+
+def test_only_what_may_repeat_is_sorted(spark):
+    """Texts that share an anchor but no long string don't reach the suffix sorting."""
+    rng = random.Random(3)
+    some = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    line, passage = some(250), some(700)
+    rows = [(i, some(500) + line + some(500)) for i in range(40)] + [(50, some(90) + passage + some(300)), (51, some(200) + passage + some(80))]
+    anchored = collections.defaultdict(list)
+    for _, t in rows:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        offs, h = np.array([0, len(buf)]), suffix._gram_hashes(buf, 32)
+        for _, q1, q2, _, key in zip(*suffix.anchors(offs, h, suffix._least(h, [369])[0], 400)):
+            anchored[key & ~np.uint64(1)].append(t.encode()[q1 : q2 + 400])
+    shared = {k: v for k, v in anchored.items() if len(v) > 1}
+    pieces = [p for v in shared.values() for p in v]
+    keys = np.array([k for k, v in shared.items() for _ in v], np.uint64).view(np.int64)
+    lo, hi = suffix.shared_starts(pieces, keys, 400, 32, 32)
+    left = [p[a : b + 400] for p, a, b in zip(pieces, lo, hi) if a <= b]
+    assert len(pieces) > 40 and sum(map(len, left)) < sum(map(len, pieces)) / 5
+    whole = [set(a + x) for a, x in zip(lo[lo <= hi], suffix.repeated_starts(left, 400))]
+    every = [set(x) for x in suffix.repeated_starts(pieces, 400)]
+    assert [x for x in whole if x] == [x for x in every if x] and any(every)
+    assert result(spark, rows, 400, 32) == brute(rows, 400)

@@ -6,7 +6,9 @@ Every window of `length` bytes picks an anchor: the smallest hash of its `gram`-
 Equal windows pick equal anchors at equal places, so only windows whose anchor recurs somewhere
 can repeat; the runs of starts that share an anchor are cut out with what follows them
 (contexts), equal contexts are joined, and contexts with one anchor go to one shard. A shard
-sorts all its suffixes by induced sorting: suffixes are classified, the leftmost-smaller
+leaves out what shares no bytes long enough with another context of its anchor (equal windows lie
+in equal stretches around the anchor, so stretches whose hash is there once are alone in it), and
+sorts all other suffixes by induced sorting: suffixes are classified, the leftmost-smaller
 substrings are named in order and their names sorted by repeated renaming of neighbouring pairs,
 and the other suffixes are induced bucket by bucket in two linear sweeps. Permuted common
 prefixes (computed where they are irreducible, counted down elsewhere) say which suffixes
@@ -39,58 +41,61 @@ from pyspark.sql import functions as F
 from .text import blocks, map_batches, mix, powers, written
 
 GRAM, SHARD, HOT = 32, 1 << 21, 1 << 20
-#: Starts that a part of a split anchor holds.
-STEP = 32
+#: Starts that a part of a split anchor holds, and bytes of texts that are searched for anchors at once (their hashes fit a core's cache).
+STEP, NEAR = 32, 1 << 17
 #: Texts that a task remembers, so as to send copies of them once.
 REMEMBERED = 200_000
 
 
-def _gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
+def _sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of bytes times powers, and the factors that make the sum over a string the same wherever it begins."""
     n = len(buf)
-    if n < gram:
-        return np.zeros(0, np.uint64)
     r, inv = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * r[:n], out=total[1:])
+    return total, inv
+
+
+def _gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
+    n = len(buf)
+    if n < gram:
+        return np.zeros(0, np.uint64)
+    total, inv = _sums(buf)
     return mix((total[gram:] - total[:-gram]) * inv[: n - gram + 1])
 
 
-def _least(h: np.ndarray, span: int) -> np.ndarray:
-    """Where the smallest of each `span` neighbouring hashes is (by 32 bits, the first of equal ones)."""
-    low, have = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
-    n = len(h) - span + 1
-    while have * 2 <= span:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    if have < span:
-        low = np.minimum(low[:n], low[span - have : span - have + n])
-    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
-def anchors(offs: np.ndarray, h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc, first start, last start and anchor hash of each run of window starts of a block with gram hashes h."""
-    none = np.zeros(0, np.int64)
-    n = int(offs[-1])
-    if n < length:
-        return none, none, none, none.astype(np.uint64)
-    at = _least(h, length - gram + 1)
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: n - length + 1]
-    starts = np.flatnonzero(np.arange(n - length + 1) + length <= offs[1:][doc])
-    if not len(starts):
-        return none, none, none, none.astype(np.uint64)
-    new = np.ones(len(starts), bool)
-    new[1:] = (np.diff(starts) != 1) | (at[starts[1:]] != at[starts[:-1]])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    q1, q2 = starts[first], starts[last]
-    d = doc[q1]
-    return d, q1 - offs[d], q2 - offs[d], h[at[q1]]
+def _least(h: np.ndarray, spans: list[int]) -> list[np.ndarray]:
+    """For each of the spans (smallest first), where the smallest of each `span` neighbouring hashes is (by 32 bits, the first of equal ones)."""
+    low, have, out = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1, []
+    for span in spans:
+        n = len(h) - span + 1
+        if n < 1:
+            out.append(np.zeros(0, np.uint32))
+            continue
+        while have * 2 <= span:
+            low = np.minimum(low[:-have], low[have:])
+            have *= 2
+        out.append((np.minimum(low[:n], low[span - have : span - have + n]) if have < span else low).astype(np.uint32))
+    return out
+
+
+def anchors(offs: np.ndarray, h: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """doc, first start, last start, anchor's place and hash of each run of window starts of a block with gram hashes h, least at `at` in each window."""
+    n = len(at)
+    lens = np.diff(offs)
+    begins = offs[:-1][lens >= length]
+    first = np.union1d(np.flatnonzero(at[1:] != at[:-1]) + 1, begins)
+    doc = np.searchsorted(offs, first, "right") - 1
+    last = np.minimum(np.append(first[1:], n) - 1, offs[doc + 1] - length)
+    fits = last >= first  # others begin where a text has less than a window left
+    d, q1, q2 = doc[fits], first[fits], last[fits]
+    place = at[q1].astype(np.int64)
+    return d, q1 - offs[d], q2 - offs[d], place - offs[d], h[place]
 
 
-def echo_pieces(offs: np.ndarray, h: np.ndarray, echo: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def echo_pieces(offs: np.ndarray, h: np.ndarray, at: np.ndarray, echo: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc, start, end and key of each piece between neighbouring anchors of windows of echo bytes."""
-    d, q1, _, anchor = anchors(offs, h, echo, gram)
-    at = _least(h, echo - gram + 1)[q1 + offs[d]] - offs[d] if len(d) else q1
+    d, _, _, at, anchor = anchors(offs, h, at, echo)
     one = np.flatnonzero((d[1:] == d[:-1]) & (at[1:] != at[:-1]))
     a, b = at[one], at[one + 1]
     key = mix(anchor[one] * np.uint64(0x9E3779B97F4A7C15) ^ mix(anchor[one + 1] + (b - a).astype(np.uint64)))
@@ -257,6 +262,38 @@ def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(found[s:e]) for s, e in zip((ends - lens).tolist(), ends.tolist())]
 
 
+def shared_starts(pieces: list[bytes], anchor: np.ndarray, length: int, gram: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last start in each piece of what can begin in another piece of its anchor too (first > last: nothing).
+
+    Windows are taken by their distance to the anchor, `step` distances at a time; the bytes that these windows have in common
+    are hashed. Equal windows lie in stretches with equal bytes, so a hash that is there once rules out all windows of its stretch.
+    """
+    lens = np.array([len(p) for p in pieces], np.int64)
+    offs = np.concatenate([[0], np.cumsum(lens)])
+    total, inv = _sums(np.frombuffer(b"".join(pieces), np.uint8))
+    anchor = anchor.astype(np.int64).view(np.uint64)
+    h = mix((total[gram:] - total[:-gram]) * inv[: len(total) - gram]) & ~np.uint64(1)  # as marks_of() has it
+    hits = np.flatnonzero(h == np.repeat(anchor, lens)[: len(h)])
+    at = hits[np.searchsorted(hits, offs[:-1])] - offs[:-1]  # the first one is that of the piece's windows
+    n = lens - length + 1
+    low = (at - n + 1) // step
+    count = at // step - low + 1
+    row = np.repeat(np.arange(len(pieces)), count)
+    far = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+    end = at[row] - far * step
+    a = offs[row] + end
+    key = mix((total[a - step + 1 + length] - total[a]) * inv[a] ^ mix(anchor[row] + far.astype(np.uint64)))
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    several = np.zeros(len(key), bool)
+    several[order[1:][same]] = several[order[:-1][same]] = True
+    row, end = row[several], end[several]
+    lo, hi = n.copy(), np.full(len(pieces), -1)
+    np.minimum.at(lo, row, np.maximum(end - step + 1, 0))
+    np.maximum.at(hi, row, np.minimum(end, n[row] - 1))
+    return lo, hi
+
+
 def _ranges(starts: np.ndarray) -> list[list[int]]:
     if not len(starts):
         return []
@@ -286,41 +323,43 @@ def _unseen(column: pa.Array, seen: set[bytes]) -> tuple[pa.Array, np.ndarray]:
 TEXT = ["t1", "t2"]
 
 
-def _place(t1: np.ndarray, t2: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of a text's key and a place in it."""
-    return mix(mix(t1.view(np.uint64) ^ at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ t2.view(np.uint64)).view(np.int64)
-
-
-def _several(df: DataFrame, *by: str) -> DataFrame:
-    """Groups with rows of more than one place."""
-    return df.groupBy(*by).agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi").select(*by)
+def _several(df: DataFrame, at: str, *by: str) -> DataFrame:
+    """Groups with rows of more than one text or place (column at) in it."""
+    place = F.xxhash64(*TEXT, at)
+    return df.select(*by, place.alias("place")).groupBy(*by).agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi").select(*by)
 
 
 def marks_of(texts: DataFrame, length: int, gram: int, echo: int | None) -> DataFrame:
     """t1, t2, cuts (runs whose anchor recurs: q1, q2, anchor), heard (pieces that echo elsewhere: a, b)."""
-    names = ["kind", "key", "place", *TEXT, "a", "b"]
+    names = ["key", *TEXT, "a", "b"]
+    spans = sorted({x - gram + 1 for x in (length, echo or length)})
 
     def find(batches):
         seen: set[bytes] = set()
         for batch in batches:
             column, keys = _unseen(batch.column(0), seen)
-            for first, _, buf, offs in blocks(column):
+            for first, _, buf, offs in blocks(column, NEAR):
                 h = _gram_hashes(buf, gram)
-                for kind in (0, 1) if echo else (0,):
-                    d, a, b, key = echo_pieces(offs, h, echo, gram) if kind else anchors(offs, h, length, gram)
-                    if len(d):
-                        t1, t2 = (np.ascontiguousarray(keys[first + d, c]) for c in (0, 1))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(_place(t1, t2, a)), pa.array(t1), pa.array(t2), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names)
-
-    places = written(texts.mapInArrow(find, "kind int, key long, place long, t1 long, t2 long, a int, b int"), "places")
-    recurring = written(_several(places, "kind", "key"), "recurring")
-    met = places.drop("place").join(recurring.hint("merge"), ["kind", "key"], "left_semi")
+                least = dict(zip(spans, _least(h, spans)))
+                d, a, b, _, key = anchors(offs, h, least[length - gram + 1], length)
+                found = [(d, a, b, key & ~np.uint64(1))]  # the last bit of a key tells pieces from runs
+                if echo:
+                    d, a, b, key = echo_pieces(offs, h, least[echo - gram + 1], echo, gram)
+                    found.append((d, a, b, key | np.uint64(1)))
+                d, a, b, key = (np.concatenate(x) for x in zip(*found))
+                if len(d):
+                    t1, t2 = (keys[first + d, c] for c in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(t1), pa.array(t2), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names)
+
+    places = written(texts.mapInArrow(find, "key long, t1 long, t2 long, a int, b int"), "places")
+    recurring = written(_several(places, "a", "key"), "recurring")
+    met = places.join(recurring.hint("merge"), "key", "left_semi").withColumn("kind", F.col("key").bitwiseAND(1))
     cuts = F.collect_set(F.when(F.col("kind") == 0, F.struct(F.col("a").alias("q1"), F.col("b").alias("q2"), F.col("key").alias("anchor"))))
     return written(met.groupBy(*TEXT).agg(cuts.alias("cuts"), F.collect_set(F.when(F.col("kind") == 1, F.struct("a", "b"))).alias("heard")), "marks")
 
 
 def _contexts(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
-    """anchor, place, t1, t2, q1, n (starts), c1, c2 (hash of the piece and n), bytes, piece: the runs of marks_of(), cut out. One row at least of each c1, c2 has the piece."""
+    """anchor, t1, t2, q1, n (starts), c1, c2 (hash of the piece and n), bytes, piece: the runs of marks_of(), cut out. One row at least of each c1, c2 has the piece."""
 
     def once(batches):
         seen: set[bytes] = set()
@@ -329,7 +368,7 @@ def _contexts(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), column.cast(pa.binary())], [*TEXT, "raw"])
 
     cuts = marks.where(F.size("cuts") > 0).select(*TEXT, "cuts")
-    names = ["anchor", "place", *TEXT, "q1", "n", "c1", "c2", "bytes", "piece"]
+    names = ["anchor", *TEXT, "q1", "n", "c1", "c2", "bytes", "piece"]
 
     def cut(batches):
         seen: set[tuple] = set()
@@ -355,26 +394,32 @@ def _contexts(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                     elif len(sent) < REMEMBERED:
                         sent.add(x)
                 t1, t2 = (np.full(len(pieces), k, np.int64) for k in key)
-                place = _place(t1, t2, q1)
                 for s in range(0, len(pieces), 4096):
                     e = min(s + 4096, len(pieces))
-                    ids = [pa.array(x[s:e]) for x in (place, t1, t2)]
+                    ids = [pa.array(x[s:e]) for x in (t1, t2)]
                     yield pa.RecordBatch.from_arrays([c.field(2).slice(s, e - s), *ids, pa.array(q1[s:e]), pa.array(n[s:e]), pa.array(digests[s:e, 0]), pa.array(digests[s:e, 1]), pa.array(sizes[s:e], pa.int32()), pa.array(pieces[s:e], pa.binary())], names)
 
     whole = texts.mapInArrow(once, "t1 long, t2 long, raw binary")
     joined = whole.join(cuts.hint("merge"), TEXT).select(*TEXT, "raw", "cuts")
-    return written(joined.mapInArrow(cut, "anchor long, place long, t1 long, t2 long, q1 int, n int, c1 long, c2 long, bytes int, piece binary"), "contexts")
+    return written(joined.mapInArrow(cut, "anchor long, t1 long, t2 long, q1 int, n int, c1 long, c2 long, bytes int, piece binary"), "contexts")
 
 
 FOUND = "c1 long, c2 long, a int, b int"
 
 
-def _sorted_shards(pieces: DataFrame, length: int, shards: int) -> DataFrame:
-    """c1, c2, a, b (ranges of starts) of pieces (key, c1, c2, skip, piece): those of one key are compared."""
+def _sorted_shards(pieces: DataFrame, length: int, shards: int, gram: int | None = None) -> DataFrame:
+    """c1, c2, a, b (ranges of starts) of pieces (key, c1, c2, skip, piece): those of one key are compared. gram: the keys are anchors of so many bytes."""
+    step = min(STEP, length)
 
     def sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        skip = pdf["skip"].tolist()
-        rows = [(k, a + skip[k], b + skip[k]) for k, x in enumerate(repeated_starts(pdf["piece"].tolist(), length)) for a, b in _ranges(x)]
+        skip, which, texts = pdf["skip"].to_numpy(), np.arange(len(pdf)), pdf["piece"].tolist()
+        if gram:
+            lo, hi = shared_starts(texts, pdf["key"].to_numpy(), length, gram, step)
+            which = np.flatnonzero(lo <= hi)
+            texts = [texts[k][lo[k] : hi[k] + length] for k in which.tolist()]
+            skip = skip + lo
+        found = repeated_starts(texts, length) if texts else []
+        rows = [(k, a + skip[k], b + skip[k]) for k, x in zip(which.tolist(), found) for a, b in _ranges(x)]
         at, a, b = np.array(rows, np.int64).reshape(-1, 3).T
         return pd.DataFrame({"c1": pdf["c1"].to_numpy()[at], "c2": pdf["c2"].to_numpy()[at], "a": a, "b": b})
 
@@ -439,7 +484,7 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, echo: int | No
     slim = written(contexts.groupBy(*kind).agg(F.max("bytes").alias("size")), "kinds")
     by_anchor = written(slim.groupBy("anchor").agg(F.sum("size").alias("bytes"), F.count("*").alias("kinds")).where("kinds > 1"), "anchors")
     total = by_anchor.where(F.col("bytes") <= HOT).agg(F.sum("bytes")).first()[0] or 0
-    many = _several(contexts, *kind).select("c1", "c2")  # equal contexts: every start repeats
+    many = _several(contexts, "q1", *kind).select("c1", "c2")  # equal contexts: every start repeats
 
     def different(anchors: DataFrame) -> DataFrame:
         # The other columns of a kind are the same in all its rows, but for its place.
@@ -447,7 +492,7 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, echo: int | No
         return rows.dropDuplicates(["c1", "c2"])
 
     mild = different(by_anchor.where(F.col("bytes") <= HOT)).withColumn("key", F.col("anchor")).withColumn("skip", F.lit(0))
-    found = _sorted_shards(mild, length, max(1, -(-total // SHARD)))
+    found = _sorted_shards(mild, length, max(1, -(-total // SHARD)), gram)
     hot = by_anchor.where(F.col("bytes") > HOT)
     if not hot.isEmpty():
         parts = written(_split(different(hot), length, gram), "parts")

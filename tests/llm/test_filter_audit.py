@@ -1,7 +1,10 @@
+import collections
 import itertools
+import random
 import re
 
 import pytest
+from pyspark.sql import Row
 
 from vigil.llm import filter_audit
 
@@ -107,3 +110,57 @@ def test_tasks_combine_copies(spark, monkeypatch):
     keyed = [r for r in got if bytes(r.text_key[:1]) == b"#"]
     assert len({bytes(r.text_key) for r in keyed}) == len({t or "" for _, t, _ in rows} - {"only null"})
     assert all((r.doc_id is None) == (bytes(r.text_key[:1]) == b"=") for r in got)
+
+
+class Kept:
+    """A list state that counts the requests to it."""
+
+    def __init__(self):
+        self.rows, self.requests = [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.requests += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.requests, self.rows = self.requests + 1, list(rows)
+
+    def appendList(self, rows):
+        self.requests, self.rows = self.requests + 1, self.rows + list(rows)
+
+
+def test_a_bucket_of_texts_takes_two_requests_a_batch():
+    rng = random.Random(5)
+    kept, bucket = Kept(), filter_audit.Retractions()
+    bucket.init(kept)
+    low, seen, got = {}, [], collections.Counter()
+    for batch in range(6):
+        came = [(b"#%d" % rng.randrange(50), rng.randrange(300) - 60 * batch, rng.choice("pq"), rng.choice([1, 34])) for _ in range(200)]
+        seen += came
+        rows = [Row(text_key=t, doc_id=d, part=p, code=c, n=1) for t, d, p, c in came]
+        rows += [Row(text_key=b"=x", doc_id=None, part=p, code=c, n=1) for _, _, p, c in came]
+        for r in bucket.handleInputRows((7,), iter(rows), None):
+            got[r.part, r.code] += r.n
+        for t, d, _, _ in came:
+            low[t] = min(d, low.get(t, d))
+        want = collections.Counter((p, c | 16 * (d > low[t])) for t, d, p, c in seen)
+        assert {k: n for k, n in got.items() if n} == want
+        assert kept.requests == 2 * (batch + 1)
+        assert {(t, d) for t, d, *_ in kept.rows} >= set(low.items()) and len(kept.rows) <= 4 * len(low)
+
+
+def test_buckets_stay_as_the_first_run_had_them(spark, folder):
+    rows, labels = corpus()
+    write(spark, [r for r in rows if (r[0] or 0) > 300], f"{folder}/docs", "append")
+    filter_audit.audit(spark, f"{folder}/docs", tabled(spark, labels), f"{folder}/state").count()
+    write(spark, [r for r in rows if (r[0] or 0) <= 300], f"{folder}/docs", "append")
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        got = {tuple(r) for r in filter_audit.audit(spark, f"{folder}/docs", tabled(spark, labels), f"{folder}/state").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    assert got == brute(rows, labels)

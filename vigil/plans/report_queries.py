@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.functions.columns import band, norm_ppf_sql, norm_sf_sql, top2mean
+from vigil.functions.columns import band, norm_ppf_sql, norm_sf_sql, rounded, top2mean
 from vigil.functions.ranks import average_precision, quantiles, roc_auc, wilcoxon
 from vigil.operators import alerts as A
 from vigil.operators import explain as X
@@ -25,12 +25,12 @@ def signals(spark, sf):
     """A few signals over one day each, which SQL has too."""
     ev = S.history(prepare(driver_log(spark, sf)))
     ev = S.novelties(S.burst_ratio(S.fail_rates(ev, DAY), DAY))
-    return ev.select(*BASE, "role", "resource_accessed", F.round("fail_rate_entity", 6).alias("fail_rate_entity"), F.round("burst_ratio", 6).alias("burst_ratio"), F.round("ip_novelty", 6).alias("ip_novelty"), "session_duration", "geo_country", "auth_method")
+    return ev.select(*BASE, "role", "resource_accessed", rounded("fail_rate_entity", 6).alias("fail_rate_entity"), rounded("burst_ratio", 6).alias("burst_ratio"), rounded("ip_novelty", 6).alias("ip_novelty"), "session_duration", "geo_country", "auth_method")
 
 
 def scored(spark, sf):
     s = F.col("fail_rate_entity") + F.col("burst_ratio") / 10 + F.col("ip_novelty") + F.col("session_duration") / 997
-    return signals(spark, sf).withColumn("score", F.round(s, 6))
+    return signals(spark, sf).withColumn("score", rounded(s, 6))
 
 
 SCORED = f"""WITH {LOG_SQL}, {LABELS_SQL}{HIST}, sig AS (SELECT *, round({_trail(FAIL, 'entity_id', DAY)}::DOUBLE, 6) AS fail_rate_entity,
